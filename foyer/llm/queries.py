@@ -27,6 +27,32 @@ def op2_chunk_store(spark: SparkSession, sf_dir: str) -> DataFrame:
     return stored_digests(documents(spark, sf_dir), tokenizer_path("word_bpe_49k.json"))
 
 
+def op3_preference_format(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from foyer.llm.preference import adjacent_pairs, format_preferences, mask_text
+
+    turns = spark.read.parquet(f"{sf_dir}/conversations.parquet")
+    ready = format_preferences(turns, adjacent_pairs(turns))
+    return ready.withColumns({c: mask_text(c) for c in ("chosen_mask", "rejected_mask")})
+
+
+def op4_feistel_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from foyer.llm.sharding import shard
+
+    return shard(documents(spark, sf_dir))
+
+
+def op5_rule_cascade(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from foyer.llm.quality import quality_report
+
+    return quality_report(documents(spark, sf_dir))
+
+
+def op10_source_mixture(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from foyer.llm.mixture import mix
+
+    return mix(documents(spark, sf_dir))
+
+
 def queries() -> dict:
     return {name: f for name, f in globals().items() if name.startswith("op") and name[2].isdigit()}
 
