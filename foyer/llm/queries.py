@@ -47,6 +47,12 @@ def op5_rule_cascade(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_report(documents(spark, sf_dir))
 
 
+def op7_simhash_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from foyer.llm.simhash import near_duplicates
+
+    return near_duplicates(documents(spark, sf_dir))
+
+
 def op10_source_mixture(spark: SparkSession, sf_dir: str) -> DataFrame:
     from foyer.llm.mixture import mix
 
