@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from foyer.llm.common import batch, by_bytes, new_path, store
+from foyer.llm.common import batch, by_bytes, mix64, new_path, store
 from foyer.llm.tokens import encoder
 
 #: Ids that the rolling hash covers, mean ids of a chunk, fewest and most.
@@ -32,20 +32,13 @@ WINDOW, MEAN, LEAST, MOST = 16, 512, 64, 4096
 _STEP = np.uint64(0x9E3779B97F4A7C15)
 
 
-def mix(x: np.ndarray) -> np.ndarray:
-    """A 64-bit finalizer (splitmix64)."""
-    x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
-    x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
-    return x ^ (x >> np.uint64(31))
-
-
 def cuts(ids: np.ndarray) -> list[int]:
     """Ends of the chunks of ids: where the hash of the WINDOW ids before is 0 modulo MEAN."""
     n = len(ids)
     if n <= LEAST:
         return [n] if n else []
-    total = np.concatenate([np.zeros(1, "uint64"), np.cumsum(mix(ids.astype("uint64") + _STEP), dtype="uint64")])
-    ends = np.flatnonzero(mix(total[WINDOW:] - total[:-WINDOW]) % np.uint64(MEAN) == 0) + WINDOW
+    total = np.concatenate([np.zeros(1, "uint64"), np.cumsum(mix64(ids.astype("uint64") + _STEP), dtype="uint64")])
+    ends = np.flatnonzero(mix64(total[WINDOW:] - total[:-WINDOW]) % np.uint64(MEAN) == 0) + WINDOW
     found, last = [], 0
     for end in [*ends.tolist(), n]:
         while end - last > MOST:

@@ -6,6 +6,7 @@ import tempfile
 import uuid
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -36,10 +37,17 @@ def store(df: DataFrame, name: str, path: str | None = None) -> DataFrame:
     """Write df as Parquet in the shared folder and read it back.
 
     This cuts lineage: a lost executor costs the tasks after it, not those before.
+    The shuffle files of the job go when it ends, so a job's peak is its own.
     """
     spark = df.sparkSession
     path = path or new_path(spark, name)
-    df.write.option("compression", "zstd").mode("overwrite").parquet(path)
+    setting = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+    before = spark.conf.get(setting, "false")
+    spark.conf.set(setting, "true")
+    try:
+        df.write.option("compression", "zstd").mode("overwrite").parquet(path)
+    finally:
+        spark.conf.set(setting, before)
     return spark.read.schema(df.schema).parquet(path)
 
 
@@ -80,3 +88,41 @@ def fresh(df: DataFrame, *names: str) -> list[str]:
         taken.add(name.lower())
         found.append(name)
     return found
+
+
+def mix64(x: np.ndarray) -> np.ndarray:
+    """A 64-bit finalizer (splitmix64)."""
+    x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
+    x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
+    return x ^ (x >> np.uint64(31))
+
+
+class SpanHash:
+    """Hashes of spans [i, j) of a sequence of 64-bit values: a polynomial modulo 2**64 with an odd base, then mixed.
+
+    Powers are kept for the longest sequence so far, so a batch costs a product and a running sum.
+    """
+
+    _BASE, _INVERSE = 0x9E3779B97F4A7C15, pow(0x9E3779B97F4A7C15, -1, 1 << 64)
+    _powers = _inverses = np.ones(1, "uint64")
+
+    @classmethod
+    def _grow(cls, n: int) -> None:
+        if len(cls._powers) < n:
+            m = 1 << (n - 1).bit_length()
+            for name, base in (("_powers", cls._BASE), ("_inverses", cls._INVERSE)):
+                p = np.full(m, base, "uint64")
+                p[0] = 1
+                setattr(cls, name, np.cumprod(p, dtype="uint64"))
+
+    def __init__(self, values: np.ndarray):
+        n = len(values)
+        self._grow(n + 1)
+        self.sums = np.zeros(n + 1, "uint64")
+        np.cumsum(values * self._powers[:n], dtype="uint64", out=self.sums[1:])
+
+    def raw(self, i: np.ndarray, j: np.ndarray) -> np.ndarray:
+        return (self.sums[j] - self.sums[i]) * self._inverses[i]
+
+    def __call__(self, i: np.ndarray, j: np.ndarray) -> np.ndarray:
+        return mix64(self.raw(i, j) ^ (j - i).astype("uint64"))

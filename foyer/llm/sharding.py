@@ -8,8 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from foyer.llm.chunkstore import mix
-from foyer.llm.common import fresh, store
+from foyer.llm.common import fresh, mix64, store
 
 ROUNDS = 6
 
@@ -28,7 +27,7 @@ def permute(rows: np.ndarray, n: int, seed: int) -> np.ndarray:
     while len(todo):
         left, right = place[todo] >> half, place[todo] & low
         for key in keys:
-            left, right = right, left ^ (mix(right + key) & low)
+            left, right = right, left ^ (mix64(right + key) & low)
         place[todo] = left << half | right
         todo = todo[place[todo] >= n]
     return place.astype("int64")
