@@ -1,9 +1,67 @@
-"""The corpus pipeline."""
+"""The corpus pipeline: from raw documents to packed sequences.
 
-STAGES: list = []
+Each stage takes (spark, docs, sf_dir) and returns a DataFrame that is written as
+Parquet and read again as the next stage's docs.
+"""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from foyer.llm import common, mixture, packing, quality, queries, simhash, suffixes
+
+
+def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that no rule of the cascade rejects."""
+    return quality.cascade(docs).filter("kept").select(*docs.columns)
+
+
+def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Of each group of SimHash near-duplicates the document with the smallest doc_id."""
+    own = common.keyed(docs)
+    groups = simhash.near_duplicates(own.select(F.col("_key").alias("doc_id"), "text"))
+    kept = groups.filter("doc_id = component_id").select(F.col("doc_id").alias("_key"))
+    return own.join(kept, "_key", "left_semi").select(*docs.columns)
+
+
+def repeat_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents without the 400-byte strings that stand more than once; characters that a cut splits go."""
+    found = suffixes.remove_repeats(docs)
+    text = F.when(F.col("n_removed") == 0, F.decode("kept", "UTF-8")).otherwise(whole_characters("kept"))
+    return found.withColumn("text", text).withColumn("n_chars", F.length("text").cast("long")).select(*docs.columns)
+
+
+@F.pandas_udf("string")
+def whole_characters(kept):
+    return kept.map(lambda b: bytes(b).decode("utf-8", "ignore"))
+
+
+def source_mixture(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The mix of the sources, a row for each time that it takes a document."""
+    return mixture.mixed_documents(docs).withColumn("n_chars", F.length("text").cast("long")).select(*docs.columns)
+
+
+def best_fit_packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The pieces of the documents and their places in sequences."""
+    return packing.pack(packing.token_pieces(docs, queries.tokenizer_path("byte_bpe_50k.json")))
+
+
+STAGES = [
+    ("quality rules", quality_rules),
+    ("simhash near-dedup", near_dedup),
+    ("suffix-array dedup", repeat_dedup),
+    ("source mixture", source_mixture),
+    ("best-fit packing", best_fit_packing),
+]
+
+#: Tokens, suffixes and fingerprints aren't expressible in SQL; tests hold run() against a brute-force version.
 ORACLE_SQL = None
 
 
-def run(spark, sf_dir):
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The packed pieces of sf_dir's documents; each stage's result is stored in the shared folder."""
+    docs = queries.documents(spark, sf_dir)
+    for name, stage in STAGES:
+        docs = common.store(stage(spark, docs, sf_dir), name.replace(" ", "-"))
     return docs

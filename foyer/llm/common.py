@@ -9,6 +9,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 #: Bytes of text that one step of a Python task holds as arrays.
@@ -90,6 +91,41 @@ def fresh(df: DataFrame, *names: str) -> list[str]:
     return found
 
 
+def number_rows(df: DataFrame, *order: str) -> tuple[DataFrame, int]:
+    """df with row_no from 0 in the order of these columns, and its row count.
+
+    Range partitions are written in order; counts of the partitions (a row for
+    each) give each its first number.
+    """
+    at_, = fresh(df, "at_in_file")
+    ordered = store(df.repartitionByRange(*order).sortWithinPartitions(*order).withColumn(at_, F.monotonically_increasing_id()), "numbered")
+    part, within = F.shiftright(at_, 33), F.col(at_).bitwiseAND((1 << 33) - 1)
+    counts = ordered.groupBy(part.alias("part")).count()
+    first = counts.select(F.col("part").alias("_part"), (F.sum("count").over(W.orderBy("part")) - F.col("count")).alias("_first"))
+    n = ordered.count()
+    # one row for each range partition: their number is that of shuffle partitions
+    return ordered.join(F.broadcast(first), part == F.col("_part")).withColumn("row_no", F.col("_first") + within).drop("_part", "_first", at_), n
+
+
+def keyed(docs: DataFrame) -> DataFrame:
+    """docs with _key, a number of its own for each row, and _order, the rank of its doc_id.
+
+    Where every doc_id is there once, both are the doc_id.  Else rows are numbered;
+    rows that share a doc_id keep one rank, and null ranks before all others.
+    """
+    n, own, least = docs.agg(F.count("*"), F.countDistinct("doc_id"), F.min("doc_id")).first()
+    if n == own:
+        return docs.withColumns({"_key": F.col("doc_id"), "_order": F.col("doc_id")})
+    numbered, _ = number_rows(docs.withColumn("_order", F.coalesce("doc_id", F.lit((least or 0) - 1))), "_order", "text")
+    return numbered.withColumnRenamed("row_no", "_key")
+
+
+def carried(df: DataFrame, *new: str) -> list[str]:
+    """Columns of df that an operator passes on: all but those with the names of new ones."""
+    taken = {c.lower() for c in new}
+    return [c for c in df.columns if c.lower() not in taken]
+
+
 def mix64(x: np.ndarray) -> np.ndarray:
     """A 64-bit finalizer (splitmix64)."""
     x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from foyer.llm.common import store
+from foyer.llm.common import keyed, store
 
 WORD = r"[^\x20\x09-\x0D]+"
 
@@ -39,8 +39,8 @@ def source_targets(sizes: DataFrame, weights: tuple[float, ...] = (3, 1, 2), sha
     return full.withColumn("target", F.when(F.col("full"), F.col("most")).otherwise(F.least("most", level * F.col("weight")))).select("source", "source_size", "target")
 
 
-def mix(docs: DataFrame, weights: tuple[float, ...] = (3, 1, 2), share: float = 1.5, most: float = 2.0, seed: int = 10) -> DataFrame:
-    """docs(doc_id, source, text) as doc_id, source, size, source_size, target, taken.
+def mix(docs: DataFrame, weights: tuple[float, ...] = (3, 1, 2), share: float = 1.5, most: float = 2.0, seed: int = 10, carry: tuple[str, ...] = ()) -> DataFrame:
+    """docs(doc_id, source, text) as doc_id, source, size, source_size, target, taken, and the columns of carry.
 
     taken: the words that the mix takes of the document, repeats counted.  Documents
     of a source stand in the order of a seeded hash; each whole epoch takes all of
@@ -55,7 +55,7 @@ def mix(docs: DataFrame, weights: tuple[float, ...] = (3, 1, 2), share: float =
     spark = docs.sparkSession
     bits = max(6, (8 * int(spark.conf.get("spark.sql.shuffle.partitions"))).bit_length())
     key = F.xxhash64("doc_id", F.lit(seed))
-    slim = store(docs.select("doc_id", "source", word_count("text").alias("size"), key.alias("key"), F.shiftright(key, 64 - bits).alias("range")), "mixture")
+    slim = store(docs.select("doc_id", "source", *carry, word_count("text").alias("size"), key.alias("key"), F.shiftright(key, 64 - bits).alias("range")), "mixture")
     ranges = slim.groupBy("source", "range").agg(F.sum("size").alias("in_range"))
     in_source = W.partitionBy("source").orderBy("range")
     ranges = ranges.withColumn("before", F.sum("in_range").over(in_source) - F.col("in_range"))
@@ -63,13 +63,13 @@ def mix(docs: DataFrame, weights: tuple[float, ...] = (3, 1, 2), share: float =
     targets = source_targets(sizes, weights, share, most)
     own = [F.coalesce("source", F.lit("")).alias("own"), F.col("source").isNull().alias("none")]
     placed = ranges.alias("r").join(targets.alias("t"), F.col("r.source").eqNullSafe(F.col("t.source"))).select(F.coalesce("r.source", F.lit("")).alias("own"), F.col("r.source").isNull().alias("none"), "range", "before", "source_size", "target")
-    rows = slim.select("doc_id", "source", "size", "key", "range", *own).join(placed, ["own", "none", "range"])
+    rows = slim.select("doc_id", "source", "size", "key", "range", *carry, *own).join(placed, ["own", "none", "range"])
     order = W.partitionBy("own", "none", "range").orderBy("key", "doc_id", "size").rowsBetween(W.unboundedPreceding, 0)
     at = F.col("before") + F.sum("size").over(order) - F.col("size")
     budget = F.floor("target")
     epochs = F.when(F.col("source_size") > 0, F.floor(budget / F.col("source_size"))).otherwise(0)
     part = F.greatest(F.lit(0), F.least("size", budget - epochs * F.col("source_size") - F.col("at")))
-    return rows.withColumn("at", at).select("doc_id", "source", "size", "source_size", "target", (epochs * F.col("size") + part).cast("long").alias("taken"))
+    return rows.withColumn("at", at).select("doc_id", "source", "size", "source_size", "target", (epochs * F.col("size") + part).cast("long").alias("taken"), *carry)
 
 
 def mixed_documents(docs: DataFrame, **kwargs) -> DataFrame:
@@ -77,11 +77,8 @@ def mixed_documents(docs: DataFrame, **kwargs) -> DataFrame:
 
     A document that the budget cuts keeps its first words, with the white space between them.
     """
-    plan = mix(docs, **kwargs).filter("taken > 0").groupBy("doc_id", "size").agg(F.sum("taken").alias("taken"), F.count("*").alias("rows"))
-    # of repeated rows with one id each gets an even part; the first get one word more
-    numbered = docs.withColumn("_size", word_count("text")).withColumn("_no", F.row_number().over(W.partitionBy("doc_id", "_size").orderBy(F.xxhash64(*docs.columns))))
-    joined = numbered.join(plan.select(F.col("doc_id").alias("_id"), F.col("size").alias("_words"), "taken", "rows"), F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("_size") == F.col("_words")))
-    own = F.floor(F.col("taken") / F.col("rows")) + (F.col("_no") <= F.col("taken") % F.col("rows")).cast("long")
-    epochs = joined.withColumn("_own", own).filter("_own > 0").withColumn("_left", F.explode(F.transform(F.sequence(F.lit(0), F.floor((F.col("_own") - 1) / F.col("_size"))), lambda k: F.col("_own") - k * F.col("_size"))))
+    own = keyed(docs)
+    plan = mix(own, carry=("_key",), **kwargs).filter("taken > 0").select("_key", F.col("size").alias("_size"), "taken")
+    epochs = own.join(plan, "_key").withColumn("_left", F.explode(F.transform(F.sequence(F.lit(0), F.floor((F.col("taken") - 1) / F.col("_size"))), lambda k: F.col("taken") - k * F.col("_size"))))
     cut = F.expr(r"regexp_extract(text, concat('^(?:[\\x20\\x09-\\x0D]*[^\\x20\\x09-\\x0D]+){', cast(_left as string), '}'), 0)")
     return epochs.withColumn("text", F.when(F.col("_left") >= F.col("_size"), F.col("text")).otherwise(cut)).select(*docs.columns)

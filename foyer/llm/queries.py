@@ -61,6 +61,19 @@ def op7_simhash_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(documents(spark, sf_dir))
 
 
+def op8_phrase_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from foyer.llm.phrases import compare_with_next
+
+    return compare_with_next(documents(spark, sf_dir))
+
+
+def op9_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from foyer.llm.suffixes import remove_repeats
+
+    found = remove_repeats(documents(spark, sf_dir))
+    return found.select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"))
+
+
 def op10_source_mixture(spark: SparkSession, sf_dir: str) -> DataFrame:
     from foyer.llm.mixture import mix
 

@@ -10,8 +10,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from foyer.llm.common import SpanHash, batch, by_bytes, mix64, store, utf8
-from foyer.llm.sharding import number_rows
+from foyer.llm.common import SpanHash, batch, by_bytes, mix64, carried, keyed, store, utf8
 
 #: Words of the repeats that are removed, and rounds of naming.
 WINDOW, ROUNDS = 13, 4
@@ -120,20 +119,6 @@ def word_names(texts: list[bytes], names: Names) -> tuple[np.ndarray, np.ndarray
     return np.fromiter((get(w) for own in words for w in own), "u8", int(lengths.sum())), np.repeat(offsets, lengths)
 
 
-def keyed(docs: DataFrame) -> DataFrame:
-    """docs(doc_id, text) as doc_id, _text, _key, _order: a name of its own and a rank for each row.
-
-    Where every doc_id is there once, both are the doc_id.  Else rows are numbered;
-    rows that share a doc_id keep one rank, and null ranks before all others.
-    """
-    plain = docs.select("doc_id", utf8("text").alias("_text"))
-    n, own, least = docs.agg(F.count("*"), F.countDistinct("doc_id"), F.min("doc_id")).first()
-    if n == own:
-        return plain.withColumns({"_key": F.col("doc_id"), "_order": F.col("doc_id")})
-    numbered, _ = number_rows(plain.withColumn("_order", F.coalesce("doc_id", F.lit((least or 0) - 1))), "_order", "_text")
-    return numbered.withColumnRenamed("row_no", "_key")
-
-
 def repeats(docs: DataFrame, window: int = WINDOW) -> DataFrame:
     """Of docs(_key, _order, _text): _key and runs, a sorted array of [first, last] windows that a lower rank has too."""
     phrase_rows = pa.schema([("_key", pa.int64()), ("_order", pa.int64()), ("p0", pa.int32()), ("p1", pa.int32()), ("name", pa.int64())])
@@ -180,32 +165,32 @@ def repeats(docs: DataFrame, window: int = WINDOW) -> DataFrame:
 
 
 def remove_repeats(docs: DataFrame, window: int = WINDOW) -> DataFrame:
-    """docs(doc_id, text) as doc_id, text, n_words, n_removed.
+    """docs(doc_id, text, ...) with text, n_words and n_removed.
 
     A word goes if a window of ``window`` words that covers it also starts in a
     document with a smaller doc_id (null is smallest); windows are judged on the
     input.  The words left are joined by single spaces.  Words are runs of bytes other
     than white space of ASCII; null text has none.  Rows that share a doc_id don't
-    remove each other's words.  Other columns are left out.
+    remove each other's words.  Other columns are carried along; those with the names
+    of new ones are replaced.
     """
-    own = keyed(docs)
-    result = pa.schema([("doc_id", pa.int64()), ("n_words", pa.int64()), ("n_removed", pa.int64()), ("kept", pa.string())])
+    own = keyed(docs).withColumn("_text", utf8("text"))
+    kept = carried(docs, "text", "n_words", "n_removed")
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            for rows in by_bytes(list(zip(*(c.to_pylist() for c in b.columns))), lambda r: len(r[1])):
-                out = []
-                for doc_id, text, at in rows:
-                    words = text.split()
-                    n = len(words)
-                    if at:
-                        change = np.zeros(n + 1, "int64")
-                        np.add.at(change, at, 1)
-                        np.add.at(change, np.asarray(at) + window, -1)
-                        kept = np.flatnonzero(np.cumsum(change[:n]) == 0)
-                        words = [words[k] for k in kept]
-                    out.append((doc_id, n, n - len(words), b" ".join(words).decode()))
-                yield batch(result, *zip(*out))
-
-    joined = own.join(repeats(own, window), "_key", "left").select("doc_id", "_text", "at")
-    return joined.mapInArrow(cut, "doc_id long, n_words long, n_removed long, kept string").select("doc_id", F.col("kept").alias("text"), "n_words", "n_removed")
+            out = []
+            for text, at in zip(b.column("_text").to_pylist(), b.column("at").to_pylist()):
+                words = text.split()
+                n = len(words)
+                if at:
+                    change = np.zeros(n + 1, "int64")
+                    np.add.at(change, at, 1)
+                    np.add.at(change, np.asarray(at) + window, -1)
+                    words = [words[k] for k in np.flatnonzero(np.cumsum(change[:n]) == 0)]
+                out.append((b" ".join(words).decode(), n, n - len(words)))
+            text, n_words, n_removed = zip(*out) if out else ((), (), ())
+            yield pa.RecordBatch.from_arrays([*(b.column(c) for c in kept), pa.array(text, pa.string()), pa.array(n_words, pa.int64()), pa.array(n_removed, pa.int64())], names=[*kept, "text", "n_words", "n_removed"])
+
+    joined = own.join(repeats(own, window), "_key", "left").select(*kept, "_text", "at")
+    return joined.mapInArrow(cut, ", ".join([*(f"`{c}` {t}" for c, t in docs.dtypes if c in kept), "text string, n_words long, n_removed long"]))

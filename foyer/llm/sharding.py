@@ -5,10 +5,9 @@ from __future__ import annotations
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from foyer.llm.common import fresh, mix64, store
+from foyer.llm.common import mix64, number_rows
 
 ROUNDS = 6
 
@@ -33,22 +32,6 @@ def permute(rows: np.ndarray, n: int, seed: int) -> np.ndarray:
     return place.astype("int64")
 
 
-def number_rows(df: DataFrame, *order: str) -> tuple[DataFrame, int]:
-    """df with row_no from 0 in the order of these columns, and its row count.
-
-    Range partitions are written in order; counts of the partitions (a row for
-    each) give each its first number.
-    """
-    at_, = fresh(df, "at_in_file")
-    ordered = store(df.repartitionByRange(*order).sortWithinPartitions(*order).withColumn(at_, F.monotonically_increasing_id()), "numbered")
-    part, within = F.shiftright(at_, 33), F.col(at_).bitwiseAND((1 << 33) - 1)
-    counts = ordered.groupBy(part.alias("part")).count()
-    first = counts.select(F.col("part").alias("_part"), (F.sum("count").over(W.orderBy("part")) - F.col("count")).alias("_first"))
-    n = ordered.count()
-    # one row for each range partition: their number is that of shuffle partitions
-    return ordered.join(F.broadcast(first), part == F.col("_part")).withColumn("row_no", F.col("_first") + within).drop("_part", "_first", at_), n
-
-
 def shard(docs: DataFrame, shards: int = 40, seed: int = 4) -> DataFrame:
     """docs(doc_id, text) as doc_id, size, text_crc32, law, shard, slot, grown_shard.
 
