@@ -159,7 +159,8 @@ def repeats(docs: DataFrame, window: int = WINDOW) -> DataFrame:
                 yield batch(window_rows, *(np.concatenate(c) for c in zip(*out)))
 
     each = store(texts.join(wanted, "_key").select("_key", "_order", "_text", "blocks").mapInArrow(windows, "_key long, _order long, at int, name long"), "windows")
-    least = each.groupBy("name").agg(F.min("_order").alias("least"), F.max("_order").alias("most")).filter("least < most").select(F.col("name").alias("_name"), "least")
+    # stored, so that the join reads two shuffles and Spark can split a name that very many documents have
+    least = store(each.groupBy("name").agg(F.min("_order").alias("least"), F.max("_order").alias("most")).filter("least < most").select(F.col("name").alias("_name"), "least"), "least")
     later = each.join(least, F.col("name") == F.col("_name")).filter("_order > least")
     return store(later.groupBy("_key").agg(F.sort_array(F.collect_list("at")).alias("at")), "repeats")
 
