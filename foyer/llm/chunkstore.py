@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from foyer.llm.common import batch, by_bytes, mix64, new_path, store
-from foyer.llm.tokens import encoder
+from foyer.llm.tokens import SegmentEncoder
 
 #: Ids that the rolling hash covers, mean ids of a chunk, fewest and most.
 WINDOW, MEAN, LEAST, MOST = 16, 512, 64, 4096
@@ -73,10 +73,10 @@ def write_store(docs: DataFrame, tokenizer: str, end_id: int, path: str) -> None
     end = end_id.to_bytes(4, "little")
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        tokens = encoder(tokenizer)
+        tokens = SegmentEncoder(tokenizer)
         met: set[bytes] = set()
         for b in batches:
-            for rows in by_bytes(list(zip(*(c.to_pylist() for c in b.columns))), lambda r: len(r[2]), 8 << 20):
+            for rows in by_bytes(list(zip(*(c.to_pylist() for c in b.columns))), lambda r: len(r[2]), 2 << 20):
                 out = []
                 for (row, doc_id, _), raw in zip(rows, tokens.encode([r[2] for r in rows])):
                     ids, at, recipe, lengths = np.frombuffer(raw + end, "<u4"), 0, [], []

@@ -21,11 +21,11 @@ _A, _B = np.uint64(0xD6E8FEB86659FD93), np.uint64(0xA0761D6478BD642F)
 
 
 class Names(dict):
-    """A word's 64-bit name; a worker keeps up to 700,000."""
+    """A word's 64-bit name; a worker keeps up to 300,000."""
 
     def __missing__(self, word: bytes) -> int:
         name = xxhash.xxh3_64_intdigest(word)
-        if len(self) < 700_000:
+        if len(self) < 300_000:
             self[word] = name
         return name
 

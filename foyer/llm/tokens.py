@@ -2,8 +2,8 @@
 
 A byte-level BPE never joins pieces across a plain space or a lone line break,
 so a text's ids are the ids of its segments in order.  Segments recur; each
-Python worker keeps the ids of those it has met (up to MEMO of them) and asks the
-library only for the others.  Segments or texts outside the plain alphabet below
+task keeps the ids of those it has met (up to MEMO of them) and asks the library
+only for the others.  Segments or texts outside the plain alphabet below
 go to the library as they are.
 """
 
@@ -16,8 +16,8 @@ from functools import lru_cache
 
 import regex
 
-#: Segments whose ids a worker keeps; later ones are encoded again when they recur.
-MEMO = 600_000
+#: Segments whose ids a task keeps; later ones are encoded again when they recur.
+MEMO = 250_000
 # The byte-level alphabet of published byte BPE vocabularies, and its splitting pattern.
 _PLAIN_BYTES = [*range(33, 127), *range(161, 173), *range(174, 256)]
 _BYTE_PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
@@ -31,6 +31,16 @@ def _byte_alphabet() -> dict[int, str]:
     return {b: chr(b) for b in _PLAIN_BYTES} | {b: chr(256 + i) for i, b in enumerate(rest)}
 
 
+@lru_cache(maxsize=2)
+def tokenizer(path: str):
+    """One for each worker process and file; a string of a special token is ordinary text."""
+    from tokenizers import Tokenizer
+
+    found = Tokenizer.from_file(path)
+    found.encode_special_tokens = True
+    return found
+
+
 class _Memo(dict):
     """Ids that are kept; rare holds those of the present batch that are not."""
 
@@ -44,10 +54,7 @@ class SegmentEncoder:
     """encode(texts) gives each text's ids as little-endian unsigned 32-bit integers."""
 
     def __init__(self, path: str):
-        from tokenizers import Tokenizer
-
-        self.whole = Tokenizer.from_file(path)
-        self.whole.encode_special_tokens = True
+        self.whole = tokenizer(path)
         self.model = self.whole.model
         pre = json.loads(self.whole.to_str())["pre_tokenizer"]
         self.spaced = pre["type"] == "ByteLevel"  # a piece keeps the space before it
@@ -107,9 +114,3 @@ class SegmentEncoder:
             (self.memo if len(self.memo) < MEMO else rare)[k] = self._new(k)
         get = self.memo.__getitem__
         return [b"".join(map(get, parts)) for parts in split]
-
-
-@lru_cache(maxsize=4)
-def encoder(path: str) -> SegmentEncoder:
-    """One for each worker process and file."""
-    return SegmentEncoder(path)
