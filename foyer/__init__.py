@@ -1 +1 @@
-"""."""
+"""A PySpark engine for multi-source property listings."""

@@ -1 +1 @@
-"""."""
+"""Builders of column expressions."""

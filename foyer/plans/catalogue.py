@@ -1,4 +1,606 @@
 """Registered queries of the listing engine, and the same in SQL."""
 
-QUERIES: dict = {}
+from __future__ import annotations
+
+from collections.abc import Callable
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from foyer.functions import scalars as S
+from foyer.operators import certificates, enrichment, learning, matching, projection, reactions, search, stats
+from foyer.plans.fixtures import Tables, with_views
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE_SQL: dict[str, str] = {}
+
+
+def query(sql: str | None = None):
+    """Registers a function of Tables under its name, with its SQL over the derived tables."""
+
+    def add(f):
+        QUERIES[f.__name__] = lambda spark, sf_dir: f(Tables(spark, sf_dir))
+        if sql:
+            ORACLE_SQL[f.__name__] = with_views(sql)
+        return f
+
+    return add
+
+
+ACTIVE = "select p.* from properties p where exists (select 1 from publications u where u.property_id = p.id and u.is_active)"
+
+
+def _active(t: Tables) -> DataFrame:
+    return stats.active_properties(t.properties, t.publications)
+
+
+def _rounded(df: DataFrame, *names: str, digits: int = 6) -> DataFrame:
+    """Doubles as whole millionths, so that both engines agree to the last digit shown."""
+    return df.withColumns({n: F.floor(F.col(n) * 10**digits + 0.5).cast("long") for n in names})
+
+
+def _stored(t: Tables) -> DataFrame:
+    """Properties with the columns that only the store has."""
+    return t.properties.withColumn("has_price_drop", F.col("first_price") > F.col("price")).withColumn("first_seen_at", -F.col("age_days"))
+
+
+STORED = "select p.*, first_price > price as has_price_drop, -age_days as first_seen_at from properties p"
+
+# ---------------------------------------------------------------- statistics
+
+
+@query(f"with active as ({ACTIVE}) select count(*) as n, min(price) as min_price, max(price) as max_price, cast(floor(quantile_cont(price, 0.5) + 0.5) as bigint) as median_price, cast(floor(avg(price) + 0.5) as bigint) as avg_price from active")
+def a07_price_stats(t):
+    return stats.price_stats(_active(t))
+
+
+@query(f"""with active as ({ACTIVE}) select (select count(*) from properties) as properties, (select count(*) from active) as active_properties,
+  (select count(*) from active where first_price > price) as price_drops, (select count(*) from publications where is_active) as publications, (select count(*) from publications where not is_active) as inactive_publications""")
+def a01_a02_a03_a06_overview(t):
+    return stats.overview(t.properties, t.publications)
+
+
+@query("select source, count(*) filter (is_active) as active, count(*) filter (not is_active) as inactive from publications group by source")
+def a05_counts_by_source(t):
+    return stats.counts_by_source(t.publications)
+
+
+@query("select city, count(*) as n from properties group by city order by n desc, city limit 10")
+def a08_top_cities(t):
+    return stats.top_cities(t.properties)
+
+
+@query("select count(*) filter (scraped_at >= timestamp '1998-07-01' - interval 7 day) as scraped, count(*) filter (not is_active and scraped_at >= timestamp '1998-07-01' - interval 7 day) as deactivated, strftime(max(scraped_at), '%Y-%m-%d') as last_day from publications")
+def a09_a10_activity(t):
+    return stats.activity(t.publications, "1998-07-01")
+
+
+@query("select count(*) as n from (select property_id from publications where is_active group by 1 having count(distinct source) > 1)")
+def a11_multi_source(t):
+    return stats.multi_source(t.publications)
+
+
+@query("select strftime(scraped_at, '%Y-%m-%d') as day, count(*) as scrapes, count(*) filter (is_active) as active, count(*) filter (not is_active) as deactivations from publications group by 1")
+def a12_j15_activity_by_day(t):
+    return stats.activity_by_day(t.publications)
+
+
+@query("select strftime(ts, '%Y-W%W') as week, count(*) filter (action = 'like') as likes, count(*) filter (action = 'dislike') as dislikes from reaction_log where action in ('like', 'dislike') group by 1")
+def a13_reactions_by_week(t):
+    return stats.reactions_by_week(t.reaction_log)
+
+
+@query(f"""with active as ({ACTIVE}), l as (select min(price) as lo, max(price) as hi, greatest(cast(ceil((max(price) - min(price)) / 8.0) as bigint), 1) as step from active),
+  b as (select case when hi = lo then 0 else least((price - lo) // step, 7) end as bucket, lo, hi, step from active cross join l)
+  select bucket, lo + bucket * step as low, case when bucket = 7 or hi = lo then hi else lo + (bucket + 1) * step end as high, count(*) as n from b group by all""")
+def a14_price_histogram(t):
+    return stats.price_histogram(_active(t))
+
+
+@query("""with u as (select property_id, image_a as url from publications where image_a is not null union all select property_id, image_b from publications),
+  o as (select url from u group by url having count(distinct property_id) >= 3) select distinct regexp_replace(url, '[?#].*$', '') as photo from o""")
+def a15_j06_overused_photos(t):
+    return stats.overused_photos(_with_arrays(t.publications))
+
+
+@query(f"""with active as ({ACTIVE}) select '2024-01-15' as date, count(*) as active_properties, (select count(*) from publications where is_active) as active_publications,
+  cast(floor(quantile_cont(price, 0.5) + 0.5) as bigint) as median_price, count(*) filter (first_price > price) as price_drop_count from active""")
+def a18_s23_snapshot(t):
+    row = stats.snapshot(t.properties, t.publications, "2024-01-15")
+    return stats.upsert_snapshot(row.limit(0), row)
+
+
+@query("""with d as (select distinct strftime(ts, '%Y-%m-%d') as date from events where event_id % 3 = 0 and date_part('day', ts) % 2 = 0)
+  select strftime(x, '%Y-%m-%d') as date from generate_series(date '2024-01-01', date '2024-02-05', interval 1 day) g(x) where strftime(x, '%Y-%m-%d') not in (select date from d)""")
+def u05_missing_days(t):
+    days = t.events.filter("event_id % 3 = 0 and day(ts) % 2 = 0").select(F.date_format("ts", "yyyy-MM-dd").alias("date")).distinct()
+    return stats.missing_days(days, "2024-01-01", "2024-02-05")
+
+
+@query("select count(*) filter (type = 'like') as likes, count(*) filter (type = 'dislike') as dislikes from reactions")
+def a16_reaction_counts(t):
+    return reactions.counts(t.reactions.withColumn("archived", F.lit(False)))
+
+
+@query("select count(*) filter (user_id % 3 = 0) > 0 or count(*) = 0 as send from events where event_id < 100")
+def a17_notify_household(t):
+    return reactions.notify_household(t.events.filter("event_id < 100").select((F.col("user_id") % 3 == 0).alias("enabled")))
+
+
+@query(f"with active as ({ACTIVE}) select id, first_price, price, first_price - price as price_drop from active where first_price > price order by price_drop desc, id limit 10")
+def o07_largest_drops(t):
+    return stats.largest_drops(_active(t))
+
+
+# ---------------------------------------------------------------- search
+
+
+@query(f"""with s as ({STORED}) select id, price from s where price between 100000 and 150000 and surface >= 30 and rooms >= 2 and exists (select 1 from publications u where u.property_id = s.id and u.is_active and u.source = 'seloger')
+  and not exists (select 1 from reactions r where r.property_id = s.id) order by price desc, id limit 50 offset 10""")
+def p01_o01_o03_search(t):
+    f = search.SearchFilters(min_price=100000, max_price=150000, min_surface=30, min_rooms=2, source="seloger", without_reaction=True, sort="price_desc", offset=10, limit=50)
+    return search.search(_stored(t), t.publications, t.reactions, f).select("id", "price")
+
+
+@query(f"""with s as ({STORED}) select id, price from s where translate(city, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') like '%brand#1%' and not is_new_property and first_price > price
+  and exists (select 1 from publications u where u.property_id = s.id and u.is_active) order by price, id limit 100""")
+def p01a_p01d_p01i_old_drops(t):
+    f = search.SearchFilters(city="bRAND#1", old_only=True, price_drop_only=True, limit=100)
+    return search.search(_stored(t), t.publications, None, f).select("id", "price")
+
+
+@query(f"""with s as ({STORED}), said as (select distinct property_id from publications where is_active and contains(lower(description), '2-high'))
+  select id from s where exists (select 1 from publications u where u.property_id = s.id and u.is_active) and (contains(lower(title), 'blue') or id in (select property_id from said)) order by first_seen_at desc, id limit 200""")
+def p01g_text_search(t):
+    f = search.SearchFilters(text="2-HIGH", sort="date_desc", limit=200)
+    found = [search.matching(_stored(t), t.publications, None, search.SearchFilters(text=x)) for x in ("2-HIGH", "blue")]
+    return search.page(found[0].unionByName(found[1]).distinct(), f).select("id")
+
+
+HAVERSINE = "6371 * 2 * atan2(sqrt(a), sqrt(1 - a))"
+
+
+def _km(lat: str, lng: str) -> str:
+    a = f"pow(sin(radians(latitude - {lat}) / 2), 2) + cos(radians({lat})) * cos(radians(latitude)) * pow(sin(radians(longitude - {lng}) / 2), 2)"
+    return HAVERSINE.replace("(a)", f"({a})").replace("1 - a", f"1 - ({a})")
+
+
+@query(f"""with s as ({STORED}), d as (select id, surface, {_km('48.5', '2.5')} as km from s where latitude is not null and exists (select 1 from publications u where u.property_id = s.id and u.is_active))
+  select id, cast(floor(km * 1000 + 0.5) as bigint) as meters from d where km <= 45 / 60.0 * 50 order by coalesce(surface, 0) desc, km, id limit 40 offset 5""")
+def p02_p03_o02_geo_search(t):
+    f = search.SearchFilters(city="ignored", travel_minutes=45, sort="surface_desc", limit=40, offset=5)
+    found = search.search(_stored(t), t.publications, None, f, center=(48.5, 2.5))
+    return found.select("id", F.floor(F.col("distance_km") * 1000 + 0.5).cast("long").alias("meters"))
+
+
+@query("select count(*) as total from properties p where price >= 120000 and exists (select 1 from publications u where u.property_id = p.id and u.is_active)")
+def o04_total(t):
+    return search.total(search.matching(_stored(t), t.publications, None, search.SearchFilters(min_price=120000)))
+
+
+@query("select id, price from properties where id in (5, 17, 3, 999)")
+def s04_by_ids(t):
+    return search.by_ids(t.properties, [17, 3, 999, 5, 123456789]).select("id", "price")
+
+
+@query("select p.id, count(u.id) as n, sum(u.price) as total from properties p left join publications u on u.property_id = p.id group by p.id")
+def s01_j03_nested_publications(t):
+    nested = search.with_publications(t.properties, t.publications)
+    return nested.select("id", F.when(F.col("publications").isNull(), 0).otherwise(F.size("publications")).cast("long").alias("n"), F.aggregate("publications", F.lit(0).cast("long"), lambda s, x: s + x["price"]).alias("total"))
+
+
+@query("select count(*) as n from properties where latitude is not null and longitude is not null")
+def p15_mappable(t):
+    return search.mappable(t.properties).agg(F.count("*").alias("n"))
+
+
+@query("select event_id as id from events where event_id < 500 order by ts desc, event_id desc limit 21")
+def p14_o10_keyset_page(t):
+    log = t.events.select(F.col("event_id").alias("id"), F.col("ts").alias("created_at"))
+    return search.keyset_page(log, 20, 500).select("id")
+
+
+@query("select property_id as id from publications except select id from properties union all (select id from properties except select property_id from publications)")
+def j02_orphans(t):
+    return matching.without_publications(t.properties, t.publications).select("id")
+
+
+@query("select p.id, r.type from properties p join reactions r on r.property_id = p.id")
+def j04_j05_reacted(t):
+    return t.properties.join(t.reactions, F.col("id") == F.col("property_id")).select("id", "type")
+
+
+@query("select p.id from properties p join reactions r on r.property_id = p.id where r.type = 'like' order by r.event_id desc limit 200")
+def o08_reaction_page(t):
+    return reactions.listing_page(t.properties, t.reactions, "like").select("id")
+
+
+# ---------------------------------------------------------------- projection
+
+RANK = "case source when 'bienici' then 0 when 'seloger' then 1 when 'logicimmo' then 2 else 3 end"
+_FIRST = f"order by {RANK}, scraped_at desc, id"
+
+
+def _picked(names: tuple[str, ...]) -> str:
+    return ", ".join(f"first({n} {_FIRST}) as {n}" if n in projection.PRIMARY else f"first({n} {_FIRST}) filter ({n} is not null) as {n}" for n in names)
+
+
+PROJECTED = ("title", "price", "city", "surface", "land_surface", "rooms", "bedrooms", "is_new_property", "postal_code")
+
+
+@query(f"select property_id, {_picked(PROJECTED)} from publications where is_active group by property_id")
+def w01_w02_projection(t):
+    return projection.project(t.publications, PROJECTED)
+
+
+@query(f"""with live as (select distinct property_id from publications where is_active) select property_id, {_picked(('property_type', 'surface'))} from publications
+  where is_active or property_id not in (select property_id from live) group by property_id""")
+def p17_display_projection(t):
+    return projection.display(t.publications, ("property_type", "surface"))
+
+
+@query(f"""with n as (select property_id, {_picked(('title', 'price', 'surface', 'rooms'))} from publications where is_active group by property_id)
+  select p.id, case when n.property_id is null then p.title else n.title end as title, case when n.property_id is null then p.price else n.price end as price,
+  case when n.property_id is null then p.surface else n.surface end as surface, case when n.property_id is null then p.first_price > p.price else p.first_price > n.price end as has_price_drop
+  from properties p left join n on n.property_id = p.id""")
+def m08_m20_refresh(t):
+    return projection.refresh(_stored(t), t.publications).select("id", "title", "price", "surface", "has_price_drop")
+
+
+@query(f"""with h as (select property_id, {RANK} as r, scraped_at, id, trim(x) as x, i from publications, (values (1), (2)) k(i), lateral (select case i when 1 then highlight_a else highlight_b end as x) where is_active),
+  o as (select property_id, x, row_number() over (partition by property_id order by r, scraped_at desc, id, i) as n from h where x is not null and x <> ''), f as (select property_id, x, min(n) as n from o group by 1, 2)
+  select u.property_id, string_agg(f.x, ',' order by f.n) as highlights from (select distinct property_id from publications where is_active) u left join f on f.property_id = u.property_id group by 1""")
+def a29_merged_highlights(t):
+    return projection.highlights(_with_arrays(t.publications)).withColumn("highlights", F.array_join("highlights", ","))
+
+
+@query("select property_id, first(description order by length(description) desc, id) as description from publications where is_active and trim(description) <> '' group by 1")
+def a30_longest_description(t):
+    return projection.longest_description(t.publications)
+
+
+@query("select u.property_id, u.id, u.source, u.price, u.rooms from publications u join properties p on p.id = u.property_id where u.price is distinct from p.price or u.rooms is distinct from p.rooms")
+def p20_publication_deltas(t):
+    return projection.deltas(t.properties, t.publications, ("price", "rooms"))
+
+
+def _with_arrays(publications: DataFrame) -> DataFrame:
+    """Arrays and maps from the scalar columns of the derived table."""
+    pictures = F.array_compact(F.array("image_a", "image_b"))
+    look = F.transform(pictures, lambda u: F.substring(F.md5(u), 1, 16))
+    return publications.withColumn("image_urls", pictures).withColumn("highlights", F.array("highlight_a", "highlight_b")).withColumn("highlights", F.array_compact("highlights")).withColumn("image_local_hashes", F.map_from_arrays(pictures, F.transform(pictures, F.md5))).withColumn("image_perceptual_hashes", F.map_from_arrays(pictures, look))
+
+
+@query("""with u as (select property_id, source, id, url, i from publications, (values (1), (2)) k(i), lateral (select case i when 1 then image_a else image_b end as url) where is_active and url is not null),
+  o as (select property_id, regexp_replace(url, '[?#].*$', '') as k from u) select a.property_id, count(distinct k) as n from o a group by 1""")
+def w08_photo_sequence(t):
+    merged = projection.photos(_with_arrays(t.publications), most_bits=-1)
+    return merged.select("property_id", F.size("photos").cast("long").alias("n")).filter("n > 0")
+
+
+# ---------------------------------------------------------------- matching
+
+_CANON = "regexp_replace(trim(lower(coalesce({0}, ''))), '\\s+', ' ', 'g')"
+
+
+def _type_sql(c: str) -> str:
+    name = _CANON.format(c)
+    cases = " ".join(f"when '{k}' then '{v}'" for k, v in S.PROPERTY_TYPES.items())
+    return f"case {name} {cases} else case when {name} like 'maison%' or {name} like 'propriété%' or {name} like 'propriete%' then 'house' else {name} end end"
+
+
+@query(f"select id, {_type_sql('property_type')} as kind from publications")
+def f06_canonical_type(t):
+    return t.publications.select("id", S.canonical_type(F.col("property_type")).alias("kind"))
+
+
+_KEY = f"""substr(sha256(concat(coalesce(postal_code, ''), '|', cast(price as varchar), '|', coalesce(printf('%.1f', surface), ''), '|', coalesce(cast(rooms as varchar), ''), '|', coalesce(cast(bedrooms as varchar), ''), '|',
+  {_type_sql('property_type')}, '|', coalesce(printf('%.1f', land_surface), ''), '|', case when is_new_property then '1' when not is_new_property then '0' else '' end)), 1, 32)"""
+
+
+@query(f"select id, {_KEY} as property_key from publications")
+def f05_property_key(t):
+    return matching.keyed(t.publications).select("id", "property_key")
+
+
+@query(f"with k as (select id, {_KEY.replace('cast(price as varchar)', 'cast(price // 200000 as varchar)')} as property_key from publications) select property_key, count(*) as n, min(id) as canonical from k group by 1 having count(*) > 1")
+def a19_strict_groups(t):
+    return matching.strict_groups(t.publications.withColumn("price", F.expr("price div 200000")))
+
+
+def _score_sql(a: str, b: str) -> tuple[str, str]:
+    ta, tb = _type_sql(f"{a}.property_type"), _type_sql(f"{b}.property_type")
+    rel = lambda n: f"abs({a}.{n} - {b}.{n}) / cast(greatest({a}.{n}, {b}.{n}) as double)"
+    null = lambda n: f"{a}.{n} is null or {b}.{n} is null"
+    parts = {
+        "price": f"case when {rel('price')} <= 0.02 then 1.0 else 0.0 end",
+        "surface": f"case when {null('surface')} then 0.75 when abs({a}.surface - {b}.surface) <= 2 or {rel('surface')} <= 0.02 then 1.0 else 0.0 end",
+        "rooms": f"case when {null('rooms')} then 0.75 when abs({a}.rooms - {b}.rooms) <= 1 then 1.0 else 0.0 end",
+        "bedrooms": f"case when {null('bedrooms')} then 0.75 when abs({a}.bedrooms - {b}.bedrooms) <= 1 then 1.0 else 0.0 end",
+        "land_surface": f"case when {null('land_surface')} then 0.75 when {rel('land_surface')} <= 0.05 then 1.0 else 0.0 end",
+        "property_type": f"case when {ta} = '' or {tb} = '' then 0.75 when {ta} = {tb} then 1.0 else 0.0 end",
+    }
+    total = " + ".join(f"({p}) * cast({matching.WEIGHTS[n]} as double)" for n, p in parts.items())
+    veto = "coalesce(" + ", ".join(f"case when ({p}) = 0 then '{matching.VETOES[n]}' end" for n, p in parts.items()) + ")"
+    return total, veto
+
+
+_TOTAL, _VETO = _score_sql("a", "b")
+_SAMPLE = "select * from publications where is_active"
+
+
+@query(f"""with s as ({_SAMPLE}), p as (select a.id as a_id, b.id as b_id, {_TOTAL} as score, {_VETO} as veto from s a join s b on a.postal_code = b.postal_code and a.property_id = b.property_id and a.id < b.id)
+  select a_id, b_id, cast(floor(score * 1000000 + 0.5) as bigint) as score, veto from p""")
+def f07_t03_pair_scores(t):
+    rows = t.publications.filter("is_active")
+    score, veto = matching.pair_score()
+    pairs = matching.sided(rows, "a_", "id", "property_id").join(matching.sided(rows, "b_", "id", "property_id"), (F.col("a_postal_code") == F.col("b_postal_code")) & (F.col("a_property_id") == F.col("b_property_id")) & (F.col("a_id") < F.col("b_id")))
+    return _rounded(pairs.select("a_id", "b_id", score.alias("score"), veto.alias("veto")), "score")
+
+
+_PAIRS = f"""select distinct a.property_id as a_property_id, b.property_id as b_property_id from ({_SAMPLE}) a join ({_SAMPLE}) b on a.postal_code = b.postal_code and a.property_id < b.property_id and abs(a.price - b.price) <= 0.0200001 * greatest(a.price, b.price)
+  where ({_TOTAL}) >= cast(0.85 as double) and ({_VETO}) is null"""
+
+
+@query(_PAIRS)
+def j08_match_pairs(t):
+    return matching.match_pairs(t.publications.filter("is_active"))
+
+
+@query(f"""with recursive pairs as ({_PAIRS}), edges as (select a_property_id as a, b_property_id as b from pairs union select b_property_id, a_property_id from pairs),
+  reach(id, r) as (select a, a from edges union select reach.id, edges.b from reach join edges on edges.a = reach.r) select id, min(r) as "group" from reach group by id""")
+def u09_groups(t):
+    return matching.groups(matching.match_pairs(t.publications.filter("is_active")))
+
+
+@query("select source, external_id, max_by(price, id) as price, min(id) as pos from (select id, source, cast(property_id % 50 as varchar) as external_id, price from publications) group by 1, 2")
+def w05_t07_deduplicated(t):
+    rows = t.publications.select(F.col("id").alias("pos"), "source", (F.col("property_id") % 50).cast("string").alias("external_id"), "price")
+    return matching.deduplicated(rows).select("source", "external_id", "price", "pos")
+
+
+_NEW = "select id as pos, source, case when id % 3 = 0 then concat('x', external_id) else external_id end as external_id, case when id % 5 = 0 then concat(url, '?n') else url end as url, price + id % 2 as price, case when id % 4 = 0 then null else 'neu' end as description from publications where id % 7 < 4 and source <> 'leboncoin'"
+
+
+def _new_listings(t: Tables) -> DataFrame:
+    p = t.publications.filter("id % 7 < 4 and source <> 'leboncoin'")
+    return p.select(F.col("id").alias("pos"), "source", F.when(F.col("id") % 3 == 0, F.concat(F.lit("x"), "external_id")).otherwise(F.col("external_id")).alias("external_id"), F.when(F.col("id") % 5 == 0, F.concat("url", F.lit("?n"))).otherwise(F.col("url")).alias("url"), (F.col("price") + F.col("id") % 2).alias("price"), F.when(F.col("id") % 4 == 0, None).otherwise("neu").alias("description"))
+
+
+@query(f"with n as ({_NEW}) select n.pos, coalesce(k.id, u.id) as publication_id from n left join publications k on k.source = n.source and k.external_id = n.external_id left join publications u on u.url = n.url")
+def s05_j07_existing(t):
+    return matching.existing(_new_listings(t), t.publications).select("pos", "publication_id")
+
+
+@query(f"""with n as ({_NEW}), e as (select n.*, coalesce(k.id, u.id) as publication_id from n left join publications k on k.source = n.source and k.external_id = n.external_id left join publications u on u.url = n.url)
+  select p.id, case when e.pos is null then p.price else e.price end as price, case when e.pos is null then p.description else coalesce(e.description, p.description) end as description, p.is_active or e.pos is not null as is_active from publications p left join e on e.publication_id = p.id""")
+def m05_m07_updated(t):
+    met = matching.existing(_new_listings(t), t.publications).drop("pos")
+    return matching.updated(t.publications, met).select("id", "price", "description", "is_active")
+
+
+@query(f"""with n as ({_NEW}) select p.id, p.is_active and not (p.source in (select source from n) and not exists (select 1 from n where n.source = p.source and n.external_id = p.external_id) and not exists (select 1 from n where n.url = p.url)) as is_active from publications p""")
+def u04_m06_deactivated(t):
+    return matching.deactivated(t.publications, _new_listings(t)).select("id", "is_active")
+
+
+@query()
+def m01_t06_assign(t):
+    """New listings of half of the publications against the properties of the others; the order decides."""
+    rows = t.publications.withColumn("agency_slug", S.agency(F.col("external_id"))[0])
+    return matching.assign(rows.filter("id % 2 = 0").withColumnRenamed("id", "pos"), rows.filter("id % 2 = 1"))
+
+
+_MAP = "select id as duplicate, id - id % 3 as canonical from properties where id % 3 <> 0 and id < 900"
+
+
+def _mapping(t: Tables) -> DataFrame:
+    return t.properties.filter("id % 3 <> 0 and id < 900").select(F.col("id").alias("duplicate"), (F.col("id") - F.col("id") % 3).alias("canonical"))
+
+
+@query(f"""with m as ({_MAP}), low as (select canonical, min(first_price) as low from m join properties p on p.id = m.duplicate group by 1)
+  select p.id, case when low < first_price then low else first_price end as first_price, case when low < first_price then price < low else first_price > price end as has_price_drop from properties p left join low on canonical = p.id where p.id not in (select duplicate from m)""")
+def m09_merged_properties(t):
+    empty = t.reactions.select(F.col("event_id").alias("id"), "property_id", "type", F.lit(None).cast("timestamp").alias("archived_at"), F.col("event_id").alias("created_at"))
+    return matching.merge(_stored(t), t.publications, empty, _mapping(t))[0].select("id", "first_price", "has_price_drop")
+
+
+@query(f"with m as ({_MAP}) select coalesce(canonical, property_id) as property_id, count(*) as n from publications p left join m on m.duplicate = p.property_id group by 1")
+def m09_merged_publications(t):
+    empty = t.reactions.select(F.col("event_id").alias("id"), "property_id", "type", F.lit(None).cast("timestamp").alias("archived_at"), F.col("event_id").alias("created_at"))
+    return matching.merge(_stored(t), t.publications, empty, _mapping(t))[1].groupBy("property_id").agg(F.count("*").alias("n"))
+
+
+@query("select id from properties p where exists (select 1 from publications u where u.property_id = p.id)")
+def m13_purged(t):
+    return matching.purge_orphans(t.properties, t.publications).select("id")
+
+
+# ---------------------------------------------------------------- learning
+
+_TRAIN = "select p.* from properties p join reactions r on r.property_id = p.id where r.type = '{0}'"
+WEIGHTS = {"price": 40, "surface": 25, "rooms": 15, "dpe": 10, "distance": 10}
+
+
+def _training(t: Tables, kind: str) -> DataFrame:
+    own = t.reactions.withColumns({"archived_at": F.lit(None).cast("timestamp"), "created_at": F.col("event_id")})
+    return learning.training_rows(t.properties, own, kind)
+
+
+def _similar_sql(c: str) -> str:
+    if c == "dpe":
+        rank = lambda s: f"(case {s}.dpe_class when 'A' then 7 when 'B' then 6 when 'C' then 5 when 'D' then 4 when 'E' then 3 when 'F' then 2 when 'G' then 1 else 0 end)"
+        return f"1 - abs({rank('p')} - {rank('t')}) / cast(6 as double)"
+    if c == "distance":
+        a = "pow(sin(radians(t.latitude - p.latitude) / 2), 2) + cos(radians(p.latitude)) * cos(radians(t.latitude)) * pow(sin(radians(t.longitude - p.longitude) / 2), 2)"
+        km = HAVERSINE.replace("(a)", f"({a})").replace("1 - a", f"1 - ({a})")
+        return f"case when p.latitude is null or t.latitude is null then null else greatest(0, 1 - ({km}) / 25) end"
+    return f"case when p.{c} is null or t.{c} is null then null else 1 - least(1, abs(p.{c} - t.{c}) / cast(greatest(abs(p.{c}), abs(t.{c}), 1) as double)) end"
+
+
+def _scores_sql() -> str:
+    means = ", ".join(f"avg({_similar_sql(c)}) as m_{c}" for c in WEIGHTS)
+    maxes = ", ".join(f"max({_similar_sql(c)}) as d_{c}" for c in WEIGHTS)
+    one = lambda c: f"greatest(0, least(100, 100 * case when d_{c} is null then m_{c} else greatest(0, m_{c} - d_{c} * 0.5) end))"
+    gained = " + ".join(f"case when m_{c} is null then 0 else {one(c)} * {w} end" for c, w in WEIGHTS.items())
+    total = " + ".join(f"case when m_{c} is null then 0 else {w} end" for c, w in WEIGHTS.items())
+    return f"""likes as ({_TRAIN.format('like')}), dislikes as ({_TRAIN.format('dislike')}), a as (select p.id, {means} from properties p cross join likes t group by p.id), b as (select p.id, {maxes} from properties p cross join dislikes t group by p.id),
+      s as (select id, ({gained}) / cast(nullif({total}, 0) as double) as score from a left join b using (id))"""
+
+
+@query(f"with {_scores_sql()} select id, cast(floor(score * 10000 + 0.5) as bigint) as score from s")
+def l03_j10_scores(t):
+    scored = learning.score(t.properties, _training(t, "like"), _training(t, "dislike"), WEIGHTS)
+    return _rounded(scored.select("id", "score"), "score", digits=4)
+
+
+@query(f"with {_scores_sql()}, r as (select id, round(score, 9) as score from s) select id, row_number() over (order by coalesce(score, 0) desc, id) as rank, count(*) over () as rank_total from r")
+def w03_ranks(t):
+    scored = learning.score(t.properties, _training(t, "like"), _training(t, "dislike"), WEIGHTS)
+    return learning.rank_all(scored.withColumn("score", F.round("score", 9))).drop("score")
+
+
+@query(f"""with l as ({_TRAIN.format('like')}) select cast(floor(quantile_cont(price, 0.5) + 0.5) as bigint) as ideal_price, cast(floor(max(price) * cast(1.15 as double) + 0.5) as bigint) as max_price, cast(floor(min(surface) * cast(0.9 as double) * 1000 + 0.5) as bigint) as min_surface,
+  cast(floor(quantile_cont(surface, 0.5) * 1000 + 0.5) as bigint) as ideal_surface, min(rooms) as min_rooms, count(*) filter (not is_new_property) / cast(nullif(count(is_new_property), 0) as double) >= 0.7 as ancien_only from l""")
+def l01_preferences(t):
+    p = learning.preferences(_training(t, "like"))
+    return p.select(S.half_up(F.col("ideal_price")).alias("ideal_price"), S.half_up(F.col("max_price")).alias("max_price"), S.half_up(F.col("min_surface") * 1000).alias("min_surface"), S.half_up(F.col("ideal_surface") * 1000).alias("ideal_surface"), F.col("min_rooms").cast("int").alias("min_rooms"), "ancien_only")
+
+
+@query()
+def l02_weights(t):
+    weights = learning.learn_weights(_training(t, "like"), _training(t, "dislike"))
+    return t.spark.createDataFrame(list(weights.items()), "criterion string, weight double")
+
+
+@query()
+def l04_l05_calibrated_tiers(t):
+    likes, dislikes = _training(t, "like"), _training(t, "dislike")
+    limits = learning.calibrate(learning.leave_one_out(likes, likes, dislikes, WEIGHTS), learning.leave_one_out(dislikes, likes, dislikes, WEIGHTS))
+    scored = learning.score(t.properties, likes, dislikes, WEIGHTS).select("id", "score")
+    return scored.crossJoin(F.broadcast(limits)).select("id", learning.tier(F.col("score")).alias("tier"))
+
+
+@query(f"with l as ({_TRAIN.format('like')}), v as (select lower(trim(city)) as value, count(*) as n, min(id) as first_ from l where trim(city) <> '' group by 1) select value, n from v order by n desc, first_ limit 1")
+def a22_common_text(t):
+    return learning.common_text(_training(t, "like"), "city")
+
+
+@query(f"""with l as ({_TRAIN.format('like')}), c as (select avg(latitude) as clat, avg(longitude) as clng from l where latitude is not null and longitude is not null)
+  select cast(floor(greatest(max({_km('clat', 'clng')}), 1) * 1.3 * 1000 + 0.5) as bigint) as max_m from l cross join c where latitude is not null""")
+def a24_home_ground(t):
+    return learning.home_ground(_training(t, "like")).select(S.half_up(F.col("max_km") * 1000).alias("max_m"))
+
+
+@query(f"with {_scores_sql()} select id from s where score >= 40 order by score desc, id limit 25")
+def o11_backfill_candidates(t):
+    scored = learning.score(t.properties, _training(t, "like"), _training(t, "dislike"), WEIGHTS)
+    return learning.backfill_candidates(scored.select("id", "score"), 40, 25).select("id")
+
+
+@query("select id from properties p where not exists (select 1 from reactions r where r.property_id = p.id) and id % 10 <> 0 order by price, id limit 100")
+def o13_browse_pool(t):
+    return learning.browse_pool(t.properties, t.properties.filter("id % 10 = 0"), t.reactions).select("id")
+
+
+@query()
+def o12_pick(t):
+    rows = t.properties.select("id", (F.col("id") % 100).cast("double").alias("score"), F.when(F.col("id") % 4 == 0, "weak").otherwise("good").alias("tier"))
+    return learning.pick(rows, 3).unionByName(learning.pick(rows, 5))
+
+
+# ---------------------------------------------------------------- certificates, reactions, enrichment, text
+
+_HOMES = "select id, case when id % 2 = 0 then '75' else '76' end as department, dpe_class, case when id % 4 = 0 then null else ges_class end as ges_class, cast(id % 300 as double) as consumption, cast(null as double) as emission, latitude, longitude from properties"
+_POINTS = "(case when c.dpe_class = h.dpe_class then 30 else 0 end) + (case when c.ges_class = h.ges_class then 30 else 0 end) + coalesce(greatest(0, 50 * (1 - abs(h.consumption - c.consumption) / 2)), 0) + case when km <= 0.5 then 40 when km <= 2 then 25 when km <= 5 then 10 else 0 end"
+
+
+@query(f"""with h as ({_HOMES}), c as (select *, trim(regexp_replace(strip_accents(lower(address)), '[^a-z0-9]+', ' ', 'g')) as norm from certificates),
+  j as (select h.id as home_id, number_, norm, h.dpe_class as hd, h.ges_class as hg, h.consumption as hc, c.dpe_class as cd, c.ges_class as cg, c.consumption as cc, {_km('c.latitude', 'c.longitude').replace('radians(latitude', 'radians(h.latitude').replace('longitude -', 'h.longitude -')} as km
+    from h join c on h.department = c.department and h.dpe_class = c.dpe_class where (h.ges_class is null or h.ges_class = c.ges_class) and abs(h.consumption - c.consumption) <= 2),
+  s as (select home_id, number_, norm, (case when cd = hd then 30 else 0 end) + (case when cg = hg then 30 else 0 end) + greatest(0, 50 * (1 - abs(hc - cc) / 2)) + case when km <= 0.5 then 40 when km <= 2 then 25 when km <= 5 then 10 else 0 end as score from j),
+  o as (select home_id, number_, score from (select *, row_number() over (partition by home_id, norm order by score desc, number_) as n from s) where n = 1),
+  r as (select *, row_number() over (partition by home_id order by score desc, number_) as rank from o) select home_id, rank, number_, cast(floor(score * 1000 + 0.5) as bigint) as score from r where rank <= 5""")
+def j09_w06_certificate_ranks(t):
+    h = t.properties
+    homes = h.select("id", F.when(F.col("id") % 2 == 0, "75").otherwise("76").alias("department"), "dpe_class", F.when(F.col("id") % 4 == 0, None).otherwise(F.col("ges_class")).alias("ges_class"), (F.col("id") % 300).cast("double").alias("consumption"), F.lit(None).cast("double").alias("emission"), "latitude", "longitude")
+    return _rounded(certificates.rank(homes, t.certificates), "score", digits=3)
+
+
+@query("select number_ % 500 as number_, min_by(pos, coalesce(age, -1) * 1000000 + pos) as pos from (select number_, case when age % 9 = 0 then null else age end as age, number_ as pos from certificates) group by 1")
+def w07_t26_oldest_certificate(t):
+    rows = t.certificates.select((F.col("number_") % 500).alias("number_"), F.when(F.col("age") % 9 == 0, None).otherwise(F.col("age")).alias("dated"), F.col("number_").alias("pos"))
+    return certificates.deduplicate(rows).select("number_", "pos")
+
+
+@query("select count(*) as n, count(emission) as known from (select number_, emission from certificates where age < 45 union all select number_, null from certificates where age >= 45)")
+def u02_certificate_union(t):
+    both = certificates.union(t.certificates.filter("age < 45"), t.certificates.filter("age >= 45"))
+    return both.agg(F.count("*").alias("n"), F.count("emission").alias("known"))
+
+
+@query()
+def m14_reaction_state(t):
+    return reactions.current(t.reaction_log)
+
+
+@query("""select id, concat_ws(',', case when not (price > 150000) then null end, case when surface is not null and surface <= 0 then 'surface' end, case when latitude not between -90 and 48.9 then null end) as invalid from properties where false
+  union all select id, case when title = '' or title is null then 'title' else '' end from properties""")
+def p05_validated(t):
+    return enrichment.validated(t.properties.select("id", "title", "price", "surface", "land_surface", "rooms", "bedrooms", "latitude", "longitude", "city")).select("id", F.array_join("invalid", ",").alias("invalid"))
+
+
+@query("select property_id, first(rooms order by case source when 'seloger' then 0 when 'logicimmo' then 1 when 'leboncoin' then 2 else 3 end, id) filter (rooms is not null) as rooms, first(postal_code order by case source when 'seloger' then 0 when 'logicimmo' then 1 when 'leboncoin' then 2 else 3 end, id) filter (postal_code is not null) as postal_code from publications group by 1")
+def m16_merged_patches(t):
+    return enrichment.merged_patches(t.publications, ["rooms", "postal_code"])
+
+
+@query("select p_partkey as id, regexp_extract(concat('Bâti en ', cast(1750 + p_partkey % 300 as varchar), '.'), '\\b(18[89][0-9]|19[0-9]{2}|20[0-2][0-9])\\b', 1) as year from part")
+def f18_year_from_text(t):
+    said = F.concat(F.lit("Bâti en "), (F.col("p_partkey") % 300 + 1750).cast("string"), F.lit("."))
+    return t.part.select(F.col("p_partkey").alias("id"), F.coalesce(S.year_from_text(said).cast("string"), F.lit("")).alias("year"))
+
+
+@query("select id, strftime(scraped_at, '%Y-W%W') as week from publications")
+def f08_week_label(t):
+    return t.publications.select("id", S.week_label(F.col("scraped_at").cast("date")).alias("week"))
+
+
+@query("""select id, case when not regexp_matches(c, '^[0-9]{5}$') then null when c like '200%' or c like '201%' then '2A' when c like '20%' then '2B' when c like '97%' or c like '98%' then substr(c, 1, 3) else substr(c, 1, 2) end as department
+  from (select id, lpad(cast(id * 997 % 99999 as varchar), 5, '0') as c from properties)""")
+def f12_department(t):
+    return t.properties.select("id", S.department(F.lpad((F.col("id") * 997 % 99999).cast("string"), 5, "0")).alias("department"))
+
+
+@query("""select id, case when external_id like 'century-21-%' then 'century-21' when external_id like 'iad-france-%' then 'iad-france' when external_id like '%-%' then split_part(external_id, '-', 1) end as slug,
+  case when external_id like 'century-21-%' then substr(external_id, 12) when external_id like 'iad-france-%' then substr(external_id, 12) when external_id like '%-%' then split_part(external_id, '-', 2) end as ref from publications""")
+def f27_agency(t):
+    slug, ref = S.agency(F.col("external_id"))
+    return t.publications.select("id", slug.alias("slug"), ref.alias("ref"))
+
+
+@query("select s_suppkey as id, trim(regexp_replace(strip_accents(lower(concat('Île de Ré, 3 Rue d''Été n°', s_name))), '[^a-z0-9]+', ' ', 'g')) as norm from supplier")
+def f14_normalized_address(t):
+    return t.supplier.select(F.col("s_suppkey").alias("id"), S.normalize_address(F.concat(F.lit("Île de Ré, 3 Rue d'Été n°"), "s_name")).alias("norm"))
+
+
+@query("select id, regexp_replace(format('{:,}', price), ',', chr(8239), 'g') || chr(160) || '€' as label, case when price >= 1000000 then regexp_replace(printf('%.1f', price / 1e6), '\\.0$', '') || 'M' when price >= 1000 then cast(cast(floor(price / 1000.0 + 0.5) as bigint) as varchar) || 'k' else cast(price as varchar) end as short from properties")
+def f37_price_labels(t):
+    return t.properties.select("id", S.euros(F.col("price")).alias("label"), S.price_short(F.col("price")).alias("short"))
+
+
+@query("select a.vec_id as a, b.vec_id as b, bit_count(xor(a.h, b.h)) as bits from (select vec_id, cast(concat('0x', substr(md5(cast(vec_id % 100 as varchar)), 1, 8)) as bigint) as h from embeddings where vec_id < 150) a join (select vec_id, cast(concat('0x', substr(md5(cast(vec_id % 100 as varchar)), 1, 8)) as bigint) as h from embeddings where vec_id < 150) b on a.vec_id < b.vec_id where bit_count(xor(a.h, b.h)) <= 8")
+def j14_f31_hamming(t):
+    """Photo hashes within 8 bits, by bands: of nine parts of a hash one must be equal."""
+    rows = t.embeddings.filter("vec_id < 150").select("vec_id", F.substring(F.md5((F.col("vec_id") % 100).cast("string").cast("binary")), 1, 8).alias("h"))
+    return photo_pairs(rows, "vec_id", "h", 32)
+
+
+def photo_pairs(rows: DataFrame, id_: str, look: str, n_bits: int, most: int = 8) -> DataFrame:
+    bits = F.lpad(F.conv(look, 16, 2), n_bits, "0")
+    cuts = [round(k * n_bits / (most + 1)) for k in range(most + 2)]
+    bands = F.array(*(F.concat(F.lit(f"{k}:"), F.substring(bits, a + 1, b - a)) for k, (a, b) in enumerate(zip(cuts, cuts[1:]))))
+    each = rows.select(F.col(id_).alias("a"), F.col(look).alias("la"), F.explode(bands).alias("band"))
+    other = rows.select(F.col(id_).alias("b"), F.col(look).alias("lb"), F.explode(bands).alias("band"))
+    pairs = each.join(other, "band").filter("a < b").withColumn("bits", S.hex_hamming(F.col("la"), F.col("lb"))).filter(F.col("bits") <= most)
+    return pairs.select("a", "b", "bits").distinct()

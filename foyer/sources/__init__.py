@@ -1 +1 @@
-"""."""
+"""Readers of portal payloads, certificates and dimensions."""
