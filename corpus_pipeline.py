@@ -19,10 +19,11 @@ def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of each group of SimHash near-duplicates the document with the smallest doc_id."""
-    own = common.keyed(docs)
+    inner, named = common.shielded(docs, ("doc_id", "text"))
+    own = common.keyed(inner)
     groups = simhash.near_duplicates(own.select(F.col("_key").alias("doc_id"), "text"))
     kept = groups.filter("doc_id = component_id").select(F.col("doc_id").alias("_key"))
-    return own.join(kept, "_key", "left_semi").select(*docs.columns)
+    return named(own.join(kept, "_key", "left_semi")).select(*docs.columns)
 
 
 def repeat_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import tempfile
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator, Sequence
 
 import numpy as np
 import pyarrow as pa
@@ -120,10 +120,16 @@ def keyed(docs: DataFrame) -> DataFrame:
     return numbered.withColumnRenamed("row_no", "_key")
 
 
-def carried(df: DataFrame, *new: str) -> list[str]:
-    """Columns of df that an operator passes on: all but those with the names of new ones."""
-    taken = {c.lower() for c in new}
-    return [c for c in df.columns if c.lower() not in taken]
+def shielded(df: DataFrame, used: Sequence[str], new: Sequence[str] = ()) -> tuple[DataFrame, Callable[[DataFrame], DataFrame]]:
+    """df for an operator that reads ``used``, and a function that gives the other columns their names back.
+
+    Inside, the others have names that nothing of the operator's can clash with;
+    those with the names of ``new`` columns are replaced, so they go.
+    """
+    gone = {c.lower() for c in (*used, *new)}
+    inner = {c: f"_carried_{k}" for k, c in enumerate(df.columns) if c.lower() not in gone}
+    own = df.select(*used, *(F.col(f"`{c}`").alias(n) for c, n in inner.items()))
+    return own, lambda out: out.withColumnsRenamed({n: c for c, n in inner.items()})
 
 
 def mix64(x: np.ndarray) -> np.ndarray:

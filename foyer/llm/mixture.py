@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from foyer.llm.common import keyed, store
+from foyer.llm.common import keyed, shielded, store
 
 WORD = r"[^\x20\x09-\x0D]+"
 
@@ -77,8 +77,9 @@ def mixed_documents(docs: DataFrame, **kwargs) -> DataFrame:
 
     A document that the budget cuts keeps its first words, with the white space between them.
     """
-    own = keyed(docs)
+    inner, named = shielded(docs, ("doc_id", "source", "text"))
+    own = keyed(inner)
     plan = mix(own, carry=("_key",), **kwargs).filter("taken > 0").select("_key", F.col("size").alias("_size"), "taken")
     epochs = own.join(plan, "_key").withColumn("_left", F.explode(F.transform(F.sequence(F.lit(0), F.floor((F.col("taken") - 1) / F.col("_size"))), lambda k: F.col("taken") - k * F.col("_size"))))
     cut = F.expr(r"regexp_extract(text, concat('^(?:[\\x20\\x09-\\x0D]*[^\\x20\\x09-\\x0D]+){', cast(_left as string), '}'), 0)")
-    return epochs.withColumn("text", F.when(F.col("_left") >= F.col("_size"), F.col("text")).otherwise(cut)).select(*docs.columns)
+    return named(epochs.withColumn("text", F.when(F.col("_left") >= F.col("_size"), F.col("text")).otherwise(cut)).select(*inner.columns))

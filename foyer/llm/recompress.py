@@ -10,7 +10,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from foyer.llm.common import SpanHash, batch, by_bytes, mix64, carried, keyed, store, utf8
+from foyer.llm.common import SpanHash, batch, by_bytes, keyed, mix64, shielded, store, utf8
 
 #: Words of the repeats that are removed, and rounds of naming.
 WINDOW, ROUNDS = 13, 4
@@ -175,8 +175,9 @@ def remove_repeats(docs: DataFrame, window: int = WINDOW) -> DataFrame:
     remove each other's words.  Other columns are carried along; those with the names
     of new ones are replaced.
     """
+    docs, named = shielded(docs, ("doc_id", "text"), ("n_words", "n_removed"))
     own = keyed(docs).withColumn("_text", utf8("text"))
-    kept = carried(docs, "text", "n_words", "n_removed")
+    kept = [c for c in docs.columns if c != "text"]
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -194,4 +195,4 @@ def remove_repeats(docs: DataFrame, window: int = WINDOW) -> DataFrame:
             yield pa.RecordBatch.from_arrays([*(b.column(c) for c in kept), pa.array(text, pa.string()), pa.array(n_words, pa.int64()), pa.array(n_removed, pa.int64())], names=[*kept, "text", "n_words", "n_removed"])
 
     joined = own.join(repeats(own, window), "_key", "left").select(*kept, "_text", "at")
-    return joined.mapInArrow(cut, ", ".join([*(f"`{c}` {t}" for c, t in docs.dtypes if c in kept), "text string, n_words long, n_removed long"]))
+    return named(joined.mapInArrow(cut, ", ".join([*(f"{c} {t}" for c, t in docs.dtypes if c in kept), "text string, n_words long, n_removed long"])))

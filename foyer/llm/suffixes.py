@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from foyer.llm.common import SpanHash, batch, by_bytes, carried, keyed, mix64, store, utf8
+from foyer.llm.common import SpanHash, batch, by_bytes, keyed, mix64, shielded, store, utf8
 
 #: Bytes of the repeats that are removed; of the grams that choose suffixes; windows of a block around a suffix.
 LENGTH, GRAM, BLOCK = 400, 48, 100
@@ -161,8 +161,9 @@ def remove_repeats(docs: DataFrame, length: int = LENGTH, batches: int = BATCHES
     doc_id are rows of their own.  Other columns are carried along; those with the
     names of new ones are replaced.
     """
+    docs, named = shielded(docs, ("doc_id", "text"), ("kept", "n_bytes", "n_removed", "n_spans"))
     own = keyed(docs).withColumn("_text", utf8("text"))
-    names = carried(docs, "text", "kept", "n_bytes", "n_removed", "n_spans")
+    names = [c for c in docs.columns if c != "text"]
 
     def cut(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in it:
@@ -182,4 +183,4 @@ def remove_repeats(docs: DataFrame, length: int = LENGTH, batches: int = BATCHES
             yield pa.RecordBatch.from_arrays([*(b.column(c) for c in names), pa.array(kept_, pa.binary()), *(pa.array(c, pa.int64()) for c in counts)], names=[*names, "kept", "n_bytes", "n_removed", "n_spans"])
 
     joined = own.join(repeated_runs(own, length, batches), "_key", "left").select(*names, "_text", "runs")
-    return joined.mapInArrow(cut, ", ".join([*(f"`{c}` {t}" for c, t in docs.dtypes if c in names), "kept binary, n_bytes long, n_removed long, n_spans long"]))
+    return named(joined.mapInArrow(cut, ", ".join([*(f"{c} {t}" for c, t in docs.dtypes if c in names), "kept binary, n_bytes long, n_removed long, n_spans long"])))
