@@ -28,14 +28,9 @@ def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def repeat_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents without the 400-byte strings that stand more than once; characters that a cut splits go."""
-    found = suffixes.remove_repeats(docs)
-    text = F.when(F.col("n_removed") == 0, F.decode("kept", "UTF-8")).otherwise(whole_characters("kept"))
-    return found.withColumn("text", text).withColumn("n_chars", F.length("text").cast("long")).select(*docs.columns)
-
-
-@F.pandas_udf("string")
-def whole_characters(kept):
-    return kept.map(lambda b: bytes(b).decode("utf-8", "ignore"))
+    inner, named = common.shielded(docs, ("doc_id", "text", "n_chars"))
+    found = suffixes.remove_repeats(inner, as_text=True).withColumnRenamed("kept", "text")
+    return named(found.withColumn("n_chars", F.length("text").cast("long"))).select(*docs.columns)
 
 
 def source_mixture(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

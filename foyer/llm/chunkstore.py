@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from foyer.llm.common import batch, by_bytes, mix64, new_path, store
+from foyer.llm.common import batch, bound_batches, by_bytes, mix64, new_path, store
 from foyer.llm.tokens import SegmentEncoder
 
 #: Ids that the rolling hash covers, mean ids of a chunk, fewest and most.
@@ -69,6 +69,7 @@ def write_store(docs: DataFrame, tokenizer: str, end_id: int, path: str) -> None
     one copy of each chunk (with a partial step before it, so a chunk that a third
     of all documents share doesn't travel as often).
     """
+    bound_batches(docs.sparkSession)
     schema = pa.schema([("kind", pa.string()), ("key", pa.binary()), ("doc_id", pa.int64()), ("n", pa.int64()), ("width", pa.int32()), ("ids", pa.binary()), ("chunks", pa.list_(pa.binary())), ("lengths", pa.list_(pa.int32()))])
     end = end_id.to_bytes(4, "little")
 

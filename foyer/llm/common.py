@@ -14,6 +14,8 @@ from pyspark.sql import functions as F
 
 #: Bytes of text that one step of a Python task holds as arrays.
 BATCH_BYTES = 2 << 20
+#: Rows of an Arrow batch.
+BATCH_ROWS = 1000
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -52,6 +54,13 @@ def store(df: DataFrame, name: str, path: str | None = None) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def bound_batches(spark: SparkSession) -> None:
+    """Python tasks of this session get at most BATCH_ROWS rows at a time: texts are long, and an Arrow batch is held several times."""
+    setting = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if not 0 < int(spark.conf.get(setting)) <= BATCH_ROWS:
+        spark.conf.set(setting, BATCH_ROWS)
+
+
 def by_bytes(rows: list, size, limit: int = BATCH_BYTES) -> Iterator[list]:
     """Consecutive runs of rows of about limit bytes; a larger row stands alone."""
     part, held = [], 0

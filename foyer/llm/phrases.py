@@ -11,7 +11,7 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from foyer.llm.common import SpanHash, by_bytes, mix64
+from foyer.llm.common import SpanHash, bound_batches, by_bytes, mix64
 
 #: Levels of phrases, slots of a fingerprint, bytes of text in one step.
 LEVELS, SLOTS, STEP = 3, 64, 1 << 19
@@ -110,6 +110,7 @@ def compare_with_next(docs: DataFrame, partitions: int | None = None) -> DataFra
     texts move once, compressed, and no task needs another's rows.
     """
     spark = docs.sparkSession
+    bound_batches(spark)
     ranges = 4 * (partitions or int(spark.conf.get("spark.sql.shuffle.partitions")))
     cuts = sorted({int(x) for x in docs.approxQuantile("doc_id", [k / ranges for k in range(1, ranges)], 0.2 / ranges)})
     bounds = F.array(*map(F.lit, cuts)).cast("array<long>")

@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from foyer.llm.common import fresh, utf8
+from foyer.llm.common import bound_batches, utf8
 
 #: Documents of the sample on which costs and selectivities are estimated, at most.
 SAMPLE = 1500
@@ -149,15 +149,15 @@ def cascade(docs: DataFrame, rules: Sequence[Rule] = BASE + MORE, report: Sequen
     ordered = [by_name[name] for name, _, _ in estimate(docs, rules, sample)]
     kinds = {"kept": "boolean", "rejected_by": "string", "n_evaluated": "int"} | dict.fromkeys(report, "long")
     kept_columns = [c for c in docs.columns if c.lower() not in kinds]
-    (text_,) = fresh(docs, "text_utf8")
-    source = docs.select(*kept_columns, utf8("text").alias(text_))
+    source = docs.select(*kept_columns)
+    bound_batches(docs.sparkSession)
     types = {"boolean": pa.bool_(), "string": pa.string(), "int": pa.int32(), "long": pa.int64()}
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             found: dict[str, list] = {k: [] for k in kinds}
-            for text in b.column(text_).to_pylist():
-                f, by, n = Features(text), None, 0
+            for text in b.column("text").cast(pa.binary()).to_pylist():
+                f, by, n = Features(text or b""), None, 0
                 for rule in ordered:
                     n += 1
                     if rule.rejects(f):
@@ -165,10 +165,10 @@ def cascade(docs: DataFrame, rules: Sequence[Rule] = BASE + MORE, report: Sequen
                         break
                 for k, v in (("kept", by is None), ("rejected_by", by), ("n_evaluated", n), *((k, getattr(f, k)) for k in report)):
                     found[k].append(v)
-            names = [c for c in b.schema.names if c != text_]
-            yield pa.RecordBatch.from_arrays([*(b.column(c) for c in names), *(pa.array(v, types[kinds[k]]) for k, v in found.items())], names=[*names, *kinds])
+            names = b.schema.names
+            yield pa.RecordBatch.from_arrays([*b.columns, *(pa.array(v, types[kinds[k]]) for k, v in found.items())], names=[*names, *kinds])
 
-    schema = ", ".join(f"`{c}` {t}" for c, t in [*((c, t) for c, t in source.dtypes if c != text_), *kinds.items()])
+    schema = ", ".join(f"`{c}` {t}" for c, t in [*source.dtypes, *kinds.items()])
     return source.mapInArrow(run, schema)
 
 

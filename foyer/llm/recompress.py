@@ -10,7 +10,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from foyer.llm.common import SpanHash, batch, by_bytes, keyed, mix64, shielded, store, utf8
+from foyer.llm.common import SpanHash, batch, bound_batches, by_bytes, keyed, mix64, shielded, store, utf8
 
 #: Words of the repeats that are removed, and rounds of naming.
 WINDOW, ROUNDS = 13, 4
@@ -175,6 +175,7 @@ def remove_repeats(docs: DataFrame, window: int = WINDOW) -> DataFrame:
     remove each other's words.  Other columns are carried along; those with the names
     of new ones are replaced.
     """
+    bound_batches(docs.sparkSession)
     docs, named = shielded(docs, ("doc_id", "text"), ("n_words", "n_removed"))
     own = keyed(docs).withColumn("_text", utf8("text"))
     kept = [c for c in docs.columns if c != "text"]

@@ -10,7 +10,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from foyer.llm.common import batch, store, utf8
+from foyer.llm.common import batch, bound_batches, store, utf8
 from foyer.llm.components import components
 
 #: Bits of the fingerprint and words of a shingle.
@@ -40,6 +40,7 @@ def simhash(text: bytes, shingle: int = SHINGLE, seed: int = 42) -> int:
 
 def fingerprints(docs: DataFrame, shingle: int = SHINGLE) -> DataFrame:
     """docs(doc_id, text) as doc_id, fp (the 64 bits as a signed long)."""
+    bound_batches(docs.sparkSession)
     schema = pa.schema([("doc_id", pa.int64()), ("fp", pa.int64())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -9,14 +9,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from foyer.llm.common import SpanHash, batch, by_bytes, keyed, mix64, shielded, store, utf8
+from foyer.llm.common import SpanHash, batch, bound_batches, by_bytes, keyed, mix64, shielded, store, utf8
 
 #: Bytes of the repeats that are removed; of the grams that choose suffixes; windows of a block around a suffix.
 LENGTH, GRAM, BLOCK = 400, 48, 100
 #: Batches in which a corpus enters the family.
 BATCHES = 4
 #: Bytes of text in one step of a task; windows of a longer text come in parts that overlap.
-_STEP, _LONG = 1 << 20, 1 << 22
+_STEP, _LONG = 1 << 18, 1 << 19
 
 
 def sliding_least(values: np.ndarray, width: int) -> np.ndarray:
@@ -139,9 +139,12 @@ def repeated_runs(docs: DataFrame, length: int = LENGTH, batches: int = BATCHES)
             for rows in by_bytes(list(zip(*(c.to_pylist() for c in b.columns))), lambda r: len(r[1]), _STEP):
                 out = []
                 for key, text, blocks in rows:
-                    own = SpanHash(np.frombuffer(text, "u1").astype("uint64") + np.uint64(1))
-                    at = np.unique(np.concatenate([np.arange(x["p0"], x["p1"] + 1) for x in blocks]))
-                    out.append((np.full(len(at), key), at, own(at, at + length).view("int64")))
+                    every_ = np.unique(np.concatenate([np.arange(x["p0"], x["p1"] + 1) for x in blocks]))
+                    for base in range(0, len(text), _LONG):  # a span's hash is the same in whichever part it is taken
+                        at = every_[slice(*np.searchsorted(every_, [base, base + _LONG]))]
+                        if len(at):
+                            own = SpanHash(np.frombuffer(text, "u1")[base : base + _LONG + length].astype("uint64") + np.uint64(1))
+                            out.append((np.full(len(at), key), at, own(at - base, at - base + length).view("int64")))
                 yield batch(window_rows, *(np.concatenate(c) for c in zip(*out)))
 
     each = store(texts.join(asked, "_key").mapInArrow(windows, "_key long, at int, window long"), "windows")
@@ -151,16 +154,18 @@ def repeated_runs(docs: DataFrame, length: int = LENGTH, batches: int = BATCHES)
     return store(known.unionByName(single).groupBy("_key").agg(F.sort_array(F.collect_list("run")).alias("runs")), "runs")
 
 
-def remove_repeats(docs: DataFrame, length: int = LENGTH, batches: int = BATCHES) -> DataFrame:
+def remove_repeats(docs: DataFrame, length: int = LENGTH, batches: int = BATCHES, as_text: bool = False) -> DataFrame:
     """docs(doc_id, text, ...) with kept (bytes), n_bytes, n_removed, n_spans instead of text.
 
     A byte of the UTF-8 text goes if a string of ``length`` bytes that covers it also
     starts anywhere else, in another row or the same; strings are judged on the
     input and never cross rows.  So no copy of a repeat stays.  n_spans counts the
-    maximal removed runs.  Null text counts as empty.  Rows with equal or null
+    maximal removed runs.  With as_text, kept is a string; characters of which a cut
+    leaves a part go.  Null text counts as empty.  Rows with equal or null
     doc_id are rows of their own.  Other columns are carried along; those with the
     names of new ones are replaced.
     """
+    bound_batches(docs.sparkSession)
     docs, named = shielded(docs, ("doc_id", "text"), ("kept", "n_bytes", "n_removed", "n_spans"))
     own = keyed(docs).withColumn("_text", utf8("text"))
     names = [c for c in docs.columns if c != "text"]
@@ -180,7 +185,7 @@ def remove_repeats(docs: DataFrame, length: int = LENGTH, batches: int = BATCHES
                 kept = b"".join(text[i:j] for i, j in zip(edges[::2], edges[1::2])) if spans else text
                 out.append((kept, len(text), len(text) - len(kept), len(spans)))
             kept_, *counts = zip(*out) if out else ((), (), (), ())
-            yield pa.RecordBatch.from_arrays([*(b.column(c) for c in names), pa.array(kept_, pa.binary()), *(pa.array(c, pa.int64()) for c in counts)], names=[*names, "kept", "n_bytes", "n_removed", "n_spans"])
+            yield pa.RecordBatch.from_arrays([*(b.column(c) for c in names), pa.array([k.decode("utf-8", "ignore") for k in kept_], pa.string()) if as_text else pa.array(kept_, pa.binary()), *(pa.array(c, pa.int64()) for c in counts)], names=[*names, "kept", "n_bytes", "n_removed", "n_spans"])
 
     joined = own.join(repeated_runs(own, length, batches), "_key", "left").select(*names, "_text", "runs")
-    return named(joined.mapInArrow(cut, ", ".join([*(f"{c} {t}" for c, t in docs.dtypes if c in names), "kept binary, n_bytes long, n_removed long, n_spans long"])))
+    return named(joined.mapInArrow(cut, ", ".join([*(f"{c} {t}" for c, t in docs.dtypes if c in names), f"kept {'string' if as_text else 'binary'}, n_bytes long, n_removed long, n_spans long"])))
