@@ -33,7 +33,7 @@ def similarity(criterion: str, a, b) -> Column:
     """0 to 1, null if a side is unknown; a and b give a side's column by name."""
     if criterion in NUMERIC:
         x, y = a(criterion).cast("double"), b(criterion).cast("double")
-        return 1 - F.least(F.lit(1.0), F.abs(x - y) / F.greatest(F.abs(x), F.abs(y), F.lit(1.0)))
+        return F.when(x.isNotNull() & y.isNotNull(), 1 - F.least(F.lit(1.0), F.abs(x - y) / F.greatest(F.abs(x), F.abs(y), F.lit(1.0))))
     if criterion == "highlights":
         return highlight_overlap(a("highlights"), b("highlights"))
     if criterion == "condition":
@@ -48,7 +48,7 @@ def similarity(criterion: str, a, b) -> Column:
         x, y = a("is_new_property"), b("is_new_property")
         return F.when(x == y, 1.0).when(x != y, 0.0)
     km = haversine_km(a("latitude"), a("longitude"), b("latitude"), b("longitude"))
-    return F.greatest(F.lit(0.0), 1 - km / 25)
+    return F.when(km.isNotNull(), F.greatest(F.lit(0.0), 1 - km / 25))  # greatest() passes over null
 
 
 def needed(criteria) -> tuple[str, ...]:
@@ -80,7 +80,7 @@ def score(properties: DataFrame, likes: DataFrame, dislikes: DataFrame, weights:
         out = out.withColumn(f"_m_{c}", mean).withColumn(f"_d_{c}", F.when(F.size(disliked) > 0, F.array_max(disliked)))
     for c in active:
         blended = F.when(F.col(f"_d_{c}").isNull(), F.col(f"_m_{c}")).otherwise(F.greatest(F.lit(0.0), F.col(f"_m_{c}") - F.col(f"_d_{c}") * DISLIKE_BLEND))
-        out = out.withColumn(f"c_{c}", F.greatest(F.lit(0.0), F.least(F.lit(100.0), blended * 100)))
+        out = out.withColumn(f"c_{c}", F.when(F.col(f"_m_{c}").isNotNull(), F.greatest(F.lit(0.0), F.least(F.lit(100.0), blended * 100))))
     zero = F.lit(0.0)
     total = sum((F.when(F.col(f"c_{c}").isNotNull(), F.lit(float(weights[c]))).otherwise(zero) for c in active), zero)
     gained = sum((F.coalesce(F.col(f"c_{c}") * float(weights[c]), zero) for c in active), zero)
@@ -100,6 +100,7 @@ def leave_one_out(training: DataFrame, likes: DataFrame, dislikes: DataFrame, we
 
     both = side(likes, "mean").join(side(dislikes, "max"), "id", "left")
     zero = F.lit(0.0)
+    # where the mean is unknown, greatest() passes over it, and known leaves the criterion out
     one = {c: F.greatest(zero, F.least(F.lit(100.0), 100 * F.when(F.col(f"max_{c}").isNull(), F.col(f"mean_{c}")).otherwise(F.greatest(zero, F.col(f"mean_{c}") - F.col(f"max_{c}") * DISLIKE_BLEND)))) for c in active}
     known = {c: F.col(f"mean_{c}").isNotNull() for c in active}
     gained = sum((F.when(known[c], one[c] * float(weights[c])).otherwise(zero) for c in active), zero)

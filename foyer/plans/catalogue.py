@@ -271,7 +271,7 @@ def _with_arrays(publications: DataFrame) -> DataFrame:
     return publications.withColumn("image_urls", pictures).withColumn("highlights", F.array("highlight_a", "highlight_b")).withColumn("highlights", F.array_compact("highlights")).withColumn("image_local_hashes", F.map_from_arrays(pictures, F.transform(pictures, F.md5))).withColumn("image_perceptual_hashes", F.map_from_arrays(pictures, look))
 
 
-@query("""with u as (select property_id, source, id, url, i from publications, (values (1), (2)) k(i), lateral (select case i when 1 then image_a else image_b end as url) where is_active and url is not null),
+@query("""with u as (select property_id, source, id, x.url, i from publications, (values (1), (2)) k(i), lateral (select case i when 1 then image_a else image_b end as url) x where is_active and x.url is not null),
   o as (select property_id, regexp_replace(url, '[?#].*$', '') as k from u) select a.property_id, count(distinct k) as n from o a group by 1""")
 def w08_photo_sequence(t):
     merged = projection.photos(_with_arrays(t.publications), most_bits=-1)
