@@ -141,7 +141,7 @@ def repeats(docs: DataFrame, window: int = WINDOW) -> DataFrame:
                 yield batch(phrase_rows, keys[which, 0], keys[which, 1], p0 - first[p0], p1 - first[p0], found.view("int64"))
 
     texts = docs.select("_key", "_order", "_text")
-    named = texts.mapInArrow(name, "_key long, _order long, p0 int, p1 int, name long")
+    named = store(texts.mapInArrow(name, "_key long, _order long, p0 int, p1 int, name long"), "phrases")
     # a phrase that only one rank has can't be part of a repeat
     shared = store(named.groupBy("name").agg(F.min("_order").alias("least"), F.max("_order").alias("most")).filter("least < most").select(F.col("name").alias("_name")), "shared")
     found = named.join(shared, F.col("name") == F.col("_name")).groupBy("_key").agg(F.collect_list(F.struct("p0", "p1")).alias("blocks"))
@@ -150,11 +150,14 @@ def repeats(docs: DataFrame, window: int = WINDOW) -> DataFrame:
     def windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         names = Names()
         for b in batches:
-            for rows in by_bytes(list(zip(*(c.to_pylist() for c in b.columns))), lambda r: len(r[2])):
+            blocks = b.column("blocks")
+            ends, (p0, p1) = blocks.offsets.to_numpy(), (blocks.values.field(c).to_numpy() for c in ("p0", "p1"))
+            for rows in by_bytes(list(zip(*(b.column(c).to_pylist() for c in ("_key", "_order", "_text")), ends, ends[1:])), lambda r: len(r[2])):
                 out = []
-                for key, order, text, blocks in rows:
+                for key, order, text, i, j in rows:
                     words, _ = word_names([text], names)
-                    at = np.unique(np.concatenate([np.arange(x["p0"], x["p1"] + 1) for x in blocks]))
+                    n = p1[i:j] - p0[i:j] + 1  # the blocks of a document don't overlap
+                    at = np.repeat(p0[i:j] - np.cumsum(n) + n, n) + np.arange(n.sum())
                     out.append((np.full(len(at), key), np.full(len(at), order), at, SpanHash(words)(at, at + window).view("int64")))
                 yield batch(window_rows, *(np.concatenate(c) for c in zip(*out)))
 
