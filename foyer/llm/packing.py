@@ -5,12 +5,14 @@ sequence are cut.  Pieces are dealt to groups of bounded size by a hash; one tas
 packs one group: best fit by decreasing length, then a local search among the
 underfull bins that exchanges one piece for one, two for one, or moves a piece,
 whenever that raises the sum of squared fills, until bins empty.  Bins that stay
-underfull are dissolved and packed again with those of other groups, in rounds
-that each handle far fewer pieces, until one group is left.
+underfull are dissolved and packed again with those of other groups, in rounds of
+fewer pieces, until one group is left or a round hardly leaves fewer; the bins of
+the last round stay, whatever they hold.
 """
 
 from __future__ import annotations
 
+import itertools
 import zlib
 from bisect import bisect_left, bisect_right, insort
 from collections.abc import Iterator
@@ -29,6 +31,8 @@ CAPACITY = 2048
 GROUP_PIECES = 40_000
 #: Bins filled below this share are dissolved and packed again with other groups' bins.
 FULL = 0.995
+#: A round that leaves more than this share of its pieces in underfull bins is the last.
+SHRUNK = 0.9
 #: Underfull bins that one local search looks at, the emptiest first.
 SEARCHED = 400
 
@@ -172,8 +176,8 @@ def pack(pieces: DataFrame, capacity: int = CAPACITY, group_pieces: int = GROUP_
     columns = [c for c in todo.columns if c != n_]
     slim = todo.select(n_, "length")
     done: list[DataFrame] = []
-    for level in range(20):
-        count = slim.count()
+    count = slim.count()
+    for level in itertools.count():
         groups = max(1, round(count / group_pieces))
 
         def fit(pdf: pd.DataFrame) -> pd.DataFrame:
@@ -185,13 +189,13 @@ def pack(pieces: DataFrame, capacity: int = CAPACITY, group_pieces: int = GROUP_
             slim.withColumn(group_, F.pmod(F.xxhash64(n_, F.lit(level)), F.lit(groups)).cast("int")).groupBy(group_).applyInPandas(fit, f"{n_} long, length long, {bin_} long, {at_} long, {left_} long"),
             "packed",
         )
-        if groups == 1:
+        full = F.col(left_) <= int(capacity * (1 - FULL))
+        before, count = count, packed.filter(~full).count()
+        if groups == 1 or count > SHRUNK * before:
             done.append(packed)
             break
-        full = F.col(left_) <= int(capacity * (1 - FULL))
         done.append(packed.filter(full))
         slim = packed.filter(~full).select(n_, "length")
-        group_pieces = max(group_pieces, count // 16)  # rounds end: each has fewer groups
     placed = done[0]
     for more in done[1:]:
         placed = placed.unionByName(more)

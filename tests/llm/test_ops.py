@@ -57,6 +57,17 @@ def test_op1(spark, table):
     assert len(bins) <= -(-total // 2048) + max(1, len(bins) // 100)
 
 
+def test_pack_keeps_pieces_that_fill_no_bin(spark):
+    sizes = [1030] * 300 + [1025 + k for k in range(100)] + [2048, 700]
+    pieces = spark.createDataFrame([(k, n) for k, n in enumerate(sizes)], "doc_id long, length int")
+    found = packing.pack(pieces, group_pieces=20).collect()
+    assert sorted(x.doc_id for x in found) == list(range(len(sizes)))
+    bins = defaultdict(list)
+    for x in found:
+        bins[x.sequence_id].append((x.offset, x.length))
+    assert all(sum(n for _, n in own) <= 2048 and len({at for at, _ in own}) == len(own) for own in bins.values())
+
+
 def test_op2(spark, table):
     folder, rows = table
     found = {x.doc_id: (x.start, x.n_tokens, x.ids_crc32) for x in queries.op2_chunk_store(spark, folder).collect()}
