@@ -81,5 +81,7 @@ def mixed_documents(docs: DataFrame, **kwargs) -> DataFrame:
     own = keyed(inner)
     plan = mix(own, carry=("_key",), **kwargs).filter("taken > 0").select("_key", F.col("size").alias("_size"), "taken")
     epochs = own.join(plan, "_key").withColumn("_left", F.explode(F.transform(F.sequence(F.lit(0), F.floor((F.col("taken") - 1) / F.col("_size"))), lambda k: F.col("taken") - k * F.col("_size"))))
-    cut = F.expr(r"regexp_extract(text, concat('^(?:[\\x20\\x09-\\x0D]*[^\\x20\\x09-\\x0D]+){', cast(_left as string), '}'), 0)")
+    # each word with the white space before it; no counted group, which Java matches by recursion
+    words = F.regexp_extract_all("text", F.lit(r"[\x20\x09-\x0D]*[^\x20\x09-\x0D]+"), F.lit(0))
+    cut = F.array_join(F.slice(words, F.lit(1), F.col("_left").cast("int")), "")
     return named(epochs.withColumn("text", F.when(F.col("_left") >= F.col("_size"), F.col("text")).otherwise(cut)).select(*inner.columns))

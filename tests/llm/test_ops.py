@@ -68,6 +68,13 @@ def test_pack_keeps_pieces_that_fill_no_bin(spark):
     assert all(sum(n for _, n in own) <= 2048 and len({at for at, _ in own}) == len(own) for own in bins.values())
 
 
+def test_mixture_cuts_long_documents(spark):
+    text = "".join(f"{'  ' if k % 7 == 0 else ' '}w{k}" for k in range(60_000)) + "\n"
+    found = mixture.mixed_documents(spark.createDataFrame([(1, text, "fr", "web", len(text))], DOCS)).collect()
+    half = text[: text.index(" w30000")].rstrip()
+    assert sorted((x.text for x in found), key=len) == [half, text]
+
+
 def test_op2(spark, table):
     folder, rows = table
     found = {x.doc_id: (x.start, x.n_tokens, x.ids_crc32) for x in queries.op2_chunk_store(spark, folder).collect()}
