@@ -33,7 +33,7 @@ GROUP_PIECES = 40_000
 FULL = 0.995
 #: A round that leaves more than this share of its pieces in underfull bins is the last.
 SHRUNK = 0.9
-#: Underfull bins that one local search looks at, the emptiest first.
+#: Underfull bins that are searched together; all are, in blocks ordered by room.
 SEARCHED = 400
 
 PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long"
@@ -93,14 +93,37 @@ def best_fit(sizes: list[int], capacity: int) -> tuple[list[list[int]], list[int
     return bins, room
 
 
+def blocks(bins: list[list[int]], room: list[int], searched: int) -> list[list[int]]:
+    """All underfull bins in blocks, the emptiest first."""
+    under = sorted((k for k in range(len(bins)) if bins[k] and room[k]), key=lambda k: -room[k])
+    return [under[at : at + searched] for at in range(0, len(under), searched)]
+
+
 def local_search(bins: list[list[int]], room: list[int], sizes: list[int], searched: int = SEARCHED) -> None:
-    """Raises the sum of squared fills of underfull bins until no exchange does; bins may become empty.
+    """Searches all underfull bins block by block, until that raises the sum of squared fills no more."""
+    settled: set[tuple] = set()
+    state = lambda own: tuple(tuple(bins[k]) for k in own)
+    squares = lambda own: sum(sum(sizes[i] for i in bins[k]) ** 2 for k in own)
+    gain = 1
+    while gain > 0:
+        gain = 0
+        for own in blocks(bins, room, searched):
+            if (was := state(own)) in settled:
+                continue
+            before = squares(own)
+            search_block(bins, room, sizes, own)
+            gain += squares(own) - before
+            if state(own) == was:
+                settled.add(was)
+
+
+def search_block(bins: list[list[int]], room: list[int], sizes: list[int], under: list[int]) -> None:
+    """Raises the fills of these underfull bins until no exchange among them does; bins may become empty.
 
     A step takes an underfull bin A and a bin B that is no fuller, and puts a piece of B
     into A (move), or exchanges a piece of A for a larger one of B (one for one), or
     one of A for two of B that are longer together (two for one), if A has room.
     """
-    under = sorted((k for k in range(len(bins)) if room[k]), key=lambda k: -room[k])[:searched]
     by_size: list[tuple[int, int, int]] = sorted((sizes[i], k, i) for k in under for i in bins[k])
 
     def put(i: int, a: int, b: int) -> None:
@@ -150,15 +173,18 @@ def pack_group(sizes: list[int], capacity: int) -> tuple[np.ndarray, np.ndarray,
     """For each piece: its bin, its offset there, and the room that the bin keeps."""
     bins, room = best_fit(sizes, capacity)
     local_search(bins, room, sizes)
-    worst = {k for k in sorted((k for k in range(len(bins)) if bins[k] and room[k]), key=lambda k: -room[k])[:SEARCHED]}
-    left = [i for k in worst for i in bins[k]]
-    again, more = best_fit([sizes[i] for i in left], capacity)
-    if len(again) < len(worst):
-        kept = [k for k in range(len(bins)) if k not in worst]
-        bins, room = [bins[k] for k in kept] + [[left[j] for j in b] for b in again], [room[k] for k in kept] + more
+    kept: set[int] = set(range(len(bins)))
+    for worst in blocks(bins, room, SEARCHED):
+        left = [i for k in worst for i in bins[k]]
+        again, more = best_fit([sizes[i] for i in left], capacity)
+        if len(again) < len(worst):
+            kept.difference_update(worst)
+            kept.update(range(len(bins), len(bins) + len(again)))
+            bins += [[left[j] for j in b] for b in again]
+            room += more
     found = np.zeros((3, len(sizes)), "int64")
-    for k, own in enumerate(bins):
-        at = 0
+    for k in sorted(kept):
+        own, at = bins[k], 0
         for i in own:
             found[:, i] = k, at, room[k]
             at += sizes[i]

@@ -68,6 +68,19 @@ def test_pack_keeps_pieces_that_fill_no_bin(spark):
     assert all(sum(n for _, n in own) <= 2048 and len({at for at, _ in own}) == len(own) for own in bins.values())
 
 
+def test_packing_searches_all_underfull_bins():
+    r = random.Random(5)
+    sizes = [r.randint(500, 1100) for _ in range(4000)]
+    bins, at, room = packing.pack_group(sizes, 2048)
+    fills = defaultdict(int)
+    for k, a, n in sorted(zip(bins, at, sizes)):
+        assert fills[k] == a
+        fills[k] += n
+    assert all(fills[k] == 2048 - left for k, left in zip(bins, room))
+    plain = len(packing.best_fit(sizes, 2048)[0])
+    assert len(fills) <= 0.975 * plain  # 0.986 if only the 400 emptiest take part
+
+
 def test_mixture_cuts_long_documents(spark):
     text = "".join(f"{'  ' if k % 7 == 0 else ' '}w{k}" for k in range(60_000)) + "\n"
     found = mixture.mixed_documents(spark.createDataFrame([(1, text, "fr", "web", len(text))], DOCS)).collect()
