@@ -2,7 +2,7 @@
 
 A byte-level BPE never joins pieces across a plain space or a lone line break,
 so a text's ids are the ids of its segments in order.  Segments recur; each
-task keeps the ids of those it has met (up to MEMO of them) and asks the library
+worker keeps the ids of those it has met (up to MEMO of them) and asks the library
 only for the others.  Segments or texts outside the plain alphabet below
 go to the library as they are.
 """
@@ -16,14 +16,14 @@ from functools import lru_cache
 
 import regex
 
-#: Segments whose ids a task keeps; later ones are encoded again when they recur.
+#: Segments whose ids a worker keeps; later ones are encoded again when they recur.
 MEMO = 250_000
 # The byte-level alphabet of published byte BPE vocabularies, and its splitting pattern.
 _PLAIN_BYTES = [*range(33, 127), *range(161, 173), *range(174, 256)]
 _BYTE_PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 _SPACES = r"\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
 #: Marks that both families of patterns split off after letters.
-_ENDS = frozenset(".,;:!?")
+_ENDS = ".,;:!?"
 
 
 def _byte_alphabet() -> dict[int, str]:
@@ -33,58 +33,55 @@ def _byte_alphabet() -> dict[int, str]:
 
 @lru_cache(maxsize=2)
 def tokenizer(path: str):
-    """One for each worker process and file; a string of a special token is ordinary text."""
     from tokenizers import Tokenizer
 
-    found = Tokenizer.from_file(path)
-    found.encode_special_tokens = True
-    return found
+    return Tokenizer.from_file(path)
 
 
-class _Memo(dict):
-    """Ids that are kept; rare holds those of the present batch that are not."""
-
-    rare: dict[str, bytes]
-
-    def __missing__(self, key: str) -> bytes:
-        return self.rare[key]
+@lru_cache(maxsize=2)
+def encoder(path: str) -> SegmentEncoder:
+    """One for each worker process and file, so that its memo lives longer than a task."""
+    return SegmentEncoder(path)
 
 
 class SegmentEncoder:
-    """encode(texts) gives each text's ids as little-endian unsigned 32-bit integers."""
+    """encode(texts) gives each text's ids as little-endian unsigned 32-bit integers.
+
+    A text that contains the string of a special token goes to the library whole,
+    which gives it that token's id.
+    """
 
     def __init__(self, path: str):
         self.whole = tokenizer(path)
         self.model = self.whole.model
+        self.special = [t.content for t in self.whole.get_added_tokens_decoder().values()]
         pre = json.loads(self.whole.to_str())["pre_tokenizer"]
         self.spaced = pre["type"] == "ByteLevel"  # a piece keeps the space before it
         pattern = _BYTE_PATTERN if self.spaced else next(p["pattern"]["Regex"] for p in pre["pretokenizers"] if p["type"] == "Split")
         self.pieces = regex.compile(pattern)
         self.alphabet = str.maketrans(_byte_alphabet())
+        self.four = [i.to_bytes(4, "little") for i in range(self.whole.get_vocab_size())]
         self.plain = re.compile("[ \n]?[!-~À-ÖØ-öø-ÿŒœ]*")
+        self.word = re.compile(f"([A-Za-zÀ-ÖØ-öø-ÿŒœ]+)([{_ENDS}]?)")
         self.odd_space = re.compile(f"[{_SPACES}]".replace(" ", "").replace(r"\t-\r", r"\x00-\x09\x0b-\x1f"))
         self.coarse = re.compile(f" ?[^{_SPACES}]+|[{_SPACES}]+(?![^{_SPACES}])|[{_SPACES}]+")
-        self.memo = _Memo()
+        self.memo: dict[str, bytes] = {}
         self.piece_memo: dict[str, bytes] = {}
 
     def _piece(self, piece: str) -> bytes:
         if (ids := self.piece_memo.get(piece)) is None:
-            ids = array("I", [t.id for t in self.model.tokenize(piece.encode().decode("latin-1").translate(self.alphabet))]).tobytes()
+            # printable ASCII but the space stands for itself in the byte alphabet
+            text = piece.replace(" ", "\u0120") if piece.isascii() and piece.isprintable() else piece.encode().decode("latin-1").translate(self.alphabet)
+            four = self.four
+            ids = b"".join([four[t.id] for t in self.model.tokenize(text)])
             if len(self.piece_memo) < MEMO // 2:
                 self.piece_memo[piece] = ids
         return ids
 
     def _segment(self, text: str) -> bytes:
-        if not self.plain.fullmatch(text) or "<|" in text:
+        if not self.plain.fullmatch(text):
             return array("I", self.whole.encode(text, add_special_tokens=False).ids).tobytes()
-        if not self.spaced:
-            text = text.lower()
-        start, end = text[:1] in (" ", "\n"), text[-1:]
-        if text[start:].isalpha() and text[0] != "\n":
-            return self._piece(text)
-        if end in _ENDS and text[start:-1].isalpha() and text[0] != "\n":
-            return self._piece(text[:-1]) + self._piece(end)
-        return b"".join(map(self._piece, self.pieces.findall(text)))
+        return b"".join(map(self._piece, self.pieces.findall(text if self.spaced else text.lower())))
 
     def _split(self, text: str) -> list[str]:
         """Segments in the form of the memo's keys: without the space that stands before most."""
@@ -97,6 +94,10 @@ class SegmentEncoder:
         return parts
 
     def _new(self, key: str) -> bytes:
+        if found := self.word.fullmatch(key):
+            word, mark = found.groups()
+            ids = self._piece(" " + word if self.spaced else word.lower())
+            return ids + self._piece(mark) if mark else ids
         if not self.spaced:
             return self._segment(key) if key else b""
         if key[:1] == "\0":
@@ -104,13 +105,19 @@ class SegmentEncoder:
         return self._segment(key if key[:1] == "\n" else " " + key)
 
     def encode(self, texts: list[str]) -> list[bytes]:
-        split = [self._split(t) if t else [] for t in texts]
+        whole = {i for i, t in enumerate(texts) if any(s in t for s in self.special)}
+        split = [self._split(t) if t and i not in whole else [] for i, t in enumerate(texts)]
         keys: set[str] = set()
         for parts in split:
             keys.update(parts)
-        keys.difference_update(self.memo)
-        self.memo.rare = rare = {}
-        for k in keys:
-            (self.memo if len(self.memo) < MEMO else rare)[k] = self._new(k)
-        get = self.memo.__getitem__
-        return [b"".join(map(get, parts)) for parts in split]
+        memo = self.memo
+        keys.difference_update(memo)
+        new = list(keys)
+        memo.update(zip(new, map(self._new, new)))
+        get = memo.__getitem__
+        found = [b"".join(map(get, parts)) for parts in split]
+        for _ in range(len(memo) - MEMO):  # the latest go first; frequent segments came early
+            memo.popitem()
+        for i in whole:
+            found[i] = array("I", self.whole.encode(texts[i], add_special_tokens=False).ids).tobytes()
+        return found
