@@ -54,6 +54,13 @@ def store(df: DataFrame, name: str, path: str | None = None) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def drop(*tables: DataFrame) -> None:
+    """Empties tables of store() that nothing will read again, so that they hold no disk."""
+    for df in tables:
+        for folder in {f.rpartition("/")[0] for f in df.inputFiles()}:
+            df.sparkSession.createDataFrame([], df.schema).write.mode("overwrite").parquet(folder)
+
+
 def bound_batches(spark: SparkSession) -> None:
     """Python tasks of this session get at most BATCH_ROWS rows at a time: texts are long, and an Arrow batch is held several times."""
     setting = "spark.sql.execution.arrow.maxRecordsPerBatch"

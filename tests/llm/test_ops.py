@@ -1,6 +1,7 @@
 """Every operator's query against a plain version, over the driver's table and a table of odd rows."""
 
 import random
+import shutil
 from collections import Counter, defaultdict
 
 import brute
@@ -8,7 +9,7 @@ import pytest
 import zlib
 from pyspark.sql import functions as F
 
-from foyer.llm import mixture, packing, phrases, quality, queries, recompress, sharding, simhash, suffixes
+from foyer.llm import chunkstore, mixture, packing, phrases, quality, queries, recompress, sharding, simhash, suffixes
 
 SF = "/root/testdata/sf0.001"
 DOCS = "doc_id long, text string, lang string, source string, n_chars long"
@@ -195,6 +196,7 @@ def test_op10(spark, table):
 
 OPERATORS = {
     "pack": lambda d: packing.pack(packing.token_pieces(d, queries.tokenizer_path("byte_bpe_50k.json"))),
+    "chunks": lambda d: chunkstore.stored_digests(d, queries.tokenizer_path("word_bpe_49k.json")),
     "shard": sharding.shard,
     "cascade": quality.cascade,
     "quality_report": quality.quality_report,
@@ -225,3 +227,32 @@ def test_repeated_and_null_rows_and_clashing_columns(spark, name):
     assert wide.count() == plain.count()
     for c in set(NAMES) & set(wide.columns) - set(plain.columns):
         assert {x[0] for x in wide.select(c).distinct().collect()} == {f"own {c}"}, c
+
+
+def test_chunk_store_round_trip_and_broken_parts(spark, tmp_path):
+    """Documents come back from chunks; a changed chunk, recipe or manifest is noticed."""
+    tokenizer, rows = queries.tokenizer_path("word_bpe_49k.json"), odd_rows()
+    path = str(tmp_path / "store")
+    chunkstore.write_store(spark.createDataFrame(rows, DOCS), tokenizer, 1, path)
+    assert chunkstore.verify_manifest(spark, path) == len(rows)
+    want = [i + [1] for i in brute.token_ids(tokenizer, [r[1] for r in sorted(rows)])]
+    found = chunkstore.read_documents(spark, path).orderBy("start").collect()
+    assert [x.ids for x in found] == want and [x.doc_id for x in found] == [r[0] for r in sorted(rows)]
+
+    def broken(table, column):
+        """A copy of the store in which one row of a table has another value."""
+        other = str(tmp_path / f"broken-{table.replace('/', '-')}-{column}")
+        shutil.copytree(path, other)
+        df = spark.read.parquet(f"{path}/{table}")
+        first = df.agg(F.min("key" if "kind" in table else "start")).first()[0]
+        mine = F.col("key" if "kind" in table else "start") == F.lit(first)
+        other_value = {"ids": F.unhex(F.lit("0100")), "root": F.unhex(F.lit("00")), "n_docs": F.lit(7).cast("long"), "chunks": F.array(F.unhex(F.lit("00")))}[column]
+        df.withColumn(column, F.when(mine, other_value).otherwise(F.col(column))).write.mode("overwrite").parquet(f"{other}/{table}")
+        return other
+
+    for table, column in (("stored/kind=chunk", "ids"), ("recipes", "chunks")):
+        with pytest.raises(Exception, match="does not have its"):
+            chunkstore.read_digests(spark, broken(table, column)).collect()
+    for table, column in (("recipes", "root"), ("manifest", "n_docs"), ("manifest", "root")):
+        with pytest.raises(ValueError, match="manifest"):
+            chunkstore.verify_manifest(spark, broken(table, column))
