@@ -1,8 +1,19 @@
-"""Substring deduplication by recompression."""
+"""Substring deduplication by recompression.
+
+Every document is a sequence of symbols, at first its words.  A round of Spark names
+runs and pairs of neighboring symbols; a name depends on what it stands for alone, so
+equal word sequences get equal names in whichever document they stand.  Each symbol
+keeps the span of words that decided it.  The names that a round made are grouped over
+the whole corpus: one that a single document has can't lie inside a repeat, so all
+windows around it are closed, and what no open window covers leaves the sequences.
+The next round pairs the symbols that remain.  After the last round the windows that
+are still open, all of whose symbols are shared, are verified word by word.
+"""
 
 from __future__ import annotations
 
 from collections.abc import Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
@@ -10,13 +21,14 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from foyer.llm.common import SpanHash, batch, bound_batches, by_bytes, keyed, mix64, shielded, store, utf8
+from foyer.llm.common import batch, bound_batches, by_bytes, drop, keyed, mix64, shielded, store, utf8
 
 #: Words of the repeats that are removed, and rounds of naming.
 WINDOW, ROUNDS = 13, 4
-#: Windows of a block around an anchor.
-BLOCK = 6
-_NONE = np.uint64(0xFFFFFFFFFFFFFFFF)
+#: Words of a part of a document that is named at a time; parts overlap by a window.
+PART = 100_000
+#: Symbols that one step of a task holds.
+STEP = 400_000
 _A, _B = np.uint64(0xD6E8FEB86659FD93), np.uint64(0xA0761D6478BD642F)
 
 
@@ -30,142 +42,266 @@ class Names(dict):
         return name
 
 
-def anchors(names: np.ndarray, first: np.ndarray, window: int = WINDOW) -> np.ndarray:
-    """For each window start of documents laid end to end: where its anchor starts, -1 without one.
+@dataclass
+class Symbols:
+    """Symbols of texts laid end to end: name, words start..stop, and the words left..right that decided it."""
+
+    name: np.ndarray
+    start: np.ndarray
+    stop: np.ndarray
+    left: np.ndarray
+    right: np.ndarray
+
+    def take(self, which: np.ndarray) -> Symbols:
+        return Symbols(*(x[which] for x in (self.name, self.start, self.stop, self.left, self.right)))
 
-    names: names of the words; first: for each word the place where its document
-    starts.  Round 0 names runs of equal words.  Each round then gives every symbol
-    a side by a bit of its name and names all neighbors (left, right) of which the
-    first has side 1 and the second side 0: such pairs can't overlap, and whether
-    two neighbors merge depends on them alone.  Each symbol keeps the span of words
-    that decided it.  A window's anchor is the longest symbol (then the least name,
-    then the first) whose deciding span lies inside the window.  So it depends on
-    the window's words alone: equal windows have equal anchors wherever they stand.
+
+def name_runs(words: np.ndarray, first: np.ndarray) -> tuple[Symbols, np.ndarray]:
+    """Words as symbols, runs of equal ones as one; and which are runs.
+
+    first: for each word the place where its text starts.  Where a run ends is decided
+    by the words beside it, so they belong to what decides a symbol.
     """
-    n = len(names)
-    starts = n - window + 1
-    if starts <= 0:
-        return np.empty(0, "int64")
-    best = np.full(starts, _NONE)
-
-    def offer(sym, start, end, left, right):
-        fits = (right - left <= window) & (left >= 0)
-        sym, start, end, left, right = (x[fits] for x in (sym, start, end, left, right))
-        rank = np.maximum(15 - (end - start), 0).astype("uint64") << np.uint64(60) | (mix64(sym) >> np.uint64(28)) << np.uint64(24) | start.astype("uint64")
-        for k in range(window):
-            at = left - k
-            own = (at >= 0) & (right <= at + window) & (at < starts)
-            if not own.any():
-                break
-            np.minimum.at(best, at[own], rank[own])
-
-    same = (names[1:] == names[:-1]) & (first[1:] == first[:-1])
-    start = np.flatnonzero(np.concatenate([[True], ~same]))
-    end = np.append(start[1:], n)
-    sym, doc = names[start], first[start]
-    run = end - start > 1
-    if run.any():
-        sym = np.where(run, mix64(sym * _A + (end - start).astype("uint64")), sym)
-    left, right = start - 1, end + 1
-    offer(sym[run], start[run], end[run], left[run], right[run])
-    for level in range(ROUNDS):
-        if len(sym) < 2:
-            break
-        side = (mix64(sym + np.uint64(level)) >> np.uint64(17)) & np.uint64(1) == 1
-        near = doc[1:] == doc[:-1]
-        at = np.flatnonzero(side[:-1] & ~side[1:] & near)
-        # a symbol that stays is decided by the neighbor it might have merged with
-        stay_left, stay_right = left.copy(), right.copy()
-        stay_right[:-1] = np.where(side[:-1] & near, np.maximum(right[:-1], right[1:]), right[:-1])
-        stay_left[1:] = np.where(~side[1:] & near, np.minimum(left[1:], left[:-1]), left[1:])
-        name = mix64(sym[at] * _A + mix64(sym[at + 1] + _B))
-        pair_left, pair_right = np.minimum(left[at], left[at + 1]), np.maximum(right[at], right[at + 1])
-        offer(name, start[at], end[at + 1], pair_left, pair_right)
-        sym, end = sym.copy(), end.copy()
-        sym[at], end[at], stay_left[at], stay_right[at] = name, end[at + 1], pair_left, pair_right
-        keep = np.ones(len(sym), bool)
-        keep[at + 1] = False
-        sym, start, end, left, right, doc = (x[keep] for x in (sym, start, end, stay_left, stay_right, doc))
-    return np.where(best == _NONE, -1, (best & np.uint64((1 << 24) - 1)).astype("int64"))
-
-
-def phrases(names: np.ndarray, first: np.ndarray, window: int = WINDOW) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Runs of windows [p0, p1] and the name of the phrase that all windows of a run contain.
-
-    Windows with one anchor are dealt to blocks of BLOCK by their distance from it;
-    the phrase is what all windows of such a block have in common.  Two equal windows
-    have equal phrases.
+    same = (words[1:] == words[:-1]) & (first[1:] == first[:-1])
+    start = np.flatnonzero(np.concatenate([np.ones(min(1, len(words)), bool), ~same]))
+    stop = np.append(start[1:], len(words))[: len(start)]
+    long_ = stop - start > 1
+    name = np.where(long_, mix64(words[start] * _A + (stop - start).astype("uint64")), words[start])
+    return Symbols(name, start, stop, start - 1, stop + 1), np.flatnonzero(long_)
+
+
+def name_pairs(s: Symbols, edge: np.ndarray, level: int) -> tuple[Symbols, np.ndarray]:
+    """s with its pairs named, and where these are.
+
+    edge: true for a symbol that no other stands directly before.  A bit of its name
+    gives every symbol a side; neighbors of which the left one has side 1 and the right
+    one side 0 become a pair.  Such pairs can't overlap, and whether two neighbors merge
+    depends on them alone; a symbol that stays is also decided by the one that it might
+    have merged with.
     """
-    at = anchors(names, first, window)
-    p = np.arange(len(at))
-    whole = first[: len(at)] == first[window - 1 :] if len(at) else np.empty(0, bool)
-    none = at < 0
-    block = np.where(none, -1, (at - p) // BLOCK)
-    where = np.where(none, p, at)
-    start = np.flatnonzero(whole & np.concatenate([[True], ~whole[:-1] | (where[1:] != where[:-1]) | (block[1:] != block[:-1])])) if len(at) else p
-    stop = np.flatnonzero(whole & np.concatenate([~whole[1:] | (where[1:] != where[:-1]) | (block[1:] != block[:-1]), [True]])) if len(at) else p
-    own = SpanHash(names)
-    b, free = block[start], none[start]
-    begin = np.where(free, start, where[start] - BLOCK * b)
-    end = np.where(free, start + window, begin + window - BLOCK + 1)
-    return start, stop, mix64(own(begin, end) + (b + 2).astype("uint64"))
-
-
-def word_names(texts: list[bytes], names: Names) -> tuple[np.ndarray, np.ndarray]:
-    words = [t.split() for t in texts]
-    lengths = np.array([len(w) for w in words], "int64")
-    offsets = np.cumsum(lengths) - lengths
-    get = names.__getitem__
-    return np.fromiter((get(w) for own in words for w in own), "u8", int(lengths.sum())), np.repeat(offsets, lengths)
-
-
-def repeats(docs: DataFrame, window: int = WINDOW) -> DataFrame:
-    """Of docs(_key, _order, _text): _key and runs, a sorted array of [first, last] windows that a lower rank has too."""
-    phrase_rows = pa.schema([("_key", pa.int64()), ("_order", pa.int64()), ("p0", pa.int32()), ("p1", pa.int32()), ("name", pa.int64())])
-    window_rows = pa.schema([("_key", pa.int64()), ("_order", pa.int64()), ("at", pa.int32()), ("name", pa.int64())])
-
-    def batches_of(rows: list) -> Iterator[list]:
-        return by_bytes(rows, lambda r: len(r[2]))
-
-    def name(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    if len(s.name) < 2:
+        return s, np.empty(0, "int64")
+    side = (mix64(s.name + np.uint64(level)) >> np.uint64(17)) & np.uint64(1) == 1
+    near = ~edge[1:]
+    at = np.flatnonzero(side[:-1] & ~side[1:] & near)
+    left, right = s.left.copy(), s.right.copy()
+    right[:-1] = np.where(side[:-1] & near, np.maximum(s.right[:-1], s.right[1:]), s.right[:-1])
+    left[1:] = np.where(~side[1:] & near, np.minimum(s.left[1:], s.left[:-1]), s.left[1:])
+    name, stop = s.name.copy(), s.stop.copy()
+    name[at] = mix64(s.name[at] * _A + mix64(s.name[at + 1] + _B))
+    stop[at] = s.stop[at + 1]
+    left[at], right[at] = np.minimum(s.left[at], s.left[at + 1]), np.maximum(s.right[at], s.right[at + 1])
+    keep = np.ones(len(name), bool)
+    keep[at + 1] = False
+    return Symbols(name, s.start, stop, left, right).take(keep), at - np.arange(len(at))
+
+
+def inside(s: Symbols, open_: np.ndarray, window: int) -> np.ndarray:
+    """Which symbols some open window holds with all that decided them; open_: true where such a window starts."""
+    count = np.concatenate([[0], np.cumsum(open_)])
+    lo, hi = np.maximum(s.right - window, 0), np.minimum(s.left + 1, len(open_))
+    return (hi > lo) & (count[np.maximum(hi, 0)] > count[np.minimum(lo, len(open_))])
+
+
+def close(s: Symbols, open_: np.ndarray, window: int) -> np.ndarray:
+    """open_ without the windows that hold one of s with all that decided it."""
+    lo, hi = np.maximum(s.right - window, 0), np.minimum(s.left + 1, len(open_))
+    change = np.zeros(len(open_) + 1, "int64")
+    some = hi > lo
+    np.add.at(change, lo[some], 1)
+    np.add.at(change, hi[some], -1)
+    return open_ & (np.cumsum(change[:-1]) == 0)
+
+
+def covered(s: Symbols, open_: np.ndarray, window: int) -> np.ndarray:
+    """Which symbols have a word in an open window."""
+    change = np.zeros(len(open_) + window + 1, "int64")
+    at = np.flatnonzero(open_)
+    change[at] += 1
+    change[at + window] -= 1
+    count = np.concatenate([[0], np.cumsum(np.cumsum(change[:-1])[: len(open_)] > 0)])
+    return count[s.stop] > count[s.start]
+
+
+_ROW = "_key long, _order long, base int, n int, name binary, skip binary, width binary, left binary, right binary, open binary, new_at binary, new array<long>"
+_FAR = 255  # what decided a symbol is so far away that no window holds it
+
+
+def packed(keys: np.ndarray, n: np.ndarray, s: Symbols, open_: np.ndarray, new: np.ndarray) -> pa.RecordBatch:
+    """Rows of the parts (keys: _key, _order, base; n: words) that open windows are left of."""
+    off = np.concatenate([[0], np.cumsum(n)])
+    part = np.searchsorted(off, s.start, "right") - 1
+    skip = s.start - np.where(np.concatenate([np.ones(min(1, len(part)), bool), part[1:] != part[:-1]]), off[part], np.concatenate([np.zeros(min(1, len(part)), "int64"), s.stop[:-1]]))
+    edges = np.searchsorted(s.start, off)
+    near = lambda d: np.minimum(d, _FAR).astype("u1")
+    columns = [s.name, skip.astype("<i4"), (s.stop - s.start).astype("<i4"), near(s.start - s.left), near(s.right - s.start)]
+    starts = np.flatnonzero(np.diff(np.concatenate([[0], open_.astype("i1")])) == 1)
+    ends = np.flatnonzero(np.diff(np.concatenate([open_.astype("i1"), [0]])) == -1)
+    runs, run_edges = np.stack([starts, ends], axis=1), np.searchsorted(starts, off)
+    new_edges = np.searchsorted(new, edges)
+    kept = np.flatnonzero(np.diff(run_edges))
+    blobs = [[c[edges[k] : edges[k + 1]].tobytes() for k in kept] for c in columns]
+    windows = [(runs[run_edges[k] : run_edges[k + 1]] - off[k]).astype("<i4").tobytes() for k in kept]
+    made = [new[new_edges[k] : new_edges[k + 1]] for k in kept]
+    at = [(m - edges[k]).astype("<i4").tobytes() for m, k in zip(made, kept)]
+    values = np.concatenate(made) if made else np.empty(0, "int64")
+    lists = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum([len(m) for m in made], dtype="int64")]), pa.int32()), pa.array(s.name[values].view("int64")))
+    own = keys[kept]
+    whole = [pa.array(own[:, 0], pa.int64()), pa.array(own[:, 1], pa.int64()), pa.array(own[:, 2], pa.int32()), pa.array(n[kept], pa.int32()), *(pa.array(x, pa.binary()) for x in (*blobs, windows, at)), lists]
+    return pa.RecordBatch.from_arrays(whole, names=[x.split()[0] for x in _ROW.split(", ")])
+
+
+def unpacked(b: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray, Symbols, np.ndarray, np.ndarray, np.ndarray]:
+    """keys, n, symbols, edges, open windows, and where the new names are, as packed() got them."""
+    keys = np.stack([b.column(c).to_numpy() for c in ("_key", "_order", "base")], axis=1)
+    n = b.column("n").to_numpy().astype("int64")
+    off = np.concatenate([[0], np.cumsum(n)])
+    blob = lambda c, kind: [np.frombuffer(x.as_buffer(), kind) for x in b.column(c)]
+    join = lambda parts, kind: np.concatenate(parts) if parts else np.empty(0, kind)
+    names = blob("name", "<u8")
+    count = np.array([len(x) for x in names], "int64")
+    first = np.cumsum(count) - count
+    skip, width = (join(blob(c, "<i4"), "<i4").astype("int64") for c in ("skip", "width"))
+    # a symbol starts after all that was skipped and all that came before it in its part
+    ahead = np.cumsum(skip) + np.cumsum(width) - width
+    before = np.concatenate([[0], ahead + width])[first]  # at the end of the part before
+    start = ahead - np.repeat(before - off[:-1], count)
+    s = Symbols(join(names, "<u8"), start, start + width, start - join(blob("left", "u1"), "u1"), start + join(blob("right", "u1"), "u1"))
+    edge = skip != 0
+    edge[first[count > 0]] = True
+    change = np.zeros(int(off[-1]) + 1, "int64")
+    for runs, o in zip(blob("open", "<i4"), off):
+        change[runs[::2] + o] += 1
+        change[runs[1::2] + o + 1] -= 1
+    new = join([x + f for x, f in zip(blob("new_at", "<i4"), first)], "int64")
+    return keys, n, s, edge, np.cumsum(change[:-1]) > 0, new
+
+
+def first_round(texts: DataFrame, window: int) -> DataFrame:
+    """Of texts(_key, _order, _text) the sequences after words, runs and the first pairs were named."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         names = Names()
         for b in batches:
-            for rows in batches_of(list(zip(*(c.to_pylist() for c in b.columns)))):
-                words, first = word_names([r[2] for r in rows], names)
-                if not len(words):
+            for rows in by_bytes(list(zip(*(c.to_pylist() for c in b.columns))), lambda r: len(r[2])):
+                split = [(key, order, at, words[at : at + PART + window - 1]) for key, order, text in rows if (words := text.split()) for at in range(0, max(1, len(words) - window + 1), PART)]
+                split = [x for x in split if len(x[3]) >= window]
+                if not split:
                     continue
-                p0, p1, found = phrases(words, first, window)
-                lengths = np.diff(np.append(np.unique(first), len(words)))
-                keys = np.array([(r[0], r[1]) for r, n in zip(rows, (len(r[2].split(None, 1)) for r in rows)) if n], "int64").reshape(-1, 2)
-                which = np.repeat(np.arange(len(lengths)), lengths)[p0] if len(p0) else p0
-                yield batch(phrase_rows, keys[which, 0], keys[which, 1], p0 - first[p0], p1 - first[p0], found.view("int64"))
+                n = np.array([len(x[3]) for x in split])
+                get = names.__getitem__
+                named = np.fromiter((get(w) for x in split for w in x[3]), "u8", int(n.sum()))
+                off = np.cumsum(n) - n
+                first = np.repeat(off, n)
+                s, runs = name_runs(named, first)
+                edge = np.zeros(len(s.start), bool)
+                edge[np.searchsorted(s.start, off)] = True
+                is_run = np.zeros(len(s.start), bool)
+                is_run[runs] = True
+                open_ = np.arange(len(named)) <= np.repeat(off + n - window, n)
+                after, pairs = name_pairs(s, edge, 1)
+                new = np.zeros(len(after.start), bool)
+                new[pairs] = True
+                new[np.searchsorted(after.start, s.start[runs])] |= after.name[np.searchsorted(after.start, s.start[runs]).clip(max=len(after.start) - 1)] == s.name[runs]
+                new &= inside(after, open_, window)
+                yield packed(np.array([x[:3] for x in split], "int64"), n, after, open_, np.flatnonzero(new))
 
-    texts = docs.select("_key", "_order", "_text")
-    named = store(texts.mapInArrow(name, "_key long, _order long, p0 int, p1 int, name long"), "phrases")
-    # a phrase that only one rank has can't be part of a repeat
+    return texts.mapInArrow(run, _ROW)
+
+
+def closed(batches: Iterator[pa.RecordBatch], window: int) -> Iterator[tuple]:
+    """Of rows with alive (the places in new of names that several documents have): keys, n, symbols, edges and the windows that are still open."""
+    for whole in batches:
+        sizes = [len(x.as_buffer()) // 8 for x in whole.column("name")]
+        for rows in by_bytes(list(range(len(sizes))), sizes.__getitem__, STEP):
+            b = whole.slice(rows[0], len(rows))
+            keys, n, s, edge, open_, new = unpacked(b)
+            count = np.array([len(x.as_buffer()) // 4 for x in b.column("new_at")], "int64")
+            dead = np.ones(len(new), bool)
+            for at, o in zip(b.column("alive").to_pylist(), np.cumsum(count) - count):
+                if at:
+                    dead[np.asarray(at) + o] = False
+            yield keys, n, s, edge, close(s.take(new[dead]), open_, window)
+
+
+def next_round(sequences: DataFrame, level: int, window: int) -> DataFrame:
+    """The sequences after unshared names have closed their windows, and new pairs were named."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for keys, n, s, edge, open_ in closed(batches, window):
+            keep = covered(s, open_, window)
+            # a symbol whose neighbor goes was decided by that, too, so no open window holds it with what decided it
+            edge = (edge | np.concatenate([[False], ~keep[:-1]]))[keep]
+            s, pairs = name_pairs(s.take(keep), edge, level)
+            found = np.zeros(len(s.start), bool)
+            found[pairs] = True
+            yield packed(keys, n, s, open_, np.flatnonzero(found & inside(s, open_, window)))
+
+    return sequences.mapInArrow(run, _ROW)
+
+
+def open_windows(sequences: DataFrame, window: int) -> DataFrame:
+    """_key, p0, p1: the windows [p0, p1] that are still open when unshared names have closed theirs."""
+    rows_of = pa.schema([("_key", pa.int64()), ("p0", pa.int32()), ("p1", pa.int32())])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for keys, n, _, _, open_ in closed(batches, window):
+            off = np.cumsum(n) - n
+            change = np.diff(np.concatenate([[0], open_.astype("i1"), [0]]))
+            p0, p1 = np.flatnonzero(change == 1), np.flatnonzero(change == -1) - 1
+            part = np.searchsorted(off, p0, "right") - 1
+            shift = keys[part, 2] - off[part]
+            yield batch(rows_of, keys[part, 0], p0 + shift, p1 + shift)
+
+    return sequences.mapInArrow(run, "_key long, p0 int, p1 int")
+
+
+def shared_names(sequences: DataFrame) -> DataFrame:
+    """sequences with alive: for each row the places in new of names that documents of several ranks have."""
+    named = sequences.select("_key", "base", "_order", F.posexplode("new").alias("at", "name"))
+    # stored, so that the join reads two shuffles and Spark can split a name that very many documents have
     shared = store(named.groupBy("name").agg(F.min("_order").alias("least"), F.max("_order").alias("most")).filter("least < most").select(F.col("name").alias("_name")), "shared")
-    found = named.join(shared, F.col("name") == F.col("_name")).groupBy("_key").agg(F.collect_list(F.struct("p0", "p1")).alias("blocks"))
-    wanted = store(found, "blocks")
+    alive = named.join(shared, F.col("name") == F.col("_name")).groupBy("_key", "base").agg(F.collect_list("at").alias("alive"))
+    return store(sequences.drop("new").join(alive, ["_key", "base"], "left"), "alive")
+
+
+def repeats(docs: DataFrame, window: int = WINDOW, rounds: int = ROUNDS) -> DataFrame:
+    """Of docs(_key, _order, _text): _key and at, a sorted array of the windows that a lower rank has too."""
+    window_rows = pa.schema([("_key", pa.int64()), ("_order", pa.int64()), ("at", pa.int32()), ("a", pa.int64()), ("b", pa.int64())])
+    texts = docs.select("_key", "_order", "_text")
+    sequences = store(first_round(texts, window), "round")
+    for level in range(2, rounds + 1):
+        known = shared_names(sequences)
+        drop(sequences)
+        sequences = store(next_round(known, level, window), "round")
+        drop(known)
+    known = shared_names(sequences)
+    drop(sequences)
+
+    wanted = store(open_windows(known, window).groupBy("_key").agg(F.collect_list("p0").alias("p0"), F.collect_list("p1").alias("p1")), "open")
+    drop(known)
 
     def windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        names = Names()
         for b in batches:
-            blocks = b.column("blocks")
-            ends, (p0, p1) = blocks.offsets.to_numpy(), (blocks.values.field(c).to_numpy() for c in ("p0", "p1"))
-            for rows in by_bytes(list(zip(*(b.column(c).to_pylist() for c in ("_key", "_order", "_text")), ends, ends[1:])), lambda r: len(r[2])):
-                out = []
-                for key, order, text, i, j in rows:
-                    words, _ = word_names([text], names)
-                    n = p1[i:j] - p0[i:j] + 1  # the blocks of a document don't overlap
-                    at = np.repeat(p0[i:j] - np.cumsum(n) + n, n) + np.arange(n.sum())
-                    out.append((np.full(len(at), key), np.full(len(at), order), at, SpanHash(words)(at, at + window).view("int64")))
-                yield batch(window_rows, *(np.concatenate(c) for c in zip(*out)))
-
-    each = store(texts.join(wanted, "_key").select("_key", "_order", "_text", "blocks").mapInArrow(windows, "_key long, _order long, at int, name long"), "windows")
-    # stored, so that the join reads two shuffles and Spark can split a name that very many documents have
-    least = store(each.groupBy("name").agg(F.min("_order").alias("least"), F.max("_order").alias("most")).filter("least < most").select(F.col("name").alias("_name"), "least"), "least")
-    later = each.join(least, F.col("name") == F.col("_name")).filter("_order > least")
-    return store(later.groupBy("_key").agg(F.sort_array(F.collect_list("at")).alias("at")), "repeats")
+            for key, order, text, p0, p1 in zip(*(b.column(c).to_pylist() for c in ("_key", "_order", "_text", "p0", "p1"))):
+                words = text.split()
+                places = np.concatenate([np.arange(i, j + 1) for i, j in zip(p0, p1)])
+                # the places of words in the words joined by a space: a window is a slice
+                ends = np.cumsum([len(w) + 1 for w in words])
+                joined = b" ".join(words)
+                starts = np.concatenate([[0], ends[:-1]])
+                for at in np.split(places, range(STEP, len(places), STEP)):
+                    digest = xxhash.xxh3_128_digest
+                    found = np.frombuffer(b"".join([digest(joined[i:j]) for i, j in zip(starts[at].tolist(), (ends[at + window - 1] - 1).tolist())]), "<i8").reshape(-1, 2)
+                    yield batch(window_rows, np.full(len(at), key), np.full(len(at), order), at, *found.T)
+
+    each = store(texts.join(wanted, "_key").mapInArrow(windows, "_key long, _order long, at int, a long, b long"), "windows")
+    drop(wanted)
+    least = store(each.groupBy("a", "b").agg(F.min("_order").alias("least"), F.max("_order").alias("most")).filter("least < most").drop("most"), "least")
+    later = each.join(least, ["a", "b"]).filter("_order > least")
+    found = store(later.groupBy("_key").agg(F.sort_array(F.collect_list("at")).alias("at")), "repeats")
+    drop(each, least)
+    return found
 
 
 def remove_repeats(docs: DataFrame, window: int = WINDOW) -> DataFrame:
