@@ -45,12 +45,24 @@ def ceil_travel_minutes(minutes: Column) -> Column:
 
 # ---------------------------------------------------------------- text
 
-_ACCENTS = ("àáâãäåçèéêëìíîïñòóôõöùúûüýÿ", "aaaaaaceeeeiiiinooooouuuuyy")
+def _accents() -> tuple[str, str]:
+    """Letters of the Latin blocks that canonical decomposition turns into an ASCII letter and marks, and these letters."""
+    import unicodedata
+
+    pairs = {}
+    for code in (*range(0xC0, 0x250), *range(0x1E00, 0x1F00)):
+        plain = "".join(c for c in unicodedata.normalize("NFD", chr(code)) if not unicodedata.combining(c))
+        if len(plain) == 1 and plain.isascii():
+            pairs[chr(code)] = plain
+    return "".join(pairs), "".join(pairs.values())
+
+
+_ACCENTS = _accents()
 
 
 def unaccent(text: Column) -> Column:
-    """Lower case without the accents of Western European text."""
-    return F.translate(F.lower(text), *_ACCENTS)
+    """Lower case without accents: letters with marks become the letter, marks of their own go."""
+    return F.regexp_replace(F.translate(F.lower(text), *_ACCENTS), r"\p{M}", "")
 
 
 def contains_ascii_ci(text: Column, needle: str) -> Column:
@@ -68,9 +80,44 @@ def squeeze(text: Column) -> Column:
 
 
 def normalize_address(text: Column) -> Column:
+    """Lower case without accents, one space between words."""
+    return F.trim(F.regexp_replace(unaccent(text), r"\s+", " "))
+
+
+def normalize_city(text: Column) -> Column:
+    """Lower case without accents, only letters and digits, one space between words."""
     return F.trim(F.regexp_replace(unaccent(text), "[^a-z0-9]+", " "))
 
 
+def place_token(text: Column) -> Column:
+    """Lower case without accents, only letters and digits."""
+    return F.regexp_replace(unaccent(text), "[^a-z0-9]", "")
+
+
+# Words of a title that name no place, and words that a street's name follows.
+PLACE_STOPWORDS = (
+    "albatre", "annonce", "arr", "avec", "axe", "chambre", "chambres", "comprenant", "cote", "cuisine", "exclusivite", "hab",
+    "habitable", "jeux", "longere", "maison", "pieces", "rdc", "salon", "sejour", "superbe", "terrain", "vendre",
+)
+STREET_NAME = (
+    r"(?iu)\b(?:rue|route|chemin|impasse|avenue|allee|allée|boulevard|place|lieu[- ]dit|hameau)\s+"
+    r"(?:de\s+|du\s+|des\s+|d['']|l['']|la\s+)?([a-zàâäéèêëïîôùûüç0-9][\wàâäéèêëïîôùûüç'-]{2,})"
+)
+
+
+def place_hints(*texts: Column) -> Column:
+    """Distinct tokens of texts that may stand in an address: words, and names that follow a word for a street; 4 characters at least."""
+    parts = [F.coalesce(F.concat(F.split(t, r"[\s,-]+"), F.regexp_extract_all(t, F.lit(STREET_NAME), F.lit(1))), F.array().cast("array<string>")) for t in texts]
+    tokens = F.transform(F.flatten(F.array(*parts)), place_token)
+    return F.array_distinct(F.filter(tokens, lambda t: (F.length(t) >= 4) & ~t.isin(*PLACE_STOPWORDS)))
+
+
+def hint_points(hints: Column, address: Column) -> Column:
+    """10 and a hint's length, 25 at most, for each hint that a normalized address contains."""
+    points = F.transform(hints, lambda h: F.when(F.contains(address, h), F.least(F.lit(25), F.length(h) + 10)).otherwise(0))
+    return F.aggregate(points, F.lit(0), lambda s, x: s + x)
+
+
 def slug(text: Column) -> Column:
     return F.regexp_replace(F.regexp_replace(unaccent(text), "[^a-z0-9]+", "-"), "^-+|-+$", "")
 
@@ -140,8 +187,10 @@ def agency(external_id: Column) -> tuple[Column, Column]:
 
 def department(postal_code: Column) -> Column:
     """The department of a postal code, with Corsica's two and the three digits of overseas ones."""
-    corsica = F.when(F.substring(postal_code, 1, 3).isin("200", "201"), "2A").otherwise("2B")
-    return F.when(~postal_code.rlike(r"^\d{5}$"), None).when(postal_code.startswith("20"), corsica).when(postal_code.rlike("^9[78]"), F.substring(postal_code, 1, 3)).otherwise(F.substring(postal_code, 1, 2))
+    own = F.trim(postal_code)
+    corsica = F.when(F.substring(own, 3, 1) == "0", "2A").otherwise("2B")
+    two = F.substring(own, 1, 2)
+    return F.when(own.startswith("20"), corsica).when(own.rlike("^97[1-8]"), F.substring(own, 1, 3)).when(two.rlike(r"^\d{2}$"), two)
 
 
 # ---------------------------------------------------------------- energy

@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from foyer.functions.scalars import energy_class, haversine_km, highlight_overlap
+from foyer.functions.scalars import EARTH_KM, energy_class, haversine_km, highlight_overlap
 from foyer.operators.stats import ranked
 
 #: Training rows of one kind that a model holds: the size of what is broadcast.
@@ -56,45 +58,106 @@ def needed(criteria) -> tuple[str, ...]:
     return tuple(dict.fromkeys(x for c in criteria for x in columns.get(c, (c,))))
 
 
-def score(properties: DataFrame, likes: DataFrame, dislikes: DataFrame, weights: dict[str, float]) -> DataFrame:
-    """properties with a column for each criterion (0 to 100, null if unknown) and score.
+def features(criterion: str) -> dict[str, Column]:
+    """What a row is compared by, as one or two columns."""
+    if criterion in NUMERIC:
+        return {criterion: F.col(criterion).cast("double")}
+    return {
+        "highlights": lambda: {"highlights": F.transform("highlights", lambda x: F.lower(F.trim(x)))},
+        "condition": lambda: {"condition": F.when(F.col("property_condition") != "", F.col("property_condition").rlike(RENOVATION).cast("double"))},
+        "heating": lambda: {"heating": F.when(F.col("heating") != "", F.lower(F.trim("heating")))},
+        "orientation": lambda: {"orientation": F.when(F.col("orientation") != "", F.lower(F.trim("orientation")))},
+        "dpe": lambda: {"dpe": dpe_rank(F.col("dpe_class")).cast("double")},
+        "ancien": lambda: {"ancien": F.col("is_new_property").cast("double")},
+        "distance": lambda: {"latitude": F.radians(F.col("latitude").cast("double")), "longitude": F.radians(F.col("longitude").cast("double"))},
+    }[criterion]()
+
+
+def _table(criterion: str, mine: list, theirs: list) -> np.ndarray:
+    """similarity() of rows and training rows as a matrix, from columns of features(); NaN where a side is unknown."""
+    if criterion in ("highlights", "heating", "orientation"):
+        one = _overlap if criterion == "highlights" else _text_match
+        keyed = lambda v: None if v is None else tuple(v) if criterion == "highlights" else v
+        rows, others = [keyed(v) for v in mine[0]], [keyed(v) for v in theirs[0]]
+        known = {v: k for k, v in enumerate(dict.fromkeys(rows))}
+        each = np.array([[one(v, t) for t in others] for v in known], "float64").reshape(len(known), len(others))
+        return each[[known[v] for v in rows]]
+    x, y = (np.array(c[0], "float64") for c in (mine, theirs))
+    x, y = x[:, None], y[None, :]
+    if criterion in NUMERIC:
+        return 1 - np.minimum(1.0, np.abs(x - y) / np.maximum(np.maximum(np.abs(x), np.abs(y)), 1.0))
+    if criterion == "dpe":
+        return 1 - np.abs(x - y) / 6
+    if criterion in ("condition", "ancien"):
+        return np.where(np.isnan(x - y), np.nan, (x == y).astype("float64"))
+    u, v = (np.array(c[1], "float64") for c in (mine, theirs))
+    a = np.sin((y - x) / 2) ** 2 + np.cos(x) * np.cos(y) * np.sin((v[None, :] - u[:, None]) / 2) ** 2
+    return np.maximum(0.0, 1 - EARTH_KM * 2 * np.arctan2(np.sqrt(a), np.sqrt(1 - a)) / 25)
+
 
-    The training rows (TRAINING_ROWS of a kind at most) come along as one row of two
-    arrays; a property's similarities are folded over them in its own row, so the
-    properties aren't shuffled.
+def _overlap(actual: tuple | None, preferred: tuple | None) -> float:
+    if not preferred:
+        return np.nan
+    return sum(any(p in a or a in p for a in actual or ()) for p in preferred) / len(preferred)
+
+
+def _text_match(a: str | None, b: str | None) -> float:
+    return np.nan if a is None or b is None else 1.0 if a == b else 0.8 if a in b or b in a else 0.0
+
+
+def score(properties: DataFrame, likes: DataFrame, dislikes: DataFrame, weights: dict[str, float], most: int = TRAINING_ROWS) -> DataFrame:
+    """properties with a column c_<criterion> for each criterion (0 to 100, null if unknown) and score.
+
+    The features of the training rows, ``most`` of a kind at most (more are an error),
+    go to the tasks; there each batch of properties is compared with them as a matrix,
+    so the properties aren't shuffled.
     """
     active = [c for c in CRITERIA if weights.get(c, 0) > 0]
-    fields = needed(active)
-    pack = lambda df, name: df.agg(F.collect_list(F.struct("id", *fields)).alias(name))
-    training = pack(likes.limit(TRAINING_ROWS), "_likes").crossJoin(pack(dislikes.limit(TRAINING_ROWS), "_dislikes"))
-    joined = properties.crossJoin(F.broadcast(training))
-    own = lambda n: F.col(n)
-
-    def values(criterion: str, side: str) -> Column:
-        return F.filter(F.transform(side, lambda t: similarity(criterion, own, lambda n: t[n])), lambda v: v.isNotNull())
-
-    out = joined
-    for c in active:
-        liked, disliked = values(c, "_likes"), values(c, "_dislikes")
-        mean = F.when(F.size(liked) > 0, F.aggregate(liked, F.lit(0.0), lambda s, v: s + v) / F.size(liked))
-        out = out.withColumn(f"_m_{c}", mean).withColumn(f"_d_{c}", F.when(F.size(disliked) > 0, F.array_max(disliked)))
-    for c in active:
-        blended = F.when(F.col(f"_d_{c}").isNull(), F.col(f"_m_{c}")).otherwise(F.greatest(F.lit(0.0), F.col(f"_m_{c}") - F.col(f"_d_{c}") * DISLIKE_BLEND))
-        out = out.withColumn(f"c_{c}", F.when(F.col(f"_m_{c}").isNotNull(), F.greatest(F.lit(0.0), F.least(F.lit(100.0), blended * 100))))
-    zero = F.lit(0.0)
-    total = sum((F.when(F.col(f"c_{c}").isNotNull(), F.lit(float(weights[c]))).otherwise(zero) for c in active), zero)
-    gained = sum((F.coalesce(F.col(f"c_{c}") * float(weights[c]), zero) for c in active), zero)
-    return out.withColumn("score", F.when(total > 0, gained / total)).drop("_likes", "_dislikes", *(f"_{k}_{c}" for c in active for k in "md"))
+    columns = {c: features(c) for c in active}
+    flat = {n: e for own in columns.values() for n, e in own.items()}
+
+    def training(df: DataFrame) -> dict[str, list]:
+        rows = df.orderBy("id").limit(most + 1).select(*(e.alias(n) for n, e in flat.items())).collect()
+        if len(rows) > most:
+            raise ValueError(f"a model holds at most {most} training rows of a kind; training_rows() picks them")
+        return {n: [r[n] for r in rows] for n in flat}
+
+    if not active:
+        return properties.withColumn("score", F.lit(None).cast("double"))
+    liked, disliked = training(likes), training(dislikes)
+    order, names = list(flat), {c: list(own) for c, own in columns.items()}  # tasks get no expressions
+    kind = ", ".join(f"c_{c} double" for c in active)
+
+    @F.pandas_udf(f"{kind}, score double")
+    def judged(*given: pd.Series) -> pd.DataFrame:
+        own, out = dict(zip(order, given)), {}
+        gained = total = np.zeros(len(given[0]))
+        for c in active:
+            mine = [own[n] for n in names[c]]
+            like, dislike = (_table(c, mine, [side[n] for n in names[c]]) for side in (liked, disliked))
+            known = (~np.isnan(like)).sum(axis=1)
+            mean = np.where(known > 0, np.nansum(like, axis=1) / np.maximum(known, 1), np.nan)
+            worst = np.nan_to_num(np.fmax.reduce(dislike, axis=1, initial=np.nan), nan=0.0)
+            value = np.clip(100 * np.where(worst > 0, np.maximum(0.0, mean - worst * DISLIKE_BLEND), mean), 0, 100)
+            out[f"c_{c}"] = value
+            gained = gained + np.where(known > 0, value * weights[c], 0)
+            total = total + np.where(known > 0, weights[c], 0)
+        out["score"] = np.where(total > 0, gained / np.where(total > 0, total, 1), np.nan)
+        return pd.DataFrame(out)
+
+    # NaN from a task is null
+    scored = properties.withColumn("_s", judged(*flat.values()))
+    return scored.select(*properties.columns, *(F.nanvl(F.col(f"_s.{n}"), F.lit(None).cast("double")).alias(n) for n in (*(f"c_{c}" for c in active), "score")))
 
 
 def leave_one_out(training: DataFrame, likes: DataFrame, dislikes: DataFrame, weights: dict[str, float]) -> DataFrame:
-    """id, score of training rows, each judged by the others."""
+    """id, score of training rows, each judged by the others; all three tables are what training_rows() bounds."""
     active = [c for c in CRITERIA if weights.get(c, 0) > 0]
     fields = needed(active)
 
     def side(df: DataFrame, best: str) -> DataFrame:
-        other = F.broadcast(df.limit(TRAINING_ROWS).select(*(F.col(n).alias(f"o_{n}") for n in ("id", *fields))))
-        pairs = training.limit(2 * TRAINING_ROWS).join(other, F.col("id") != F.col("o_id"))
+        other = F.broadcast(df.select(*(F.col(n).alias(f"o_{n}") for n in ("id", *fields))))
+        pairs = training.join(other, F.col("id") != F.col("o_id"))
         how = F.avg if best == "mean" else F.max
         return pairs.groupBy("id").agg(*(how(similarity(c, F.col, lambda n: F.col(f"o_{n}"))).alias(f"{best}_{c}") for c in active))
 

@@ -5,13 +5,13 @@ from __future__ import annotations
 from collections.abc import Sequence
 from functools import reduce
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from foyer.functions.scalars import canonical_type, property_key, same_set
 from foyer.schemas import COMPARABLE_FIELDS, PRESERVED_FIELDS
+from foyer.session import kept
 
 THRESHOLD, PARTIAL = 0.85, 0.75
 # Weights and tolerances of the fields of a pair.
@@ -25,20 +25,18 @@ def _relative(a: Column, b: Column) -> Column:
 
 
 def field_scores(a: str, b: str) -> dict[str, Column]:
-    """1 for a match, 0 for a veto, PARTIAL where a side is unknown, by field; a and b prefix the columns of the two sides."""
+    """1 for a match, 0 for a veto, PARTIAL where a side is unknown, by field; a and b prefix the columns of the two sides, as sided() gives them."""
     x, y = (lambda n: F.col(f"{a}{n}")), (lambda n: F.col(f"{b}{n}"))
     known = lambda n: x(n).isNotNull() & y(n).isNotNull()
-    tx, ty = canonical_type(x("property_type")), canonical_type(y("property_type"))
     close = {
         "price": (x("price") == y("price")) | (_relative(x("price"), y("price")) <= PRICE_TOLERANCE),
         "surface": (x("surface") == y("surface")) | (F.abs(x("surface") - y("surface")) <= SURFACE_METERS) | (_relative(x("surface"), y("surface")) <= SURFACE_TOLERANCE),
         "rooms": F.abs(x("rooms") - y("rooms")) <= COUNT_TOLERANCE,
         "bedrooms": F.abs(x("bedrooms") - y("bedrooms")) <= COUNT_TOLERANCE,
         "land_surface": (x("land_surface") == y("land_surface")) | (_relative(x("land_surface"), y("land_surface")) <= LAND_TOLERANCE),
-        "property_type": tx == ty,
     }
     out = {n: F.when(~known(n), PARTIAL).when(c, 1.0).otherwise(0.0) for n, c in close.items()}
-    out["property_type"] = F.when((tx == "") | (ty == ""), PARTIAL).when(tx == ty, 1.0).otherwise(0.0)
+    out["property_type"] = F.when((x("kind") == "") | (y("kind") == ""), PARTIAL).when(x("kind") == y("kind"), 1.0).otherwise(0.0)
     return out
 
 
@@ -60,7 +58,8 @@ def matches(score: Column, veto: Column) -> Column:
 
 
 def sided(df: DataFrame, side: str, *more: str) -> DataFrame:
-    return df.select(*(F.col(n).alias(f"{side}{n}") for n in (*more, *MATCH_FIELDS)))
+    """The columns that a pair is judged by, prefixed; the name of the type is made once for a row, not for each pair."""
+    return df.select(*(F.col(n).alias(f"{side}{n}") for n in (*more, *MATCH_FIELDS[:-1])), canonical_type(F.col("property_type")).alias(f"{side}kind"))
 
 
 def price_band(price: Column) -> Column:
@@ -70,31 +69,45 @@ def price_band(price: Column) -> Column:
     return F.floor(F.log(F.greatest(price, F.lit(1)).cast("double")) / math.log(1 / (1 - PRICE_TOLERANCE)))
 
 
-def match_pairs(publications: DataFrame) -> DataFrame:
-    """a_property_id < b_property_id of properties with a matching pair of publications.
+def matched(left: DataFrame, right: DataFrame, on: Sequence[str], extra: Column | None = None) -> DataFrame:
+    """Pairs of rows of left (a_...) and right (b_...) that match; both are sided() with the columns of on.
 
-    The postal code and a price band are the keys of the join: a pair must share the
-    first, and its prices, which may differ by 2 % at most, lie in neighboring bands.
-    So a large town is split by price, and no block is compared whole.
+    A pair must share on and the postal code, and its prices, which may differ by 2 % at
+    most, lie in one price band or two neighbors.  These are the keys of the join, so a
+    large town is split by price, and no block is compared whole.
     """
-    banded = publications.filter("postal_code <> '' and price > 0").withColumn("band", price_band(F.col("price")))
-    left = sided(banded, "a_", "property_id", "band").withColumn("near", F.explode(F.array(F.col("a_band") - 1, F.col("a_band"), F.col("a_band") + 1)))
-    right = sided(banded, "b_", "property_id", "band")
+    left = left.filter("a_postal_code <> '' and a_price > 0").withColumn("_near", F.explode(F.transform(F.array(*map(F.lit, (-1, 0, 1))), lambda d: price_band(F.col("a_price")) + d)))
+    right = right.filter("b_postal_code <> '' and b_price > 0").withColumn("_band", price_band(F.col("b_price")))
+    keys = [F.col("a_postal_code") == F.col("b_postal_code"), F.col("_near") == F.col("_band"), *(F.col(f"a_{n}") == F.col(f"b_{n}") for n in on)]
     score, veto = pair_score()
-    on = (F.col("a_postal_code") == F.col("b_postal_code")) & (F.col("near") == F.col("b_band")) & (F.col("a_property_id") < F.col("b_property_id"))
-    return left.join(right, on).filter(matches(score, veto)).select("a_property_id", "b_property_id").distinct()
+    pairs = left.join(right, [*keys, extra] if extra is not None else keys)
+    return pairs.filter(matches(score, veto)).drop("_near", "_band")
+
+
+def match_pairs(publications: DataFrame, *on: str) -> DataFrame:
+    """a_property_id < b_property_id of properties with a matching pair of publications that share on."""
+    sides = [sided(publications, side, "property_id", *on) for side in ("a_", "b_")]
+    return matched(*sides, on, F.col("a_property_id") < F.col("b_property_id")).select("a_property_id", "b_property_id").distinct()
 
 
 def near_misses(listings: DataFrame, candidates: DataFrame, top: int = 3) -> DataFrame:
     """listing_id, rank, property_id, score, veto: the best candidates just below the threshold.
 
     listings(id, ...) against candidates(property_id, ...) of the same postal code; a
-    candidate's score is its best publication's.
+    candidate's score is its best publication's.  A price out of tolerance costs so much
+    that all other fields must be known and fit: such pairs are found by the type and
+    the rooms, the others by a band of the price, so no town is compared whole.
     """
     score, veto = pair_score()
-    pairs = sided(listings, "a_", "id").join(sided(candidates, "b_", "property_id"), F.col("a_postal_code") == F.col("b_postal_code"))
-    best = pairs.select("a_id", "b_property_id", score.alias("score"), veto.alias("veto")).groupBy("a_id", "b_property_id").agg(F.max_by(F.struct("score", "veto"), F.struct("score", F.col("veto").isNull())).alias("best"))
-    near = best.select("a_id", "b_property_id", "best.score", "best.veto").filter(F.col("score").between(THRESHOLD - 0.1, THRESHOLD) & (F.col("score") < THRESHOLD))
+    left, right = (df.filter(f"{s}postal_code <> ''") for df, s in ((sided(listings, "a_", "id"), "a_"), (sided(candidates, "b_", "property_id"), "b_")))
+    around = lambda c: F.explode(F.array(c - 1, c, c + 1))
+    town = F.col("a_postal_code") == F.col("b_postal_code")
+    band_l, band_r = left.withColumn("_near", around(price_band(F.col("a_price")))), right.withColumn("_band", price_band(F.col("b_price")))
+    by_price = band_l.join(band_r, [town, F.col("_near") == F.col("_band")]).filter(field_scores("a_", "b_")["price"] == 1)
+    by_shape = left.withColumn("_near", around(F.col("a_rooms"))).join(right.filter("b_kind <> ''"), [town, F.col("a_kind") == F.col("b_kind"), F.col("_near") == F.col("b_rooms")]).filter(field_scores("a_", "b_")["price"] == 0)
+    judged = [df.select("a_id", "b_property_id", score.alias("score"), veto.alias("veto")) for df in (by_price, by_shape)]
+    best = judged[0].unionByName(judged[1]).groupBy("a_id", "b_property_id").agg(F.max_by(F.struct("score", "veto"), F.struct("score", F.col("veto").isNull())).alias("best"))
+    near = best.select("a_id", "b_property_id", "best.score", "best.veto").filter((F.round("score", 9) >= round(THRESHOLD - 0.1, 9)) & (F.col("score") < THRESHOLD))
     rank = F.row_number().over(W.partitionBy("a_id").orderBy(F.desc(F.round("score", 9)), "b_property_id"))
     return near.withColumn("rank", rank).filter(F.col("rank") <= top).select(F.col("a_id").alias("listing_id"), "rank", F.col("b_property_id").alias("property_id"), "score", "veto")
 
@@ -115,13 +128,13 @@ def groups(pairs: DataFrame, rounds: int = 50) -> DataFrame:
     rounds are checkpointed to the session's shared folder, so lineage stays short.
     """
     edges = pairs.select(F.col("a_property_id").alias("a"), F.col("b_property_id").alias("b")).filter("a <> b")
-    edges = _kept(edges.unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct())
-    labels = _kept(edges.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("label")).withColumnRenamed("a", "id"))
+    edges = kept(edges.unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct())
+    labels = kept(edges.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("label")).withColumnRenamed("a", "id"))
     for _ in range(rounds):
         near = edges.join(labels, F.col("b") == F.col("id")).groupBy("a").agg(F.min("label").alias("seen"))
         met = labels.join(near, F.col("id") == F.col("a")).select("id", F.least("label", "seen").alias("new"), F.col("label").alias("old"))
         jump = met.alias("m").join(met.select(F.col("id").alias("_id"), F.col("new").alias("_new")), F.col("m.new") == F.col("_id"), "left")
-        new = _kept(jump.select("id", F.least("new", F.coalesce("_new", "new")).alias("label"), "old"))
+        new = kept(jump.select("id", F.least("new", F.coalesce("_new", "new")).alias("label"), "old"))
         changed = new.filter("label <> old").limit(1).count()
         labels = new.select("id", "label")
         if not changed:
@@ -129,18 +142,6 @@ def groups(pairs: DataFrame, rounds: int = 50) -> DataFrame:
     raise RuntimeError("groups did not settle")
 
 
-def _kept(df: DataFrame) -> DataFrame:
-    spark = df.sparkSession
-    if not spark.sparkContext._jsc.sc().getCheckpointDir().isDefined():
-        import tempfile
-
-        folder = spark.conf.get("spark.checkpoint.dir", None)
-        if not folder and not spark.sparkContext.master.startswith("local"):
-            raise ValueError("set spark.checkpoint.dir to a folder that the whole cluster shares")
-        spark.sparkContext.setCheckpointDir(folder or tempfile.mkdtemp())
-    return df.checkpoint()
-
-
 def merge_map(members: DataFrame, properties: DataFrame) -> DataFrame:
     """duplicate, canonical: in each group (id, group) the property seen first stays (then the smallest id)."""
     dated = members.join(properties.select("id", "first_seen_at"), "id")
@@ -159,16 +160,16 @@ def merge(properties: DataFrame, publications: DataFrame, reactions: DataFrame,
     to = mapping.select(F.col("duplicate").alias("_dup"), "canonical")
     pubs = publications.join(to, F.col("property_id") == F.col("_dup"), "left").withColumn("property_id", F.coalesce("canonical", "property_id")).select(*publications.columns)
     lowest = properties.join(to, F.col("id") == F.col("_dup")).groupBy("canonical").agg(F.min("first_price").alias("_low"))
-    kept = properties.join(to.select("_dup"), F.col("id") == F.col("_dup"), "left_anti").join(lowest.withColumnRenamed("canonical", "_can"), F.col("id") == F.col("_can"), "left")
+    stay = properties.join(to.select("_dup"), F.col("id") == F.col("_dup"), "left_anti").join(lowest.withColumnRenamed("canonical", "_can"), F.col("id") == F.col("_can"), "left")
     lower = F.col("_low") < F.col("first_price")
-    kept = kept.withColumn("has_price_drop", F.when(lower, F.col("price") < F.col("_low")).otherwise(F.col("has_price_drop"))).withColumn("first_price", F.when(lower, F.col("_low")).otherwise(F.col("first_price"))).select(*properties.columns)
+    stay = stay.withColumn("has_price_drop", F.when(lower, F.col("price") < F.col("_low")).otherwise(F.col("has_price_drop"))).withColumn("first_price", F.when(lower, F.col("_low")).otherwise(F.col("first_price"))).select(*properties.columns)
     moved = reactions.join(to, F.col("property_id") == F.col("_dup"), "left").withColumn("_own", F.col("_dup").isNull()).withColumn("property_id", F.coalesce("canonical", "property_id"))
     folded = moved.groupBy("property_id").agg(F.array_sort(F.collect_list(F.struct((~F.col("_own")).alias("late"), F.coalesce("_dup", F.lit(0)).alias("dup"), "id", "type", "archived_at", "created_at"))).alias("all"))
     step = lambda s, x: F.when((s["type"] == x["type"]) | (x["created_at"] <= s["created_at"]), s).otherwise(F.struct(s["id"].alias("id"), x["type"].alias("type"), x["archived_at"].alias("archived_at"), s["created_at"].alias("created_at")))
     first = F.get("all", F.lit(0))
     start = F.struct(first["id"].alias("id"), first["type"].alias("type"), first["archived_at"].alias("archived_at"), first["created_at"].alias("created_at"))
     done = folded.withColumn("r", F.aggregate(F.slice("all", 2, F.greatest(F.size("all") - 1, F.lit(0))), start, step))
-    return kept, pubs, done.select("r.id", "property_id", "r.type", "r.archived_at", "r.created_at")
+    return stay, pubs, done.select("r.id", "property_id", "r.type", "r.archived_at", "r.created_at")
 
 
 def without_publications(properties: DataFrame, publications: DataFrame) -> DataFrame:
@@ -220,71 +221,3 @@ def deactivated(publications: DataFrame, listings: DataFrame) -> DataFrame:
     joined = publications.join(sources, F.col("source") == F.col("_src"), "left").join(keys, (F.col("source") == F.col("_s")) & (F.col("external_id") == F.col("_e")), "left").join(urls, F.col("url") == F.col("_u"), "left")
     gone = F.col("_src").isNotNull() & F.col("_e").isNull() & F.col("_u").isNull()
     return joined.withColumn("is_active", F.col("is_active") & ~gone).select(*publications.columns)
-
-
-def assign(new: DataFrame, known: DataFrame) -> DataFrame:
-    """For new listings(pos, ...): outcome (linked or created), property_id of a known property, or created_by.
-
-    Listings come in the order of pos.  Each looks for a property that an earlier new
-    listing created (equal fingerprint, then a match), then for a known one (equal
-    fingerprint, agency, match), else it creates one; created_by is the pos of the
-    listing that did.  The order decides, so a postal code is folded in one task:
-    rows can only meet within it, and a block is read once.
-    known(property_id, property_key, agency_slug, ...) has a row for each publication.
-    """
-    block = F.coalesce("postal_code", F.lit(""))
-    fields = [F.col(n).cast("double" if n in ("surface", "land_surface") else "long" if n in ("price", "rooms", "bedrooms") else "string") for n in MATCH_FIELDS if n != "property_type"]
-    shape = lambda df, *more: keyed(df).select(block.alias("block"), *fields, canonical_type(F.col("property_type")).alias("kind"), "property_key", *more)
-    fresh = shape(new, "pos", "source", "agency_slug")
-    old = shape(known, "property_id", "source", "agency_slug")
-    return fresh.groupBy("block").cogroup(old.groupBy("block")).applyInPandas(_fold, "pos long, outcome string, property_id long, created_by long")
-
-
-def _close(a, b) -> bool:
-    """The match of one pair of rows; the expression in pair_score() for single values."""
-    none = lambda *v: any(x is None or x != x for x in v)
-    if not a.block or a.block != b.block:
-        return False
-    if abs(a.price - b.price) / max(a.price, b.price, 1) > PRICE_TOLERANCE:
-        return False
-    total = WEIGHTS["price"]
-    for name in ("surface", "rooms", "bedrooms", "land_surface"):
-        x, y = getattr(a, name), getattr(b, name)
-        if none(x, y):
-            total += PARTIAL * WEIGHTS[name]
-            continue
-        gap = abs(x - y)
-        fits = gap <= COUNT_TOLERANCE if name in ("rooms", "bedrooms") else x == y or gap / max(x, y) <= (SURFACE_TOLERANCE if name == "surface" else LAND_TOLERANCE) or (name == "surface" and gap <= SURFACE_METERS)
-        if not fits:
-            return False
-        total += WEIGHTS[name]
-    if a.kind and b.kind and a.kind != b.kind:
-        return False
-    return total + WEIGHTS["property_type"] * (1 if a.kind and b.kind else PARTIAL) >= THRESHOLD
-
-
-def _fold(new: pd.DataFrame, known: pd.DataFrame) -> pd.DataFrame:
-    old = list(known.sort_values("property_id").itertuples(index=False))
-    by_key = {}
-    for k in old:
-        by_key.setdefault(k.property_key, k.property_id)
-    pending: list[list] = []  # of each created property, its listings
-    found = []
-    for row in new.sort_values("pos").itertuples(index=False):
-        mine = next((p for p in pending if p[0].property_key == row.property_key), None) or next((p for p in pending if any(_close(row, x) for x in p)), None)
-        if mine:
-            mine.append(row)
-            found.append((row.pos, "linked", None, mine[0].pos))
-            continue
-        owner = by_key.get(row.property_key)
-        if owner is None and row.source == "bienici" and row.agency_slug:
-            owner = next((k.property_id for k in old if k.source == "bienici" and k.agency_slug == row.agency_slug and _close(row, k)), None)
-        if owner is None:
-            owner = next((k.property_id for k in old if _close(row, k)), None)
-        if owner is not None:
-            found.append((row.pos, "linked", owner, None))
-        else:
-            pending.append([row])
-            found.append((row.pos, "created", None, row.pos))
-    out = pd.DataFrame(found, columns=["pos", "outcome", "property_id", "created_by"])
-    return out.astype({"property_id": "Int64", "created_by": "Int64"})

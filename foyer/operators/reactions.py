@@ -5,37 +5,46 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from foyer.operators.search import numbered
+
 GRACE_SECONDS = 5
 
 
-def current(log: DataFrame) -> DataFrame:
-    """property_id, type, archived of a log(event_id, property_id, action, ts).
+ACTIONS = ("toggle", "add", "remove", "archive", "unarchive", "undo")
 
-    like and dislike set the type; the same one again takes it back (toggle); archive
-    and unarchive mark it; remove and an undo within the grace time take it back.
-    A property's actions are folded in their order, in the JVM.
+
+def current(log: DataFrame) -> DataFrame:
+    """property_id, type, archived, created_at of a log(event_id, property_id, action, type, ts).
+
+    toggle: the same type again takes the reaction back, another one replaces it.
+    add: the same type again only ends an archived like's archiving.  remove: takes back
+    a reaction of that type.  archive and unarchive: likes only.  undo: takes back a
+    dislike set at most GRACE_SECONDS before.  A new or changed reaction isn't
+    archived and is created at its action's time.  A property's actions are folded in
+    the order of ts, then event_id, in the JVM; other actions are passed over.
     """
-    own = log.filter(F.col("action").isin("like", "dislike", "archive", "unarchive", "remove", "undo"))
-    grouped = own.groupBy("property_id").agg(F.array_sort(F.collect_list(F.struct("ts", "event_id", "action"))).alias("log"))
-    state = "struct<type:string,archived:boolean,at:timestamp,before:string>"
-    start = F.lit(None).cast(state)
-    make = lambda t, archived, at, before: F.struct(t.cast("string").alias("type"), archived.alias("archived"), at.cast("timestamp").alias("at"), before.cast("string").alias("before"))
+    own = log.filter(F.col("action").isin(*ACTIONS))
+    grouped = own.groupBy("property_id").agg(F.array_sort(F.collect_list(F.struct(F.col("ts").cast("timestamp").alias("ts"), "event_id", "action", "type"))).alias("log"))
+    state = "struct<type:string,archived:boolean,created_at:timestamp>"
+    make = lambda t, archived, at: F.struct(t.alias("type"), archived.alias("archived"), at.alias("created_at"))
 
     def step(s, x):
-        none = F.lit(None)
-        react = make(F.when(s["type"].eqNullSafe(x["action"]), none).otherwise(x["action"]), F.lit(False), x["ts"], s["type"])
-        recent = F.unix_timestamp(x["ts"].cast("timestamp")) - F.unix_timestamp(s["at"]) <= GRACE_SECONDS
+        none, same, like = F.lit(None).cast(state), s["type"].eqNullSafe(x["type"]), F.coalesce(s["type"] == "like", F.lit(False))
+        new, is_ = make(x["type"], F.lit(False), x["ts"]), lambda a: x["action"] == a
+        with_mark = lambda archived: make(s["type"], F.lit(archived), s["created_at"])
+        fresh = F.unix_micros(x["ts"]) - F.unix_micros(s["created_at"]) <= GRACE_SECONDS * 1_000_000
         return (
-            F.when(x["action"].isin("like", "dislike"), react)
-            .when(x["action"] == "archive", make(s["type"], s["type"].isNotNull(), s["at"], s["before"]))
-            .when(x["action"] == "unarchive", make(s["type"], F.lit(False), s["at"], s["before"]))
-            .when(x["action"] == "remove", make(none, F.lit(False), x["ts"], none))
-            .when(recent, make(s["before"], F.lit(False), s["at"], none))
+            F.when(is_("toggle"), F.when(same, none).otherwise(new))
+            .when(is_("add"), F.when(~same, new).when(like, with_mark(False)).otherwise(s))
+            .when(is_("remove"), F.when(same, none).otherwise(s))
+            .when(is_("archive") & like, with_mark(True))
+            .when(is_("unarchive") & like, with_mark(False))
+            .when(is_("undo") & F.coalesce((s["type"] == "dislike") & fresh, F.lit(False)), none)
             .otherwise(s)
         )
 
-    done = grouped.withColumn("s", F.aggregate("log", start, step))
-    return done.filter("s.type is not null").select("property_id", "s.type", "s.archived")
+    done = grouped.withColumn("s", F.aggregate("log", F.lit(None).cast(state), step))
+    return done.filter("s.type is not null").select("property_id", "s.type", "s.archived", "s.created_at")
 
 
 def counts(reactions: DataFrame, archived: bool = False) -> DataFrame:
@@ -44,9 +53,10 @@ def counts(reactions: DataFrame, archived: bool = False) -> DataFrame:
 
 
 def listing_page(properties: DataFrame, reactions: DataFrame, kind: str, most: int = 200) -> DataFrame:
-    """Properties with a reaction of a kind, the newest first."""
-    own = reactions.filter(F.col("type") == kind)
-    return properties.join(own.select(F.col("property_id").alias("_rid"), "event_id"), F.col("id") == F.col("_rid")).orderBy(F.desc("event_id")).limit(most).drop("_rid")
+    """Properties with a reaction of a kind that isn't archived, the newest first, with their places."""
+    own = reactions.filter((F.col("type") == kind) & ~F.col("archived"))
+    order = [F.desc("created_at"), F.desc("id")]
+    return numbered(properties.join(own.select(F.col("property_id").alias("_rid"), "created_at"), F.col("id") == F.col("_rid")).orderBy(*order).limit(most), order).drop("_rid")
 
 
 def notify_household(preferences: DataFrame) -> DataFrame:

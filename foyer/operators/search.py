@@ -6,8 +6,10 @@ from dataclasses import dataclass, fields
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from foyer import session
 from foyer.functions.scalars import bounding_box, contains_ascii_ci, haversine_km, travel_radius_km, within_box
 
 PAGE, PAGE_MOST, MAP_MOST = 20, 100, 5000
@@ -125,9 +127,15 @@ def ordering(sort: str, geographic: bool) -> list[Column]:
     return [direction(F.coalesce(F.col(name), F.lit(0))) if name == "surface" else direction(name), F.asc("distance_km"), F.asc("id")]
 
 
+def numbered(rows: DataFrame, order: list[Column], name: str = "at", offset: int = 0) -> DataFrame:
+    """The rows of a page (a few hundred at most, so one task orders them) with their places, which outlive a shuffle or a file."""
+    return rows.withColumn(name, (F.row_number().over(W.orderBy(*order)) + offset).cast("long"))
+
+
 def page(found: DataFrame, f: SearchFilters) -> DataFrame:
-    """The page that f asks of matching rows, in order; ties by distance and id."""
-    return found.orderBy(*ordering(f.sort, "distance_km" in found.columns)).offset(f.offset).limit(f.limit)
+    """The page that f asks of matching rows, in order, with at, the place among all; ties by distance and id."""
+    order = ordering(f.sort, "distance_km" in found.columns)
+    return numbered(found.orderBy(*order).offset(f.offset).limit(f.limit), order, offset=f.offset)
 
 
 def search(properties: DataFrame, publications: DataFrame, reactions: DataFrame | None, f: SearchFilters, center: tuple[float, float] | None = None) -> DataFrame:
@@ -139,9 +147,47 @@ def total(found: DataFrame) -> DataFrame:
 
 
 def by_ids(properties: DataFrame, ids: list[int]) -> DataFrame:
-    """Rows of these ids in their order; unknown ids are left out."""
-    wanted = properties.sparkSession.createDataFrame([(k, int(i)) for k, i in enumerate(ids)], "pos int, id long")
-    return properties.join(wanted, "id").orderBy("pos").drop("pos")
+    """Rows of these ids in their order, with at, the place of an id in the list from 1; unknown ids are left out."""
+    wanted = properties.sparkSession.createDataFrame([(k, int(i)) for k, i in enumerate(ids, 1)], "at long, id long")
+    return properties.join(F.broadcast(wanted), "id").orderBy("at")
+
+
+def by_id(properties: DataFrame, id_: int) -> DataFrame:
+    """The row of an id, or none; the condition reaches the scan."""
+    return properties.filter(F.col("id") == id_).limit(1)
+
+
+def lean(found: DataFrame) -> DataFrame:
+    """What a geographic order needs; nothing else is read."""
+    return found.select("id", "latitude", "longitude", "price", "first_seen_at", "surface")
+
+
+def of_keys(properties: DataFrame, listings: DataFrame, *names: str) -> DataFrame:
+    """Properties that share the values of these columns (a postal code, a fingerprint) with some listing; null meets nothing."""
+    keys = listings.select(*(F.col(n).alias(f"_{n}") for n in names)).distinct()
+    return properties.join(keys, [F.col(n) == F.col(f"_{n}") for n in names], "left_semi")
+
+
+def ranked_ids(found: DataFrame, f: SearchFilters) -> DataFrame:
+    """id and at of all matching rows in the order that f asks; no page."""
+    return session.numbered(found, ordering(f.sort, "distance_km" in found.columns), "at").select("id", "at")
+
+
+def recent(properties: DataFrame, limit: int) -> DataFrame:
+    """The rows seen last, the newest first."""
+    order = [F.desc("first_seen_at"), F.asc("id")]
+    return numbered(properties.orderBy(*order).limit(limit), order)
+
+
+def added_since(properties: DataFrame, since: str, limit: int) -> DataFrame:
+    """Rows first seen after a time, the newest first."""
+    return recent(properties.filter(F.col("first_seen_at") > F.lit(since).cast("timestamp")), limit)
+
+
+def with_reactions(properties: DataFrame, reactions: DataFrame) -> DataFrame:
+    """properties with reaction (type) and reaction_archived; null where there is none."""
+    own = reactions.select(F.col("property_id").alias("_rid"), F.col("type").alias("reaction"), F.col("archived").alias("reaction_archived"))
+    return properties.join(own, F.col("id") == F.col("_rid"), "left").drop("_rid")
 
 
 def with_publications(properties: DataFrame, publications: DataFrame) -> DataFrame:
@@ -157,10 +203,12 @@ def mappable(df: DataFrame) -> DataFrame:
 def window_then_rank(found: DataFrame, score: Column, f: SearchFilters, window: int = PAGE_MOST) -> DataFrame:
     """Sorting by compatibility: the first ``window`` rows by price, ranked by score, then paged."""
     first = found.orderBy("price", "id").limit(window)
-    return first.withColumn("score", score).orderBy(F.desc(F.coalesce("score", F.lit(0.0))), "price", "id").offset(f.offset).limit(f.limit)
+    order = [F.desc(F.coalesce("score", F.lit(0.0))), F.asc("price"), F.asc("id")]
+    return numbered(first.withColumn("score", score).orderBy(*order).offset(f.offset).limit(f.limit), order, offset=f.offset)
 
 
 def keyset_page(log: DataFrame, limit: int, before_id: int | None = None) -> DataFrame:
-    """limit + 1 rows older than an id; the last says if there are more."""
+    """limit + 1 rows older than an id, with their places; the last says if there are more."""
     own = log if before_id is None else log.filter(F.col("id") < before_id)
-    return own.orderBy(F.desc("created_at"), F.desc("id")).limit(limit + 1)
+    order = [F.desc("created_at"), F.desc("id")]
+    return numbered(own.orderBy(*order).limit(limit + 1), order)

@@ -6,8 +6,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from foyer.functions.scalars import half_up, week_label
+from foyer.functions.scalars import euros, half_up, photo_key, week_label
 from foyer.schemas import SOURCES
+from foyer.session import numbered
 
 
 def active_properties(properties: DataFrame, publications: DataFrame, source: str | None = None) -> DataFrame:
@@ -65,9 +66,21 @@ def by_day(df: DataFrame, ts: str) -> DataFrame:
     return df.groupBy(F.date_format(ts, "yyyy-MM-dd").alias("day")).agg(F.count("*").alias("n"))
 
 
-def activity_by_day(publications: DataFrame) -> DataFrame:
-    """Three series full-joined by day: all, active and inactive publications by their latest scrape."""
-    return publications.groupBy(F.date_format("scraped_at", "yyyy-MM-dd").alias("day")).agg(F.count("*").alias("scrapes"), F.count_if("is_active").alias("active"), F.count_if(~F.col("is_active")).alias("deactivations"))
+def activity_by_day(properties: DataFrame, publications: DataFrame, since: str | None = None) -> DataFrame:
+    """day, new_properties, scrapes, deactivations: three series joined in full by day, with 0 where one has no row.
+
+    Properties count on the day they were first seen, publications on the day of their
+    latest scrape, inactive ones on the day of their last update; each from since on.
+    """
+    after = lambda df, c: df if since is None else df.filter(F.col(c) >= F.lit(since).cast("timestamp_ntz"))
+    series = {
+        "new_properties": by_day(after(properties, "first_seen_at"), "first_seen_at"),
+        "scrapes": by_day(after(publications, "scraped_at"), "scraped_at"),
+        "deactivations": by_day(after(publications.filter("not is_active"), "updated_at"), "updated_at"),
+    }
+    named = [df.withColumnRenamed("n", name) for name, df in series.items()]
+    joined = named[0].join(named[1], "day", "full").join(named[2], "day", "full")
+    return joined.na.fill(0, list(series)).select("day", *series)
 
 
 def reactions_by_week(log: DataFrame) -> DataFrame:
@@ -77,7 +90,7 @@ def reactions_by_week(log: DataFrame) -> DataFrame:
 
 
 def price_histogram(active: DataFrame, buckets: int = 8) -> DataFrame:
-    """bucket, low, high, n of equal steps; the last bucket ends at the maximum, empty ones are left out.
+    """bucket, label, low, high, n of equal steps; a bucket ends one below the next, the last at the maximum; empty ones are left out.
 
     The limits are one row joined back; prices are aggregated to buckets before any shuffle.
     """
@@ -86,8 +99,8 @@ def price_histogram(active: DataFrame, buckets: int = 8) -> DataFrame:
     at = F.when(F.col("hi") == F.col("lo"), 0).otherwise(F.least(F.floor((F.col("price") - F.col("lo")) / step), F.lit(buckets - 1)))
     counted = active.select("price").crossJoin(F.broadcast(limits)).groupBy(at.alias("bucket"), "lo", "hi").agg(F.count("*").alias("n"))
     low = F.col("lo") + F.col("bucket") * step
-    high = F.when((F.col("bucket") == buckets - 1) | (F.col("hi") == F.col("lo")), F.col("hi")).otherwise(low + step)
-    return counted.select("bucket", low.alias("low"), high.alias("high"), "n")
+    high = F.when((F.col("bucket") == buckets - 1) | (F.col("hi") == F.col("lo")), F.col("hi")).otherwise(low + step - 1)
+    return counted.select("bucket", low.alias("low"), high.alias("high"), "n").withColumn("label", F.when(F.col("low") == F.col("high"), euros(F.col("low"))).otherwise(F.concat(euros(F.col("low")), F.lit(" – "), euros(F.col("high")))))
 
 
 def snapshot(properties: DataFrame, publications: DataFrame, day: str) -> DataFrame:
@@ -115,20 +128,10 @@ def backfill(snapshots: DataFrame, row: DataFrame, first: str, last: str) -> Dat
 
 def overused_photos(publications: DataFrame, least: int = 3) -> DataFrame:
     """Photo urls that many properties use: syndicated pictures."""
-    from foyer.functions.scalars import photo_key
-
     urls = publications.select("property_id", F.explode("image_urls").alias("url"))
     return urls.groupBy("url").agg(F.countDistinct("property_id").alias("n")).filter(F.col("n") >= least).select(photo_key(F.col("url")).alias("photo")).distinct()
 
 
 def ranked(df: DataFrame, score: str = "score") -> DataFrame:
-    """rank 1..n by score (null counts as 0), then id, and the total.
-
-    A range of scores is ordered in one task: a score's place is the number of higher
-    rows, from counts per whole score, plus its place among those of its own.
-    """
-    own = df.withColumn("_s", F.coalesce(score, F.lit(0.0))).withColumn("_b", F.floor("_s"))
-    counts = own.groupBy("_b").agg(F.count("*").alias("_n"))
-    before = counts.select("_b", (F.sum("_n").over(W.orderBy(F.desc("_b"))) - F.col("_n")).alias("_above"), F.sum("_n").over(W.partitionBy()).alias("rank_total"))
-    within = F.row_number().over(W.partitionBy("_b").orderBy(F.desc("_s"), "id"))
-    return own.join(before, "_b").withColumn("rank", (F.col("_above") + within).cast("long")).drop("_b", "_s", "_above")
+    """rank 1..n by score (null counts as 0), then id, and rank_total."""
+    return numbered(df, [F.desc(F.coalesce(score, F.lit(0.0))), F.asc("id")], "rank")

@@ -2,30 +2,13 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
-
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from foyer.functions import scalars as S
-from foyer.operators import certificates, enrichment, learning, matching, projection, reactions, search, stats
-from foyer.plans.fixtures import Tables, with_views
-
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
-ORACLE_SQL: dict[str, str] = {}
-
-
-def query(sql: str | None = None):
-    """Registers a function of Tables under its name, with its SQL over the derived tables."""
-
-    def add(f):
-        QUERIES[f.__name__] = lambda spark, sf_dir: f(Tables(spark, sf_dir))
-        if sql:
-            ORACLE_SQL[f.__name__] = with_views(sql)
-        return f
-
-    return add
-
+from foyer.operators import certificates, enrichment, learning, matching, photos, projection, reactions, search, stats
+from foyer.plans.fixtures import Tables
+from foyer.plans.registry import ORACLE_SQL, QUERIES, query, rounded  # noqa: F401  the driver reads both from here
 
 ACTIVE = "select p.* from properties p where exists (select 1 from publications u where u.property_id = p.id and u.is_active)"
 
@@ -34,11 +17,6 @@ def _active(t: Tables) -> DataFrame:
     return stats.active_properties(t.properties, t.publications)
 
 
-def _rounded(df: DataFrame, *names: str, digits: int = 6) -> DataFrame:
-    """Doubles as whole millionths, so that both engines agree to the last digit shown."""
-    return df.withColumns({n: F.floor(F.col(n) * 10**digits + 0.5).cast("long") for n in names})
-
-
 def _stored(t: Tables) -> DataFrame:
     """Properties with the columns that only the store has."""
     return t.properties.withColumn("has_price_drop", F.col("first_price") > F.col("price")).withColumn("first_seen_at", -F.col("age_days"))
@@ -80,9 +58,11 @@ def a11_multi_source(t):
     return stats.multi_source(t.publications)
 
 
-@query("select strftime(scraped_at, '%Y-%m-%d') as day, count(*) as scrapes, count(*) filter (is_active) as active, count(*) filter (not is_active) as deactivations from publications group by 1")
+@query("""with n as (select strftime(first_seen, '%Y-%m-%d') as day, count(*) as n from properties group by 1), s as (select strftime(scraped_at, '%Y-%m-%d') as day, count(*) as n from publications group by 1),
+  d as (select strftime(updated_at, '%Y-%m-%d') as day, count(*) as n from publications where not is_active group by 1)
+  select day, coalesce(n.n, 0) as new_properties, coalesce(s.n, 0) as scrapes, coalesce(d.n, 0) as deactivations from n full join s using (day) full join d using (day)""")
 def a12_j15_activity_by_day(t):
-    return stats.activity_by_day(t.publications)
+    return stats.activity_by_day(t.properties.withColumnRenamed("first_seen", "first_seen_at"), t.publications)
 
 
 @query("select strftime(ts, '%Y-W%W') as week, count(*) filter (action = 'like') as likes, count(*) filter (action = 'dislike') as dislikes from reaction_log where action in ('like', 'dislike') group by 1")
@@ -90,9 +70,13 @@ def a13_reactions_by_week(t):
     return stats.reactions_by_week(t.reaction_log)
 
 
+def _label(c: str) -> str:
+    return f"regexp_replace(format('{{:,}}', {c}), ',', chr(8239), 'g') || chr(160) || '€'"
+
+
 @query(f"""with active as ({ACTIVE}), l as (select min(price) as lo, max(price) as hi, greatest(cast(ceil((max(price) - min(price)) / 8.0) as bigint), 1) as step from active),
   b as (select case when hi = lo then 0 else least((price - lo) // step, 7) end as bucket, lo, hi, step from active cross join l)
-  select bucket, lo + bucket * step as low, case when bucket = 7 or hi = lo then hi else lo + (bucket + 1) * step end as high, count(*) as n from b group by all""")
+  select bucket, lo + bucket * step as low, case when bucket = 7 or hi = lo then hi else lo + (bucket + 1) * step - 1 end as high, count(*) as n, {_label('low')} || case when low = high then '' else ' – ' || {_label('high')} end as label from b group by bucket, lo, hi, step""")
 def a14_price_histogram(t):
     return stats.price_histogram(_active(t))
 
@@ -110,21 +94,21 @@ def a18_s23_snapshot(t):
     return stats.upsert_snapshot(row.limit(0), row)
 
 
-@query("""with d as (select distinct strftime(ts, '%Y-%m-%d') as date from events where event_id % 3 = 0 and date_part('day', ts) % 2 = 0)
+@query("""with d as (select distinct strftime(ts + interval 1 day * (event_id % 2) * 7, '%Y-%m-%d') as date from events)
   select strftime(x, '%Y-%m-%d') as date from generate_series(date '2024-01-01', date '2024-02-05', interval 1 day) g(x) where strftime(x, '%Y-%m-%d') not in (select date from d)""")
 def u05_missing_days(t):
-    days = t.events.filter("event_id % 3 = 0 and day(ts) % 2 = 0").select(F.date_format("ts", "yyyy-MM-dd").alias("date")).distinct()
+    days = t.events.select(F.date_format(F.expr("ts + make_dt_interval(cast(event_id % 2 * 7 as int))"), "yyyy-MM-dd").alias("date")).distinct()
     return stats.missing_days(days, "2024-01-01", "2024-02-05")
 
 
-@query("select count(*) filter (type = 'like') as likes, count(*) filter (type = 'dislike') as dislikes from reactions")
+@query("select count(*) filter (type = 'like') as likes, count(*) filter (type = 'dislike') as dislikes from reactions where event_id % 8 <> 0")
 def a16_reaction_counts(t):
-    return reactions.counts(t.reactions.withColumn("archived", F.lit(False)))
+    return reactions.counts(_reactions(t))
 
 
-@query("select count(*) filter (user_id % 3 = 0) > 0 or count(*) = 0 as send from events where event_id < 100")
+@query("select count(*) filter (user_id % 3 = 0) > 0 or count(*) = 0 as send from events")
 def a17_notify_household(t):
-    return reactions.notify_household(t.events.filter("event_id < 100").select((F.col("user_id") % 3 == 0).alias("enabled")))
+    return reactions.notify_household(t.events.select((F.col("user_id") % 3 == 0).alias("enabled")))
 
 
 @query(f"with active as ({ACTIVE}) select id, first_price, price, first_price - price as price_drop from active where first_price > price order by price_drop desc, id limit 10")
@@ -135,26 +119,31 @@ def o07_largest_drops(t):
 # ---------------------------------------------------------------- search
 
 
-@query(f"""with s as ({STORED}) select id, price from s where price between 100000 and 150000 and surface >= 30 and rooms >= 2 and exists (select 1 from publications u where u.property_id = s.id and u.is_active and u.source = 'seloger')
-  and not exists (select 1 from reactions r where r.property_id = s.id) order by price desc, id limit 50 offset 10""")
+def _page_sql(sql: str, offset: int = 0) -> str:
+    """SQL of a page with its rows' places."""
+    return f"select row_number() over () + {offset} as at, * from ({sql})"
+
+
+@query(_page_sql(f"""with s as ({STORED}) select id, price from s where price between 90000 and 190000 and surface >= 20 and land_surface >= 150 and rooms >= 2 and bedrooms >= 1 and exists (select 1 from publications u where u.property_id = s.id and u.is_active and u.source = 'seloger')
+  and not exists (select 1 from reactions r where r.property_id = s.id) order by price desc, id limit 50 offset 3""", 3))
 def p01_o01_o03_search(t):
-    f = search.SearchFilters(min_price=100000, max_price=150000, min_surface=30, min_rooms=2, source="seloger", without_reaction=True, sort="price_desc", offset=10, limit=50)
-    return search.search(_stored(t), t.publications, t.reactions, f).select("id", "price")
+    f = search.SearchFilters(min_price=90000, max_price=190000, min_surface=20, min_land_surface=150, min_rooms=2, min_bedrooms=1, source="seloger", without_reaction=True, sort="price_desc", offset=3, limit=50)
+    return search.search(_stored(t), t.publications, t.reactions, f).select("at", "id", "price")
 
 
-@query(f"""with s as ({STORED}) select id, price from s where translate(city, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') like '%brand#1%' and not is_new_property and first_price > price
-  and exists (select 1 from publications u where u.property_id = s.id and u.is_active) order by price, id limit 100""")
+@query(_page_sql(f"""with s as ({STORED}) select id, price from s where translate(city, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') like '%brand#1%' and not is_new_property and first_price > price
+  and exists (select 1 from publications u where u.property_id = s.id and u.is_active) order by price, id limit 100"""))
 def p01a_p01d_p01i_old_drops(t):
     f = search.SearchFilters(city="bRAND#1", old_only=True, price_drop_only=True, limit=100)
-    return search.search(_stored(t), t.publications, None, f).select("id", "price")
+    return search.search(_stored(t), t.publications, None, f).select("at", "id", "price")
 
 
-@query(f"""with s as ({STORED}), said as (select distinct property_id from publications where is_active and contains(lower(description), '2-high'))
-  select id from s where exists (select 1 from publications u where u.property_id = s.id and u.is_active) and (contains(lower(title), 'blue') or id in (select property_id from said)) order by first_seen_at desc, id limit 200""")
+@query(_page_sql(f"""with s as ({STORED}), said as (select distinct property_id from publications where is_active and contains(lower(description), '2-high'))
+  select id from s where exists (select 1 from publications u where u.property_id = s.id and u.is_active) and (contains(lower(title), 'blue') or id in (select property_id from said)) order by first_seen_at desc, id limit 200"""))
 def p01g_text_search(t):
     f = search.SearchFilters(text="2-HIGH", sort="date_desc", limit=200)
     found = [search.matching(_stored(t), t.publications, None, search.SearchFilters(text=x)) for x in ("2-HIGH", "blue")]
-    return search.page(found[0].unionByName(found[1]).distinct(), f).select("id")
+    return search.page(found[0].unionByName(found[1]).distinct(), f).select("at", "id")
 
 
 HAVERSINE = "6371 * 2 * atan2(sqrt(a), sqrt(1 - a))"
@@ -165,12 +154,12 @@ def _km(lat: str, lng: str) -> str:
     return HAVERSINE.replace("(a)", f"({a})").replace("1 - a", f"1 - ({a})")
 
 
-@query(f"""with s as ({STORED}), d as (select id, surface, {_km('48.5', '2.5')} as km from s where latitude is not null and exists (select 1 from publications u where u.property_id = s.id and u.is_active))
-  select id, cast(floor(km * 1000 + 0.5) as bigint) as meters from d where km <= 45 / 60.0 * 50 order by coalesce(surface, 0) desc, km, id limit 40 offset 5""")
+@query(_page_sql(f"""with s as ({STORED}), d as (select id, surface, {_km('48.5', '2.5')} as km from s where latitude is not null and exists (select 1 from publications u where u.property_id = s.id and u.is_active))
+  select id, cast(floor(km * 1000 + 0.5) as bigint) as meters from d where km <= 45 / 60.0 * 50 order by coalesce(surface, 0) desc, km, id limit 40 offset 5""", 5))
 def p02_p03_o02_geo_search(t):
     f = search.SearchFilters(city="ignored", travel_minutes=45, sort="surface_desc", limit=40, offset=5)
     found = search.search(_stored(t), t.publications, None, f, center=(48.5, 2.5))
-    return found.select("id", F.floor(F.col("distance_km") * 1000 + 0.5).cast("long").alias("meters"))
+    return found.select("at", "id", F.floor(F.col("distance_km") * 1000 + 0.5).cast("long").alias("meters"))
 
 
 @query("select count(*) as total from properties p where price >= 120000 and exists (select 1 from publications u where u.property_id = p.id and u.is_active)")
@@ -178,9 +167,9 @@ def o04_total(t):
     return search.total(search.matching(_stored(t), t.publications, None, search.SearchFilters(min_price=120000)))
 
 
-@query("select id, price from properties where id in (5, 17, 3, 999)")
+@query('select "at", id, price from properties join (values (1, 17), (2, 3), (3, 999), (4, 5)) w("at", wanted) on id = wanted')
 def s04_by_ids(t):
-    return search.by_ids(t.properties, [17, 3, 999, 5, 123456789]).select("id", "price")
+    return search.by_ids(t.properties, [17, 3, 999, 5, 123456789]).select("at", "id", "price")
 
 
 @query("select p.id, count(u.id) as n, sum(u.price) as total from properties p left join publications u on u.property_id = p.id group by p.id")
@@ -194,10 +183,10 @@ def p15_mappable(t):
     return search.mappable(t.properties).agg(F.count("*").alias("n"))
 
 
-@query("select event_id as id from events where event_id < 500 order by ts desc, event_id desc limit 21")
+@query(_page_sql("select event_id as id from events where event_id < 500 order by ts desc, event_id desc limit 21"))
 def p14_o10_keyset_page(t):
     log = t.events.select(F.col("event_id").alias("id"), F.col("ts").alias("created_at"))
-    return search.keyset_page(log, 20, 500).select("id")
+    return search.keyset_page(log, 20, 500).select("at", "id")
 
 
 @query("select property_id as id from publications except select id from properties union all (select id from properties except select property_id from publications)")
@@ -205,14 +194,47 @@ def j02_orphans(t):
     return matching.without_publications(t.properties, t.publications).select("id")
 
 
-@query("select p.id, r.type from properties p join reactions r on r.property_id = p.id")
-def j04_j05_reacted(t):
-    return t.properties.join(t.reactions, F.col("id") == F.col("property_id")).select("id", "type")
+def _reactions(t: Tables) -> DataFrame:
+    """The latest reactions; each eighth is archived."""
+    return t.reactions.withColumns({"archived": F.col("event_id") % 8 == 0, "created_at": F.col("event_id")})
+
+
+@query("select p.id, r.type as reaction, r.event_id % 8 = 0 as reaction_archived from properties p left join reactions r on r.property_id = p.id")
+def j05_reaction_map(t):
+    return search.with_reactions(t.properties, _reactions(t)).select("id", "reaction", "reaction_archived")
+
+
+@query(_page_sql("select p.id from properties p join reactions r on r.property_id = p.id where r.type = 'like' and r.event_id % 8 <> 0 order by r.event_id desc limit 200"))
+def o08_j04_reaction_page(t):
+    return reactions.listing_page(t.properties, _reactions(t), "like").select("at", "id")
+
+
+@query("select id, latitude, longitude, price, first_seen as first_seen_at, surface from properties where id = 17")
+def s02_s03_lean_by_id(t):
+    return search.lean(search.by_id(t.properties.withColumnRenamed("first_seen", "first_seen_at"), 17))
+
+
+@query("select id from properties where postal_code in (select lpad(cast(75000 + id % 60 as varchar), 5, '0') from publications where not is_active)")
+def s06_of_postal_codes(t):
+    listed = t.publications.filter("not is_active").select(F.lpad((F.col("id") % 60 + 75000).cast("string"), 5, "0").alias("postal_code"))
+    return search.of_keys(t.properties, listed, "postal_code").select("id")
+
+
+@query(f"""with s as ({STORED}) select row_number() over (order by price desc, id) as at, id from s where price >= 90500 and exists (select 1 from publications u where u.property_id = s.id and u.is_active)""")
+def o05_ranked_ids(t):
+    f = search.SearchFilters(min_price=90500, sort="price_desc")
+    return search.ranked_ids(search.matching(_stored(t), t.publications, None, f), f)
 
 
-@query("select p.id from properties p join reactions r on r.property_id = p.id where r.type = 'like' order by r.event_id desc limit 200")
-def o08_reaction_page(t):
-    return reactions.listing_page(t.properties, t.reactions, "like").select("id")
+@query(_page_sql("select id from properties where first_seen > timestamp '2024-01-05' order by first_seen desc, id limit 60"))
+def o06_added_since(t):
+    return search.added_since(t.properties.withColumnRenamed("first_seen", "first_seen_at"), "2024-01-05 00:00:00", 60).select("at", "id")
+
+
+@query(_page_sql("""with w as (select * from properties order by price, id limit 100) select id from w order by coalesce(case when surface is not null then surface * 100 / price end, 0) desc, price, id limit 20 offset 10""", 10))
+def o09_window_then_rank(t):
+    f = search.SearchFilters(offset=10, limit=20)
+    return search.window_then_rank(t.properties, F.col("surface") * 100 / F.col("price"), f).select("at", "id")
 
 
 # ---------------------------------------------------------------- projection
@@ -265,17 +287,24 @@ def p20_publication_deltas(t):
 
 
 def _with_arrays(publications: DataFrame) -> DataFrame:
-    """Arrays and maps from the scalar columns of the derived table."""
+    """Arrays and maps from the scalar columns of the derived table; looks of pictures whose names end alike differ in a few bits."""
     pictures = F.array_compact(F.array("image_a", "image_b"))
-    look = F.transform(pictures, lambda u: F.substring(F.md5(u), 1, 16))
+    name = lambda u: F.regexp_replace(u, r"[?#].*$", "")
+    look = F.transform(pictures, lambda u: F.concat(F.substring(F.md5(F.regexp_extract(name(u), r"([0-9])\.jpg$", 1).cast("binary")), 1, 12), F.substring(F.md5(name(u)), 1, 4)))
     return publications.withColumn("image_urls", pictures).withColumn("highlights", F.array("highlight_a", "highlight_b")).withColumn("highlights", F.array_compact("highlights")).withColumn("image_local_hashes", F.map_from_arrays(pictures, F.transform(pictures, F.md5))).withColumn("image_perceptual_hashes", F.map_from_arrays(pictures, look))
 
 
-@query("""with u as (select property_id, source, id, x.url, i from publications, (values (1), (2)) k(i), lateral (select case i when 1 then image_a else image_b end as url) x where is_active and x.url is not null),
-  o as (select property_id, regexp_replace(url, '[?#].*$', '') as k from u) select a.property_id, count(distinct k) as n from o a group by 1""")
+@query(f"""with recursive u as (select property_id, {RANK} as r, id, i, x.url from publications, (values (1), (2)) k(i), lateral (select case i when 1 then image_a else image_b end as url) x where is_active and x.url is not null),
+  o as (select property_id, row_number() over (partition by property_id order by r, id, i) as n, url, regexp_replace(url, '[?#].*$', '') as k from u),
+  p as (select *, md5(url) as content, substr(md5(regexp_extract(k, '([0-9])[.]jpg$', 1)), 1, 12) || substr(md5(k), 1, 4) as look from o),
+  s(property_id, n, ks, contents, looks, shown) as (select distinct property_id, cast(0 as bigint), cast([] as varchar[]), cast([] as varchar[]), cast([] as varchar[]), cast([] as varchar[]) from p
+    union all select x.property_id, x.n, case when hit then ks else list_append(ks, x.k) end, case when hit then contents else list_append(contents, x.content) end, case when hit then looks else list_append(looks, x.look) end, case when hit then shown else list_append(shown, '/api/media/' || x.content) end
+    from (select s.*, p.n as pn, p.k, p.content, p.look as plook, list_contains(ks, p.k) or list_contains(contents, p.content) or len(list_filter(looks, lambda y: y[1:12] = p.look[1:12] and bit_count(xor(cast(concat('0x', y[13:16]) as bigint), cast(concat('0x', p.look[13:16]) as bigint))) <= 8)) > 0 as hit
+      from s join p on p.property_id = s.property_id and p.n = s.n + 1) q, lateral (select q.property_id, q.pn as n, q.k, q.content, q.plook as look) x)
+  select s.property_id, array_to_string(shown, '|') as photos from s join (select property_id, max(n) as n from p group by 1) m on m.property_id = s.property_id and m.n = s.n""")
 def w08_photo_sequence(t):
-    merged = projection.photos(_with_arrays(t.publications), most_bits=-1)
-    return merged.select("property_id", F.size("photos").cast("long").alias("n")).filter("n > 0")
+    merged = projection.photos(_with_arrays(t.publications))
+    return merged.filter(F.size("photos") > 0).select("property_id", F.array_join(F.transform("photos", lambda x: x["url"]), "|").alias("photos"))
 
 
 # ---------------------------------------------------------------- matching
@@ -303,9 +332,9 @@ def f05_property_key(t):
     return matching.keyed(t.publications).select("id", "property_key")
 
 
-@query(f"with k as (select id, {_KEY.replace('cast(price as varchar)', 'cast(price // 200000 as varchar)')} as property_key from publications) select property_key, count(*) as n, min(id) as canonical from k group by 1 having count(*) > 1")
+@query(f"with k as (select id, {_KEY} as property_key from relisted) select property_key, count(*) as n, min(id) as canonical from k group by 1 having count(*) > 1")
 def a19_strict_groups(t):
-    return matching.strict_groups(t.publications.withColumn("price", F.expr("price div 200000")))
+    return matching.strict_groups(t.relisted)
 
 
 def _score_sql(a: str, b: str) -> tuple[str, str]:
@@ -335,7 +364,7 @@ def f07_t03_pair_scores(t):
     rows = t.publications.filter("is_active")
     score, veto = matching.pair_score()
     pairs = matching.sided(rows, "a_", "id", "property_id").join(matching.sided(rows, "b_", "id", "property_id"), (F.col("a_postal_code") == F.col("b_postal_code")) & (F.col("a_property_id") == F.col("b_property_id")) & (F.col("a_id") < F.col("b_id")))
-    return _rounded(pairs.select("a_id", "b_id", score.alias("score"), veto.alias("veto")), "score")
+    return rounded(pairs.select("a_id", "b_id", score.alias("score"), veto.alias("veto")), "score")
 
 
 _PAIRS = f"""select distinct a.property_id as a_property_id, b.property_id as b_property_id from ({_SAMPLE}) a join ({_SAMPLE}) b on a.postal_code = b.postal_code and a.property_id < b.property_id and abs(a.price - b.price) <= 0.0200001 * greatest(a.price, b.price)
@@ -384,18 +413,11 @@ def u04_m06_deactivated(t):
     return matching.deactivated(t.publications, _new_listings(t)).select("id", "is_active")
 
 
-@query()
-def m01_t06_assign(t):
-    """New listings of half of the publications against the properties of the others; the order decides."""
-    rows = t.publications.withColumn("agency_slug", S.agency(F.col("external_id"))[0])
-    return matching.assign(rows.filter("id % 2 = 0").withColumnRenamed("id", "pos"), rows.filter("id % 2 = 1"))
-
-
-_MAP = "select id as duplicate, id - id % 3 as canonical from properties where id % 3 <> 0 and id < 900"
+_MAP = "select id as duplicate, id - id % 3 as canonical from properties where id % 3 <> 0"
 
 
 def _mapping(t: Tables) -> DataFrame:
-    return t.properties.filter("id % 3 <> 0 and id < 900").select(F.col("id").alias("duplicate"), (F.col("id") - F.col("id") % 3).alias("canonical"))
+    return t.properties.filter("id % 3 <> 0").select(F.col("id").alias("duplicate"), (F.col("id") - F.col("id") % 3).alias("canonical"))
 
 
 @query(f"""with m as ({_MAP}), low as (select canonical, min(first_price) as low from m join properties p on p.id = m.duplicate group by 1)
@@ -451,7 +473,7 @@ def _scores_sql() -> str:
 @query(f"with {_scores_sql()} select id, cast(floor(score * 10000 + 0.5) as bigint) as score from s")
 def l03_j10_scores(t):
     scored = learning.score(t.properties, _training(t, "like"), _training(t, "dislike"), WEIGHTS)
-    return _rounded(scored.select("id", "score"), "score", digits=4)
+    return rounded(scored.select("id", "score"), "score", digits=4)
 
 
 @query(f"with {_scores_sql()}, r as (select id, round(score, 9) as score from s) select id, row_number() over (order by coalesce(score, 0) desc, id) as rank, count(*) over () as rank_total from r")
@@ -492,10 +514,10 @@ def a24_home_ground(t):
     return learning.home_ground(_training(t, "like")).select(S.half_up(F.col("max_km") * 1000).alias("max_m"))
 
 
-@query(f"with {_scores_sql()} select id from s where score >= 40 order by score desc, id limit 25")
+@query(f"with {_scores_sql()} select id from s where score >= 40 order by round(score, 9) desc, id limit 25")
 def o11_backfill_candidates(t):
     scored = learning.score(t.properties, _training(t, "like"), _training(t, "dislike"), WEIGHTS)
-    return learning.backfill_candidates(scored.select("id", "score"), 40, 25).select("id")
+    return learning.backfill_candidates(scored.select("id", F.round("score", 9).alias("score")), 40, 25).select("id")
 
 
 @query("select id from properties p where not exists (select 1 from reactions r where r.property_id = p.id) and id % 10 <> 0 order by price, id limit 100")
@@ -511,20 +533,60 @@ def o12_pick(t):
 
 # ---------------------------------------------------------------- certificates, reactions, enrichment, text
 
-_HOMES = "select id, case when id % 2 = 0 then '75' else '76' end as department, dpe_class, case when id % 4 = 0 then null else ges_class end as ges_class, cast(id % 300 as double) as consumption, cast(null as double) as emission, latitude, longitude from properties"
-_POINTS = "(case when c.dpe_class = h.dpe_class then 30 else 0 end) + (case when c.ges_class = h.ges_class then 30 else 0 end) + coalesce(greatest(0, 50 * (1 - abs(h.consumption - c.consumption) / 2)), 0) + case when km <= 0.5 then 40 when km <= 2 then 25 when km <= 5 then 10 else 0 end"
+NOW = "2024-01-15 00:00:00"
+_STOP = ", ".join(f"'{w}'" for w in S.PLACE_STOPWORDS)
+_STREET = S.STREET_NAME.replace("(?iu)", "(?i)").replace("'", "''")
+_HINTS = f"""list_distinct(list_filter(list_transform(list_concat(regexp_split_to_array(title, '[\\s,-]+'), regexp_extract_all(title, '{_STREET}', 1), coalesce(regexp_split_to_array(description, '[\\s,-]+'), []), coalesce(regexp_extract_all(description, '{_STREET}', 1), [])),
+  lambda x: regexp_replace(strip_accents(lower(x)), '[^a-z0-9]', '', 'g')), lambda x: length(x) >= 4 and x not in ({_STOP})))"""
+_PAIRED = f"""h as (select *, substr(postal_code, 1, 2) as department, {_HINTS} as hints from homes), c as (select *, trim(regexp_replace(strip_accents(lower(address)), '\\s+', ' ', 'g')) as norm from certificates),
+  j as (select h.id as home_id, h.dpe_class as hd, h.ges_class as hg, h.consumption as hc, h.emission as he, h.surface as hs, h.construction_year as hy, h.hints, c.*, {_km('c.latitude', 'c.longitude').replace('radians(latitude', 'radians(h.latitude').replace('longitude -', 'h.longitude -')} as km
+    from h join c on h.department is not null and (c.department is null or c.department = h.department) and (h.dpe_class is null or h.dpe_class = c.dpe_class) and (h.ges_class is null or h.ges_class = c.ges_class)
+      and (h.consumption is null or coalesce(abs(h.consumption - c.consumption) <= 2, false)) and (h.emission is null or coalesce(abs(h.emission - c.emission) <= 1, false)))"""
+_SCORED = f"""s as (select home_id, number_, norm, (case when hd = dpe_class then 30 else 0 end) + (case when hg = ges_class then 30 else 0 end) + coalesce(50 * (1 - abs(hc - consumption) / 2), 0) + coalesce(30 * (1 - abs(he - emission) / 1), 0)
+    + case when hs > 0 and surface is not null then greatest(0, 20 * (1 - abs(hs - surface) / (hs * 0.25::double))) else 0 end + case when km <= 0.5 then 40 when km <= 2 then 25 when km <= 5 then 10 else 0 end
+    + coalesce(list_sum(list_transform(hints, lambda x: case when contains(norm, x) then least(25, length(x) + 10) else 0 end)), 0) + case when abs(hy - construction_year) = 0 then 10 when abs(hy - construction_year) <= 5 then 5 else 0 end
+    + case when timestamp '{NOW}' >= established and timestamp '{NOW}' < established + interval 730 day then 5 else 0 end as score from j)"""
+
+
+@query(f"""with {_PAIRED}, {_SCORED}, o as (select home_id, number_, score from (select *, row_number() over (partition by home_id, norm order by score desc, number_) as n from s) where n = 1),
+  r as (select *, row_number() over (partition by home_id order by score desc, number_) as rank from o) select home_id, rank, number_, cast(floor(score * 1000 + 0.5) as bigint) as score from r where rank <= 5""")
+def j09_w06_p11_f15_f16_certificate_ranks(t):
+    return rounded(certificates.rank(t.homes, t.certificates, NOW), "score", digits=3)
+
 
+def _variants_sql() -> str:
+    """For each search of a home the certificates that it finds; the first search with some stays."""
+    def metric(n: str, c: str, tolerance: int, mode: str) -> str:
+        around = f"coalesce({c} between greatest(0, floor({n} + 0.5) - {tolerance}) and floor({n} + 0.5) + {tolerance}, false)"
+        exact = f"case when abs({n} - floor({n} + 0.5)) < 0.05 then coalesce({c} = floor({n} + 0.5), false) else {around} end"
+        return f"({n} is null or {exact if mode == 'exact' else around})"
 
-@query(f"""with h as ({_HOMES}), c as (select *, trim(regexp_replace(strip_accents(lower(address)), '[^a-z0-9]+', ' ', 'g')) as norm from certificates),
-  j as (select h.id as home_id, number_, norm, h.dpe_class as hd, h.ges_class as hg, h.consumption as hc, c.dpe_class as cd, c.ges_class as cg, c.consumption as cc, {_km('c.latitude', 'c.longitude').replace('radians(latitude', 'radians(h.latitude').replace('longitude -', 'h.longitude -')} as km
-    from h join c on h.department = c.department and h.dpe_class = c.dpe_class where (h.ges_class is null or h.ges_class = c.ges_class) and abs(h.consumption - c.consumption) <= 2),
-  s as (select home_id, number_, norm, (case when cd = hd then 30 else 0 end) + (case when cg = hg then 30 else 0 end) + greatest(0, 50 * (1 - abs(hc - cc) / 2)) + case when km <= 0.5 then 40 when km <= 2 then 25 when km <= 5 then 10 else 0 end as score from j),
-  o as (select home_id, number_, score from (select *, row_number() over (partition by home_id, norm order by score desc, number_) as n from s) where n = 1),
-  r as (select *, row_number() over (partition by home_id order by score desc, number_) as rank from o) select home_id, rank, number_, cast(floor(score * 1000 + 0.5) as bigint) as score from r where rank <= 5""")
-def j09_w06_certificate_ranks(t):
-    h = t.properties
-    homes = h.select("id", F.when(F.col("id") % 2 == 0, "75").otherwise("76").alias("department"), "dpe_class", F.when(F.col("id") % 4 == 0, None).otherwise(F.col("ges_class")).alias("ges_class"), (F.col("id") % 300).cast("double").alias("consumption"), F.lit(None).cast("double").alias("emission"), "latitude", "longitude")
-    return _rounded(certificates.rank(homes, t.certificates), "score", digits=3)
+    parts = []
+    for kind, own in (("full", "(hc is not null or he is not null)"), ("degraded", "(hc is null and he is null)")):
+        for k, (name, mode, ges, surface) in enumerate(certificates.VARIANTS[kind]):
+            asked = [own] + ([metric("hc", "consumption", 2, mode), metric("he", "emission", 1, mode)] if mode != "omit" else [])
+            asked += ["(hg is null or hg = ges_class)"] * ges + ["(hs is null or coalesce(surface between floor(hs - hs * 0.25) and ceil(hs + hs * 0.25), false))"] * surface
+            parts.append(f"select home_id, {k} as k, '{name}' as variant, count(*) as n from j where hd is not null and department is not null and {' and '.join(asked)} group by home_id")
+    return " union all ".join(parts)
+
+
+@query(f"with {_PAIRED}, v as ({_variants_sql()}) select home_id, first(variant order by k) as variant, first(n order by k) as n from v group by home_id")
+def p13_certificate_searches(t):
+    return certificates.searched(t.homes, t.certificates)
+
+
+@query("""select id, case when postal_code is null or dpe_class is null then 'unavailable' when consumption is not null or emission is not null then 'full' else 'degraded' end as readiness,
+  coalesce(nullif(concat_ws(' · ', 'dept. ' || substr(postal_code, 1, 2), 'DPE ' || dpe_class, 'GES ' || ges_class, cast(consumption as int) || ' kWh/m²/an', cast(emission as int) || ' kg CO₂/m²/an', cast(surface as int) || ' m² (classement)'), ''), title) as label from homes""")
+def p12_f17_search_readiness(t):
+    c = F.col
+    label = certificates.criteria_label(c("postal_code"), c("dpe_class"), c("ges_class"), c("consumption"), c("emission"), c("surface"), c("title"))
+    return t.homes.select("id", certificates.readiness(c("postal_code"), c("dpe_class"), c("consumption"), c("emission")).alias("readiness"), label.alias("label"))
+
+
+@query("select number_, (select count(*) > 500 from certificates where department = '75') as truncated from certificates where department = '75' order by number_ limit 500")
+def s16_capped_certificates(t):
+    rows, more = certificates.capped(t.certificates.filter("department = '75'"), certificates.CAP, "number_")
+    return rows.select("number_").crossJoin(F.broadcast(more))
 
 
 @query("select number_ % 500 as number_, min_by(pos, coalesce(age, -1) * 1000000 + pos) as pos from (select number_, case when age % 9 = 0 then null else age end as age, number_ as pos from certificates) group by 1")
@@ -539,9 +601,17 @@ def u02_certificate_union(t):
     return both.agg(F.count("*").alias("n"), F.count("emission").alias("known"))
 
 
-@query()
+@query("""with recursive l as (select *, row_number() over (partition by property_id order by ts, event_id) as rn, count(*) over (partition by property_id) as n from reaction_log where action <> 'none'),
+  st(property_id, rn, n, s, archived, since_) as (select distinct property_id, cast(0 as bigint), n, cast(null as varchar), false, cast(null as timestamp) from l
+    union all select l.property_id, l.rn, l.n,
+      case l.action when 'toggle' then case when s = l.type then null else l.type end when 'add' then l.type when 'remove' then case when s = l.type then null else s end
+        when 'undo' then case when s = 'dislike' and l.ts - since_ <= interval 5 second then null else s end else s end,
+      case l.action when 'toggle' then false when 'add' then case when s is distinct from l.type or s = 'like' then false else archived end when 'archive' then s is not null and s = 'like' or archived when 'unarchive' then case when s = 'like' then false else archived end else archived end,
+      case when l.action in ('toggle', 'add') and s is distinct from l.type then l.ts else since_ end
+    from st join l on l.property_id = st.property_id and l.rn = st.rn + 1)
+  select property_id, s as type, archived, epoch_us(since_) as created_at from st where rn = n and s is not null""")
 def m14_reaction_state(t):
-    return reactions.current(t.reaction_log)
+    return reactions.current(t.reaction_log).withColumn("created_at", F.unix_micros("created_at"))
 
 
 @query("""select id, concat_ws(',', case when not (price > 150000) then null end, case when surface is not null and surface <= 0 then 'surface' end, case when latitude not between -90 and 48.9 then null end) as invalid from properties where false
@@ -566,7 +636,7 @@ def f08_week_label(t):
     return t.publications.select("id", S.week_label(F.col("scraped_at").cast("date")).alias("week"))
 
 
-@query("""select id, case when not regexp_matches(c, '^[0-9]{5}$') then null when c like '200%' or c like '201%' then '2A' when c like '20%' then '2B' when c like '97%' or c like '98%' then substr(c, 1, 3) else substr(c, 1, 2) end as department
+@query("""select id, case when not regexp_matches(c, '^[0-9]{5}$') then null when c like '200%' then '2A' when c like '20%' then '2B' when regexp_matches(c, '^97[1-8]') then substr(c, 1, 3) else substr(c, 1, 2) end as department
   from (select id, lpad(cast(id * 997 % 99999 as varchar), 5, '0') as c from properties)""")
 def f12_department(t):
     return t.properties.select("id", S.department(F.lpad((F.col("id") * 997 % 99999).cast("string"), 5, "0")).alias("department"))
@@ -579,9 +649,10 @@ def f27_agency(t):
     return t.publications.select("id", slug.alias("slug"), ref.alias("ref"))
 
 
-@query("select s_suppkey as id, trim(regexp_replace(strip_accents(lower(concat('Île de Ré, 3 Rue d''Été n°', s_name))), '[^a-z0-9]+', ' ', 'g')) as norm from supplier")
+@query("select s_suppkey as id, trim(regexp_replace(strip_accents(lower(concat('Île  de Ré, 3 Rue d''Été Ĺǎ ṩ', s_name))), '\\s+', ' ', 'g')) as norm, trim(regexp_replace(strip_accents(lower(concat('Île  de Ré, 3 Rue d''Été Ĺǎ ṩ', s_name))), '[^a-z0-9]+', ' ', 'g')) as city from supplier")
 def f14_normalized_address(t):
-    return t.supplier.select(F.col("s_suppkey").alias("id"), S.normalize_address(F.concat(F.lit("Île de Ré, 3 Rue d'Été n°"), "s_name")).alias("norm"))
+    said = F.concat(F.lit("Île  de Ré, 3 Rue d'Été Ĺǎ ṩ"), "s_name")
+    return t.supplier.select(F.col("s_suppkey").alias("id"), S.normalize_address(said).alias("norm"), S.normalize_city(said).alias("city"))
 
 
 @query("select id, regexp_replace(format('{:,}', price), ',', chr(8239), 'g') || chr(160) || '€' as label, case when price >= 1000000 then regexp_replace(printf('%.1f', price / 1e6), '\\.0$', '') || 'M' when price >= 1000 then cast(cast(floor(price / 1000.0 + 0.5) as bigint) as varchar) || 'k' else cast(price as varchar) end as short from properties")
@@ -589,18 +660,25 @@ def f37_price_labels(t):
     return t.properties.select("id", S.euros(F.col("price")).alias("label"), S.price_short(F.col("price")).alias("short"))
 
 
-@query("select a.vec_id as a, b.vec_id as b, bit_count(xor(a.h, b.h)) as bits from (select vec_id, cast(concat('0x', substr(md5(cast(vec_id % 100 as varchar)), 1, 8)) as bigint) as h from embeddings where vec_id < 150) a join (select vec_id, cast(concat('0x', substr(md5(cast(vec_id % 100 as varchar)), 1, 8)) as bigint) as h from embeddings where vec_id < 150) b on a.vec_id < b.vec_id where bit_count(xor(a.h, b.h)) <= 8")
+_LOOK = "substr(md5(cast(vec_id % 50 as varchar)), 1, 12) || substr(md5(cast(vec_id % 400 as varchar)), 1, 4)"
+_LOOKS = f"looks as (select min(vec_id) as id, {_LOOK} as look from embeddings group by 2)"
+
+
+def _looks(t: Tables) -> DataFrame:
+    part = lambda n, k: F.substring(F.md5((F.col("vec_id") % n).cast("string").cast("binary")), 1, k)
+    return t.embeddings.select("vec_id", F.concat(part(50, 12), part(400, 4)).alias("look"))
+
+
+@query(f"with {_LOOKS} select a.id as a, b.id as b, bit_count(xor(cast(concat('0x', substr(a.look, 9)) as bigint), cast(concat('0x', substr(b.look, 9)) as bigint))) + bit_count(xor(cast(concat('0x', substr(a.look, 1, 8)) as bigint), cast(concat('0x', substr(b.look, 1, 8)) as bigint))) as bits from looks a join looks b on a.id < b.id where bits <= 8")
 def j14_f31_hamming(t):
-    """Photo hashes within 8 bits, by bands: of nine parts of a hash one must be equal."""
-    rows = t.embeddings.filter("vec_id < 150").select("vec_id", F.substring(F.md5((F.col("vec_id") % 100).cast("string").cast("binary")), 1, 8).alias("h"))
-    return photo_pairs(rows, "vec_id", "h", 32)
-
-
-def photo_pairs(rows: DataFrame, id_: str, look: str, n_bits: int, most: int = 8) -> DataFrame:
-    bits = F.lpad(F.conv(look, 16, 2), n_bits, "0")
-    cuts = [round(k * n_bits / (most + 1)) for k in range(most + 2)]
-    bands = F.array(*(F.concat(F.lit(f"{k}:"), F.substring(bits, a + 1, b - a)) for k, (a, b) in enumerate(zip(cuts, cuts[1:]))))
-    each = rows.select(F.col(id_).alias("a"), F.col(look).alias("la"), F.explode(bands).alias("band"))
-    other = rows.select(F.col(id_).alias("b"), F.col(look).alias("lb"), F.explode(bands).alias("band"))
-    pairs = each.join(other, "band").filter("a < b").withColumn("bits", S.hex_hamming(F.col("la"), F.col("lb"))).filter(F.col("bits") <= most)
-    return pairs.select("a", "b", "bits").distinct()
+    """Pairs of different photo hashes within 8 bits, each hash by its first photo."""
+    return photos.near_looks(_looks(t), "vec_id", "look")[0]
+
+
+@query(f"with {_LOOKS} select vec_id, id as same_as from embeddings join looks on look = {_LOOK}")
+def j14_equal_hashes(t):
+    """The first photo that has the hash of each photo."""
+    return photos.near_looks(_looks(t), "vec_id", "look")[1]
+
+
+from foyer.plans import ingest  # noqa: E402, F401  registers its queries

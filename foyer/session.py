@@ -2,7 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import SparkSession
+import tempfile
+
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Window as W
+from pyspark.sql import functions as F
 
 
 def build_session(name: str = "foyer", shuffle_partitions: int | None = None, master: str | None = None) -> SparkSession:
@@ -19,3 +23,30 @@ def build_session(name: str = "foyer", shuffle_partitions: int | None = None, ma
     if shuffle_partitions:
         builder = builder.config("spark.sql.shuffle.partitions", str(shuffle_partitions))
     return builder.getOrCreate()
+
+
+def kept(df: DataFrame) -> DataFrame:
+    """df from a checkpoint in the folder that spark.checkpoint.dir names, so that its lineage ends there.
+
+    Only a local session without that setting (tests) gets a temporary folder.
+    """
+    spark = df.sparkSession
+    if spark.sparkContext.getCheckpointDir() is None:
+        folder = spark.conf.get("spark.checkpoint.dir", None)
+        if not folder and not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that the whole cluster shares")
+        spark.sparkContext.setCheckpointDir(folder or tempfile.mkdtemp(prefix="foyer-"))
+    return df.checkpoint()
+
+
+def numbered(df: DataFrame, order: list[Column], name: str) -> DataFrame:
+    """df with name, the place of a row in this order from 1, and name_total, the number of rows.
+
+    Ranges of the order are sorted each in one task; their sizes, a row for each, say
+    at which place a range starts.
+    """
+    own = kept(df.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("_at", F.monotonically_increasing_id()))
+    part, within = F.shiftright("_at", 33), F.col("_at").bitwiseAND((1 << 33) - 1)
+    sizes = own.groupBy(part.alias("_part")).agg(F.count("*").alias("_n"))
+    before = sizes.select("_part", (F.sum("_n").over(W.orderBy("_part")) - F.col("_n")).alias("_above"), F.sum("_n").over(W.partitionBy()).alias(f"{name}_total"))
+    return own.join(F.broadcast(before), part == F.col("_part")).withColumn(name, F.col("_above") + within + 1).drop("_part", "_at", "_above")
