@@ -177,38 +177,86 @@ def unpacked(b: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray, Symbols, np.nda
     return keys, n, s, edge, np.cumsum(change[:-1]) > 0, new
 
 
+def first_pairs(texts: list[bytes], names: Names, window: int) -> tuple | None:
+    """Of texts in parts of PART words: text, base and n of each part, and of these laid end to end the symbols after words, runs and the first pairs were named, edges, windows, and where the new names are."""
+    split = [(k, at, words[at : at + PART + window - 1]) for k, text in enumerate(texts) if (words := text.split()) for at in range(0, max(1, len(words) - window + 1), PART)]
+    split = [x for x in split if len(x[2]) >= window]
+    if not split:
+        return None
+    n = np.array([len(x[2]) for x in split])
+    get = names.__getitem__
+    named = np.fromiter((get(w) for x in split for w in x[2]), "u8", int(n.sum()))
+    off = np.cumsum(n) - n
+    s, runs = name_runs(named, np.repeat(off, n))
+    starts = s.start[runs]
+    edge = np.zeros(len(s.start), bool)
+    edge[np.searchsorted(s.start, off)] = True
+    open_ = np.arange(len(named)) <= np.repeat(off + n - window, n)
+    after, pairs = name_pairs(s, edge, 1)
+    new = np.zeros(len(after.start), bool)
+    new[pairs] = True
+    new[np.flatnonzero(np.isin(after.start, starts))] = True  # a run, or a pair that begins with one
+    edge = np.zeros(len(after.start), bool)
+    edge[np.searchsorted(after.start, off)] = True
+    return np.array([x[:2] for x in split], "int64"), n, after, edge, open_, np.flatnonzero(new & inside(after, open_, window))
+
+
 def first_round(texts: DataFrame, window: int) -> DataFrame:
-    """Of texts(_key, _order, _text) the sequences after words, runs and the first pairs were named."""
+    """Of texts(_key, _order, _text): _key, _order, base, and new, the names of the first round in each part of a text."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        names = Names()
+        words = Names()
         for b in batches:
             for rows in by_bytes(list(zip(*(c.to_pylist() for c in b.columns))), lambda r: len(r[2])):
-                split = [(key, order, at, words[at : at + PART + window - 1]) for key, order, text in rows if (words := text.split()) for at in range(0, max(1, len(words) - window + 1), PART)]
-                split = [x for x in split if len(x[3]) >= window]
-                if not split:
+                if (found := first_pairs([r[2] for r in rows], words, window)) is None:
+                    continue
+                parts, n, s, _, _, new = found
+                ends = np.searchsorted(new, np.searchsorted(s.start, np.cumsum(n)))
+                lists = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], ends]), pa.int32()), pa.array(s.name[new].view("int64")))
+                keys = np.array([r[:2] for r in rows], "int64")[parts[:, 0]]
+                yield pa.RecordBatch.from_arrays([pa.array(keys[:, 0]), pa.array(keys[:, 1]), pa.array(parts[:, 1], pa.int32()), lists], names=["_key", "_order", "base", "new"])
+
+    return texts.mapInArrow(run, "_key long, _order long, base int, new array<long>")
+
+
+def second_round(texts: DataFrame, window: int) -> DataFrame:
+    """The sequences that open windows are left of after the first round, with their second pairs named.
+
+    texts: rows with parts, the places of shared names in new of first_round() by base.
+    The first names are made again, which is less than to keep and move all of them.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        words = Names()
+        for b in batches:
+            for rows in by_bytes(list(zip(*(b.column(c).to_pylist() for c in ("_key", "_order", "_text", "parts")))), lambda r: len(r[2])):
+                if (found := first_pairs([r[2] for r in rows], words, window)) is None:
                     continue
-                n = np.array([len(x[3]) for x in split])
-                get = names.__getitem__
-                named = np.fromiter((get(w) for x in split for w in x[3]), "u8", int(n.sum()))
-                off = np.cumsum(n) - n
-                first = np.repeat(off, n)
-                s, runs = name_runs(named, first)
-                edge = np.zeros(len(s.start), bool)
-                edge[np.searchsorted(s.start, off)] = True
-                is_run = np.zeros(len(s.start), bool)
-                is_run[runs] = True
-                open_ = np.arange(len(named)) <= np.repeat(off + n - window, n)
-                after, pairs = name_pairs(s, edge, 1)
-                new = np.zeros(len(after.start), bool)
-                new[pairs] = True
-                new[np.searchsorted(after.start, s.start[runs])] |= after.name[np.searchsorted(after.start, s.start[runs]).clip(max=len(after.start) - 1)] == s.name[runs]
-                new &= inside(after, open_, window)
-                yield packed(np.array([x[:3] for x in split], "int64"), n, after, open_, np.flatnonzero(new))
+                parts, n, s, edge, open_, new = found
+                ends = np.searchsorted(new, np.searchsorted(s.start, np.cumsum(n)))
+                first = np.concatenate([[0], ends[:-1]])
+                alive = [{p["base"]: p["alive"] for p in r[3] or ()} for r in rows]
+                dead = np.ones(len(new), bool)
+                for (k, base), o in zip(parts.tolist(), first):
+                    if at := alive[k].get(base):
+                        dead[np.asarray(at) + o] = False
+                keys = np.column_stack([np.array([r[:2] for r in rows], "int64")[parts[:, 0]], parts[:, 1]])
+                yield advanced(keys, n, s, edge, close(s.take(new[dead]), open_, window), 2, window)
 
     return texts.mapInArrow(run, _ROW)
 
 
+def advanced(keys: np.ndarray, n: np.ndarray, s: Symbols, edge: np.ndarray, open_: np.ndarray, level: int, window: int) -> pa.RecordBatch:
+    """Rows of what open windows cover, with the pairs of this level named."""
+    keep = covered(s, open_, window)
+    # a symbol whose neighbor goes was decided by that, too, so no open window holds it with what decided it
+    edge = (edge | np.concatenate([np.zeros(min(1, len(keep)), bool), ~keep[:-1]]))[keep]
+    s, pairs = name_pairs(s.take(keep), edge, level)
+    found = np.zeros(len(s.start), bool)
+    found[pairs] = True
+    return packed(keys, n, s, open_, np.flatnonzero(found & inside(s, open_, window)))
+
+
 def closed(batches: Iterator[pa.RecordBatch], window: int) -> Iterator[tuple]:
     """Of rows with alive (the places in new of names that several documents have): keys, n, symbols, edges and the windows that are still open."""
     for whole in batches:
@@ -228,14 +276,8 @@ def next_round(sequences: DataFrame, level: int, window: int) -> DataFrame:
     """The sequences after unshared names have closed their windows, and new pairs were named."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for keys, n, s, edge, open_ in closed(batches, window):
-            keep = covered(s, open_, window)
-            # a symbol whose neighbor goes was decided by that, too, so no open window holds it with what decided it
-            edge = (edge | np.concatenate([[False], ~keep[:-1]]))[keep]
-            s, pairs = name_pairs(s.take(keep), edge, level)
-            found = np.zeros(len(s.start), bool)
-            found[pairs] = True
-            yield packed(keys, n, s, open_, np.flatnonzero(found & inside(s, open_, window)))
+        for part in closed(batches, window):
+            yield advanced(*part, level, window)
 
     return sequences.mapInArrow(run, _ROW)
 
@@ -256,30 +298,36 @@ def open_windows(sequences: DataFrame, window: int) -> DataFrame:
     return sequences.mapInArrow(run, "_key long, p0 int, p1 int")
 
 
-def shared_names(sequences: DataFrame) -> DataFrame:
-    """sequences with alive: for each row the places in new of names that documents of several ranks have."""
-    named = sequences.select("_key", "base", "_order", F.posexplode("new").alias("at", "name"))
+def shared(named: DataFrame) -> DataFrame:
+    """_key, base and alive, the places in new of names that documents of several ranks have; named: _key, _order, base, new."""
+    each = named.select("_key", "base", "_order", F.posexplode("new").alias("at", "name"))
     # stored, so that the join reads two shuffles and Spark can split a name that very many documents have
-    shared = store(named.groupBy("name").agg(F.min("_order").alias("least"), F.max("_order").alias("most")).filter("least < most").select(F.col("name").alias("_name")), "shared")
-    alive = named.join(shared, F.col("name") == F.col("_name")).groupBy("_key", "base").agg(F.collect_list("at").alias("alive"))
-    return store(sequences.drop("new").join(alive, ["_key", "base"], "left"), "alive")
+    several = store(each.groupBy("name").agg(F.min("_order").alias("least"), F.max("_order").alias("most")).filter("least < most").select(F.col("name").alias("_name")), "shared")
+    alive = store(each.join(several, F.col("name") == F.col("_name")).groupBy("_key", "base").agg(F.collect_list("at").alias("alive")), "alive")
+    drop(several)
+    return alive
 
 
 def repeats(docs: DataFrame, window: int = WINDOW, rounds: int = ROUNDS) -> DataFrame:
     """Of docs(_key, _order, _text): _key and at, a sorted array of the windows that a lower rank has too."""
     window_rows = pa.schema([("_key", pa.int64()), ("_order", pa.int64()), ("at", pa.int32()), ("a", pa.int64()), ("b", pa.int64())])
     texts = docs.select("_key", "_order", "_text")
-    sequences = store(first_round(texts, window), "round")
-    for level in range(2, rounds + 1):
-        known = shared_names(sequences)
-        drop(sequences)
-        sequences = store(next_round(known, level, window), "round")
-        drop(known)
-    known = shared_names(sequences)
-    drop(sequences)
-
-    wanted = store(open_windows(known, window).groupBy("_key").agg(F.collect_list("p0").alias("p0"), F.collect_list("p1").alias("p1")), "open")
-    drop(known)
+    first = store(first_round(texts, window), "first-names")
+    alive = shared(first)
+    drop(first)
+    parts = alive.groupBy("_key").agg(F.collect_list(F.struct("base", "alive")).alias("parts"))
+    sequences = store(second_round(texts.join(parts, "_key", "left"), window), "round")
+    drop(alive)
+    for level in range(3, rounds + 2):
+        alive = shared(sequences.select("_key", "_order", "base", "new"))
+        known = sequences.drop("new").join(alive, ["_key", "base"], "left")
+        if level <= rounds:
+            after = store(next_round(known, level, window), "round")
+        else:
+            after = store(open_windows(known, window), "open")
+        drop(alive, sequences)
+        sequences = after
+    wanted = sequences.groupBy("_key").agg(F.collect_list("p0").alias("p0"), F.collect_list("p1").alias("p1"))
 
     def windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -296,7 +344,7 @@ def repeats(docs: DataFrame, window: int = WINDOW, rounds: int = ROUNDS) -> Data
                     yield batch(window_rows, np.full(len(at), key), np.full(len(at), order), at, *found.T)
 
     each = store(texts.join(wanted, "_key").mapInArrow(windows, "_key long, _order long, at int, a long, b long"), "windows")
-    drop(wanted)
+    drop(sequences)
     least = store(each.groupBy("a", "b").agg(F.min("_order").alias("least"), F.max("_order").alias("most")).filter("least < most").drop("most"), "least")
     later = each.join(least, ["a", "b"]).filter("_order > least")
     found = store(later.groupBy("_key").agg(F.sort_array(F.collect_list("at")).alias("at")), "repeats")
