@@ -233,7 +233,8 @@ def tolerance_range(value: Column, tolerance: int) -> tuple[Column, Column]:
 
 # ---------------------------------------------------------------- amenities
 
-STRUCTURAL_TAG = r"(?iu)\d+\s*pièces?\b|\d+\s*chambres?\b|terrain\s*(?:de\s+)?\d|^\d+\s*m²|classe\s+(?:énergie|climat)"
+# Fixed value: tags that say what a listing's own fields say.
+STRUCTURAL_TAG = r"(?iu)\d+\s*(?:pièces?|chambres?)(?![A-Za-z0-9_])|terrain\s*(?:de\s+)?\d|^\d+\s*m²(?=[A-Za-z0-9_])|classe\s+(?:énergie|climat)"
 
 
 def highlights_from_tags(tags: Column) -> Column:

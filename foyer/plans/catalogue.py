@@ -489,12 +489,6 @@ def l01_preferences(t):
     return p.select(S.half_up(F.col("ideal_price")).alias("ideal_price"), S.half_up(F.col("max_price")).alias("max_price"), S.half_up(F.col("min_surface") * 1000).alias("min_surface"), S.half_up(F.col("ideal_surface") * 1000).alias("ideal_surface"), F.col("min_rooms").cast("int").alias("min_rooms"), "ancien_only")
 
 
-@query()
-def l02_weights(t):
-    weights = learning.learn_weights(_training(t, "like"), _training(t, "dislike"))
-    return t.spark.createDataFrame(list(weights.items()), "criterion string, weight double")
-
-
 @query()
 def l04_l05_calibrated_tiers(t):
     likes, dislikes = _training(t, "like"), _training(t, "dislike")
@@ -681,4 +675,4 @@ def j14_equal_hashes(t):
     return photos.near_looks(_looks(t), "vec_id", "look")[1]
 
 
-from foyer.plans import ingest  # noqa: E402, F401  registers its queries
+from foyer.plans import ingest, portals  # noqa: E402, F401  they register their queries
