@@ -111,10 +111,12 @@ def number_rows(df: DataFrame, *order: str) -> tuple[DataFrame, int]:
     """df with row_no from 0 in the order of these columns, and its row count.
 
     Range partitions are written in order; counts of the partitions (a row for
-    each) give each its first number.
+    each) give each its first number.  Rows that are equal in order are dealt to ranges
+    by a number of their own, so that very many of them don't meet in one.
     """
-    at_, = fresh(df, "at_in_file")
-    ordered = store(df.repartitionByRange(*order).sortWithinPartitions(*order).withColumn(at_, F.monotonically_increasing_id()), "numbered")
+    at_, tie_ = fresh(df, "at_in_file", "tie")
+    tied = df.withColumn(tie_, F.monotonically_increasing_id())
+    ordered = store(tied.repartitionByRange(*order, tie_).sortWithinPartitions(*order, tie_).drop(tie_).withColumn(at_, F.monotonically_increasing_id()), "numbered")
     part, within = F.shiftright(at_, 33), F.col(at_).bitwiseAND((1 << 33) - 1)
     counts = ordered.groupBy(part.alias("part")).count()
     first = counts.select(F.col("part").alias("_part"), (F.sum("count").over(W.orderBy("part")) - F.col("count")).alias("_first"))

@@ -39,23 +39,27 @@ def source_targets(sizes: DataFrame, weights: tuple[float, ...] = (3, 1, 2), sha
     return full.withColumn("target", F.when(F.col("full"), F.col("most")).otherwise(F.least("most", level * F.col("weight")))).select("source", "source_size", "target")
 
 
-def mix(docs: DataFrame, weights: tuple[float, ...] = (3, 1, 2), share: float = 1.5, most: float = 2.0, seed: int = 10, carry: tuple[str, ...] = ()) -> DataFrame:
+def mix(docs: DataFrame, weights: tuple[float, ...] = (3, 1, 2), share: float = 1.5, most: float = 2.0, seed: int = 10, carry: tuple[str, ...] = (), key: str | None = None) -> DataFrame:
     """docs(doc_id, source, text) as doc_id, source, size, source_size, target, taken, and the columns of carry.
 
     taken: the words that the mix takes of the document, repeats counted.  Documents
     of a source stand in the order of a seeded hash; each whole epoch takes all of
     them, and the rest of the budget is cut from the front of the order, so the
     last document may give a part of its words.  Each source gives its target
-    rounded down.  Null text has no words; null is a source of its own.  Equal rows
-    may take each other's place.  An empty table gives an empty result.
+    rounded down.  Null text has no words; null is a source of its own.  Rows that share
+    a doc_id, or have none, are documents of their own; equal rows may take each other's
+    place.  key: a column with a number of each row's own, if docs has one.  An empty
+    table gives an empty result.
 
     A source's order is split by ranges of the hash: sums of the ranges, a running
     sum over these, then running sums inside each range.  So no task holds a source.
     """
     spark = docs.sparkSession
     bits = max(6, (8 * int(spark.conf.get("spark.sql.shuffle.partitions"))).bit_length())
-    key = F.xxhash64("doc_id", F.lit(seed))
-    slim = store(docs.select("doc_id", "source", *carry, word_count("text").alias("size"), key.alias("key"), F.shiftright(key, 64 - bits).alias("range")), "mixture")
+    own_key = key or "_key"
+    numbered = docs if key else keyed(docs.select("doc_id", "source", "text", *carry))
+    drawn = F.xxhash64(own_key, F.lit(seed))  # of the row, not the doc_id: rows that share one are spread over the ranges
+    slim = store(numbered.select("doc_id", "source", *carry, word_count("text").alias("size"), drawn.alias("key"), F.shiftright(drawn, 64 - bits).alias("range")), "mixture")
     ranges = slim.groupBy("source", "range").agg(F.sum("size").alias("in_range"))
     in_source = W.partitionBy("source").orderBy("range")
     ranges = ranges.withColumn("before", F.sum("in_range").over(in_source) - F.col("in_range"))
@@ -79,7 +83,7 @@ def mixed_documents(docs: DataFrame, **kwargs) -> DataFrame:
     """
     inner, named = shielded(docs, ("doc_id", "source", "text"))
     own = keyed(inner)
-    plan = mix(own, carry=("_key",), **kwargs).filter("taken > 0").select("_key", F.col("size").alias("_size"), "taken")
+    plan = mix(own, carry=("_key",), key="_key", **kwargs).filter("taken > 0").select("_key", F.col("size").alias("_size"), "taken")
     epochs = own.join(plan, "_key").withColumn("_left", F.explode(F.transform(F.sequence(F.lit(0), F.floor((F.col("taken") - 1) / F.col("_size"))), lambda k: F.col("taken") - k * F.col("_size"))))
     # each word with the white space before it; no counted group, which Java matches by recursion
     words = F.regexp_extract_all("text", F.lit(r"[\x20\x09-\x0D]*[^\x20\x09-\x0D]+"), F.lit(0))

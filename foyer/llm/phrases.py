@@ -9,9 +9,10 @@ import numpy as np
 import pyarrow as pa
 import zstandard
 from pyspark.sql import DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from foyer.llm.common import SpanHash, bound_batches, by_bytes, mix64
+from foyer.llm.common import SpanHash, bound_batches, by_bytes, mix64, store
 
 #: Levels of phrases, slots of a fingerprint, bytes of text in one step.
 LEVELS, SLOTS, STEP = 3, 64, 1 << 19
@@ -97,7 +98,7 @@ def edited(text: str, other: str) -> str:
     return text[: len(text) - k] + other[:k]
 
 
-def compare_with_next(docs: DataFrame, partitions: int | None = None) -> DataFrame:
+def compare_with_next(docs: DataFrame) -> DataFrame:
     """docs(doc_id, text) with each text's fingerprint and its likeness to an edited text and to the next document.
 
     doc_id, n_chars, edited_sha256, fingerprint, edited_fingerprint, near_edited,
@@ -105,35 +106,30 @@ def compare_with_next(docs: DataFrame, partitions: int | None = None) -> DataFra
     first); rows that share one stand by a hash of their text, null comes last.  Null
     text counts as empty.  An empty table gives an empty result.
 
-    Documents are dealt to ranges of doc_id by quantiles; the first document of a
-    range also goes to the range above it, where it is the last one's next.  So the
-    texts move once, compressed, and no task needs another's rows.
+    The texts are stored, compressed, in ranges of that order; the first document of a
+    range also goes to the range before it, where it is the last one's next.  So no task
+    needs another's rows.
     """
     spark = docs.sparkSession
     bound_batches(spark)
-    ranges = 4 * (partitions or int(spark.conf.get("spark.sql.shuffle.partitions")))
-    cuts = sorted({int(x) for x in docs.approxQuantile("doc_id", [k / ranges for k in range(1, ranges)], 0.2 / ranges)})
-    bounds = F.array(*map(F.lit, cuts)).cast("array<long>")
-    # null is in the lowest range, after all others
-    own = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).withColumn("tie", F.xxhash64("text")).withColumn("range", F.coalesce(F.size(F.filter(bounds, lambda x: x <= F.col("doc_id"))), F.lit(0)))
-    order = F.struct(F.col("doc_id").isNotNull().alias("known"), "doc_id", "tie")
-    tops = {r["range"]: r["top"] for r in own.groupBy("range").agg(F.max(order).alias("top")).collect()}  # a row for each range
-    used = sorted(tops)
-    copies = [(above, 0, tops[below]["doc_id"], tops[below]["tie"]) for below, above in zip(used, used[1:])]
-    if used:
-        copies.append((used[0], 1, tops[used[-1]]["doc_id"], tops[used[-1]]["tie"]))
-    table = spark.createDataFrame([(t, 1 + wrap, d, tie) for t, wrap, d, tie in copies], "target int, copy int, id long, id_tie long")
-    # as many rows as ranges: bounded by the number of partitions
-    again = own.join(F.broadcast(table), own["doc_id"].eqNullSafe(F.col("id")) & (F.col("tie") == F.col("id_tie"))).select("doc_id", "text", "tie", F.col("target").alias("range"), "copy")
-    dealt = own.select("doc_id", "text", "tie", "range", F.lit(0).alias("copy")).unionByName(again)
+    own = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).withColumn("tie", F.xxhash64("text"))
 
     def shrink(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         z = zstandard.ZstdCompressor(level=3)
         for b in it:
             yield b.set_column(b.schema.get_field_index("text"), "text", pa.array([z.compress(t) for t in b.column("text").to_pylist()], pa.binary()))
 
-    small = dealt.withColumn("text", F.col("text").cast("binary")).mapInArrow(shrink, "doc_id long, text binary, tie long, range int, copy int")
-    sorted_ = small.repartition(max(1, ranges // 4), "range").sortWithinPartitions("range", "copy", F.col("doc_id").desc_nulls_last(), F.col("tie").desc())
+    small = own.withColumn("text", F.col("text").cast("binary")).mapInArrow(shrink, "doc_id long, text binary, tie long")
+    order = [F.desc_nulls_last("doc_id"), F.desc("tie")]
+    dealt = store(small.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("range", F.spark_partition_id()), "ranges")
+    # a row for each range: their number is that of shuffle partitions
+    tops = dealt.groupBy("range").agg(F.max(F.struct(F.col("doc_id").isNotNull().alias("known"), "doc_id", "tie")).alias("top"))
+    by_range = W.orderBy("range")
+    before = F.lag("range").over(by_range)
+    heads = tops.select(F.coalesce(before, F.max("range").over(W.partitionBy())).alias("target"), F.when(before.isNull(), 2).otherwise(1).alias("copy"), F.col("top.doc_id").alias("id"), F.col("top.tie").alias("id_tie"), F.col("range").alias("own_range"))
+    again = dealt.join(F.broadcast(heads), (F.col("range") == F.col("own_range")) & F.col("doc_id").eqNullSafe(F.col("id")) & (F.col("tie") == F.col("id_tie"))).select("doc_id", "text", "tie", F.col("target").alias("range"), "copy")
+    both = dealt.withColumn("copy", F.lit(0)).unionByName(again)
+    sorted_ = both.repartition(int(spark.conf.get("spark.sql.shuffle.partitions")), "range").sortWithinPartitions("range", "copy", *order)
     schema = pa.schema([("doc_id", pa.int64()), ("n_chars", pa.int64()), ("edited_sha256", pa.string()), ("fingerprint", pa.string()), ("edited_fingerprint", pa.string()), ("near_edited", pa.float64()), ("near_next", pa.float64())])
 
     def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -138,32 +138,33 @@ def estimate(docs: DataFrame, rules: Sequence[Rule], sample: int = SAMPLE) -> li
 
 
 def cascade(docs: DataFrame, rules: Sequence[Rule] = BASE + MORE, report: Sequence[str] = (), sample: int = SAMPLE) -> DataFrame:
-    """docs(text, ...) with kept, rejected_by, n_evaluated and the reported features.
-
-    rejected_by: the rule that rejected the text, null if kept.  n_evaluated: rules
-    that ran.  A feature of report is computed for every row, whatever the cascade
-    needed.  Null text counts as empty.  Other columns are carried along; those with
-    the names of new ones are replaced.
+    """docs(text, ...) with kept, rejected_by and the reported features.
+
+    A text is kept if no rule rejects it: rules run from the best to the worst by
+    rejections per cost, and the first that rejects ends them.  rejected_by: the first
+    of ``rules`` that rejects the text, whatever order the sample gave, null if kept.  A
+    feature of report is computed for every row, whatever the cascade needed.  Null
+    text counts as empty, so it has no words; equal rows have equal verdicts; an empty
+    table gives an empty result.  Other columns are carried along; those with the names
+    of new ones are replaced.
     """
+    places = {r.name: k for k, r in enumerate(rules)}
     by_name = {r.name: r for r in rules}
     ordered = [by_name[name] for name, _, _ in estimate(docs, rules, sample)]
-    kinds = {"kept": "boolean", "rejected_by": "string", "n_evaluated": "int"} | dict.fromkeys(report, "long")
+    kinds = {"kept": "boolean", "rejected_by": "string"} | dict.fromkeys(report, "long")
     kept_columns = [c for c in docs.columns if c.lower() not in kinds]
     source = docs.select(*kept_columns)
     bound_batches(docs.sparkSession)
-    types = {"boolean": pa.bool_(), "string": pa.string(), "int": pa.int32(), "long": pa.int64()}
+    types = {"boolean": pa.bool_(), "string": pa.string(), "long": pa.int64()}
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             found: dict[str, list] = {k: [] for k in kinds}
             for text in b.column("text").cast(pa.binary()).to_pylist():
-                f, by, n = Features(text or b""), None, 0
-                for rule in ordered:
-                    n += 1
-                    if rule.rejects(f):
-                        by = rule.name
-                        break
-                for k, v in (("kept", by is None), ("rejected_by", by), ("n_evaluated", n), *((k, getattr(f, k)) for k in report)):
+                f = Features(text or b"")
+                hit = next((rule.name for rule in ordered if rule.rejects(f)), None)
+                by = hit and next(rule.name for rule in rules[: places[hit] + 1] if rule.name == hit or rule.rejects(f))
+                for k, v in (("kept", by is None), ("rejected_by", by), *((k, getattr(f, k)) for k in report)):
                     found[k].append(v)
             names = b.schema.names
             yield pa.RecordBatch.from_arrays([*b.columns, *(pa.array(v, types[kinds[k]]) for k, v in found.items())], names=[*names, *kinds])

@@ -151,3 +151,109 @@ def preference(turns):
 
             out[c // 2] = (n, render(a[:n])[0], *render(a[n:])[:1], *render(b[n:])[:1], render(a[n:])[1], render(b[n:])[1])
     return out
+
+
+# The parse of op8, symbol by symbol; hashes are the module's own, everything else is written anew.
+
+
+def tossed(names):
+    """Labels after four rounds: place and value of the lowest bit in which a symbol differs from the one before."""
+    for _ in range(4):
+        before = [names[0] ^ 1, *names[:-1]]
+        labels = []
+        for a, b in zip(names, before):
+            k = 0
+            while (a >> k & 1) == (b >> k & 1):
+                k += 1
+            labels.append(2 * k + (a >> k & 1))
+        names = labels
+    return names
+
+
+def runs(symbols):
+    """(symbol, how many) of neighbors that are equal."""
+    out = []
+    for s in symbols:
+        if out and out[-1][0] == s:
+            out[-1][1] += 1
+        else:
+            out.append([s, 1])
+    return out
+
+
+def phrases(symbols):
+    """A level of phrases as lists of (symbol, run length): they start at the text's start and at local maxima of the labels."""
+    own = runs(symbols)
+    label = tossed([s for s, _ in own])
+    starts = [0] + [i for i in range(1, len(own) - 1) if label[i] > label[i - 1] and label[i] > label[i + 1]]
+    return [own[a:b] for a, b in zip(starts, [*starts[1:], len(own)])]
+
+
+def cascade(text):
+    """The rules that reject a text, in their order."""
+    n, chars, symbols, dup, repeat, _ = quality(text)
+    lines = [x for x in (text or "").split("\n") if words(x)]
+    found = {
+        "few_words": n < 50,
+        "repeated_words": 100 * repeat > 50 * n,
+        "symbols": 10 * symbols > n,
+        "marks": 2 * (text or "").count("!") > n,
+        "repeated_lines": len(lines) >= 4 and 100 * dup > 45 * len(lines),
+        "word_length": not 1.5 * n <= chars <= 25 * n,
+    }
+    return [k for k, v in found.items() if v]
+
+
+def feistel(n, shards, round_keys, mix):
+    """Row number -> (shard, slot): the network written for one number at a time."""
+    half = 1
+    while 4**half < n:
+        half += 1
+    low = (1 << half) - 1
+    out = []
+    for k in range(n):
+        place = k
+        while True:
+            left, right = place >> half, place & low
+            for key in round_keys:
+                left, right = right, left ^ (mix((right + key) % 2**64) & low)
+            place = left << half | right
+            if place < n:
+                break
+        out.append((place % shards, place // shards))
+    return out
+
+
+def mix(x):
+    """splitmix64's finalizer."""
+    x = (x ^ x >> 30) * 0xBF58476D1CE4E5B9 % 2**64
+    x = (x ^ x >> 27) * 0x94D049BB133111EB % 2**64
+    return x ^ x >> 31
+
+
+def fingerprint(text, levels=3, slots=64):
+    """op8's slots: of each class of phrase names the least hash, in 16 bits."""
+    names, best = list((text or "").encode()), [None] * slots
+    for level in range(1, levels + 1):
+        if not names:
+            break
+        above = []
+        for phrase in phrases(names):
+            h = 0
+            for k, (s, run) in enumerate(phrase):
+                wide = (s + 1) % 2**64
+                if run > 1:
+                    wide = mix((wide * 0xA0761D6478BD642F + run) % 2**64)
+                h = (h + wide * pow(0x9E3779B97F4A7C15, k, 2**64)) % 2**64
+            above.append(mix(h ^ len(phrase)))
+        names = above
+        for name in names:
+            own = mix((name + level) % 2**64)
+            slot = own % 16 if level == 1 else own % 48 + 16
+            best[slot] = own if best[slot] is None else min(best[slot], own)
+    return [0 if b is None else mix(b) % 65535 + 1 for b in best]
+
+
+def alike(a, b):
+    either = sum(1 for x, y in zip(a, b) if x or y)
+    return sum(1 for x, y in zip(a, b) if x and x == y) / either if either else 1.0

@@ -5,6 +5,7 @@ import shutil
 from collections import Counter, defaultdict
 
 import brute
+import numpy as np
 import pytest
 import zlib
 from pyspark.sql import functions as F
@@ -106,6 +107,26 @@ def test_op3(spark):
     assert found == brute.preference(turns) and found
 
 
+ODD_TURNS = [
+    (0, 1, "user", "Bonjour"), (0, 2, "assistant", "Salut"), (1, 1, "user", "Bonjour"), (1, 2, "assistant", "Oui"),  # differ in the last turn
+    (2, 1, "user", "a"), (2, 2, "assistant", "b"), (3, 1, "user", "a"), (3, 2, "assistant", "b"),  # equal
+    (4, 1, None, "x"), (4, 2, "assistant", None), (5, 1, "", "x"), (5, None, "user", "y"),  # nulls
+    (6, 1, "user", "alone"),  # the other side is missing
+    (8, 1, "user", "same"), (8, 1, "user", "same"), (9, 1, "user", "same"), (9, 3, "assistant", ""),  # repeated rows and turns
+    (None, 1, "user", "no conversation"), (11, 1, "user", "alone, too"),
+    (12, 1, "user", "é🙂" * 40_000), (12, 2, "assistant", "日本" * 30_000), (13, 1, "user", "é🙂" * 40_000), (13, 2, "assistant", "z"),  # long
+]
+
+
+def test_op3_odd_conversations(spark, tmp_path):
+    turns = spark.createDataFrame(ODD_TURNS, "conv_id long, turn long, role string, text string")
+    turns.withColumn("prompt", F.lit("own")).withColumn("at", F.lit(7)).write.parquet(str(tmp_path / "conversations.parquet"))
+    found = {x.pair_id: (x.n_common, x.prompt, x.chosen, x.rejected, x.chosen_mask, x.rejected_mask) for x in queries.op3_preference_format(spark, str(tmp_path)).collect()}
+    assert found == brute.preference(ODD_TURNS) and set(found) == {0, 1, 2, 4, 6}
+    turns.limit(0).write.parquet(str(tmp_path / "none" / "conversations.parquet"))
+    assert queries.op3_preference_format(spark, str(tmp_path / "none")).count() == 0
+
+
 def test_op4(spark, table):
     folder, rows = table
     found = queries.op4_feistel_shards(spark, folder).collect()
@@ -120,12 +141,21 @@ def test_op4(spark, table):
         assert sharding.row_place(k, len(rows)) == next((x.shard, x.slot) for x in found if x.doc_id == d)
 
 
+def test_feistel_against_single_numbers():
+    """The vectorized permutation against the network written for one number at a time."""
+    keys = [int.from_bytes(np.random.Philox(key=4 + k).random_raw(1).tobytes(), "little") for k in range(sharding.ROUNDS)]
+    for n in (1, 2, 5, 97, 1000):
+        want = brute.feistel(n, 40, keys, brute.mix)
+        assert [sharding.row_place(k, n) for k in range(n)] == want and len(set(want)) == n
+
+
 def test_op5(spark, table):
     folder, rows = table
     found = {x.doc_id: x for x in queries.op5_rule_cascade(spark, folder).collect()}
     want = {r[0]: brute.quality(r[1]) for r in rows}
     assert {d: (x.n_words, x.word_chars, x.n_symbols, x.n_dup_lines, x.n_repeat_words, x.base_failed) for d, x in found.items()} == want
-    assert all(not x.kept for x in found.values() if x.base_failed)
+    reasons = {r[0]: brute.cascade(r[1]) for r in rows}
+    assert {d: (x.kept, x.rejected_by) for d, x in found.items()} == {d: (not r, r[0] if r else None) for d, r in reasons.items()}
     assert any(x.kept for x in found.values())
 
 
@@ -149,6 +179,14 @@ def test_op8(spark, table):
     found = {x.doc_id: x for x in queries.op8_phrase_fingerprints(spark, folder).collect()}
     rows = sorted(rows, reverse=True)
     assert len(found) == len(rows)
+    short = [k for k, r in enumerate(rows) if len(r[1] or "") < 4000]
+    for k in short:  # the parse written symbol by symbol
+        text, other = rows[k][1] or "", rows[(k + 1) % len(rows)][1] or ""
+        if len(other) < 4000:
+            one, two, next_ = map(brute.fingerprint, (text, text[: len(text) - len(text) // 3] + other[: len(text) // 3], other))
+            x = found[rows[k][0]]
+            assert (x.fingerprint, x.edited_fingerprint) == tuple("".join(f"{v:04x}" for v in f) for f in (one, two))
+            assert abs(x.near_edited - brute.alike(one, two)) < 1e-12 and abs(x.near_next - brute.alike(one, next_)) < 1e-12
     for k, r in enumerate(rows):
         text, other = r[1] or "", rows[(k + 1) % len(rows)][1] or ""
         new = phrases.edited(text, other)
@@ -169,7 +207,16 @@ def test_op8(spark, table):
 
 def test_op9(spark, table):
     folder, rows = table
-    found = {x.doc_id: (x.n_bytes, x.n_removed, x.n_spans, x.kept_sha256) for x in queries.op9_suffix_array_dedup(spark, folder).collect()}
+    result = queries.op9_suffix_array_dedup(spark, folder).collect()
+    found = {x.doc_id: (x.n_bytes, x.n_removed, x.n_spans, x.kept_sha256) for x in result}
+    holders = {length: defaultdict(set) for length in (suffixes.PASSAGE, suffixes.PASSAGE_GRAM)}
+    for r in rows:
+        own = (r[1] or "").encode()
+        for length, by in holders.items():
+            for i in range(len(own) - length + 1):
+                by[hash(own[i : i + length])].add(r[0])
+    must, may = ({d for ids in by.values() if len(ids) > 1 for d in ids} for by in holders.values())
+    assert must <= {x.doc_id for x in result if x.shares_passage} <= may
     want = {d: (n, gone, spans, brute.sha(kept)) for d, (n, gone, spans, kept) in brute.byte_repeats({r[0]: r[1] for r in rows}).items()}
     assert found == want and any(x[1] for x in want.values())
 
@@ -204,9 +251,35 @@ OPERATORS = {
     "near": simhash.near_duplicates,
     "phrases": phrases.compare_with_next,
     "byte repeats": suffixes.remove_repeats,
+    "byte repeats and passages": lambda d: suffixes.remove_repeats(d, passages=True),
     "mix": mixture.mix,
     "mixed": mixture.mixed_documents,
 }
+
+
+def check_repeated(name, rows, found):
+    """What each operator makes of rows that share a doc_id or have none."""
+    n_words = Counter((d, len(brute.words(t))) for d, t in rows)
+    if name == "chunks":
+        ids = brute.token_ids(queries.tokenizer_path("word_bpe_49k.json"), [t for _, t in rows])
+        assert Counter((x.doc_id, x.n_tokens, x.ids_crc32) for x in found) == Counter((d, len(i) + 1, brute.crc([*i, 1])) for (d, _), i in zip(rows, ids))
+        assert sorted(x.start for x in found)[0] == 0 and max(x.start + x.n_tokens for x in found) == sum(len(i) + 1 for i in ids)
+    elif name == "shard":
+        assert Counter((x.doc_id, x.size) for x in found) == Counter((d, len((t or "").encode()) + 16) for d, t in rows)
+    elif name in ("cascade", "quality_report"):
+        assert Counter((x.doc_id, x.kept) for x in found) == Counter((d, not brute.cascade(t)) for d, t in rows)
+    elif name == "word repeats":  # null is the smallest doc_id: its words stay, those of 1 go
+        assert Counter((x.doc_id, x.n_words, x.n_removed) for x in found) == Counter((d, len(brute.words(t)), len(brute.words(t)) if d is not None else 0) for d, t in rows)
+    elif name == "near":
+        assert {(x.doc_id, x.component_id) for x in found} == {(d, min(e for e, u in rows if e is not None and bool(u) == bool(t))) for d, t in rows}
+    elif name.startswith("byte repeats"):
+        assert all(x.n_removed == x.n_bytes for x in found)
+    elif name == "mix":
+        assert Counter((x.doc_id, x.size) for x in found) == n_words and all(x.taken <= 2 * x.size for x in found)
+    elif name == "phrases":
+        assert Counter((x.doc_id, x.n_chars) for x in found) == Counter((d, len(t or "")) for d, t in rows)
+
+
 NAMES = ("kept", "N_words", "_key", "_order", "_text", "_left", "_size", "at", "runs", "taken", "size", "sequence_id", "row_no", "fp", "name", "rejected_by")
 
 
@@ -223,6 +296,7 @@ def test_repeated_and_null_rows_and_clashing_columns(spark, name):
     plain = OPERATORS[name](docs)
     if name != "pack":
         assert name == "mixed" or plain.count() == len(rows)
+        check_repeated(name, [r[:2] for r in rows], plain.collect())
     wide = OPERATORS[name](docs.withColumns({c: F.lit(f"own {c}") for c in NAMES}))
     assert wide.count() == plain.count()
     for c in set(NAMES) & set(wide.columns) - set(plain.columns):
@@ -256,3 +330,31 @@ def test_chunk_store_round_trip_and_broken_parts(spark, tmp_path):
     for table, column in (("recipes", "root"), ("manifest", "n_docs"), ("manifest", "root")):
         with pytest.raises(ValueError, match="manifest"):
             chunkstore.verify_manifest(spark, broken(table, column))
+
+
+def test_a_batch_inserted_into_a_stored_family(spark, tmp_path):
+    """Batches of several sessions: a loaded family finds what earlier batches have, and every 400-byte repeat holds a match."""
+    rows = [r[:2] for r in odd_rows()]
+    path, seen = str(tmp_path / "family"), []
+    suffixes.IndexFamily.create(spark, path)
+    for k in range(3):
+        batch = [r for j, r in enumerate(rows) if j % 3 == k]
+        family = suffixes.IndexFamily.load(spark, path)
+        found = defaultdict(list)
+        for x in suffixes.new_matches(spark.createDataFrame(batch, "doc_id long, text string"), family).collect():
+            found[x.doc_id].append((x.first, x.end))
+        own = {d: (t or "").encode() for d, t in batch}
+        length = suffixes.LENGTH - suffixes.BLOCK + 1
+        strings = Counter(b[i : i + length] for b in own.values() for i in range(len(b) - length + 1))
+        before = {b[i : i + length] for b in seen for i in range(len(b) - length + 1)}
+        for d, spans in found.items():
+            assert all(e - f == length and (own[d][f:e] in before or strings[own[d][f:e]] > 1) for f, e in spans)
+        windows = Counter(b[i : i + 400] for b in own.values() for i in range(len(b) - 399))
+        old = {b[i : i + 400] for b in seen for i in range(len(b) - 399)}
+        for d, b in own.items():
+            for i in range(0, len(b) - 399, 37):
+                if windows[b[i : i + 400]] > 1 or b[i : i + 400] in old:
+                    assert any(i <= f and e <= i + 400 for f, e in found[d]), (k, d, i)
+        seen += own.values()
+    assert sorted(suffixes.IndexFamily.load(spark, path).levels) == [0, 1]
+    assert seen
