@@ -70,8 +70,8 @@ def op8_phrase_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op9_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     from foyer.llm.suffixes import remove_repeats
 
-    found = remove_repeats(documents(spark, sf_dir))
-    return found.select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"))
+    found = remove_repeats(documents(spark, sf_dir), passages=True)
+    return found.select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"), "shares_passage")
 
 
 def op10_source_mixture(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -21,6 +21,8 @@ from foyer.llm.common import SpanHash, batch, bound_batches, by_bytes, drop, key
 
 #: Bytes of the repeats that are removed; of the grams that choose suffixes; windows of a block around a suffix.
 LENGTH, GRAM, BLOCK = 400, 48, 100
+#: Bytes of the passages that the report asks for, and of the strings that stand for them.
+PASSAGE, PASSAGE_GRAM = 256, 100
 #: Batches in which a corpus enters the family.
 BATCHES = 4
 #: Bytes of text in one step of a task; windows of a longer text come in parts that overlap.
@@ -262,7 +264,40 @@ def repeated_runs(docs: DataFrame, length: int = LENGTH, batches: int = BATCHES)
     return runs
 
 
-def remove_repeats(docs: DataFrame, length: int = LENGTH, batches: int = BATCHES, as_text: bool = False) -> DataFrame:
+def shared_passages(docs: DataFrame, length: int = PASSAGE, gram: int = PASSAGE_GRAM) -> DataFrame:
+    """_key of docs(_key, _text) that share a passage with another row.
+
+    Of each window of ``length`` bytes the string of ``gram`` bytes with the least hash is
+    chosen, so rows with an equal window choose an equal string: a row that has a passage
+    of ``length`` bytes in common with another is always found, one without a common
+    string of ``gram`` bytes never.
+    """
+    schema = pa.schema([("_key", pa.int64()), ("name_a", pa.int64()), ("name_b", pa.int64())])
+
+    def choose(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in it:
+            pieces = [(key, text[at : at + _LONG + length - 1]) for key, text in zip(*(c.to_pylist() for c in b.columns)) for at in range(0, max(0, len(text) - length + 1), _LONG)]
+            for rows in by_bytes(pieces, lambda r: len(r[1]), _STEP):
+                text = b"".join(r[1] for r in rows)
+                lengths = np.array([len(r[1]) for r in rows])
+                offsets = np.cumsum(lengths) - lengths
+                own = SpanHash(np.frombuffer(text, "u1").astype("uint64") + np.uint64(1))
+                i = np.arange(len(text) - gram + 1)
+                hashes = (mix64((own.sums[gram:] - own.sums[:-gram]) * own._inverses[: len(i)]) & np.uint64(0xFFFFFFFFFF000000)) | i.astype("uint64")
+                first = np.repeat(offsets, lengths)
+                at = (sliding_least(hashes, length - gram + 1) & np.uint64(0xFFFFFF)).astype("int64")
+                at = np.unique(at[first[: len(at)] == first[length - 1 :]])
+                keys = np.array([r[0] for r in rows], "int64")[np.searchsorted(offsets, at, "right") - 1]
+                yield batch(schema, keys, *digests(text, at, at + gram).T)
+
+    chosen = store(docs.select("_key", "_text").mapInArrow(choose, "_key long, name_a long, name_b long"), "passages")
+    several = store(chosen.groupBy(*NAME).agg(F.min("_key").alias("least"), F.max("_key").alias("most")).filter("least < most").select(*NAME), "shared-passages")
+    found = store(chosen.join(several, NAME).select("_key").distinct(), "rows-with-passages")
+    drop(chosen, several)
+    return found
+
+
+def remove_repeats(docs: DataFrame, length: int = LENGTH, batches: int = BATCHES, as_text: bool = False, passages: bool = False) -> DataFrame:
     """docs(doc_id, text, ...) with kept (bytes), n_bytes, n_removed, n_spans instead of text.
 
     A byte of the UTF-8 text goes if a string of ``length`` bytes that covers it also
@@ -274,9 +309,14 @@ def remove_repeats(docs: DataFrame, length: int = LENGTH, batches: int = BATCHES
     names of new ones are replaced.
     """
     bound_batches(docs.sparkSession)
-    docs, named = shielded(docs, ("doc_id", "text"), ("kept", "n_bytes", "n_removed", "n_spans"))
+    docs, named = shielded(docs, ("doc_id", "text"), ("kept", "n_bytes", "n_removed", "n_spans", *(("shares_passage",) if passages else ())))
     own = keyed(docs).withColumn("_text", utf8("text"))
     names = [c for c in docs.columns if c != "text"]
+    kinds = dict(docs.dtypes)
+    if passages:
+        shared = shared_passages(own).withColumn("shares_passage", F.lit(True))
+        own = own.join(shared, "_key", "left").na.fill(False, ["shares_passage"])
+        names, kinds = [*names, "shares_passage"], kinds | {"shares_passage": "boolean"}
 
     def cut(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in it:
@@ -296,4 +336,4 @@ def remove_repeats(docs: DataFrame, length: int = LENGTH, batches: int = BATCHES
             yield pa.RecordBatch.from_arrays([*(b.column(c) for c in names), pa.array([k.decode("utf-8", "ignore") for k in kept_], pa.string()) if as_text else pa.array(kept_, pa.binary()), *(pa.array(c, pa.int64()) for c in counts)], names=[*names, "kept", "n_bytes", "n_removed", "n_spans"])
 
     joined = own.join(repeated_runs(own, length, batches), "_key", "left").select(*names, "_text", "runs")
-    return named(joined.mapInArrow(cut, ", ".join([*(f"{c} {t}" for c, t in docs.dtypes if c in names), f"kept {'string' if as_text else 'binary'}, n_bytes long, n_removed long, n_spans long"])))
+    return named(joined.mapInArrow(cut, ", ".join([*(f"{c} {kinds[c]}" for c in names), f"kept {'string' if as_text else 'binary'}, n_bytes long, n_removed long, n_spans long"])))
