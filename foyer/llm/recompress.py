@@ -6,8 +6,9 @@ equal word sequences get equal names in whichever document they stand.  Each sym
 keeps the span of words that decided it.  The names that a round made are grouped over
 the whole corpus: one that a single document has can't lie inside a repeat, so all
 windows around it are closed, and what no open window covers leaves the sequences.
-The next round pairs the symbols that remain.  After the last round the windows that
-are still open, all of whose symbols are shared, are verified word by word.
+The next round pairs the symbols that remain.  After the last round the runs of windows
+that are still open, all of whose symbols are shared, are verified: runs that are equal
+from end to end as wholes, the first of each window by window.
 """
 
 from __future__ import annotations
@@ -17,6 +18,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -32,14 +34,28 @@ STEP = 400_000
 _A, _B = np.uint64(0xD6E8FEB86659FD93), np.uint64(0xA0761D6478BD642F)
 
 
-class Names(dict):
-    """A word's 64-bit name; a worker keeps up to 300,000."""
+def split_words(texts: list[bytes]) -> tuple[np.ndarray, pa.Array, np.ndarray]:
+    """Words of texts laid end to end: how many each text has, the distinct ones, and of each word its place among these."""
+    lists = pc.ascii_split_whitespace(pa.array(texts, pa.string()))
+    words, ends = lists.flatten(), np.concatenate([[0], np.cumsum(lists.value_lengths().to_numpy())])
+    filled = pc.binary_length(words).to_numpy() > 0  # white space at a text's ends leaves empty words
+    if not filled.all():
+        ends = np.concatenate([[0], np.cumsum(filled)])[ends]
+        words = words.filter(pa.array(filled))
+    coded = words.dictionary_encode()
+    return np.diff(ends), coded.dictionary.cast(pa.binary()), coded.indices.to_numpy()
 
-    def __missing__(self, word: bytes) -> int:
-        name = xxhash.xxh3_64_intdigest(word)
-        if len(self) < 300_000:
-            self[word] = name
-        return name
+
+def word_names(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+    """How many words each text has, and the 64-bit names of all."""
+    counts, words, codes = split_words(texts)
+    return counts, np.fromiter(map(xxhash.xxh3_64_intdigest, words.to_pylist()), "u8", len(words))[codes]
+
+
+def word_digests(text: bytes) -> np.ndarray:
+    """128-bit hashes of a text's words."""
+    _, words, codes = split_words([text])
+    return np.frombuffer(b"".join(map(xxhash.xxh3_128_digest, words.to_pylist())), "S16")[codes]
 
 
 @dataclass
@@ -177,15 +193,16 @@ def unpacked(b: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray, Symbols, np.nda
     return keys, n, s, edge, np.cumsum(change[:-1]) > 0, new
 
 
-def first_pairs(texts: list[bytes], names: Names, window: int) -> tuple | None:
+def first_pairs(texts: list[bytes], window: int) -> tuple | None:
     """Of texts in parts of PART words: text, base and n of each part, and of these laid end to end the symbols after words, runs and the first pairs were named, edges, windows, and where the new names are."""
-    split = [(k, at, words[at : at + PART + window - 1]) for k, text in enumerate(texts) if (words := text.split()) for at in range(0, max(1, len(words) - window + 1), PART)]
-    split = [x for x in split if len(x[2]) >= window]
+    counts, names = word_names(texts)
+    before = np.cumsum(counts) - counts
+    split = [(k, at, min(c - at, PART + window - 1)) for k, c in enumerate(counts.tolist()) for at in range(0, max(0, c - window + 1), PART)]
     if not split:
         return None
-    n = np.array([len(x[2]) for x in split])
-    get = names.__getitem__
-    named = np.fromiter((get(w) for x in split for w in x[2]), "u8", int(n.sum()))
+    parts = np.array([x[:2] for x in split], "int64")
+    n = np.array([x[2] for x in split])
+    named = np.concatenate([names[before[k] + at : before[k] + at + m] for k, at, m in split])
     off = np.cumsum(n) - n
     s, runs = name_runs(named, np.repeat(off, n))
     starts = s.start[runs]
@@ -198,17 +215,16 @@ def first_pairs(texts: list[bytes], names: Names, window: int) -> tuple | None:
     new[np.flatnonzero(np.isin(after.start, starts))] = True  # a run, or a pair that begins with one
     edge = np.zeros(len(after.start), bool)
     edge[np.searchsorted(after.start, off)] = True
-    return np.array([x[:2] for x in split], "int64"), n, after, edge, open_, np.flatnonzero(new & inside(after, open_, window))
+    return parts, n, after, edge, open_, np.flatnonzero(new & inside(after, open_, window))
 
 
 def first_round(texts: DataFrame, window: int) -> DataFrame:
     """Of texts(_key, _order, _text): _key, _order, base, and new, the names of the first round in each part of a text."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        words = Names()
         for b in batches:
             for rows in by_bytes(list(zip(*(c.to_pylist() for c in b.columns))), lambda r: len(r[2])):
-                if (found := first_pairs([r[2] for r in rows], words, window)) is None:
+                if (found := first_pairs([r[2] for r in rows], window)) is None:
                     continue
                 parts, n, s, _, _, new = found
                 ends = np.searchsorted(new, np.searchsorted(s.start, np.cumsum(n)))
@@ -227,10 +243,9 @@ def second_round(texts: DataFrame, window: int) -> DataFrame:
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        words = Names()
         for b in batches:
             for rows in by_bytes(list(zip(*(b.column(c).to_pylist() for c in ("_key", "_order", "_text", "parts")))), lambda r: len(r[2])):
-                if (found := first_pairs([r[2] for r in rows], words, window)) is None:
+                if (found := first_pairs([r[2] for r in rows], window)) is None:
                     continue
                 parts, n, s, edge, open_, new = found
                 ends = np.searchsorted(new, np.searchsorted(s.start, np.cumsum(n)))
@@ -308,9 +323,37 @@ def shared(named: DataFrame) -> DataFrame:
     return alive
 
 
+def span_digests(texts: DataFrame, window: int, each: bool) -> DataFrame:
+    """_key, _order, p0, p1, a, b: 128-bit hashes of the words of runs of windows, or of each of their windows.
+
+    texts: _key, _order, _text and p0, p1, the first and last windows of its runs.
+    """
+    rows_of = pa.schema([("_key", pa.int64()), ("_order", pa.int64()), ("p0", pa.int32()), ("p1", pa.int32()), ("a", pa.int64()), ("b", pa.int64())])
+    digest = xxhash.xxh3_128_digest
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            out = []
+            for key, order, text, p0, p1 in zip(*(b.column(c).to_pylist() for c in ("_key", "_order", "_text", "p0", "p1"))):
+                words = word_digests(text).tobytes()
+                first, last = np.array(p0), np.array(p1)
+                if each:
+                    n = last - first + 1
+                    first = last = np.repeat(first - np.cumsum(n) + n, n) + np.arange(n.sum())
+                for i, j in zip(np.split(first, range(STEP, len(first), STEP)), np.split(last, range(STEP, len(last), STEP))):
+                    found = np.frombuffer(b"".join([digest(words[x:y]) for x, y in zip((16 * i).tolist(), (16 * (j + window)).tolist())]), "<i8").reshape(-1, 2)
+                    out.append((np.full(len(i), key), np.full(len(i), order), i, j, *found.T))
+                if sum(len(x[0]) for x in out) >= STEP:
+                    yield batch(rows_of, *(np.concatenate(c) for c in zip(*out)))
+                    out = []
+            if out:
+                yield batch(rows_of, *(np.concatenate(c) for c in zip(*out)))
+
+    return texts.mapInArrow(run, "_key long, _order long, p0 int, p1 int, a long, b long")
+
+
 def repeats(docs: DataFrame, window: int = WINDOW, rounds: int = ROUNDS) -> DataFrame:
-    """Of docs(_key, _order, _text): _key and at, a sorted array of the windows that a lower rank has too."""
-    window_rows = pa.schema([("_key", pa.int64()), ("_order", pa.int64()), ("at", pa.int32()), ("a", pa.int64()), ("b", pa.int64())])
+    """Of docs(_key, _order, _text): _key and runs, an array of [p0, p1], windows that a lower rank has too."""
     texts = docs.select("_key", "_order", "_text")
     first = store(first_round(texts, window), "first-names")
     alive = shared(first)
@@ -327,28 +370,23 @@ def repeats(docs: DataFrame, window: int = WINDOW, rounds: int = ROUNDS) -> Data
             after = store(open_windows(known, window), "open")
         drop(alive, sequences)
         sequences = after
-    wanted = sequences.groupBy("_key").agg(F.collect_list("p0").alias("p0"), F.collect_list("p1").alias("p1"))
 
-    def windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            for key, order, text, p0, p1 in zip(*(b.column(c).to_pylist() for c in ("_key", "_order", "_text", "p0", "p1"))):
-                words = text.split()
-                places = np.concatenate([np.arange(i, j + 1) for i, j in zip(p0, p1)])
-                # the places of words in the words joined by a space: a window is a slice
-                ends = np.cumsum([len(w) + 1 for w in words])
-                joined = b" ".join(words)
-                starts = np.concatenate([[0], ends[:-1]])
-                for at in np.split(places, range(STEP, len(places), STEP)):
-                    digest = xxhash.xxh3_128_digest
-                    found = np.frombuffer(b"".join([digest(joined[i:j]) for i, j in zip(starts[at].tolist(), (ends[at + window - 1] - 1).tolist())]), "<i8").reshape(-1, 2)
-                    yield batch(window_rows, np.full(len(at), key), np.full(len(at), order), at, *found.T)
-
-    each = store(texts.join(wanted, "_key").mapInArrow(windows, "_key long, _order long, at int, a long, b long"), "windows")
-    drop(sequences)
-    least = store(each.groupBy("a", "b").agg(F.min("_order").alias("least"), F.max("_order").alias("most")).filter("least < most").drop("most"), "least")
-    later = each.join(least, ["a", "b"]).filter("_order > least")
-    found = store(later.groupBy("_key").agg(F.sort_array(F.collect_list("at")).alias("at")), "repeats")
-    drop(each, least)
+    def digested(runs: DataFrame, each: bool, name: str) -> tuple[DataFrame, DataFrame]:
+        """Spans of runs(_key, p0, p1), and the least rank of each."""
+        listed = runs.groupBy("_key").agg(F.sort_array(F.collect_list(F.struct("p0", "p1"))).alias("r")).select("_key", "r.p0", "r.p1")
+        spans = store(span_digests(texts.join(listed, "_key"), window, each), name)
+        # stored, so that the join reads two shuffles and Spark can split what very many documents have
+        return spans, store(spans.groupBy("a", "b").agg(F.min("_order").alias("least")), f"least-{name}")
+
+    # of runs that are equal from end to end only the first's windows are looked at one by one
+    whole, least = digested(sequences, False, "runs")
+    judged = store(whole.join(least, ["a", "b"]).select("_key", "p0", "p1", (F.col("_order") > F.col("least")).alias("later")), "judged")
+    drop(sequences, whole, least)
+    each, least = digested(judged.filter("not later"), True, "windows")
+    single = each.join(least, ["a", "b"]).filter("_order > least").select("_key", "p0", "p1")
+    both = judged.filter("later").select("_key", "p0", "p1").unionByName(single)
+    found = store(both.groupBy("_key").agg(F.collect_list(F.struct("p0", "p1")).alias("runs")), "repeats")
+    drop(judged, each, least)
     return found
 
 
@@ -370,17 +408,17 @@ def remove_repeats(docs: DataFrame, window: int = WINDOW) -> DataFrame:
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             out = []
-            for text, at in zip(b.column("_text").to_pylist(), b.column("at").to_pylist()):
+            for text, runs in zip(b.column("_text").to_pylist(), b.column("runs").to_pylist()):
                 words = text.split()
                 n = len(words)
-                if at:
+                if runs:
                     change = np.zeros(n + 1, "int64")
-                    np.add.at(change, at, 1)
-                    np.add.at(change, np.asarray(at) + window, -1)
+                    np.add.at(change, [r["p0"] for r in runs], 1)
+                    np.add.at(change, [r["p1"] + window for r in runs], -1)
                     words = [words[k] for k in np.flatnonzero(np.cumsum(change[:n]) == 0)]
                 out.append((b" ".join(words).decode(), n, n - len(words)))
             text, n_words, n_removed = zip(*out) if out else ((), (), ())
             yield pa.RecordBatch.from_arrays([*(b.column(c) for c in kept), pa.array(text, pa.string()), pa.array(n_words, pa.int64()), pa.array(n_removed, pa.int64())], names=[*kept, "text", "n_words", "n_removed"])
 
-    joined = own.join(repeats(own, window), "_key", "left").select(*kept, "_text", "at")
+    joined = own.join(repeats(own, window), "_key", "left").select(*kept, "_text", "runs")
     return named(joined.mapInArrow(cut, ", ".join([*(f"{c} {t}" for c, t in docs.dtypes if c in kept), "text string, n_words long, n_removed long"])))
