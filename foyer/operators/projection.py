@@ -96,3 +96,16 @@ def photos(publications: DataFrame, most_bits: int = 8, active_only: bool = True
 
     folded = F.aggregate(flat, F.array().cast(kind), lambda kept, x: F.when(F.exists(kept, lambda k: alike(k, x)), kept).otherwise(F.concat(kept, F.array(x))))
     return grouped.select("property_id", F.transform(folded, lambda x: F.struct(x["url"].alias("url"), x["source"].alias("source"), x["id"].alias("publication_id"))).alias("photos"))
+
+
+def filled(publications: DataFrame, properties: DataFrame, names: Sequence[str]) -> DataFrame:
+    """publications with their property's values where they have none; those without a property go."""
+    own = properties.select(F.col("id").alias("_pid"), *(F.col(n).alias(f"_{n}") for n in names))
+    joined = publications.join(own, F.col("property_id") == F.col("_pid"))
+    return joined.withColumns({n: F.coalesce(n, f"_{n}") for n in names}).select(*publications.columns)
+
+
+def with_first_price(properties: DataFrame) -> DataFrame:
+    """properties where an unknown first price is the present one, and has_price_drop says if the first is higher."""
+    first = F.coalesce("first_price", "price")
+    return properties.withColumns({"has_price_drop": first > F.col("price"), "first_price": first})

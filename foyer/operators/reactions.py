@@ -47,6 +47,12 @@ def current(log: DataFrame) -> DataFrame:
     return done.filter("s.type is not null").select("property_id", "s.type", "s.archived", "s.created_at")
 
 
+def latest(log: DataFrame) -> DataFrame:
+    """property_id, type of a log(property_id, type, ts): the reactions of a property's latest time, all of them if several share it."""
+    last = log.groupBy("property_id").agg(F.max("ts").alias("_last"))
+    return log.join(last, "property_id").filter(F.col("ts") == F.col("_last")).select("property_id", "type")
+
+
 def counts(reactions: DataFrame, archived: bool = False) -> DataFrame:
     own = reactions if archived else reactions.filter("not archived")
     return own.agg(F.count_if(F.col("type") == "like").alias("likes"), F.count_if(F.col("type") == "dislike").alias("dislikes"))

@@ -489,14 +489,6 @@ def l01_preferences(t):
     return p.select(S.half_up(F.col("ideal_price")).alias("ideal_price"), S.half_up(F.col("max_price")).alias("max_price"), S.half_up(F.col("min_surface") * 1000).alias("min_surface"), S.half_up(F.col("ideal_surface") * 1000).alias("ideal_surface"), F.col("min_rooms").cast("int").alias("min_rooms"), "ancien_only")
 
 
-@query()
-def l04_l05_calibrated_tiers(t):
-    likes, dislikes = _training(t, "like"), _training(t, "dislike")
-    limits = learning.calibrate(learning.leave_one_out(likes, likes, dislikes, WEIGHTS), learning.leave_one_out(dislikes, likes, dislikes, WEIGHTS))
-    scored = learning.score(t.properties, likes, dislikes, WEIGHTS).select("id", "score")
-    return scored.crossJoin(F.broadcast(limits)).select("id", learning.tier(F.col("score")).alias("tier"))
-
-
 @query(f"with l as ({_TRAIN.format('like')}), v as (select lower(trim(city)) as value, count(*) as n, min(id) as first_ from l where trim(city) <> '' group by 1) select value, n from v order by n desc, first_ limit 1")
 def a22_common_text(t):
     return learning.common_text(_training(t, "like"), "city")

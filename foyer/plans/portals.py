@@ -9,6 +9,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from foyer.functions import legacy as L
 from foyer.functions import portal as P
 from foyer.functions import scalars as S
 from foyer.operators import enrichment, geo, learning, projection, reactions, search, serialize, stats
@@ -383,3 +384,104 @@ def o14_publications_by_scrape(t):
 @query("select id, source as label_of, case source when 'bienici' then 0 when 'seloger' then 1 when 'logicimmo' then 2 else 3 end as rank from publications")
 def f39_source_rank(t):
     return t.publications.select("id", F.col("source").alias("label_of"), S.source_rank(F.col("source"), projection.SOURCES).alias("rank"))
+
+
+# ---------------------------------------------------------------- single scores
+
+_KM = C._km("48.5", "2.5")
+
+
+@query(f"""select id, cast(floor(1000 * case when price <= 95000 then 100 when price >= 100000 then 0 else 100 * (1 - (price - 95000) / 5000.0) end + 0.5) as bigint) as price,
+  cast(floor(1000 * case when surface is null then null when surface < 40 then 50 * surface / 40.0 when surface >= 90 then 100 else 50 + 50 * (surface - 40) / 50.0 end + 0.5) as bigint) as size,
+  cast(floor(1000 * case when rooms is null then null when rooms >= 5 then 100 when rooms < 3 then 60 * rooms / 3.0 else 60 + 40 * (rooms - 3) / 2.0 end + 0.5) as bigint) as rooms,
+  cast(floor(1000 * case when rooms is null then null when rooms >= 5 then 100 else 60 * rooms / 5.0 end + 0.5) as bigint) as rooms_alone,
+  case dpe_class when 'A' then 100 when 'B' then 100 when 'C' then 100 when 'D' then 80 when 'E' then 60 when 'F' then 40 else 20 end as dpe, case when is_new_property is null then 50 when is_new_property then 0 else 100 end as old,
+  cast(floor(1000 * case when abs(1955 + id % 60 - 1990) <= 5 then 100 when abs(1955 + id % 60 - 1990) >= 50 then 0 else 100 - (abs(1955 + id % 60 - 1990) - 5) / 45.0 * 100 end + 0.5) as bigint) as year,
+  case id % 3 when 0 then 75 when 1 then 0 else 100 end as renovation, case id % 4 when 0 then 100 when 1 then 80 when 2 then 0 end as heating,
+  cast(floor(1000 * case when latitude is null then null when {_KM} >= 40 then 0 else greatest(0, least(100, 100 * (1 - {_KM} / 40))) end + 0.5) as bigint) as distance from properties""")
+def f35_single_scores(t):
+    c, lit = F.col, F.lit
+    condition = F.when(c("id") % 3 == 1, "Travaux à PRÉVOIR").when(c("id") % 3 == 2, "Bon état")
+    heating = F.when(c("id") % 4 == 0, " GAZ ").when(c("id") % 4 == 1, "gaz de ville").when(c("id") % 4 == 2, "bois")
+    km = S.haversine_km(lit(48.5), lit(2.5), c("latitude"), c("longitude"))
+    rows = t.properties.select(
+        "id", L.price_score(c("price"), lit(95000), lit(100000)).alias("price"), L.size_score(c("surface"), lit(40), lit(90)).alias("size"), L.rooms_score(c("rooms"), lit(3), lit(5)).alias("rooms"),
+        L.rooms_score(c("rooms"), lit(None).cast("int"), lit(5)).alias("rooms_alone"), L.class_score(c("dpe_class"), lit("C")).cast("int").alias("dpe"), L.old_build_score(c("is_new_property"), lit(True)).cast("int").alias("old"),
+        L.year_score(c("id") % 60 + 1955, lit(1990)).alias("year"), L.renovation_score(condition, lit(True)).cast("int").alias("renovation"), L.text_score(heating, lit("Gaz")).cast("int").alias("heating"), L.distance_score(km, lit(40)).alias("distance"),
+    )
+    return rounded(rows, "price", "size", "rooms", "rooms_alone", "year", "distance", digits=3)
+
+
+_NUMBERS = {"price": 2.0, "surface": 1.5, "land_surface": 1.5, "rooms": 1.0, "bedrooms": 1.0}
+
+
+def _likeness_sql() -> str:
+    parts = [(C._similar_sql(n), w) for n, w in _NUMBERS.items()] + [(C._similar_sql("distance"), 2.0), (C._similar_sql("dpe"), 1.0), ("case when p.is_new_property = t.is_new_property then 1 end", 1.0)]
+    gained = " + ".join(f"coalesce(({v}) * cast({w} as double), 0)" for v, w in parts)
+    total = " + ".join(f"case when ({v}) is null then 0 else cast({w} as double) end" for v, w in parts)
+    return f"({gained}) / nullif({total}, 0)"
+
+
+@query(f"with d as ({C._TRAIN.format('dislike')}) select p.id, cast(floor(max({_likeness_sql()}) * 40 * 1000 + 0.5) as bigint) as penalty from properties p cross join d t group by p.id")
+def f35_dislike_penalties(t):
+    none = {"bathrooms": F.lit(None).cast("int"), "parking_spaces": F.lit(None).cast("int"), "construction_year": F.lit(None).cast("int"), "highlights": F.lit(None).cast("array<string>")}
+    return rounded(L.dislike_penalties(t.properties.withColumns(none), C._training(t, "dislike").withColumns(none)), "penalty", digits=3)
+
+
+# ---------------------------------------------------------------- models
+
+
+def _calibration_sql() -> str:
+    """Each training row judged by the others, then the limits of the tiers."""
+    def side(own: str, other: str, how: str) -> str:
+        values = ", ".join(f"{how}({C._similar_sql(c)}) as v_{c}" for c in C.WEIGHTS)
+        return f"select p.id, {values} from {own} p join {other} t on p.id <> t.id group by p.id"
+
+    one = lambda c: f"greatest(0, least(100, 100 * case when d.v_{c} is null then m.v_{c} else greatest(0, m.v_{c} - d.v_{c} * 0.5) end))"
+    gained = " + ".join(f"case when m.v_{c} is null then 0 else {one(c)} * {w} end" for c, w in C.WEIGHTS.items())
+    total = " + ".join(f"case when m.v_{c} is null then 0 else {w} end" for c, w in C.WEIGHTS.items())
+    judged = lambda own: f"select m.id, ({gained}) / cast(nullif({total}, 0) as double) as score from ({side(own, 'likes', 'avg')}) m left join ({side(own, 'dislikes', 'max')}) d using (id)"
+    return f"""ls as ({judged('likes')}), ds as ({judged('dislikes')}), q as (select count(score) as n, quantile_cont(score, 0.75) as p75, quantile_cont(score, 0.5) as p50, min(score) as least from ls), r as (select count(score) as dn, quantile_cont(score, 0.25) as d25, quantile_cont(score, 0.5) as d50 from ds),
+      k as (select *, case when n >= 5 then p75 else p50 end as top, case when dn >= 3 then d25 when dn > 0 then d50 else least * 0.85 end as low from q cross join r where n > 0)"""
+
+
+@query(f"with {C._scores_sql()}, {_calibration_sql()} select cast(floor(low * 10000 + 0.5) as bigint) as score_min, cast(floor(top * 10000 + 0.5) as bigint) as score_max, top - low >= 10 or (n >= 3 and dn >= 2) as strong, n as likes, dn as dislikes from k")
+def l04_w11_calibration(t):
+    likes, dislikes = C._training(t, "like"), C._training(t, "dislike")
+    limits = learning.calibrate(learning.leave_one_out(likes, likes, dislikes, C.WEIGHTS), learning.leave_one_out(dislikes, likes, dislikes, C.WEIGHTS))
+    return rounded(limits.select("score_min", "score_max", "strong", "likes", "dislikes"), "score_min", "score_max", digits=4)
+
+
+@query(f"""with {C._scores_sql()}, {_calibration_sql()}, z as (select s.id, score, top, low, n, dn, p75, p50, d50, case when top - low <= 0 then 50 else (score - low) / (top - low) * 100 end as share from s cross join k)
+  select id, case when (top - low >= 10) then case when share >= 75 then 'strong' when share >= 50 then 'good' when share >= 25 then 'moderate' else 'weak' end when n >= 3 and dn >= 2 then case when score >= p75 then 'strong' when score >= p50 then 'good' when score >= d50 then 'moderate' else 'weak' end end as tier from z""")
+def l05_tiers(t):
+    likes, dislikes = C._training(t, "like"), C._training(t, "dislike")
+    limits = learning.calibrate(learning.leave_one_out(likes, likes, dislikes, C.WEIGHTS), learning.leave_one_out(dislikes, likes, dislikes, C.WEIGHTS))
+    scored = learning.score(t.properties, likes, dislikes, C.WEIGHTS).select("id", "score")
+    return scored.crossJoin(F.broadcast(limits)).select("id", learning.tier(F.col("score")).alias("tier"))
+
+
+# ---------------------------------------------------------------- backfills
+
+
+@query("""with r as (select user_id as property_id, case event_type when 'purchase' then 'like' else 'dislike' end as type, ts, rank() over (partition by user_id order by ts desc) as k from events where event_type in ('purchase', 'error')) select property_id, type from r where k = 1""")
+def j12_latest_reactions(t):
+    log = t.events.filter("event_type in ('purchase', 'error')").select(F.col("user_id").alias("property_id"), F.when(F.col("event_type") == "purchase", "like").otherwise("dislike").alias("type"), "ts")
+    return reactions.latest(log)
+
+
+@query("select u.id, coalesce(u.rooms, p.rooms) as rooms, coalesce(u.surface, p.surface) as surface from publications u join properties p on p.id = u.property_id")
+def j13_filled_from_property(t):
+    return projection.filled(t.publications, t.properties, ("rooms", "surface")).select("id", "rooms", "surface")
+
+
+@query("select id, coalesce(case when id % 3 > 0 then first_price end, price) as first_price, coalesce(case when id % 3 > 0 then first_price end, price) > price as has_price_drop from properties")
+def m19_backfilled_prices(t):
+    return projection.with_first_price(t.properties.withColumn("first_price", F.when(F.col("id") % 3 > 0, F.col("first_price")))).select("id", "first_price", "has_price_drop")
+
+
+@query("select source, count(*) as found, count(*) filter (id % 10 = 0) as invalid from publications group by 1")
+def u01_s20_a31_run_counts(t):
+    from foyer.sources.connectors import run_counts
+
+    return run_counts(t.publications.withColumns({"price": F.when(F.col("id") % 10 > 0, F.col("price")), "scraped_at": F.col("scraped_at").cast("timestamp")}))
