@@ -46,6 +46,10 @@ def _listing(rows: DataFrame, values: dict[str, Column], *more: str) -> DataFram
     return rows.select(*more, *columns)
 
 
+def _time(at: str | Column) -> Column:
+    return F.lit(at) if isinstance(at, str) else at
+
+
 def _urls(urls: Column) -> dict[str, Column]:
     """image_urls without blanks, null if none, and the first as image_url."""
     kept = F.filter(F.transform(urls, lambda u: F.trim(u)), lambda u: u != "")
@@ -79,7 +83,7 @@ def _bienici_fields(f) -> dict[str, Column]:
     } | _urls(F.transform(f("photos"), lambda p: p["url_photo"]))
 
 
-def bienici_listings(ads: DataFrame, scraped_at: str, fallback_city: str) -> DataFrame:
+def bienici_listings(ads: DataFrame, scraped_at: str | Column, fallback_city: str) -> DataFrame:
     """Listings of portal A's ads (BIENICI_AD)."""
     f = F.col
     title = F.trim("title")
@@ -89,7 +93,7 @@ def bienici_listings(ads: DataFrame, scraped_at: str, fallback_city: str) -> Dat
         "price": f("price"), "surface": positive(f("surfaceArea")), "land_surface": positive(F.coalesce("landSurfaceArea", "gardenSurfaceArea")),
         "rooms": positive(f("roomsQuantity")), "bedrooms": positive(f("bedroomsQuantity")), "is_new_property": f("newProperty"),
         "city": F.coalesce(F.nullif(F.trim("city"), F.lit("")), F.lit(fallback_city)), "postal_code": f("postalCode"),
-        "url": F.coalesce("url", F.concat(F.lit("https://www.bienici.com/annonce/"), "id")), "property_type": f("propertyType"), "scraped_at": F.lit(scraped_at),
+        "url": F.coalesce("url", F.concat(F.lit("https://www.bienici.com/annonce/"), "id")), "property_type": f("propertyType"), "scraped_at": _time(scraped_at),
     })
 
 
@@ -137,14 +141,14 @@ def _leboncoin_fields(f) -> dict[str, Column]:
     } | _urls(urls)
 
 
-def leboncoin_listings(ads: DataFrame, scraped_at: str, fallback_city: str) -> DataFrame:
+def leboncoin_listings(ads: DataFrame, scraped_at: str | Column, fallback_city: str) -> DataFrame:
     """Listings of portal B's ads (LEBONCOIN_AD)."""
     f = F.col
     sold, kind = attribute(f("attributes"), "immo_sell_type"), F.get(F.filter("attributes", lambda a: a["key"] == "real_estate_type"), F.lit(0))
     return _listing(ads, _leboncoin_fields(f) | {
         "external_id": f("list_id"), "source": F.lit("leboncoin"), "title": f("subject"), "price": F.coalesce(F.get("price", F.lit(0)), F.lit(0)),
         "is_new_property": F.when(sold == "new", True).when(sold == "old", False), "city": F.coalesce(F.nullif(f("location")["city"], F.lit("")), F.lit(fallback_city)),
-        "postal_code": f("location")["zipcode"], "url": f("url"), "property_type": F.coalesce(kind["value_label"], kind["value"]), "scraped_at": F.lit(scraped_at),
+        "postal_code": f("location")["zipcode"], "url": f("url"), "property_type": F.coalesce(kind["value_label"], kind["value"]), "scraped_at": _time(scraped_at),
     })
 
 
@@ -239,7 +243,7 @@ def _absolute(base: Column, path: Column) -> Column:
     return F.when(path.startswith("http"), path).otherwise(F.concat(base, F.when(path.startswith("/"), path).otherwise(F.concat(F.lit("/"), path))))
 
 
-def classified_listings(cards: DataFrame, source: str, scraped_at: str, fallback_city: str) -> DataFrame:
+def classified_listings(cards: DataFrame, source: str, scraped_at: str | Column, fallback_city: str) -> DataFrame:
     """Listings of the cards of portal C or D; a card without a place, title or price keeps it empty."""
     c, (base, media) = F.col("card"), PORTALS[source]
     urls = F.transform(F.filter(c["photos"], lambda u: F.coalesce(u != "", F.lit(False))), lambda u: _absolute(F.lit(media), u))
@@ -249,7 +253,7 @@ def classified_listings(cards: DataFrame, source: str, scraped_at: str, fallback
         "external_id": c["id"], "source": F.lit(source), "title": c["title"], "price": F.coalesce(c["raw_price"].try_cast("double"), F.lit(0)), "surface": positive(c["surface"]), "land_surface": positive(c["land"]),
         "rooms": F.coalesce(c["rooms"], P.rooms_from_tags(c["tags"])), "bedrooms": F.coalesce(c["bedrooms"], P.bedrooms_from_tags(c["tags"])), "is_new_property": c["is_new"], "latitude": c["lat"], "longitude": c["lng"],
         "city": F.coalesce(F.nullif(c["city"], F.lit("")), F.lit(fallback_city)), "postal_code": c["zip"], "url": url, "description": c["description"], "property_type": c["estate_type"],
-        "dpe_class": energy_class(c["dpe"]), "ges_class": energy_class(c["ges"]), "dpe_consumption_kwh_m2": c["consumption"], "ges_emission_kg_m2": c["emission"], "scraped_at": F.lit(scraped_at),
+        "dpe_class": energy_class(c["dpe"]), "ges_class": energy_class(c["ges"]), "dpe_consumption_kwh_m2": c["consumption"], "ges_emission_kg_m2": c["emission"], "scraped_at": _time(scraped_at),
     })
 
 
