@@ -1,27 +1,67 @@
 """The stages of the pipeline against plain versions, each on what its predecessor kept."""
 
+from collections import Counter, defaultdict
+
 import brute
 import corpus_pipeline as cp
+import pytest
+from pyspark.sql import functions as F
+from test_ops import DOCS, odd_rows
 
 from foyer.llm import common, queries
 
 SF = "/root/testdata/sf0.001"
 
 
-def test_stages(spark):
-    docs, kept = queries.documents(spark, SF), {}
+@pytest.mark.parametrize("table", ["given", "odd"])
+def test_stages(spark, table):
+    docs, kept = queries.documents(spark, SF) if table == "given" else spark.createDataFrame(odd_rows(), DOCS), {}
+    given = {r.doc_id: r.text for r in docs.collect()}
+    docs = docs.withColumn("_key", F.lit("own")).withColumn("kept", F.lit(7))
     for name, stage in cp.STAGES:
+        before = docs.columns
         docs = common.store(stage(spark, docs, SF), "test")
         kept[name] = docs
+        assert name == cp.STAGES[-1][0] or docs.columns == before
     rows = {n: {r.doc_id: r.text for r in kept[n].collect()} for n in ("quality rules", "simhash near-dedup", "suffix-array dedup")}
-    given = {r.doc_id: r.text for r in queries.documents(spark, SF).collect()}
     good, near, cut = rows.values()
-    assert good.items() <= given.items() and not any(brute.quality(t)[5] for t in good.values())
+    assert good == {d: t for d, t in given.items() if not brute.cascade(t)}
     groups = brute.near_components({d: brute.simhash(t) for d, t in good.items()})
     assert near == {d: t for d, t in good.items() if groups[d] == d}
     assert cut == {d: k.decode("utf-8", "ignore") for d, (_, _, _, k) in brute.byte_repeats(near).items()}
-    mixed = [r for r in kept["source mixture"].collect()]
-    assert all((r.text or "") in (cut[r.doc_id] or "") for r in mixed)
+
+    mixed = kept["source mixture"].collect()
+    source = {r.doc_id: r.source for r in kept["suffix-array dedup"].collect()}
+    size = {d: len(brute.words(t)) for d, t in cut.items()}
+    sizes = Counter()
+    for d, n in size.items():
+        sizes[source[d]] += n
+    taken, times = Counter(), defaultdict(list)
+    for r in mixed:
+        times[r.doc_id].append(r.text)
+        taken[r.source] += len(brute.words(r.text))
+        assert r.source == source[r.doc_id] and r.n_chars == len(r.text)
+    targets = brute.targets(dict(sizes))
+    assert {s: taken[s] for s in sizes} == {s: int(targets[s]) for s in sizes}
+    for d, texts in times.items():
+        cuts = [t for t in texts if t != cut[d]]
+        assert len(cuts) <= 1 and all(cut[d].startswith(t) and brute.words(cut[d])[: len(brute.words(t))] == brute.words(t) for t in cuts)
+        assert len(brute.words(" ".join(texts))) <= 2 * size[d]
+
+    packed = kept["best-fit packing"].collect()
     ids = brute.token_ids(queries.tokenizer_path("byte_bpe_50k.json"), [r.text for r in mixed])
     want = sorted((r.doc_id, *p) for r, i in zip(mixed, ids) for p in brute.pieces(i))
-    assert sorted((x.doc_id, x.piece, x.start, x.length, x.ids_crc32) for x in kept["best-fit packing"].collect()) == want
+    assert sorted((x.doc_id, x.piece, x.start, x.length, x.ids_crc32) for x in packed) == want
+    bins = defaultdict(list)
+    for x in packed:
+        bins[x.sequence_id].append((x.offset, x.length))
+    for own in bins.values():
+        own.sort()
+        assert own[0][0] == 0 and all(a + n == b for (a, n), (b, _) in zip(own, own[1:])) and sum(own[-1]) <= 2048
+
+
+def test_stages_on_an_empty_table(spark):
+    docs = spark.createDataFrame([], DOCS)
+    for _, stage in cp.STAGES:
+        docs = common.store(stage(spark, docs, SF), "test")
+        assert docs.count() == 0
