@@ -148,7 +148,7 @@ def plain_text(html: Column) -> Column:
 
 def tidy(text: Column) -> Column:
     """Plain spaces, no spaces before a line break, two line breaks at most."""
-    steps = ((" ", " "), (r"[ \t]+\n", "\n"), (r"\n{3,}", "\n\n"), (r"^\s+|\s+$", ""))
+    steps = (("\u00a0", " "), (r"[ \t]+\n", "\n"), (r"\n{3,}", "\n\n"), (r"^\s+|\s+$", ""))
     return reduce(lambda c, s: F.regexp_replace(c, *s), steps, text)
 
 

@@ -70,6 +70,13 @@ def parse_filters(query: dict[str, str]) -> SearchFilters:
     return SearchFilters(**found)
 
 
+def serialize_filters(f: SearchFilters) -> dict[str, str]:
+    """The query string that parse_filters() reads back: what differs from the defaults."""
+    plain = SearchFilters()
+    shown = lambda v: ("1" if v else "0") if isinstance(v, bool) else str(v)
+    return {x.name: shown(getattr(f, x.name)) for x in fields(f) if getattr(f, x.name) != getattr(plain, x.name)}
+
+
 SORTS = {
     "price_asc": (F.asc, "price"),
     "price_desc": (F.desc, "price"),
@@ -207,8 +214,10 @@ def window_then_rank(found: DataFrame, score: Column, f: SearchFilters, window:
     return numbered(first.withColumn("score", score).orderBy(*order).offset(f.offset).limit(f.limit), order, offset=f.offset)
 
 
-def keyset_page(log: DataFrame, limit: int, before_id: int | None = None) -> DataFrame:
-    """limit + 1 rows older than an id, with their places; the last says if there are more."""
+def keyset_page(log: DataFrame, limit: int, before_id: int | None = None, **equal) -> DataFrame:
+    """limit + 1 rows older than an id whose columns have these values, with their places; the last row says if there are more."""
     own = log if before_id is None else log.filter(F.col("id") < before_id)
+    for name, value in equal.items():
+        own = own if value is None else own.filter(F.col(name) == value)
     order = [F.desc("created_at"), F.desc("id")]
     return numbered(own.orderBy(*order).limit(limit + 1), order)

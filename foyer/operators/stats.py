@@ -83,10 +83,10 @@ def activity_by_day(properties: DataFrame, publications: DataFrame, since: str |
     return joined.na.fill(0, list(series)).select("day", *series)
 
 
-def reactions_by_week(log: DataFrame) -> DataFrame:
-    """week, likes, dislikes of a log(action, ts)."""
-    own = log.filter(F.col("action").isin("like", "dislike"))
-    return own.groupBy(week_label(F.to_date("ts")).alias("week")).agg(F.count_if(F.col("action") == "like").alias("likes"), F.count_if(F.col("action") == "dislike").alias("dislikes"))
+def reactions_by_week(reactions: DataFrame, since: str | None = None) -> DataFrame:
+    """week, likes, dislikes of reactions(type, created_at), from since on."""
+    own = reactions if since is None else reactions.filter(F.col("created_at") >= F.lit(since).cast("timestamp_ntz"))
+    return own.groupBy(week_label(F.to_date("created_at")).alias("week")).agg(F.count_if(F.col("type") == "like").alias("likes"), F.count_if(F.col("type") == "dislike").alias("dislikes"))
 
 
 def price_histogram(active: DataFrame, buckets: int = 8) -> DataFrame:

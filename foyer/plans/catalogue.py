@@ -65,9 +65,9 @@ def a12_j15_activity_by_day(t):
     return stats.activity_by_day(t.properties.withColumnRenamed("first_seen", "first_seen_at"), t.publications)
 
 
-@query("select strftime(ts, '%Y-W%W') as week, count(*) filter (action = 'like') as likes, count(*) filter (action = 'dislike') as dislikes from reaction_log where action in ('like', 'dislike') group by 1")
+@query("select strftime(ts, '%Y-W%W') as week, count(*) filter (type = 'like') as likes, count(*) filter (type = 'dislike') as dislikes from reaction_log where action = 'toggle' group by 1")
 def a13_reactions_by_week(t):
-    return stats.reactions_by_week(t.reaction_log)
+    return stats.reactions_by_week(t.reaction_log.filter("action = 'toggle'").withColumnRenamed("ts", "created_at"))
 
 
 def _label(c: str) -> str:
@@ -183,10 +183,10 @@ def p15_mappable(t):
     return search.mappable(t.properties).agg(F.count("*").alias("n"))
 
 
-@query(_page_sql("select event_id as id from events where event_id < 500 order by ts desc, event_id desc limit 21"))
+@query(_page_sql("select event_id as id from events where event_id < 500 and event_type = 'click' order by ts desc, event_id desc limit 21"))
 def p14_o10_keyset_page(t):
-    log = t.events.select(F.col("event_id").alias("id"), F.col("ts").alias("created_at"))
-    return search.keyset_page(log, 20, 500).select("at", "id")
+    log = t.events.select(F.col("event_id").alias("id"), F.col("ts").alias("created_at"), "event_type")
+    return search.keyset_page(log, 20, 500, event_type="click").select("at", "id")
 
 
 @query("select property_id as id from publications except select id from properties union all (select id from properties except select property_id from publications)")

@@ -64,6 +64,17 @@ def s12_s13_p22_f20_search_cards(t):
     return rows.select("external_id", "title", "price", "surface", "rooms", "bedrooms", "land_surface", "dpe_class", "is_new_property", "city", "postal_code", "url", "image_url", "description", "property_type", "heating", "parking_spaces", F.array_join("highlights", ",").alias("highlights"), "latitude")
 
 
+@query("select external_id from publications where external_id <> '' and price between 100000 and 300000 and (surface is null or surface >= 60) and (rooms is null or rooms >= 2) and (is_new_property is null or not is_new_property)")
+def p06_filtered_cards(t):
+    cards = payloads.filtered_cards(payloads.search_cards(_search_pages(t)), min_price=100000, max_price=300000, min_surface=60, min_rooms=2, new=False)
+    return cards.select(F.col("card.id").alias("external_id"))
+
+
+@query("select external_id from publications where external_id <> '' and postal_code = '76013'")
+def p07_cards_of_a_code(t):
+    return payloads.filtered_cards(payloads.search_cards(_search_pages(t)), postal_code="76013").select(F.col("card.id").alias("external_id"))
+
+
 def _leboncoin_ads(t: Tables) -> DataFrame:
     pair = lambda key, value, label=None: F.struct(F.lit(key).alias("key"), value.cast("string").alias("value"), (F.lit(None).cast("string") if label is None else label).alias("value_label"))
     attributes = F.array(pair("square", F.col("surface")), pair("land_plot_surface", F.col("land_surface")), pair("rooms", F.col("rooms")), pair("rooms", F.lit(99)), pair("bedrooms", F.col("bedrooms")), pair("energy_rate", _letter(7)), pair("building_year", F.col("id") % 400 + 1700),

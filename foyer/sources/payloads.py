@@ -275,3 +275,15 @@ def detail_pages(pages: DataFrame, html: str = "html") -> DataFrame:
         "construction_year": F.coalesce(extras["construction_year"], P.year_from_text(text)),
     }
     return read.select(*pages.columns, *(v.alias(n) for n, v in values.items()))
+
+
+def filtered_cards(cards: DataFrame, min_price: float | None = None, max_price: float | None = None, min_surface: float | None = None, min_land: float | None = None, min_rooms: int | None = None, min_bedrooms: int | None = None, new: bool | None = None, postal_code: str | None = None) -> DataFrame:
+    """Cards that meet what a search asked; a value that a card doesn't have meets it, but for the postal code, which must be there."""
+    c = F.col("card")
+    price = F.nullif(F.coalesce(c["raw_price"].try_cast("double"), F.lit(0.0)), F.lit(0.0))
+    rooms, bedrooms = F.coalesce(c["rooms"], P.rooms_from_tags(c["tags"])), F.coalesce(c["bedrooms"], P.bedrooms_from_tags(c["tags"]))
+    asked = [(min_price, lambda v: price >= v), (max_price, lambda v: price <= v), (min_surface, lambda v: c["surface"] >= v), (min_land, lambda v: c["land"] >= v), (min_rooms, lambda v: rooms >= v), (min_bedrooms, lambda v: bedrooms >= v), (new, lambda v: c["is_new"] == v)]
+    for value, condition in asked:
+        if value is not None:
+            cards = cards.filter(F.coalesce(condition(value), F.lit(True)))
+    return cards if postal_code is None else cards.filter(c["zip"] == postal_code)

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from foyer.functions import portal as P
 from foyer.functions import scalars as S
-from foyer.operators import certificates, reactions, stats
+from foyer.operators import certificates, geo, reactions, search, stats
 from foyer.sources import connectors, payloads
 
 
@@ -106,3 +106,18 @@ def test_connectors_keep_a_failing_source_apart(spark, tmp_path):
     for _ in range(2):
         connectors.append_diagnostics(near, str(tmp_path / "near"), "2026-01-15 10:00:00")
     assert [len(r.near_misses) for r in spark.read.parquet(str(tmp_path / "near")).collect()] == [2, 2]
+
+
+def test_filters_of_a_query_string():
+    f = search.parse_filters({"min_price": "100000", "city": " Rouen ", "new_only": "1", "radius_km": "x", "limit": "5000", "offset": "-3", "sort": "odd", "unknown": "1"})
+    assert (f.min_price, f.city, f.new_only, f.radius_km, f.limit, f.offset, f.sort) == (100000, "Rouen", True, None, search.PAGE_MOST, 0, "price_asc")
+    assert search.parse_filters(search.serialize_filters(f)) == f
+    with pytest.raises(ValueError):
+        search.SearchFilters(new_only=True, old_only=True)
+
+
+def test_meaning_of_a_geographic_filter():
+    center = (49.61, 0.51)
+    assert geo.resolved(search.SearchFilters(travel_minutes=60, radius_km=3), center) == (center, 50)
+    assert geo.resolved(search.SearchFilters(radius_km=3), center) == (center, 3)
+    assert geo.resolved(search.SearchFilters(radius_km=3), None) == geo.resolved(search.SearchFilters(city="x"), center) == (None, None)
