@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from foyer.functions import legacy as L
 from foyer.functions import portal as P
 from foyer.functions import scalars as S
+from foyer.functions import texts as X
 from foyer.operators import enrichment, geo, learning, projection, reactions, search, serialize, stats
 from foyer.plans import catalogue as C
 from foyer.plans.fixtures import Tables
@@ -496,3 +497,34 @@ def u01_s20_a31_run_counts(t):
     from foyer.sources.connectors import run_counts
 
     return run_counts(t.publications.withColumns({"price": F.when(F.col("id") % 10 > 0, F.col("price")), "scraped_at": F.col("scraped_at").cast("timestamp")}))
+
+
+# ---------------------------------------------------------------- texts and urls
+
+
+@query(f"""with s as (select property_id, string_agg(label, ', ' order by r) as sources from (select distinct property_id, {C.RANK} as r, case source when 'bienici' then 'Bien''ici' when 'seloger' then 'SeLoger' when 'logicimmo' then 'Logic-Immo' else 'LeBonCoin' end as label from publications where is_active) group by 1),
+  u as (select property_id, first(url {C._FIRST}) as url from publications where is_active group by 1), page as (select * from properties order by price, id limit 100)
+  select id, concat_ws(chr(10), {C._label('price')} || ' · ' || city || ' (' || postal_code || ')', nullif(concat_ws(' · ', case when surface > 0 then cast(surface as int) || ' m²' end, case when land_surface > 0 then 'terrain ' || cast(land_surface as int) || ' m²' end, rooms || ' pièces', bedrooms || ' ch.'), ''),
+    'DPE DPE ' || dpe_class || ' · GES ' || ges_class, case when price < first_price then 'Baisse : ' || {C._label('first_price')} || ' → ' || {C._label('price')} || ' (−' || {C._label('(first_price - price)')} || ', −' || cast(floor((first_price - price) * 100.0 / first_price + 0.5) as int) || ' %)' end,
+    coalesce(sources, 'Annonces retirées'), url) as message from page left join s on s.property_id = id left join u on u.property_id = id""")
+def f38_s25_notices(t):
+    page = t.properties.orderBy("price", "id").limit(100)
+    none = t.properties.limit(0).select("id", F.lit(1.0).alias("score"), F.col("id").alias("rank"), F.lit(9).alias("rank_total"))
+    return serialize.listing_rows(page, t.publications, C._reactions(t), none).select("id", X.notice(price_drop=True).alias("message"))
+
+
+@query("""select id, 'https://www.seloger.com/immobilier/achat/immo-l-isle-d-ete-' || id % 7 || '-' || case when id % 3 = 0 then '2A' else '75' end || '/bien-maison/' || case when id % 4 > 1 then '?LISTING-LISTpg=' || id % 4 else '' end as city_page,
+  'https://www.seloger.com/classified-search?distributionTypes=Buy&estateTypes=House&locations=AD08FR75' || case when id % 2 = 0 then '&priceMax=' || price else '' end || case when surface is not null then '&spaceMin=' || cast(surface as int) else '' end || coalesce('&numberOfRoomsMin=' || rooms, '') || case when not is_new_property then '&projectTypes=Resale' else '' end || case when id % 4 > 1 then '&page=' || id % 4 else '' end as search,
+  'https://www.leboncoin.fr/recherche?category=9&real_estate_type=1' || case when id % 3 = 0 then '&locations=d_75' else '&text=' || replace(replace(city, '#', '%23'), ' ', '+') end || case when id % 2 = 0 then '&price=0-' || price else '' end || case when surface is not null then '&square=' || cast(surface as int) || '-max' else '' end || coalesce('&rooms=' || rooms || '-max', '') || case when not is_new_property then '&immo_sell_type=old' else '' end || case when id % 4 > 1 then '&page=' || id % 4 else '' end as leboncoin from properties""")
+def f28_f29_search_urls(t):
+    c, none = F.col, F.lit(None).cast("int")
+    page = (c("id") % 4).cast("int")
+    asked = t.properties.withColumns({"max_price": F.when(c("id") % 2 == 0, c("price")), "min_surface": c("surface"), "min_land_surface": none, "min_rooms": c("rooms"), "min_bedrooms": none, "old_only": ~c("is_new_property")})
+    name, code = F.concat(F.lit("L Isle d’Été "), (c("id") % 7).cast("string")), F.when(c("id") % 3 == 0, "AD08FR2A004").otherwise("ad08fr75056")
+    return asked.select("id", X.city_page_url("https://www.seloger.com", F.replace(name, F.lit("d’É"), F.lit("d É")), code, page).alias("city_page"), X.classified_search_url("https://www.seloger.com", F.lit("AD08FR75"), page).alias("search"), X.leboncoin_search_url(F.when(c("id") % 3 == 0, "d_75"), c("city"), page).alias("leboncoin"))
+
+
+@query("select id, 'P' || id as place, price as radius from properties")
+def f28_locations_there_and_back(t):
+    coded = t.properties.select("id", X.encoded_location(F.struct(F.concat(F.lit("P"), F.col("id").cast("string")).alias("placeId"), F.col("price").alias("radius"), F.lit("é?>~").alias("x"))).alias("coded"))
+    return coded.filter(~F.col("coded").rlike("[+/=]")).withColumn("d", X.decoded_location(F.col("coded"), "placeId string, radius long, x string")).filter("d.x = 'é?>~'").select("id", F.col("d.placeId").alias("place"), F.col("d.radius").alias("radius"))
