@@ -306,12 +306,24 @@ def tier(score_: Column) -> Column:
     return F.when(F.col("strong") & (span >= 10), by_share).when(enough, by_rank)
 
 
-def readiness(likes: int, dislikes: int, calibrated: bool, strong: bool) -> str:
-    if not likes:
-        return "none"
-    if likes < 3 or not calibrated or (not strong and dislikes < 2):
-        return "scoring"
-    return "full" if likes >= 5 else "tier"
+def readiness() -> Column:
+    """What a model over the columns of calibrate() can say: none, scoring, tier or full (ranks, too)."""
+    n, known = F.coalesce("likes", F.lit(0)), F.col("score_max").isNotNull()
+    weak = ~F.coalesce("strong", F.lit(False)) & (F.coalesce("dislikes", F.lit(0)) < 2)
+    return F.when(n == 0, "none").when((n < 3) | ~known | weak, "scoring").when(n >= 5, "full").otherwise("tier")
+
+
+def cards(scored: DataFrame, limits: DataFrame, ranks: DataFrame) -> DataFrame:
+    """id, readiness, tier, rank, rank_total of scored(id, score): what a list shows of a home.
+
+    limits: the row of calibrate(); ranks: rank_all().  Without a model or a score there is
+    no card; a tier is shown from readiness tier on, a rank only at full.
+    """
+    each = scored.select("id", "score").crossJoin(F.broadcast(limits)).withColumn("readiness", readiness()).filter("readiness <> 'none' and score is not null")
+    shown = F.when(F.col("readiness").isin("tier", "full"), tier(F.col("score")))
+    joined = each.select("id", "readiness", shown.alias("tier")).join(ranks.select("id", "rank", "rank_total"), "id", "left")
+    full = F.col("readiness") == "full"
+    return joined.select("id", "readiness", "tier", F.when(full, F.col("rank")).alias("rank"), F.when(full, F.col("rank_total")).alias("rank_total"))
 
 
 def sentiment(score_: Column) -> Column:

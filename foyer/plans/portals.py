@@ -473,6 +473,17 @@ def l05_tiers(t):
     return scored.crossJoin(F.broadcast(limits)).select("id", learning.tier(F.col("score")).alias("tier"))
 
 
+@query(f"""with {C._scores_sql()}, {_calibration_sql()}, rk as (select id, row_number() over (order by round(coalesce(score, 0), 9) desc, id) as rank, count(*) over () as rank_total from s),
+  z as (select s.id, score, top, low, n, dn, p75, p50, d50, case when top - low <= 0 then 50 else (score - low) / (top - low) * 100 end as share, case when n < 3 or (not (top - low >= 10 or (n >= 3 and dn >= 2)) and dn < 2) then 'scoring' when n >= 5 then 'full' else 'tier' end as readiness from s cross join k where score is not null)
+  select z.id, readiness, case when readiness = 'scoring' then null when (top - low >= 10) then case when share >= 75 then 'strong' when share >= 50 then 'good' when share >= 25 then 'moderate' else 'weak' end when n >= 3 and dn >= 2 then case when score >= p75 then 'strong' when score >= p50 then 'good' when score >= d50 then 'moderate' else 'weak' end end as tier,
+    case when readiness = 'full' then rank end as rank, case when readiness = 'full' then rank_total end as rank_total from z join rk using (id)""")
+def l06_l07_cards(t):
+    likes, dislikes = C._training(t, "like"), C._training(t, "dislike")
+    limits = learning.calibrate(learning.leave_one_out(likes, likes, dislikes, C.WEIGHTS), learning.leave_one_out(dislikes, likes, dislikes, C.WEIGHTS))
+    scored = learning.score(t.properties, likes, dislikes, C.WEIGHTS).select("id", "score")
+    return learning.cards(scored, limits, learning.rank_all(scored.withColumn("score", F.round("score", 9))))
+
+
 # ---------------------------------------------------------------- backfills
 
 

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from foyer.functions import portal as P
 from foyer.functions import scalars as S
 from foyer.operators import certificates, geo, reactions, search, stats
-from foyer.sources import connectors, payloads
+from foyer.sources import connectors, payloads, versions
 
 
 def test_histogram_of_known_prices(spark):
@@ -121,3 +121,12 @@ def test_meaning_of_a_geographic_filter():
     assert geo.resolved(search.SearchFilters(travel_minutes=60, radius_km=3), center) == (center, 50)
     assert geo.resolved(search.SearchFilters(radius_km=3), center) == (center, 3)
     assert geo.resolved(search.SearchFilters(radius_km=3), None) == geo.resolved(search.SearchFilters(city="x"), center) == (None, None)
+
+
+def test_versions_of_tables(spark, tmp_path):
+    root = str(tmp_path / "store")
+    versions.publish({"a": spark.range(3), "b": spark.range(2)}, root)
+    versions.publish({"a": versions.current(spark, root, "a").unionByName(spark.range(10, 12))}, root)
+    assert versions.current(spark, root, "a").count() == 5 and versions.current(spark, root, "b").count() == 2
+    with pytest.raises(ValueError):
+        versions.current(spark, root, "c")
