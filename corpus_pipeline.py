@@ -32,7 +32,7 @@ def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     own = common.keyed(inner)
     groups = simhash.near_duplicates(own.select(F.col("_key").alias("doc_id"), "text"))
     kept = groups.filter("doc_id = component_id").select(F.col("doc_id").alias("_key"))
-    return named(own.join(kept, "_key", "left_semi")).select(*docs.columns)
+    return named(own.join(kept, "_key", "left_semi").drop("_key", "_order")).select(*docs.columns)
 
 
 def repeat_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
