@@ -52,10 +52,10 @@ def word_names(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
     return counts, np.fromiter(map(xxhash.xxh3_64_intdigest, words.to_pylist()), "u8", len(words))[codes]
 
 
-def word_digests(text: bytes) -> np.ndarray:
-    """128-bit hashes of a text's words."""
-    _, words, codes = split_words([text])
-    return np.frombuffer(b"".join(map(xxhash.xxh3_128_digest, words.to_pylist())), "S16")[codes]
+def word_digests(texts: list[bytes]) -> tuple[np.ndarray, bytes]:
+    """How many words each text has, and the 128-bit hashes of all, 16 bytes each."""
+    counts, words, codes = split_words(texts)
+    return counts, np.frombuffer(b"".join(map(xxhash.xxh3_128_digest, words.to_pylist())), "S16")[codes].tobytes()
 
 
 @dataclass
@@ -333,21 +333,21 @@ def span_digests(texts: DataFrame, window: int, each: bool) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            out = []
-            for key, order, text, p0, p1 in zip(*(b.column(c).to_pylist() for c in ("_key", "_order", "_text", "p0", "p1"))):
-                words = word_digests(text).tobytes()
-                first, last = np.array(p0), np.array(p1)
+            for rows in by_bytes(list(zip(*(b.column(c).to_pylist() for c in ("_key", "_order", "_text", "p0", "p1")))), lambda r: len(r[2])):
+                counts, words = word_digests([r[2] for r in rows])
+                runs = np.array([len(r[3]) for r in rows])
+                row = np.repeat(np.arange(len(rows)), runs)
+                first, last = (np.concatenate([np.asarray(r[c], "int64") for r in rows]) for c in (3, 4))
                 if each:
                     n = last - first + 1
                     first = last = np.repeat(first - np.cumsum(n) + n, n) + np.arange(n.sum())
-                for i, j in zip(np.split(first, range(STEP, len(first), STEP)), np.split(last, range(STEP, len(last), STEP))):
-                    found = np.frombuffer(b"".join([digest(words[x:y]) for x, y in zip((16 * i).tolist(), (16 * (j + window)).tolist())]), "<i8").reshape(-1, 2)
-                    out.append((np.full(len(i), key), np.full(len(i), order), i, j, *found.T))
-                if sum(len(x[0]) for x in out) >= STEP:
-                    yield batch(rows_of, *(np.concatenate(c) for c in zip(*out)))
-                    out = []
-            if out:
-                yield batch(rows_of, *(np.concatenate(c) for c in zip(*out)))
+                    row = np.repeat(row, n)
+                shift = (np.cumsum(counts) - counts)[row]
+                keys = np.array([r[:2] for r in rows], "int64")
+                for at in range(0, len(row), STEP):
+                    k, i, j, o = (x[at : at + STEP] for x in (row, first, last, shift))
+                    found = np.frombuffer(b"".join([digest(words[x:y]) for x, y in zip((16 * (i + o)).tolist(), (16 * (j + o + window)).tolist())]), "<i8").reshape(-1, 2)
+                    yield batch(rows_of, keys[k, 0], keys[k, 1], i, j, *found.T)
 
     return texts.mapInArrow(run, "_key long, _order long, p0 int, p1 int, a long, b long")
 
