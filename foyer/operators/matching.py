@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from foyer.functions.scalars import canonical_type, property_key, same_set
 from foyer.schemas import COMPARABLE_FIELDS, PRESERVED_FIELDS
-from foyer.session import kept
+from foyer.session import gone, stored
 
 THRESHOLD, PARTIAL = 0.85, 0.75
 # Weights and tolerances of the fields of a pair.
@@ -125,19 +125,21 @@ def groups(pairs: DataFrame, rounds: int = 50) -> DataFrame:
     """id, group (smallest id reachable) over pairs(a_property_id, b_property_id).
 
     Smallest labels spread along pairs, with a jump to the label's label each round;
-    rounds are checkpointed to the session's shared folder, so lineage stays short.
+    each round is a table in the session's shared folder, so lineage stays short.
     """
     edges = pairs.select(F.col("a_property_id").alias("a"), F.col("b_property_id").alias("b")).filter("a <> b")
-    edges = kept(edges.unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct())
-    labels = kept(edges.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("label")).withColumnRenamed("a", "id"))
+    # stored, so that both sides of the joins below are shuffles and Spark can split a property with very many pairs
+    edges = stored(edges.unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct(), "edges")
+    labels = stored(edges.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("label")).withColumnRenamed("a", "id"), "labels")
     for _ in range(rounds):
         near = edges.join(labels, F.col("b") == F.col("id")).groupBy("a").agg(F.min("label").alias("seen"))
-        met = labels.join(near, F.col("id") == F.col("a")).select("id", F.least("label", "seen").alias("new"), F.col("label").alias("old"))
+        met = stored(labels.join(near, F.col("id") == F.col("a")).select("id", F.least("label", "seen").alias("new"), F.col("label").alias("old")), "met")
         jump = met.alias("m").join(met.select(F.col("id").alias("_id"), F.col("new").alias("_new")), F.col("m.new") == F.col("_id"), "left")
-        new = kept(jump.select("id", F.least("new", F.coalesce("_new", "new")).alias("label"), "old"))
-        changed = new.filter("label <> old").limit(1).count()
+        new = stored(jump.select("id", F.least("new", F.coalesce("_new", "new")).alias("label"), "old"), "labels")
+        gone(met, labels)
         labels = new.select("id", "label")
-        if not changed:
+        if not new.filter("label <> old").limit(1).count():
+            gone(edges)
             return labels.withColumnRenamed("label", "group")
     raise RuntimeError("groups did not settle")
 

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
@@ -39,6 +40,31 @@ def kept(df: DataFrame) -> DataFrame:
     return df.checkpoint()
 
 
+def shared_dir(spark: SparkSession) -> str:
+    """The folder that driver and executors share, named by spark.checkpoint.dir; only a local session without it (tests) gets a temporary one."""
+    folder = spark.conf.get("spark.checkpoint.dir", None)
+    if not folder:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that the whole cluster shares")
+        folder = tempfile.mkdtemp(prefix="foyer-")
+        spark.conf.set("spark.checkpoint.dir", folder)
+    return folder.rstrip("/")
+
+
+def stored(df: DataFrame, name: str) -> DataFrame:
+    """df written as Parquet to the shared folder and read again: a table of a round, which gone() empties."""
+    path = f"{shared_dir(df.sparkSession)}/foyer/{name}-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def gone(*tables: DataFrame) -> None:
+    """Empties tables of stored() that nothing will read again."""
+    for df in tables:
+        for folder in {f.rpartition("/")[0] for f in df.inputFiles()}:
+            df.sparkSession.createDataFrame([], df.schema).write.mode("overwrite").parquet(folder)
+
+
 def numbered(df: DataFrame, order: list[Column], name: str) -> DataFrame:
     """df with name, the place of a row in this order from 1, and name_total, the number of rows.
 

@@ -158,7 +158,7 @@ def leboncoin_patches(ads: DataFrame) -> DataFrame:
 
 def leboncoin_search(responses: DataFrame, text: str = "body") -> DataFrame:
     """The ads of portal B's search responses, JSON texts with a list of ads."""
-    return responses.select(F.explode(F.from_json(text, _ads_schema())["ads"]).alias("ad")).select("ad.*")
+    return responses.select(F.explode_outer(F.from_json(text, _ads_schema())["ads"]).alias("ad")).filter("ad is not null").select("ad.*")  # outer: see search_cards
 
 
 def _ads_schema() -> str:
@@ -227,6 +227,9 @@ def search_cards(pages: DataFrame, html: str = "html") -> DataFrame:
     """The cards of portal C's and D's search pages, a row each: pages' columns, at (place on the page), total, card.
 
     A page carries them as the search's answer, or as ids and a map of classifieds.
+    The explode is an outer one: from a plain one Spark infers a filter on the size of the
+    list and writes all that the list is made of into it, so every page would be parsed
+    once more for each use of its JSON.
     """
     answer = F.from_json(P.window_json(F.col(html), "initialData"), _SEARCH)
     fetched = F.from_json(P.window_json(F.col(html), "__UFRN_FETCHER__"), _FETCHER)["data"]["classified-serp-init-data"]["pageProps"]
@@ -236,7 +239,7 @@ def search_cards(pages: DataFrame, html: str = "html") -> DataFrame:
     cards = F.filter(F.coalesce(listed, named), lambda c: F.coalesce(c["id"] != "", F.lit(False)))
     total = F.coalesce(F.col("_a")["navigation"]["counts"]["count"], F.col("_f")["totalCount"], F.size("_cards").cast("long"))
     out = parsed.withColumn("_cards", cards).withColumn("total", total)
-    return out.select(*pages.columns, "total", F.posexplode("_cards").alias("at", "card")).withColumn("card", enriched_card())
+    return out.select(*pages.columns, "total", F.posexplode_outer("_cards").alias("at", "card")).filter("card is not null").withColumn("card", enriched_card())
 
 
 def _absolute(base: Column, path: Column) -> Column:
