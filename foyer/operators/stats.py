@@ -7,6 +7,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from foyer.functions.scalars import euros, half_up, photo_key, week_label
+from foyer.operators.selection import percentiles
 from foyer.schemas import SOURCES
 from foyer.session import numbered
 
@@ -20,8 +21,14 @@ def active_properties(properties: DataFrame, publications: DataFrame, source: st
 
 
 def price_stats(active: DataFrame) -> DataFrame:
-    """One row; nulls without rows."""
-    return active.agg(F.count("*").alias("n"), F.min("price").alias("min_price"), F.max("price").alias("max_price"), half_up(F.percentile("price", 0.5)).alias("median_price"), half_up(F.avg("price")).alias("avg_price"))
+    """One row; nulls without rows.  The median is found by selection, so no task holds all prices."""
+    rest = active.agg(F.count("*").alias("n"), F.min("price").alias("min_price"), F.max("price").alias("max_price"), half_up(F.avg("price")).alias("avg_price"))
+    return rest.crossJoin(median(active)).select("n", "min_price", "max_price", "median_price", "avg_price")  # one row each
+
+
+def median(active: DataFrame) -> DataFrame:
+    """One row: median_price."""
+    return percentiles(active, "price", [0.5]).select(half_up(F.col("p0")).alias("median_price"))
 
 
 def overview(properties: DataFrame, publications: DataFrame) -> DataFrame:
@@ -106,8 +113,8 @@ def price_histogram(active: DataFrame, buckets: int = 8) -> DataFrame:
 def snapshot(properties: DataFrame, publications: DataFrame, day: str) -> DataFrame:
     """The row of a day in the snapshot table."""
     active = active_properties(properties, publications)
-    own = active.agg(F.count("*").alias("active_properties"), half_up(F.percentile("price", 0.5)).alias("median_price"), F.count_if(F.col("first_price") > F.col("price")).alias("price_drop_count"))
-    return own.crossJoin(publications.agg(F.count_if("is_active").alias("active_publications"))).select(F.lit(day).alias("date"), "active_properties", "active_publications", "median_price", "price_drop_count")
+    own = active.agg(F.count("*").alias("active_properties"), F.count_if(F.col("first_price") > F.col("price")).alias("price_drop_count"))
+    return own.crossJoin(median(active)).crossJoin(publications.agg(F.count_if("is_active").alias("active_publications"))).select(F.lit(day).alias("date"), "active_properties", "active_publications", "median_price", "price_drop_count")
 
 
 def upsert_snapshot(snapshots: DataFrame, row: DataFrame) -> DataFrame:

@@ -6,9 +6,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from foyer.functions import scalars as S
-from foyer.operators import certificates, enrichment, learning, matching, photos, projection, reactions, search, stats
+from foyer.operators import certificates, enrichment, learning, matching, photos, projection, reactions, scorecache, search, stats
 from foyer.plans.fixtures import Tables
 from foyer.plans.registry import ORACLE_SQL, QUERIES, query, rounded  # noqa: F401  the driver reads both from here
+from foyer.session import kept
 
 ACTIVE = "select p.* from properties p where exists (select 1 from publications u where u.property_id = p.id and u.is_active)"
 
@@ -440,7 +441,8 @@ def m13_purged(t):
 
 # ---------------------------------------------------------------- learning
 
-_TRAIN = "select p.* from properties p join reactions r on r.property_id = p.id where r.type = '{0}'"
+# a model holds the newest 200 of a kind
+_TRAIN = "select p.* from properties p join (select property_id from reactions where type = '{0}' order by event_id desc, property_id desc limit 200) r on r.property_id = p.id"
 WEIGHTS = {"price": 40, "surface": 25, "rooms": 15, "dpe": 10, "distance": 10}
 
 
@@ -460,14 +462,16 @@ def _similar_sql(c: str) -> str:
     return f"case when p.{c} is null or t.{c} is null then null else 1 - least(1, abs(p.{c} - t.{c}) / cast(greatest(abs(p.{c}), abs(t.{c}), 1) as double)) end"
 
 
-def _scores_sql() -> str:
+def _scores_sql(tail: str = "", homes: str = "properties", reacted: str = "reactions") -> str:
+    """Scores as s{tail}; homes and reacted name the tables to use."""
     means = ", ".join(f"avg({_similar_sql(c)}) as m_{c}" for c in WEIGHTS)
     maxes = ", ".join(f"max({_similar_sql(c)}) as d_{c}" for c in WEIGHTS)
     one = lambda c: f"greatest(0, least(100, 100 * case when d_{c} is null then m_{c} else greatest(0, m_{c} - d_{c} * 0.5) end))"
     gained = " + ".join(f"case when m_{c} is null then 0 else {one(c)} * {w} end" for c, w in WEIGHTS.items())
     total = " + ".join(f"case when m_{c} is null then 0 else {w} end" for c, w in WEIGHTS.items())
-    return f"""likes as ({_TRAIN.format('like')}), dislikes as ({_TRAIN.format('dislike')}), a as (select p.id, {means} from properties p cross join likes t group by p.id), b as (select p.id, {maxes} from properties p cross join dislikes t group by p.id),
-      s as (select id, ({gained}) / cast(nullif({total}, 0) as double) as score from a left join b using (id))"""
+    train = _TRAIN.replace("properties", homes).replace("from reactions", f"from {reacted}")
+    return f"""likes{tail} as ({train.format('like')}), dislikes{tail} as ({train.format('dislike')}), a{tail} as (select p.id, {means} from {homes} p cross join likes{tail} t group by p.id), b{tail} as (select p.id, {maxes} from {homes} p cross join dislikes{tail} t group by p.id),
+      s{tail} as (select id, ({gained}) / cast(nullif({total}, 0) as double) as score from a{tail} left join b{tail} using (id))"""
 
 
 @query(f"with {_scores_sql()} select id, cast(floor(score * 10000 + 0.5) as bigint) as score from s")
@@ -476,6 +480,28 @@ def l03_j10_scores(t):
     return rounded(scored.select("id", "score"), "score", digits=4)
 
 
+@query(f"""with untouched as (select min(id) as id from properties where id not in (select property_id from reactions)),
+  changed as (select p.* replace (case when p.id % 10 = 0 and p.id not in (select property_id from reactions) then p.price + 5000 else p.price end as price) from properties p),
+  more as (select property_id, type, event_id from reactions union all select id, 'dislike', (select max(event_id) + 1 from reactions) from untouched), {_scores_sql("1", "changed")}, {_scores_sql("2", "changed", "more")}
+  select 1 as step, s1.id, cast(floor(score * 10000 + 0.5) as bigint) as score, s1.id % 10 = 0 and s1.id not in (select property_id from reactions) as rescored from s1 union all select 2, id, cast(floor(score * 10000 + 0.5) as bigint), true from s2""")
+def l08_rescored(t):
+    """Prices of some properties change, then one more is disliked: the first rescores those properties, the second makes another model."""
+    reacted = t.reactions
+    plain = t.properties.join(reacted.select(F.col("property_id").alias("id")), "id", "left_anti")
+    changed = t.properties.join(plain.filter("id % 10 = 0").select("id", F.lit(5000).alias("_more")), "id", "left").withColumn("price", F.col("price") + F.coalesce("_more", F.lit(0))).drop("_more")
+    one = plain.agg(F.min("id").alias("property_id")).crossJoin(reacted.agg((F.max("event_id") + 1).alias("event_id"))).select("property_id", F.lit("dislike").alias("type"), "event_id")  # one row each
+
+    def step(homes: DataFrame, reacted: DataFrame, cache: DataFrame | None) -> DataFrame:
+        dated = reacted.withColumns({"archived_at": F.lit(None).cast("timestamp"), "created_at": F.col("event_id")})
+        return kept(scorecache.refreshed(homes, *(learning.training_rows(homes, dated, k) for k in ("like", "dislike")), WEIGHTS, cache))
+
+    first = step(t.properties, reacted, None)
+    second = step(changed, reacted, first)
+    third = step(changed, reacted.unionByName(one), second)
+    both = [df.select(F.lit(k).alias("step"), "id", "score", "rescored") for k, df in ((1, second), (2, third))]
+    return rounded(both[0].unionByName(both[1]), "score", digits=4)
+
+
 @query(f"with {_scores_sql()}, r as (select id, round(score, 9) as score from s) select id, row_number() over (order by coalesce(score, 0) desc, id) as rank, count(*) over () as rank_total from r")
 def w03_ranks(t):
     scored = learning.score(t.properties, _training(t, "like"), _training(t, "dislike"), WEIGHTS)
