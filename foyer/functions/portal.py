@@ -19,17 +19,23 @@ def _number(text: Column) -> Column:
     return F.replace(text, F.lit(","), F.lit(".")).try_cast("double")
 
 
+# How an ad's text names its classes, both at once or each by itself, and its land.  tests/test_portal_texts.py has a case for each.
+BOTH_CLASSES = r"(?iu)Classe énergie\s+([A-G])[\s,]+Classe climat\s+([A-G])"
+ENERGY_CLASS = r"(?iu)(?:DPE|énergie)\s*[:\s]*([A-G])"
+CLIMATE_CLASS = r"(?iu)(?:GES|climat)\s*[:\s]*([A-G])"
+LAND_BEFORE, LAND_AFTER = r"(?iu)terrain\s*(?:de\s+)?(\d[\d\s]*)\s*m²", r"(?iu)(\d[\d\s]*)\s*m²\s*(?:de\s+)?terrain"
+
+
 def energy_classes(text: Column) -> tuple[Column, Column]:
     """(dpe, ges) that a text names: both in one phrase, else each by its own."""
-    both = r"(?iu)Classe énergie\s+([A-G])[\s,]+Classe climat\s+([A-G])"
-    dpe, ges = _found(text, r"(?iu)(?:DPE|énergie)\s*[:\s]*([A-G])"), _found(text, r"(?iu)(?:GES|climat)\s*[:\s]*([A-G])")
-    return F.upper(F.coalesce(_found(text, both), dpe)), F.upper(F.coalesce(_found(text, both, 2), ges))
+    named = lambda group, alone: F.upper(F.coalesce(_found(text, BOTH_CLASSES, group), _found(text, alone)))
+    return named(1, ENERGY_CLASS), named(2, CLIMATE_CLASS)
 
 
 def land_surface(text: Column) -> Column:
     """Square meters of land, said before or after the number."""
-    said = F.coalesce(_found(text, r"(?iu)terrain\s*(?:de\s+)?(\d[\d\s]*)\s*m²"), _found(text, r"(?iu)(\d[\d\s]*)\s*m²\s*(?:de\s+)?terrain"))
-    return F.regexp_replace(said, r"\s", "").try_cast("double")
+    digits = F.array_join(F.split(F.coalesce(_found(text, LAND_BEFORE), _found(text, LAND_AFTER)), r"\s+"), "")
+    return digits.try_cast("double")
 
 
 def _first_tag(tags: Column, pattern: str) -> Column:
@@ -78,39 +84,49 @@ def tag_extras(description: Column, tags: Column) -> dict[str, Column]:
     }
 
 
-# Names of the scales beside which a page states its classes.
+def bare(html: Column) -> Column:
+    """The page with JSON that stands inside strings as plain JSON: one level of escapes before quotes, slashes and backslashes is gone."""
+    return F.regexp_replace(html, r'\\(["\\/])', "$1")
+
+
+# Names of the scales that a page rates a home on, and how a rating and a metric stand in its payload.
 ENERGY_SCALE, CLIMATE_SCALE = "FR_ENERGY_AFTER_2021", "FR_GHG_AFTER_2021"
+RATING, METRIC = r'"rating":"[A-Ga-g]"', r'"value":"\d+(?:[.,]\d+)?\s*(?:kWh/m²|kg CO₂/m²)'
 
 
-def _rating_before(html: Column, scale: str) -> Column:
-    """The last rating in the 300 characters before a scale's name."""
-    at = F.instr(html, scale)
-    window = F.substring(html, F.greatest(at - 300, F.lit(1)), F.least(at - 1, F.lit(300)))
-    return F.when(at > 0, F.upper(F.try_element_at(F.regexp_extract_all(window, F.lit(r'(?i)\\"rating\\":\\"([A-G])\\"'), F.lit(1)), F.lit(-1))))
+def _scale_marks(page: Column) -> Column:
+    """Ratings, scales and metrics of a page in their order; page: bare()."""
+    return F.regexp_extract_all(page, F.lit("|".join((RATING, ENERGY_SCALE, CLIMATE_SCALE, METRIC))), F.lit(0))
 
 
-def _value_after(html: Column, scale: str) -> Column:
-    """The metric in the 500 characters from a scale's name on."""
-    at = F.instr(html, scale)
-    window = F.substring(html, at, F.lit(500))
-    said = F.coalesce(_found(window, r'(?iu)\\"value\\":\\"(\d+(?:[.,]\d+)?)\s*kWh/m²'), _found(window, r'(?iu)\\"value\\":\\"(\d+(?:[.,]\d+)?)\s*kg CO₂/m²'))
-    return F.when(at > 0, _number(said))
+def rated(page: Column, scale: str) -> tuple[Column, Column]:
+    """(class, metric) on a scale: the rating that is the last mark before the scale's name, and the metric that is the next after it."""
+    marks = _scale_marks(page)
+    at = F.array_position(marks, F.lit(scale)).cast("int")
+    before, after = F.get(marks, at - 2), F.get(marks, at)
+    rating = F.when((at > 0) & before.startswith('"rating"'), F.upper(F.substring(before, -2, 1)))
+    return rating, F.when((at > 0) & after.startswith('"value"'), _number(_found(after, r"(\d+(?:[.,]\d+)?)")))
 
 
-def page_energy(html: Column) -> dict[str, Column]:
-    """Classes and metrics of a detail page: from its text, else from its scales."""
+def page_energy(html: Column, page: Column | None = None) -> dict[str, Column]:
+    """Classes and metrics of a detail page: from its text, else from its scales; page: bare()."""
+    page = bare(html) if page is None else page
     dpe, ges = energy_classes(html)
+    (dpe_rated, consumed), (ges_rated, emitted) = (rated(page, s) for s in (ENERGY_SCALE, CLIMATE_SCALE))
     return {
-        "dpe_class": F.coalesce(dpe, _rating_before(html, ENERGY_SCALE)),
-        "ges_class": F.coalesce(ges, _rating_before(html, CLIMATE_SCALE)),
-        "dpe_consumption_kwh_m2": F.coalesce(consumption_from_text(html), _value_after(html, ENERGY_SCALE)),
-        "ges_emission_kg_m2": F.coalesce(emission_from_text(html), _value_after(html, CLIMATE_SCALE)),
+        "dpe_class": F.coalesce(dpe, dpe_rated),
+        "ges_class": F.coalesce(ges, ges_rated),
+        "dpe_consumption_kwh_m2": F.coalesce(consumption_from_text(html), consumed),
+        "ges_emission_kg_m2": F.coalesce(emission_from_text(html), emitted),
     }
 
 
 # The bounds of France's mainland in degrees.
 LATITUDES, LONGITUDES = (41, 52), (-5.5, 10)
-_DECIMAL = r"(-?\d+(?:\.\d+)?)"
+_DECIMAL = r"-?\d+(?:\.\d+)?"
+# Where a page says its place: the center of a static map, a GeoJSON point (both longitude first), two fields of one object.
+STATIC_MAP, GEO_POINT = rf"(?i)/static/[^/]+/({_DECIMAL}),({_DECIMAL}),", rf'(?i)"Point"[^\[]*"coordinates":\[({_DECIMAL}),({_DECIMAL})\]'
+PLACE_FIELDS = rf'(?i)"(?:latitude|longitude)"\s*:\s*{_DECIMAL}[^}}]{{0,120}}"(?:latitude|longitude)"\s*:\s*{_DECIMAL}'
 
 
 def in_france(lat: Column, lng: Column) -> Column:
@@ -123,15 +139,13 @@ def point(lat: Column, lng: Column) -> Column:
     return F.when(in_france(lat, lng), make(lat, lng)).when(in_france(lng, lat), make(lng, lat))
 
 
-def page_point(html: Column) -> Column:
-    """Coordinates that a page names: a static map's center, an escaped GeoJSON point, or a pair of fields in either order."""
-    patterns = (
-        (rf"(?i)/static/[^/]+/{_DECIMAL},{_DECIMAL},", 2, 1),
-        (rf'(?i)\\"type\\":\\"Point\\"[^\[]*\\"coordinates\\":\[{_DECIMAL},{_DECIMAL}\]', 1, 2),
-        (rf'(?i)"latitude"\s*:\s*{_DECIMAL}[^}}]{{0,120}}"longitude"\s*:\s*{_DECIMAL}', 1, 2),
-        (rf'(?i)"longitude"\s*:\s*{_DECIMAL}[^}}]{{0,120}}"latitude"\s*:\s*{_DECIMAL}', 2, 1),
-    )
-    return F.coalesce(*(point(_found(html, p, lat).try_cast("double"), _found(html, p, lng).try_cast("double")) for p, lat, lng in patterns))
+def page_point(html: Column, page: Column | None = None) -> Column:
+    """Coordinates that a page names, the first of its ways that lies in France; page: bare()."""
+    page = bare(html) if page is None else page
+    fields = _found(page, PLACE_FIELDS, 0)
+    value = lambda name: _found(fields, rf'(?i)"{name}"\s*:\s*({_DECIMAL})')
+    pairs = [(_found(page, p, 2), _found(page, p)) for p in (STATIC_MAP, GEO_POINT)] + [(value("latitude"), value("longitude"))]
+    return F.coalesce(*(point(lat.try_cast("double"), lng.try_cast("double")) for lat, lng in pairs))
 
 
 def unescaped_json(text: Column) -> Column:
@@ -140,56 +154,84 @@ def unescaped_json(text: Column) -> Column:
     return F.from_json(F.concat(F.lit('{"v":"'), text, F.lit('"}')), "v string", lenient)["v"]
 
 
+# The entities that descriptions hold.
+ENTITIES = {"nbsp": " ", "amp": "&", "lt": "<", "gt": ">", "quot": '"', "#39": "'"}
+
+
+def decoded(text: Column) -> Column:
+    """Text whose entities of ENTITIES are the characters they name, in one pass; other ampersands stay."""
+    table = F.create_map(*(F.lit(x) for pair in ENTITIES.items() for x in pair))
+    parts = F.split(text, "&")
+    name = lambda part: F.substring_index(part, ";", 1)
+    known = lambda part: F.when(F.contains(part, F.lit(";")), F.try_element_at(table, name(part)))
+    each = F.transform(parts, lambda part, k: F.when(k == 0, part).otherwise(F.coalesce(F.concat(known(part), F.substr(part, F.length(name(part)) + 2)), F.concat(F.lit("&"), part))))
+    return F.array_join(each, "")
+
+
 def plain_text(html: Column) -> Column:
-    """Text without tags: line breaks where elements end one, entities decoded."""
-    steps = ((r"(?i)<br\s*/?>", "\n"), (r"(?i)</p>", "\n\n"), (r"<[^>]+>", ""), ("&nbsp;", " "), ("&amp;", "&"), ("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#39;", "'"))
-    return reduce(lambda c, s: F.regexp_replace(c, *s), steps, html)
+    """Text without tags: the text between them decoded, a break for a line's end, an empty line after a paragraph."""
+    tokens = F.split(html, r"(?=<[^>]+>)|(?<=>)")
+    is_tag = lambda t: t.startswith("<") & t.endswith(">")
+    tag = lambda t: F.lower(F.btrim(t, F.lit("<> /")))
+    shown = lambda t: F.when(~is_tag(t), decoded(t)).when(tag(t) == "br", "\n").when((tag(t) == "p") & t.startswith("</"), "\n\n").otherwise("")
+    return F.array_join(F.transform(tokens, shown), "")
 
 
 def tidy(text: Column) -> Column:
-    """Plain spaces, no spaces before a line break, two line breaks at most."""
-    steps = (("\u00a0", " "), (r"[ \t]+\n", "\n"), (r"\n{3,}", "\n\n"), (r"^\s+|\s+$", ""))
-    return reduce(lambda c, s: F.regexp_replace(c, *s), steps, text)
+    """Plain spaces, no spaces at the end of a line, no two empty lines in a row, none around."""
+    lines = F.transform(F.split(F.translate(text, "\u00a0", " "), "\n"), lambda x: F.rtrim(x, F.lit(" \t")))
+    kept = F.filter(lines, lambda x, k: (x != "") | (k == 0) | (F.get(lines, k - 1) != ""))
+    return F.btrim(F.array_join(kept, "\n"), F.lit(" \t\n\r\f"))
+
+
+# The length from which a text counts as a description, and what shows that a payload was cut into it.
+LEAST_DESCRIPTION, PAYLOAD_RESTS = 40, ('","canonical"', '\\"')
+
+
+def has_payload_rest(text: Column) -> Column:
+    return reduce(lambda a, b: a | b, (F.contains(text, F.lit(x)) for x in PAYLOAD_RESTS))
 
 
 def plausible_description(text: Column) -> Column:
-    """Long enough, no rest of a payload, and not the page's own title."""
-    one_line = F.trim(F.regexp_replace(text, r"\s+", " "))
-    title = one_line.rlike(r"^Achat (?:Maison|Appartement) .*\d[\d\s.]*\s*€.*\(\d{5}\)$")
-    return (F.length(text) >= 40) & ~text.rlike(r'","canonical"|\\"') & ~title
+    """Long enough, no rest of a payload, and not the title of an ad: what is sold, its price and the postal code at the end."""
+    words = F.filter(F.split(text, r"\s+"), lambda w: w != "")
+    title = (F.get(words, F.lit(0)) == "Achat") & F.get(words, F.lit(1)).isin("Maison", "Appartement") & F.contains(text, F.lit("€")) & F.element_at(words, -1).rlike(r"^\(\d{5}\)$")
+    return (F.length(text) >= LEAST_DESCRIPTION) & ~has_payload_rest(text) & ~F.coalesce(F.when(F.size(words) > 2, title), F.lit(False))
+
 
+#: A field of a payload with an object of texts and numbers.  Possessive loops: Java matches other groups by recursion, and payloads are long.
+_DESCRIPTIONS = r'"mainDescription"\s*:\s*(\{(?:[^{}"]++|"(?:[^"\\]++|\\.)*+")*+\})'
 
-# possessive loops: Java matches other groups by recursion, and payloads are long
-_STRING = r'((?:\\.|[^"\\])*+)'
+
+def _payload_descriptions(html: Column, page: Column) -> Column:
+    """Descriptions that a page's payloads hold, read by the JSON reader: of plain JSON, and of JSON inside a string."""
+    objects = F.concat(*(F.regexp_extract_all(x, F.lit(_DESCRIPTIONS), F.lit(1)) for x in (html, page)))
+    lenient = {"allowUnquotedControlChars": "true", "allowBackslashEscapingAnyCharacter": "true"}
+    return F.array_distinct(F.transform(objects, lambda o: F.from_json(o, "description string", lenient)["description"]))
 
 
-def _payload_descriptions(html: Column) -> Column:
-    """Descriptions of a page's payload, still escaped: plain JSON, or JSON inside a string, with or without a headline."""
-    every = lambda pattern, group=1: F.regexp_extract_all(html, F.lit(pattern), F.lit(group))
-    headed = F.transform(every(rf'mainDescription\\":\{{\\"headline\\":\\"{_STRING}'), lambda t: F.regexp_extract(t, r'(?s)^.*\\",\\"description\\":\\"(.*)\\"', 1))
-    plain = every(rf'"mainDescription":\{{"headline":"(?:\\.|[^"\\])*+","description":"{_STRING}"')
-    bare = F.transform(every(rf'mainDescription\\":\{{\\"description\\":\\"{_STRING}'), lambda t: F.regexp_extract(t, r'(?s)^(.*)\\"', 1))
-    return F.concat(headed, plain, bare)
+def longest(texts: Column) -> Column:
+    """The longest filled text of an array; of equals the first."""
+    sized = F.transform(texts, lambda t, k: F.struct(F.length(t).alias("n"), (-k).alias("first"), t.alias("t")))
+    return F.array_max(F.filter(sized, lambda x: F.coalesce(F.trim(x["t"]) != "", F.lit(False))))["t"]
 
 
-def longest(*texts: Column) -> Column:
-    """The longest filled text; of equals the first."""
-    listed = F.filter(F.array(*texts), lambda t: F.coalesce(F.trim(t) != "", F.lit(False)))
-    return F.aggregate(listed, F.lit(None).cast("string"), lambda best, t: F.when(best.isNull() | (F.length(t) > F.length(best)), t).otherwise(best))
+# Fixed value: the element that shows a page's main description.
+DESCRIPTION_ELEMENT = r'(?is)data-testid="cdp-main-description-expandable-text"[^>]*>(.*?)</'
 
 
-def page_description(html: Column) -> Column:
-    """The main description of a page, from its element or its payload; the longest plausible one."""
-    shown = tidy(plain_text(_found(html, r'(?is)data-testid="cdp-main-description-expandable-text"[^>]*>(.*?)</')))
-    said = F.transform(_payload_descriptions(html), lambda t: tidy(unescaped_json(t)))
-    every = F.filter(F.concat(F.array(shown), said), lambda t: F.coalesce(plausible_description(t), F.lit(False)))
-    return F.aggregate(every, F.lit(None).cast("string"), lambda best, t: F.when(best.isNull() | (F.length(t) > F.length(best)), t).otherwise(best))
+def page_description(html: Column, page: Column | None = None) -> Column:
+    """The main description of a page, from its element or its payload; the longest plausible one.  page: bare()."""
+    page = bare(html) if page is None else page
+    shown = tidy(plain_text(_found(html, DESCRIPTION_ELEMENT)))
+    every = F.concat(F.array(shown), F.transform(_payload_descriptions(html, page), tidy))
+    return longest(F.filter(every, lambda t: F.coalesce(plausible_description(t), F.lit(False))))
 
 
 def cut_off(description: Column) -> Column:
     """A description that is missing, ends in dots or holds a rest of a payload."""
     own = F.trim(description)
-    return F.coalesce((own == "") | own.rlike(r'","canonical"|\\"') | own.rlike(r"(?:\.\.\.|…)$"), F.lit(True))
+    return F.coalesce((own == "") | has_payload_rest(own) | own.endswith("...") | own.endswith("…"), F.lit(True))
 
 
 def og_image(html: Column) -> Column:

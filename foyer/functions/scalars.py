@@ -214,12 +214,17 @@ def _metric(text: Column, *patterns: str) -> Column:
     return F.replace(F.coalesce(*found), F.lit(","), F.lit(".")).try_cast("double")
 
 
+# How a text states consumption and emission; tests/test_portal_texts.py has a case for each.
+CONSUMPTION = (r"(?iu)consommation[^:]{0,40}:\s*(\d+(?:[.,]\d+)?)\s*kwh\s*/\s*m²", r"(?iu)(\d+(?:[.,]\d+)?)\s*kwh\s*/\s*m²\s*(?:\.\s*an|/\s*an)")
+EMISSION = (r"(?iu)émissions?\s*:\s*(\d+(?:[.,]\d+)?)\s*kg", r"(?iu)(\d+(?:[.,]\d+)?)\s*kg\s*co₂?\s*/\s*m²")
+
+
 def consumption_from_text(text: Column) -> Column:
-    return _metric(text, r"(?iu)consommation[^:]{0,40}:\s*(\d+(?:[.,]\d+)?)\s*kwh\s*/\s*m²", r"(?iu)(\d+(?:[.,]\d+)?)\s*kwh\s*/\s*m²\s*(?:\.\s*an|/\s*an)")
+    return _metric(text, *CONSUMPTION)
 
 
 def emission_from_text(text: Column) -> Column:
-    return _metric(text, r"(?iu)émissions?\s*:\s*(\d+(?:[.,]\d+)?)\s*kg", r"(?iu)(\d+(?:[.,]\d+)?)\s*kg\s*co₂?\s*/\s*m²")
+    return _metric(text, *EMISSION)
 
 
 def half_up(value: Column) -> Column:
@@ -233,8 +238,14 @@ def tolerance_range(value: Column, tolerance: int) -> tuple[Column, Column]:
 
 # ---------------------------------------------------------------- amenities
 
-# Fixed value: tags that say what a listing's own fields say.
-STRUCTURAL_TAG = r"(?iu)\d+\s*(?:pièces?|chambres?)(?![A-Za-z0-9_])|terrain\s*(?:de\s+)?\d|^\d+\s*m²(?=[A-Za-z0-9_])|classe\s+(?:énergie|climat)"
+# Tags that say what a listing's own fields say.
+STRUCTURAL_TAGS = (
+    r"\d+\s*(?:pièces?|chambres?)(?![A-Za-z0-9_])",
+    r"terrain\s*(?:de\s+)?\d",
+    r"^\d+\s*m²(?=[A-Za-z0-9_])",
+    r"classe\s+(?:énergie|climat)",
+)
+STRUCTURAL_TAG = "(?iu)" + "|".join(STRUCTURAL_TAGS)
 
 
 def highlights_from_tags(tags: Column) -> Column:
@@ -260,13 +271,19 @@ def same_set(left: Column, right: Column) -> Column:
     return as_set(left) == as_set(right)
 
 
+# A year of construction in a text, and tags that count bathrooms; tests/test_portal_texts.py has a case for each.
+YEAR = r"\b(18[89]\d|19\d{2}|20[0-2]\d)\b"
+BATHROOMS = (r"(?iu)(\d+)\s*(?:salles?\s*de\s*bains?|sdb)\b", r"(?iu)(\d+)\s*salles?\s*d['’]eau")
+
+
 def year_from_text(text: Column) -> Column:
-    return F.regexp_extract(text, r"\b(18[89]\d|19\d{2}|20[0-2]\d)\b", 1).try_cast("int")
+    return F.regexp_extract(text, YEAR, 1).try_cast("int")
 
 
 def bathrooms_from_tags(tags: Column) -> Column:
-    one = lambda t: F.coalesce(*(F.nullif(F.regexp_extract(t, p, 1), F.lit("")) for p in (r"(?iu)(\d+)\s*(?:salles?\s*de\s*bains?|sdb)\b", r"(?iu)(\d+)\s*salles?\s*d['’]eau")))
-    return F.get(F.filter(F.transform(tags, one), lambda x: x.isNotNull()), F.lit(0)).try_cast("int")
+    """The number of the first tag that counts bathrooms."""
+    said = lambda t: F.coalesce(*(F.nullif(F.regexp_extract(t, p, 1), F.lit("")) for p in BATHROOMS))
+    return F.get(F.array_compact(F.transform(tags, said)), F.lit(0)).try_cast("int")
 
 
 def positive(value: Column) -> Column:

@@ -264,15 +264,16 @@ def detail_pages(pages: DataFrame, html: str = "html") -> DataFrame:
     """pages with the fields that portal C's and D's detail pages can enrich, from their payload, their text and their head."""
     page = F.col(html)
     payload = F.coalesce(F.from_json(P.window_json(page, "__UFRN_FETCHER__"), _FETCHER)["data"]["classified-detail-init-data"]["pageProps"]["classifiedData"], F.from_json(P.window_json(page, "initialData"), f"classified struct<{_CLASSIFIED}>")["classified"])
-    read = pages.withColumn("_d", payload).withColumn("card", F.when(F.coalesce(F.col("_d")["metadata"]["legacyId"], F.col("_d")["id"]).isNotNull(), _card_of_data(F.col("_d")))).withColumn("card", F.when(F.col("card").isNotNull(), enriched_card()))
+    read = pages.withColumns({"_d": payload, "_bare": P.bare(page)}).withColumn("card", F.when(F.coalesce(F.col("_d")["metadata"]["legacyId"], F.col("_d")["id"]).isNotNull(), _card_of_data(F.col("_d")))).withColumn("card", F.when(F.col("card").isNotNull(), enriched_card()))
     c, d = F.col("card"), F.col("_d")
     text = F.concat_ws("\n", F.nullif(c["description"], F.lit("")), c["tags"], page)
-    at = F.coalesce(_data_point(d), P.page_point(page))
+    own = F.col("_bare")
+    at = F.coalesce(_data_point(d), P.page_point(page, own))
     gallery = _urls(_photos(d["gallery"]))
     image = F.coalesce(gallery["image_url"], P.og_image(page))
     extras = {n: F.when(c.isNotNull(), v) for n, v in P.tag_extras(c["description"], c["tags"]).items()}
-    values = P.page_energy(page) | extras | {
-        "description": P.longest(c["description"], P.page_description(page)), "surface": c["surface"], "land_surface": P.land_surface(text), "latitude": at["lat"], "longitude": at["lng"],
+    values = P.page_energy(page, own) | extras | {
+        "description": P.longest(F.array(c["description"], P.page_description(page, own))), "surface": c["surface"], "land_surface": P.land_surface(text), "latitude": at["lat"], "longitude": at["lng"],
         "rooms": F.coalesce(c["rooms"], P.rooms_from_tags(c["tags"])), "bedrooms": F.coalesce(c["bedrooms"], P.bedrooms_from_tags(c["tags"])),
         "image_url": image, "image_urls": F.coalesce(gallery["image_urls"], F.when(image.isNotNull(), F.array(image))),
         "construction_year": F.coalesce(extras["construction_year"], P.year_from_text(text)),
