@@ -257,3 +257,22 @@ def fingerprint(text, levels=3, slots=64):
 def alike(a, b):
     either = sum(1 for x, y in zip(a, b) if x or y)
     return sum(1 for x, y in zip(a, b) if x and x == y) / either if either else 1.0
+
+
+def shingles(text, size=5):
+    """The set of a text's shingles, lower-cased in A-Z; a shorter text is one shingle."""
+    own = words("".join(c.lower() if "A" <= c <= "Z" else c for c in text or ""))
+    return frozenset(tuple(own[i : i + size]) for i in range(max(1, len(own) - size + 1)))
+
+
+def similarities(texts, size=5):
+    """(key, key) -> Jaccard similarity of all pairs of texts that share a shingle; texts: key -> text."""
+    holders, sets, shared = defaultdict(list), {k: shingles(t, size) for k, t in texts.items()}, Counter()
+    for k in sorted(sets):
+        for s in sets[k]:
+            holders[s].append(k)
+    for own in holders.values():
+        for j, b in enumerate(own):
+            for a in own[:j]:
+                shared[a, b] += 1
+    return {(a, b): n / (len(sets[a]) + len(sets[b]) - n) for (a, b), n in shared.items()}

@@ -249,6 +249,7 @@ OPERATORS = {
     "quality_report": quality.quality_report,
     "word repeats": recompress.remove_repeats,
     "near": simhash.near_duplicates,
+    "similar": lambda d: simhash.similar_groups(d.select(F.monotonically_increasing_id().alias("doc_id"), "text")),
     "phrases": phrases.compare_with_next,
     "byte repeats": suffixes.remove_repeats,
     "byte repeats and passages": lambda d: suffixes.remove_repeats(d, passages=True),
