@@ -24,13 +24,13 @@ def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of SimHash near-duplicates the document with the smallest doc_id.
+    """Of each group of near-duplicates, by shingles of five words and a similarity of 0.8, the document with the smallest doc_id.
 
     Of rows that share it the first by text; texts without words are one group.
     """
     inner, named = common.shielded(docs, ("doc_id", "text"))
     own = common.keyed(inner)
-    groups = simhash.near_duplicates(own.select(F.col("_key").alias("doc_id"), "text"))
+    groups = simhash.similar_groups(own.select(F.col("_key").alias("doc_id"), "text"))
     kept = groups.filter("doc_id = component_id").select(F.col("doc_id").alias("_key"))
     return named(own.join(kept, "_key", "left_semi").drop("_key", "_order")).select(*docs.columns)
 
