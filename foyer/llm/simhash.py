@@ -11,8 +11,9 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from foyer.llm.common import batch, bound_batches, drop, mix64, store, utf8
+from foyer.llm.common import batch, bound_batches, by_bytes, drop, mix64, store, utf8
 from foyer.llm.components import components
+from foyer.llm.recompress import word_names
 
 #: Bits of the fingerprint and words of a shingle.
 BITS, SHINGLE = 64, 3
@@ -129,9 +130,9 @@ def near_duplicates(docs: DataFrame, most: int = 3, shingle: int = SHINGLE) -> D
 # ---------------------------------------------------------------- similarity of shingles
 
 #: Words of a shingle and similarity from which documents are near, tables that one job looks up, and the least words of 64 bits of a wide fingerprint.
-NEAR_SHINGLE, NEAR, TABLES, LEAST_WORDS = 5, 0.8, 4, 16
+NEAR_SHINGLE, NEAR, TABLES, LEAST_WORDS = 5, 0.8, 8, 16
 #: Share of pairs of exactly that similarity which some table has to lead to, and how far below it the estimate of a link may lie.
-FOUND, SLACK = 0.97, 0.03
+FOUND, SLACK = 0.95, 0.03
 
 
 def differing(similarity: float) -> float:
@@ -152,23 +153,44 @@ def tables_for(n: int, similarity: float = NEAR, found: float = FOUND) -> tuple[
     return bits, math.ceil(math.log(1 - found) / math.log(1 - one))
 
 
-def wide_simhash(text: bytes, words: int, shingle: int = NEAR_SHINGLE) -> bytes:
-    """SimHash of words * 64 bits: each word from the shingles' hashes mixed with a seed of its own; no words give zeros."""
-    own = text.translate(_LOWER).split()
-    if not own:
-        return bytes(8 * words)
-    joined, n, starts = b" ".join(own), max(1, len(own) - shingle + 1), [0]
-    for w in own:
-        starts.append(starts[-1] + len(w) + 1)
-    digest = xxhash.xxh64_intdigest
-    hashes = np.fromiter((digest(joined[a : b - 1]) for a, b in zip(starts[:n], starts[min(shingle, len(own)) :])), "<u8", n)
-    ones = np.zeros((words, BITS), "int64")
-    for at in range(0, n, 1 << 15):
-        part = hashes[at : at + (1 << 15)]
-        for k in range(words):
-            mixed = mix64(part + np.uint64((k + 1) * 0x9E3779B97F4A7C15 & (1 << 64) - 1)) if k else part
-            ones[k] += np.unpackbits(mixed.view("u1").reshape(-1, 8), axis=1, bitorder="little").sum(axis=0, dtype="uint32")
-    return np.packbits(2 * ones > n, axis=1, bitorder="little").tobytes()
+_ODD = np.array([0x9E3779B97F4A7C15, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F, 0xE7037ED1A0B428DB, 0x8EBC6AF09C88C6E3], "uint64")
+#: Shingles that one step of a text counts the bits of, in runs that a byte can count.
+_RUN, _STEP = 255, 255 * 32
+
+
+def shingle_hashes(names: np.ndarray, shingle: int) -> np.ndarray:
+    """Hashes of a text's shingles from the hashes of its words; fewer words are one shingle."""
+    n = len(names)
+    size = min(shingle, n)
+    total = np.full(max(n - size + 1, 0) if n else 0, size, "uint64")
+    for k in range(size):
+        total = mix64(total + names[k : n - size + 1 + k] * _ODD[k % len(_ODD)] + np.uint64(k))
+    return total
+
+
+def wide_simhash(hashes: np.ndarray, words: int) -> bytes:
+    """SimHash of words * 64 bits: each word from the hashes mixed with a seed of its own; none give zeros.
+
+    Bits are counted eight at a time: bit j of each byte of a hash goes to a byte of
+    its own, and a run of 255 of these adds up without a carry.
+    """
+    ones, lanes = np.zeros((words, 8, 8), "int64"), np.uint64(0x0101010101010101)
+    seeds = (np.arange(1, words + 1, dtype="uint64") * np.uint64(0x9E3779B97F4A7C15))[:, None]
+    for at in range(0, len(hashes), _STEP):
+        part = hashes[at : at + _STEP]
+        mixed = np.zeros((words, -(-len(part) // _RUN) * _RUN), "uint64")
+        mixed[:, : len(part)] = mix64(part[None, :] + seeds)
+        for j in range(8):
+            sums = ((mixed >> np.uint64(j)) & lanes).reshape(words, -1, _RUN).sum(axis=2, dtype="uint64")
+            ones[:, :, j] += sums.view("u1").reshape(words, -1, 8).sum(axis=1, dtype="int64")
+    return np.packbits(2 * ones.reshape(words, BITS) > len(hashes), axis=1, bitorder="little").tobytes()
+
+
+def wide_simhashes(texts: list[bytes], words: int, shingle: int = NEAR_SHINGLE) -> list[bytes]:
+    """Of each text, with A-Z lower-cased; a text without words has zeros."""
+    counts, names = word_names([t.translate(_LOWER) for t in texts])
+    ends = np.cumsum(counts)
+    return [wide_simhash(shingle_hashes(names[e - n : e], shingle), words) for e, n in zip(ends, counts)]
 
 
 def wide_fingerprints(docs: DataFrame, words: int, shingle: int = NEAR_SHINGLE) -> DataFrame:
@@ -178,7 +200,8 @@ def wide_fingerprints(docs: DataFrame, words: int, shingle: int = NEAR_SHINGLE)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            yield batch(schema, b.column("doc_id"), [wide_simhash(t, words, shingle) for t in b.column("text").to_pylist()])
+            for rows in by_bytes(list(zip(b.column("doc_id").to_pylist(), b.column("text").to_pylist())), lambda r: len(r[1])):
+                yield batch(schema, [r[0] for r in rows], wide_simhashes([r[1] for r in rows], words, shingle))
 
     return docs.select("doc_id", utf8("text").alias("text")).mapInArrow(run, "doc_id long, wide binary")
 
@@ -228,9 +251,10 @@ def _met_links(nodes: DataFrame, tables: range, bits: int, most: int) -> DataFra
     cells from the side that lacks the bit; cells of more than CELL are compared part by
     part, and of what is near in two parts a spanning forest comes out.
     """
-    cells = store(_segments(nodes, tables, bits), "segments")
-    sizes = store(cells.groupBy("k", "v").agg(F.ceil(F.count("*") / CELL).cast("int").alias("parts"), F.count("*").alias("n")), "sizes")
-    split = cells.join(sizes, ["k", "v"]).withColumn("part", F.pmod(F.xxhash64("node"), F.col("parts")).cast("int"))
+    cells = _segments(nodes, tables, bits)
+    sizes = store(cells.groupBy("k", "v").agg(F.count("*").alias("n")), "sizes")
+    large = sizes.filter(F.col("n") > CELL).select("k", "v", F.ceil(F.col("n") / CELL).cast("int").alias("parts"))
+    split = cells.join(large, ["k", "v"], "left").na.fill(1, ["parts"]).withColumn("part", F.pmod(F.xxhash64("node"), F.col("parts")).cast("int"))
     parts = store(split.groupBy("k", "v", "parts", "part").agg(F.collect_list(F.struct("node", "wide")).alias("own")), "parts")
     ball = F.filter(F.transform(F.sequence(F.lit(0), F.lit(bits - 1)), lambda i: F.expr("v").bitwiseOR(F.call_function("shiftleft", F.lit(1).cast("long"), i))), lambda x: x != F.col("v"))
     met = sizes.select("k", F.col("v").alias("own_v"), F.explode(ball).alias("v")).join(sizes.select("k", "v"), ["k", "v"]).select("k", F.col("own_v").alias("v"), F.col("v").alias("w"))
@@ -239,19 +263,28 @@ def _met_links(nodes: DataFrame, tables: range, bits: int, most: int) -> DataFra
     inside = several.select("k", "v", F.col("own").alias("a"), F.explode(F.sequence("part", F.col("parts") - 1)).alias("part")).join(several.select("k", "v", "part", F.col("own").alias("b")), ["k", "v", "part"]).select("a", "b")
     schema = pa.schema([("a", pa.int64()), ("b", pa.int64())])
 
-    def side(x: pa.Scalar) -> tuple[np.ndarray, np.ndarray]:
-        ids = x.values.field("node").to_numpy()
-        return ids, np.frombuffer(b"".join(x.values.field("wide").to_pylist()), "<u8").reshape(len(ids), -1)
+    def side(lists: pa.ListArray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Where each row's nodes start, the nodes, and their words."""
+        flat, ends = lists.flatten(), np.concatenate([[0], np.cumsum(lists.value_lengths().to_numpy())])
+        ids = flat.field("node").to_numpy()
+        return ends, ids, np.frombuffer(b"".join(flat.field("wide").to_pylist()), "<u8").reshape(len(ids), -1)
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for r in batches:
-            found = []
-            for a, b in zip(r.column("a"), r.column("b")):
-                found += wide_forest(side(a), side(b), most)
+            if not r.num_rows:
+                continue
+            (i, a, x), (j, b, y) = side(r.column("a")), side(r.column("b"))
+            single = (np.diff(i) == 1) & (np.diff(j) == 1)  # most cells: all such pairs at once
+            p, q = i[:-1][single], j[:-1][single]
+            near = np.bitwise_count(x[p] ^ y[q]).sum(axis=1, dtype="int32") <= most
+            found = list(zip(a[p[near]].tolist(), b[q[near]].tolist()))
+            for k in np.flatnonzero(~single):
+                s, t = slice(i[k], i[k + 1]), slice(j[k], j[k + 1])
+                found += wide_forest((a[s], x[s]), (b[t], y[t]), most)
             yield batch(schema, *(zip(*found) if found else ([], [])))
 
     links = store(crossed.unionByName(inside).mapInArrow(compare, "a long, b long").filter("a <> b").distinct(), "links")
-    drop(cells, sizes, parts)
+    drop(sizes, parts)
     return links
 
 
