@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from foyer.functions.scalars import EARTH_KM, energy_class, haversine_km, highlight_overlap
+from foyer.functions.scalars import EARTH_KM, energy_class, half_up, haversine_km, highlight_overlap
 from foyer.operators.stats import ranked
 
 #: Training rows of one kind that a model holds: the size of what is broadcast.
@@ -263,6 +265,24 @@ def preferences(likes: DataFrame) -> DataFrame:
     return likes.agg(*aggs)
 
 
+def all_preferences(likes: DataFrame, pos: str = "id") -> DataFrame:
+    """preferences() with the counts of baths and parking, the year, the class, heating and orientation, and whether renovation is avoided.
+
+    The ideal class is the one whose rank is nearest to the median rank, the better of
+    two; renovation is avoided if at least 0.7 of the likes that state their condition
+    don't mention it.  One row; what no like tells is null.
+    """
+    over = lambda n: F.when(F.col(n) > 0, F.col(n).cast("double"))
+    aggs = [x for n in ("bathrooms", "parking_spaces") for x in (F.min(over(n)).alias(f"min_{n}"), F.percentile(over(n), 0.5).alias(f"ideal_{n}"))]
+    stated = F.col("property_condition") != ""
+    aggs += [half_up(F.percentile(over("construction_year"), 0.5)).cast("int").alias("ideal_construction_year"), (F.count_if(stated & ~F.col("property_condition").rlike(RENOVATION)) / F.nullif(F.count_if(stated), F.lit(0)) >= 0.7).alias("avoid_renovation")]
+    texts = [common_text(likes, c, pos).agg(F.max("value").alias(f"ideal_{c}")) for c in ("heating", "orientation")]
+    each = [preferences(likes), likes.agg(*aggs), *texts]
+    joined = reduce(DataFrame.crossJoin, each)  # one row each
+    order = F.array(*(F.struct(F.abs(F.lit(float(r)) - F.col("dpe_rank")).alias("far"), F.lit(-r).alias("worse"), F.lit(c).alias("letter")) for c, r in DPE_RANK.items() if r))
+    return joined.withColumn("ideal_dpe_class", F.when(F.col("dpe_rank").isNotNull(), F.array_min(order)["letter"])).drop("dpe_rank")
+
+
 def home_ground(likes: DataFrame) -> DataFrame:
     """lat, lng, max_km: the center of at least two likes, and 1.3 times the farthest (1 km at least)."""
     points = likes.filter("latitude is not null and longitude is not null").select("latitude", "longitude")

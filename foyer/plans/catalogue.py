@@ -693,4 +693,4 @@ def j14_equal_hashes(t):
     return photos.near_looks(_looks(t), "vec_id", "look")[1]
 
 
-from foyer.plans import ingest, portals  # noqa: E402, F401  they register their queries
+from foyer.plans import ingest, portals, runs  # noqa: E402, F401  they register their queries

@@ -72,11 +72,14 @@ class Store:
 
     # ------------------------------------------------------------ tables
 
-    def read(self, name: str, number: int | None = None) -> DataFrame:
-        """A table of a version, the last unless given."""
-        folders = [r.folder for r in self.entries(number).filter(F.col("name") == name).select("folder").collect()]  # buckets at most
-        if not folders:
+    def read(self, name: str, number: int | None = None, only: set[int] | None = None) -> DataFrame:
+        """A table of a version, the last unless given; only: the buckets to read, others aren't opened."""
+        own = self.entries(number).filter(F.col("name") == name).select("bucket", "folder").collect()  # buckets at most
+        if not own:
             raise ValueError(f"no table {name} in {self.root}")
+        folders = [r.folder for r in own if only is None or r.bucket in only]
+        if not folders:
+            return self.spark.createDataFrame([], self.spark.read.parquet(f"{self.root}/{own[0].folder}").schema)
         return self.spark.read.parquet(*(f"{self.root}/{f}" for f in folders))
 
     def since(self, name: str, number: int | None = None) -> DataFrame:
