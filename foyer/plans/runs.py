@@ -44,11 +44,11 @@ def p02_p03_centers(t):
 
 
 def _broken_batch(t: Tables) -> DataFrame:
-    """A batch of which some ads lack their price."""
+    """A batch of which some ads lack their price, and a few that fell end below zero."""
     return ingest._batch(t).withColumns({"price": F.when(F.col("pos") % 50 != 10, F.col("price")), "scraped_at": F.col("scraped_at").cast("timestamp_ntz")})
 
 
-@query("""with b as (select source, id % 50 = 10 as bad, id % 5 = 1 as new, id % 10 = 2 or not is_active as differs from relisted where id % 5 < 3)
+@query("""with b as (select source, id % 50 = 10 or price - case when id % 10 = 2 then 2000 else 0 end <= 0 as bad, id % 5 = 1 as new, id % 10 = 2 or not is_active as differs from relisted where id % 5 < 3)
   select source, count(*) as found, count(*) filter (bad) as invalid, count(*) filter (not bad and new) as added, count(*) filter (not bad and not new and differs) as updated, count(*) filter (not bad and not new and not differs) as skipped from b group by 1""")
 def u01_s20_a31_outcomes(t):
     """Counters of a run, observed while its log is written; what is new is inserted or linked, which hangs on the order of ads."""
