@@ -2,11 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from foyer.functions.scalars import haversine_km, travel_radius_km, unaccent
+from foyer.functions.scalars import KM_PER_HOUR, half_up, haversine_km, travel_radius_km, unaccent
 from foyer.operators.search import SearchFilters
 
 RADIUS_MOST_KM = 500
@@ -64,3 +64,18 @@ def within_travel(rows: DataFrame, center: tuple[float, float], minutes: float)
     """rows(latitude, longitude, ...) that can be reached; those without coordinates go."""
     km = haversine_km(F.lit(center[0]), F.lit(center[1]), F.col("latitude"), F.col("longitude"))
     return rows.filter(F.coalesce(km <= travel_radius_km(minutes), F.lit(False)))
+
+
+def filter_label(travel_minutes: Column, radius_km: Column, supports_travel: bool = True) -> Column:
+    """What a geographic filter means, in words: minutes by car first, then a radius, else the city.
+
+    A portal without travel times searches by the radius that the minutes are about.
+    """
+    minutes = F.concat(_plain(travel_minutes), F.lit(" min drive"))
+    if not supports_travel:
+        minutes = F.concat(minutes, F.lit(" (~"), half_up(travel_minutes / 60 * KM_PER_HOUR).cast("string"), F.lit(" km)"))
+    return F.coalesce(minutes, F.concat(_plain(radius_km), F.lit(" km radius")), F.lit("city"))
+
+
+def _plain(number: Column) -> Column:
+    return F.regexp_replace(number.cast("string"), r"\.0$", "")

@@ -7,7 +7,7 @@ import itertools
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from foyer.functions.scalars import hex_hamming
+from foyer.functions.scalars import hex_hamming, photo_key
 
 #: Parts of a 64-bit look; looks within MOST bits agree in one part but for MOST / PARTS bits.
 PARTS, MOST = 4, 8
@@ -33,3 +33,16 @@ def near_looks(rows: DataFrame, id_: str, look: str, most: int = MOST) -> tuple[
     table = each.select(F.col("_first").alias("b"), F.col("_look").alias("lb"), F.col("p.k").alias("k"), F.col("p.v").alias("v"))
     pairs = probes.join(table, ["k", "v"]).filter("a < b").withColumn("bits", hex_hamming(F.col("la"), F.col("lb"))).filter(F.col("bits") <= most)
     return pairs.select("a", "b", "bits").distinct(), members
+
+
+def unsyndicated(rows: DataFrame, blocked: DataFrame, urls: str = "image_urls", id_: str = "id") -> DataFrame:
+    """rows with urls without those whose key is in blocked(photo), in their order, and image_url, the first that is left.
+
+    A row that keeps none has null.  blocked is what stats.overused_photos() gives; each
+    url meets it by its key, so neither table is held whole.
+    """
+    each = rows.select(F.col(id_).alias("_id"), F.posexplode(urls).alias("_at", "_url"))
+    good = each.join(blocked.select(F.col("photo").alias("_photo")), photo_key(F.trim("_url")) == F.col("_photo"), "left_anti")
+    kept = good.groupBy("_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("_at", "_url"))), lambda x: x["_url"]).alias("_kept"))
+    joined = rows.join(kept, F.col(id_) == F.col("_id"), "left")
+    return joined.withColumns({urls: F.col("_kept"), "image_url": F.nullif(F.trim(F.get("_kept", F.lit(0))), F.lit(""))}).drop("_id", "_kept")

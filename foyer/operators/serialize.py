@@ -46,6 +46,34 @@ def listing_rows(page: DataFrame, publications: DataFrame, reactions: DataFrame,
     return joined.withColumns({"sources": F.coalesce("sources", F.array().cast("array<string>")), "n_publications": F.coalesce("n_publications", F.lit(0)), "price_label": euros(F.col("price")), "price_drop_percent": drop_percent(F.col("first_price"), F.col("price"))})
 
 
+# The labels of a summary's specs.
+SPEC_LABELS = {"surface": " m²", "land_surface": " m² land", "rooms": " rooms", "bedrooms": " beds"}
+
+
+def summary(rows: DataFrame) -> DataFrame:
+    """rows(id, title, city, postal_code, price, first_price, surface, land_surface, rooms, bedrooms, sources, tier, reaction) with location_line, specs_line, badges and detail_path.
+
+    badges: kind and label, in their order: the id, each source (or that there is none),
+    the tier, the reaction, the price drop.  What a property doesn't have, or has as 0, is
+    left out.
+    """
+    number = lambda c: F.regexp_replace(F.col(c).cast("string"), r"\.0$", "")
+    specs = [F.when(F.col(c) != 0, F.concat(number(c), F.lit(label))) for c, label in SPEC_LABELS.items()]
+    badge = lambda kind, label=None: F.struct((F.lit(kind) if isinstance(kind, str) else kind).alias("kind"), (F.lit(None).cast("string") if label is None else label).alias("label"))
+    some = lambda condition, *badges: F.when(condition, F.array(*badges)).otherwise(F.array().cast("array<struct<kind:string,label:string>>"))
+    fell = F.coalesce((F.col("first_price") > F.col("price")) & (F.col("first_price") > 0), F.lit(False))
+    drop = F.concat(euros(F.col("first_price") - F.col("price")), F.lit(" (−"), drop_percent(F.col("first_price"), F.col("price")).cast("string"), F.lit(" %)"))
+    badges = F.concat(
+        F.array(badge("id", F.col("id").cast("string"))),
+        F.when(F.size("sources") > 0, F.transform("sources", lambda s: badge("source", s))).otherwise(F.array(badge("publications-unavailable"))),
+        some(F.coalesce(F.col("tier") != "", F.lit(False)), badge("compatibility", F.col("tier"))),
+        some(F.coalesce(F.col("reaction").isin("like", "dislike"), F.lit(False)), badge(F.concat(F.lit("reaction-"), F.col("reaction")))),
+        some(fell, badge("price-drop", drop)),
+    )
+    place = F.concat_ws(" ", F.nullif(F.col("city"), F.lit("")), F.when(F.col("postal_code") != "", F.concat(F.lit("("), F.col("postal_code"), F.lit(")"))))
+    return rows.withColumns({"location_line": place, "specs_line": F.concat_ws(" · ", *specs), "badges": badges, "detail_path": F.concat(F.lit("/listings/"), F.col("id").cast("string"))})
+
+
 def detail(properties: DataFrame, publications: DataFrame, id_: int) -> DataFrame:
     """The row of an id with its publications' differences and descriptions."""
     own = properties.filter(F.col("id") == id_)

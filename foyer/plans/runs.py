@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from foyer.functions import scalars as S
-from foyer.operators import answers, cells, certificates, enrichment, learning, matching, stats, upsert
+from foyer.operators import answers, cells, certificates, enrichment, geo, learning, matching, photos, serialize, stats, upsert
 from foyer.operators.search import SearchFilters
 from foyer.operators.textindex import TextIndex
 from foyer.plans import catalogue as C
@@ -183,6 +183,38 @@ def s13_statistics_answer(t):
     return answers.statistics_answer(t.properties, t.publications)
 
 
+@query(f"""with src as (select property_id, string_agg('source ' || source, ',' order by r) as sources from (select distinct property_id, {C.RANK} as r, source from publications where is_active) group by 1)
+  select p.id, city || case when p.id % 4 = 0 then '' else ' (' || postal_code || ')' end as location_line, concat_ws(' · ', cast(surface as int) || ' m²', cast(land_surface as int) || ' m² land', rooms || ' rooms', bedrooms || ' beds') as specs_line,
+    concat_ws(',', 'id ' || p.id, coalesce(sources, 'publications-unavailable'), case p.id % 3 when 1 then 'compatibility good' end, case when r.type is not null then 'reaction-' || r.type end, case when price < first_price then 'price-drop ' || {C._label('(first_price - price)')} || ' (−' || cast(floor((first_price - price) * 100.0 / first_price + 0.5) as int) || ' %)' end) as badges
+  from properties p left join src on src.property_id = p.id left join reactions r on r.property_id = p.id""")
+def f40_summaries(t):
+    """Summary lines and badges of all properties."""
+    sources = F.transform(F.array_sort(F.collect_set(F.struct(S.source_rank(F.col("source"), SOURCES).alias("r"), "source"))), lambda x: x["source"])
+    own = t.publications.filter("is_active").groupBy(F.col("property_id").alias("id")).agg(sources.alias("sources"))
+    rows = t.properties.join(own, "id", "left").join(t.reactions.select(F.col("property_id").alias("id"), F.col("type").alias("reaction")), "id", "left")
+    rows = rows.withColumns({"postal_code": F.when(F.col("id") % 4 > 0, F.col("postal_code")), "tier": F.when(F.col("id") % 3 == 1, "good")})
+    done = serialize.summary(rows)
+    return done.select("id", "location_line", "specs_line", F.array_join(F.transform("badges", lambda b: F.concat_ws(" ", b["kind"], b["label"])), ",").alias("badges"))
+
+
+@query("""with u as (select property_id, regexp_replace(image_a, '[?#].*$', '') as k from publications where image_a is not null union all select property_id, regexp_replace(image_b, '[?#].*$', '') from publications),
+  bad as (select k from u group by 1 having count(distinct property_id) >= 16), own as (select id, case when image_a is not null and regexp_replace(image_a, '[?#].*$', '') not in (select k from bad) then image_a end as a, case when image_b not in (select k from bad) then image_b end as b from publications)
+  select id, nullif(concat_ws(',', a, b), '') as urls, coalesce(a, b) as image_url from own""")
+def f30_unsyndicated(t):
+    """Pictures without those that many homes show; urls count by their key."""
+    rows = t.publications.select("id", "property_id", F.array_compact(F.array("image_a", "image_b")).alias("image_urls"))
+    keyed = rows.withColumn("image_urls", F.transform("image_urls", S.photo_key))
+    done = photos.unsyndicated(rows, stats.overused_photos(keyed, 16))
+    return done.select("id", F.array_join("image_urls", ",").alias("urls"), "image_url")
+
+
+@query("""select id, case when id % 3 = 0 then id % 90 || ' min drive' when id % 3 = 1 then id % 40 || ' km radius' else 'city' end as label,
+  case when id % 3 = 0 then id % 90 || ' min drive (~' || cast(floor(id % 90 / 60.0 * 50 + 0.5) as int) || ' km)' when id % 3 = 1 then id % 40 || ' km radius' else 'city' end as scraped from properties""")
+def f03_labels(t):
+    minutes, radius = F.when(F.col("id") % 3 == 0, (F.col("id") % 90).cast("double")), F.when(F.col("id") % 3 < 2, (F.col("id") % 40).cast("double"))
+    return t.properties.select("id", geo.filter_label(minutes, radius).alias("label"), geo.filter_label(minutes, radius, supports_travel=False).alias("scraped"))
+
+
 # ---------------------------------------------------------------- rules and certificates
 
 _BROKEN = {
