@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from test_upsert import tables
 
 from foyer.functions.scalars import EARTH_KM
-from foyer.operators import answers, cells, certificates, upsert
+from foyer.operators import answers, cells, certificates, photos, upsert
 from foyer.operators.search import SearchFilters
 from foyer.operators.textindex import TextIndex, grams
 from foyer.plans import catalogue
@@ -121,6 +121,23 @@ def test_counters_are_those_of_the_outcomes(spark, tmp_path):
     assert refreshed == {x.property_id for x in upsert.outcomes(new, props, pubs).collect() if x.property_id is not None and (x.outcome in ("inserted", "linked") or x.price_drop)}
 
 
+def test_looks_of_three_batches_give_the_pairs_of_one(spark, tmp_path):
+    r = random.Random(12)
+    bases = [r.getrandbits(64) for _ in range(12)]
+    looks = [f"{r.choice(bases) ^ sum(1 << b for b in r.sample(range(64), r.randint(0, 6))):016x}" for _ in range(300)] + ["short", None, "0" * 16]
+    rows = [(k, look) for k, look in zip(r.sample(range(1000), len(looks)), looks)]
+    every = spark.createDataFrame(rows, "id long, look string")
+    want = {tuple(x) for x in photos.near_looks(every, "id", "look")[0].collect()}
+    index = photos.LookIndex(spark, str(tmp_path / "looks"), buckets=8)
+    for k in range(3):
+        assert index.add(spark.createDataFrame(rows[k::3], "id long, look string"), "id", "look") == k + 1
+    found = [tuple(x) for x in index.pairs().collect()]
+    assert set(found) == want and len(found) == len(want) and want
+    version = index.add(every, "id", "look")  # nothing is new
+    assert {tuple(x) for x in index.pairs().collect()} == want
+    assert index.store.since("pairs").filter(F.col("since") == version).count() == 0
+
+
 def test_lines_of_certificates(spark):
     rows = [("1", "48.5,2.5"), ("2", " 48.5 , 2 "), ("3", "48.5"), ("4", "x,2"), ("5", None), ("6", "1,2,3"), ("7", "nan,1"), (None, "1,2"), ("", "1,2")]
     found = certificates.mapped(spark.createDataFrame(rows, "numero_dpe string, _geopoint string"), certificates.RECENT, "recent").collect()
