@@ -130,7 +130,7 @@ def near_duplicates(docs: DataFrame, most: int = 3, shingle: int = SHINGLE) -> D
 # ---------------------------------------------------------------- similarity of shingles
 
 #: Words of a shingle and similarity from which documents are near, tables that one job looks up, and the least words of 64 bits of a wide fingerprint.
-NEAR_SHINGLE, NEAR, TABLES, LEAST_WORDS = 5, 0.8, 8, 16
+NEAR_SHINGLE, NEAR, TABLES, LEAST_WORDS = 5, 0.8, 4, 16
 #: Share of pairs of exactly that similarity which some table has to lead to, and how far below it the estimate of a link may lie.
 FOUND, SLACK = 0.95, 0.03
 
@@ -303,10 +303,17 @@ def similar_groups(docs: DataFrame, similarity: float = NEAR, shingle: int = NEA
     own = store(wide_fingerprints(docs, words, shingle), "wide")
     nodes = store(own.groupBy("wide").agg(F.min("doc_id").alias("node")), "nodes")
     most = int(differing(similarity - SLACK) * BITS * words)
+    # what the first tables join is one node for the others, whose links would tell the same again
+    grouped = store(components(_met_links(nodes, range(min(TABLES, tables)), bits, most)).select(F.col("node").alias("_node"), F.col("component").alias("_group")), "groups")
     links = None
-    for k in range(0, tables, TABLES):
+    for k in range(TABLES, tables, TABLES):
         new = _met_links(nodes, range(k, min(tables, k + TABLES)), bits, most)
+        for end in ("a", "b"):
+            new = new.join(grouped, F.col(end) == F.col("_node"), "left").withColumn(end, F.coalesce("_group", end)).drop("_node", "_group")
+        new = new.filter("a <> b").distinct()
         links = new if links is None else links.unionByName(new)
-    joined = nodes.join(components(links).withColumnRenamed("node", "_node"), F.col("node") == F.col("_node"), "left")
-    classes = joined.select(F.col("wide").alias("_wide"), F.coalesce("component", "node").alias("component_id"))
+    joined = nodes.join(grouped, F.col("node") == F.col("_node"), "left").withColumn("component", F.coalesce("_group", "node")).select("wide", "component")
+    if links is not None:
+        joined = joined.join(components(links).select(F.col("node").alias("_node"), F.col("component").alias("_group")), F.col("component") == F.col("_node"), "left").select("wide", F.coalesce("_group", "component").alias("component"))
+    classes = joined.select(F.col("wide").alias("_wide"), F.col("component").alias("component_id"))
     return own.join(classes, own["wide"] == F.col("_wide")).select("doc_id", "component_id")
