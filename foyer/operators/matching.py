@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Sequence
 from functools import reduce
 
@@ -64,11 +65,14 @@ def sided(df: DataFrame, side: str, *more: str) -> DataFrame:
 
 def price_band(price: Column) -> Column:
     """Prices within the tolerance lie in one band or two neighbors."""
-    import math
-
     return F.floor(F.log(F.greatest(price, F.lit(1)).cast("double")) / math.log(1 / (1 - PRICE_TOLERANCE)))
 
 
+def land_band(land: Column) -> Column:
+    """Land surfaces within the tolerance lie in one band or two neighbors."""
+    return F.floor(F.log(F.greatest(land, F.lit(1)).cast("double")) / (math.log(1 / (1 - LAND_TOLERANCE)) * (1 + 1e-9)))
+
+
 def matched(left: DataFrame, right: DataFrame, on: Sequence[str], extra: Column | None = None) -> DataFrame:
     """Pairs of rows of left (a_...) and right (b_...) that match; both are sided() with the columns of on.
 
@@ -104,7 +108,11 @@ def near_misses(listings: DataFrame, candidates: DataFrame, top: int = 3) -> Dat
     town = F.col("a_postal_code") == F.col("b_postal_code")
     band_l, band_r = left.withColumn("_near", around(price_band(F.col("a_price")))), right.withColumn("_band", price_band(F.col("b_price")))
     by_price = band_l.join(band_r, [town, F.col("_near") == F.col("_band")]).filter(field_scores("a_", "b_")["price"] == 1)
-    by_shape = left.withColumn("_near", around(F.col("a_rooms"))).join(right.filter("b_kind <> ''"), [town, F.col("a_kind") == F.col("b_kind"), F.col("_near") == F.col("b_rooms")]).filter(field_scores("a_", "b_")["price"] == 0)
+    shape_l = left.filter("a_surface is not null and a_bedrooms is not null and a_land_surface is not null").withColumn("_near", around(F.col("a_rooms"))).withColumn("_land", around(land_band(F.col("a_land_surface"))))
+    shape_r = right.filter("b_kind <> '' and b_surface is not null and b_bedrooms is not null and b_land_surface is not null").withColumn("_land", land_band(F.col("b_land_surface")))
+    fields = field_scores("a_", "b_")
+    fits = reduce(lambda a, b: a & b, (fields[n] == 1 for n in ("surface", "bedrooms", "land_surface")), fields["price"] == 0)
+    by_shape = shape_l.join(shape_r, [town, F.col("a_kind") == F.col("b_kind"), F.col("_near") == F.col("b_rooms"), shape_l["_land"] == shape_r["_land"]]).filter(fits)
     judged = [df.select("a_id", "b_property_id", score.alias("score"), veto.alias("veto")) for df in (by_price, by_shape)]
     best = judged[0].unionByName(judged[1]).groupBy("a_id", "b_property_id").agg(F.max_by(F.struct("score", "veto"), F.struct("score", F.col("veto").isNull())).alias("best"))
     near = best.select("a_id", "b_property_id", "best.score", "best.veto").filter((F.round("score", 9) >= round(THRESHOLD - 0.1, 9)) & (F.col("score") < THRESHOLD))

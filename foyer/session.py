@@ -31,23 +31,24 @@ def kept(df: DataFrame) -> DataFrame:
 
     Only a local session without that setting (tests) gets a temporary folder.
     """
-    spark = df.sparkSession
-    if spark.sparkContext.getCheckpointDir() is None:
-        folder = spark.conf.get("spark.checkpoint.dir", None)
-        if not folder and not spark.sparkContext.master.startswith("local"):
-            raise ValueError("set spark.checkpoint.dir to a folder that the whole cluster shares")
-        spark.sparkContext.setCheckpointDir(folder or tempfile.mkdtemp(prefix="foyer-"))
+    context = df.sparkSession.sparkContext
+    if context.getCheckpointDir() is None:
+        folder = shared_dir(df.sparkSession)
+        if context.getCheckpointDir() is None:
+            context.setCheckpointDir(folder)
     return df.checkpoint()
 
 
 def shared_dir(spark: SparkSession) -> str:
     """The folder that driver and executors share, named by spark.checkpoint.dir; only a local session without it (tests) gets a temporary one."""
-    folder = spark.conf.get("spark.checkpoint.dir", None)
+    context = spark.sparkContext
+    folder = spark.conf.get("spark.checkpoint.dir", None) or context.getCheckpointDir()
     if not folder:
-        if not spark.sparkContext.master.startswith("local"):
+        if not context.master.startswith("local"):
             raise ValueError("set spark.checkpoint.dir to a folder that the whole cluster shares")
-        folder = tempfile.mkdtemp(prefix="foyer-")
-        spark.conf.set("spark.checkpoint.dir", folder)
+        # a running session takes no new value of spark.checkpoint.dir, so its context remembers the folder
+        context.setCheckpointDir(tempfile.mkdtemp(prefix="foyer-"))
+        folder = context.getCheckpointDir()
     return folder.rstrip("/")
 
 
