@@ -45,11 +45,16 @@ def picked_places(asked: DataFrame, places: DataFrame) -> DataFrame:
     code; else of that code; else of that name; else any, each the first by pos; only
     usable ones count.
     """
-    own = asked.join(places.filter("usable").select(F.col("query").alias("_q"), "pos", "place_id", F.lower(F.trim("name")).alias("_name"), "postal_codes"), F.col("query") == F.col("_q"), "left")
-    name = F.coalesce(F.col("_name") == F.lower(F.trim("city")), F.lit(False))
-    code = F.coalesce((F.col("postal_code") != "") & F.array_contains("postal_codes", F.col("postal_code")), F.lit(False))
-    rank = F.when(name & code, 0).when(code, 1).when(name, 2).otherwise(3)
-    return own.groupBy("ask_id").agg(F.min_by("place_id", F.struct(rank.alias("r"), "pos")).alias("place_id"))
+    usable = places.filter("usable").select(F.col("query").alias("_q"), F.lower(F.trim("name")).alias("_name"), F.array_distinct("postal_codes").alias("_codes"), F.struct("pos", "place_id").alias("_place"))
+    coded = usable.withColumn("_code", F.explode("_codes")).filter("_code <> ''")
+    own = asked.select("ask_id", "query", F.lower(F.trim("city")).alias("city"), F.nullif("postal_code", F.lit("")).alias("code"))
+    ways = ((coded, {"_q": "query", "_name": "city", "_code": "code"}), (coded, {"_q": "query", "_code": "code"}), (usable, {"_q": "query", "_name": "city"}), (usable, {"_q": "query"}))
+    for k, (df, keys) in enumerate(ways):  # the first place of each key, not each place, meets what was asked
+        first = df.groupBy(*(F.col(n).alias(f"{n}{k}") for n in keys)).agg(F.min_by("_place", F.struct("_place.pos")).alias(f"_place{k}"))
+        own = own.join(first, [F.col(f"{n}{k}") == F.col(c) for n, c in keys.items()], "left")
+    rank = F.coalesce(*(F.when(F.col(f"_place{k}").isNotNull(), k) for k in range(len(ways))))
+    place = F.coalesce(*(F.col(f"_place{k}") for k in range(len(ways))))
+    return own.select("ask_id", rank.alias("r"), place.alias("p")).groupBy("ask_id").agg(F.min_by("p.place_id", F.when(F.col("r").isNotNull(), F.struct("r", "p.pos"))).alias("place_id"))
 
 
 def resolved(f: SearchFilters, center: tuple[float, float] | None) -> tuple[tuple[float, float] | None, float | None]:
