@@ -7,12 +7,12 @@ from functools import reduce
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from foyer.functions.scalars import bathrooms_from_tags, consumption_from_text, emission_from_text, highlights_from_tags, year_from_text
+from foyer.functions.scalars import bathrooms_from_tags, consumption_from_text, emission_from_text, filled, highlights_from_tags, let, year_from_text
 
 
 def _found(text: Column, pattern: str, group: int = 1) -> Column:
     """The group of the first match, null without one."""
-    return F.nullif(F.regexp_extract(text, pattern, group), F.lit(""))
+    return filled(F.regexp_extract(text, pattern, group))
 
 
 def _number(text: Column) -> Column:
@@ -101,11 +101,14 @@ def _scale_marks(page: Column) -> Column:
 
 def rated(page: Column, scale: str) -> tuple[Column, Column]:
     """(class, metric) on a scale: the rating that is the last mark before the scale's name, and the metric that is the next after it."""
-    marks = _scale_marks(page)
-    at = F.array_position(marks, F.lit(scale)).cast("int")
-    before, after = F.get(marks, at - 2), F.get(marks, at)
-    rating = F.when((at > 0) & before.startswith('"rating"'), F.upper(F.substring(before, -2, 1)))
-    return rating, F.when((at > 0) & after.startswith('"value"'), _number(_found(after, r"(\d+(?:[.,]\d+)?)")))
+
+    def around(marks: Column) -> Column:
+        at = F.array_position(marks, F.lit(scale)).cast("int")
+        return F.when(at > 0, F.struct(F.get(marks, at - 2).alias("before"), F.get(marks, at).alias("after")))
+
+    both = let(_scale_marks(page), around)
+    rating = let(both["before"], lambda x: F.when(x.startswith('"rating"'), F.upper(F.substring(x, -2, 1))))
+    return rating, let(both["after"], lambda x: F.when(x.startswith('"value"'), _number(_found(x, r"(\d+(?:[.,]\d+)?)"))))
 
 
 def page_energy(html: Column, page: Column | None = None) -> dict[str, Column]:
@@ -145,7 +148,8 @@ def page_point(html: Column, page: Column | None = None) -> Column:
     fields = _found(page, PLACE_FIELDS, 0)
     value = lambda name: _found(fields, rf'(?i)"{name}"\s*:\s*({_DECIMAL})')
     pairs = [(_found(page, p, 2), _found(page, p)) for p in (STATIC_MAP, GEO_POINT)] + [(value("latitude"), value("longitude"))]
-    return F.coalesce(*(point(lat.try_cast("double"), lng.try_cast("double")) for lat, lng in pairs))
+    both = lambda lat, lng: F.struct(lat.try_cast("double").alias("lat"), lng.try_cast("double").alias("lng"))
+    return F.coalesce(*(let(both(lat, lng), lambda p: point(p["lat"], p["lng"])) for lat, lng in pairs))
 
 
 def unescaped_json(text: Column) -> Column:
@@ -180,7 +184,7 @@ def plain_text(html: Column) -> Column:
 def tidy(text: Column) -> Column:
     """Plain spaces, no spaces at the end of a line, no two empty lines in a row, none around."""
     lines = F.transform(F.split(F.translate(text, "\u00a0", " "), "\n"), lambda x: F.rtrim(x, F.lit(" \t")))
-    kept = F.filter(lines, lambda x, k: (x != "") | (k == 0) | (F.get(lines, k - 1) != ""))
+    kept = let(lines, lambda own: F.filter(own, lambda x, k: (x != "") | (k == 0) | (F.get(own, k - 1) != "")))
     return F.btrim(F.array_join(kept, "\n"), F.lit(" \t\n\r\f"))
 
 
@@ -194,9 +198,9 @@ def has_payload_rest(text: Column) -> Column:
 
 def plausible_description(text: Column) -> Column:
     """Long enough, no rest of a payload, and not the title of an ad: what is sold, its price and the postal code at the end."""
-    words = F.filter(F.split(text, r"\s+"), lambda w: w != "")
-    title = (F.get(words, F.lit(0)) == "Achat") & F.get(words, F.lit(1)).isin("Maison", "Appartement") & F.contains(text, F.lit("€")) & F.element_at(words, -1).rlike(r"^\(\d{5}\)$")
-    return (F.length(text) >= LEAST_DESCRIPTION) & ~has_payload_rest(text) & ~F.coalesce(F.when(F.size(words) > 2, title), F.lit(False))
+    titled = lambda words: (F.get(words, F.lit(0)) == "Achat") & F.get(words, F.lit(1)).isin("Maison", "Appartement") & F.contains(text, F.lit("€")) & F.element_at(words, -1).rlike(r"^\(\d{5}\)$")
+    title = let(F.filter(F.split(text, r"\s+"), lambda w: w != ""), lambda words: F.when(F.size(words) > 2, titled(words)))
+    return (F.length(text) >= LEAST_DESCRIPTION) & ~has_payload_rest(text) & ~F.coalesce(title, F.lit(False))
 
 
 #: A field of a payload with an object of texts and numbers.  Possessive loops: Java matches other groups by recursion, and payloads are long.

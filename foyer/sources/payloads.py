@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from foyer.functions import portal as P
-from foyer.functions.scalars import consumption_from_text, emission_from_text, energy_class, half_up, merged_highlights, positive, positive_int, sane_year
+from foyer.functions.scalars import consumption_from_text, emission_from_text, energy_class, half_up, merged_highlights, positive, positive_int, sane_year, some
 from foyer.schemas import listing_schema
 
 _PLACE = "struct<lat:double,lon:double>"
@@ -53,8 +53,7 @@ def _time(at: str | Column) -> Column:
 def _urls(urls: Column) -> dict[str, Column]:
     """image_urls without blanks, null if none, and the first as image_url."""
     kept = F.filter(F.transform(urls, lambda u: F.trim(u)), lambda u: u != "")
-    some = F.when(F.size(kept) > 0, kept)
-    return {"image_urls": some, "image_url": F.get(some, F.lit(0))}
+    return {"image_urls": some(kept), "image_url": F.get(kept, F.lit(0))}
 
 
 def _plural(n: Column, one: str, many: str) -> Column:
@@ -106,7 +105,7 @@ def bienici_patches(ads: DataFrame) -> DataFrame:
 
 def attribute(attributes: Column, key: str, label: bool = False) -> Column:
     """The value (or label, else value) of the first attribute of a key."""
-    one = F.get(F.filter(attributes, lambda a: a["key"] == key), F.lit(0))
+    one = F.get(attributes, (F.array_position(attributes["key"], F.lit(key)) - 1).cast("int"))
     if not label:
         return one["value"]
     return F.coalesce(F.nullif(F.trim(one["value_label"]), F.lit("")), F.nullif(F.trim(one["value"]), F.lit("")))
@@ -144,7 +143,7 @@ def _leboncoin_fields(f) -> dict[str, Column]:
 def leboncoin_listings(ads: DataFrame, scraped_at: str | Column, fallback_city: str) -> DataFrame:
     """Listings of portal B's ads (LEBONCOIN_AD)."""
     f = F.col
-    sold, kind = attribute(f("attributes"), "immo_sell_type"), F.get(F.filter("attributes", lambda a: a["key"] == "real_estate_type"), F.lit(0))
+    sold, kind = attribute(f("attributes"), "immo_sell_type"), F.get("attributes", (F.array_position(F.col("attributes")["key"], F.lit("real_estate_type")) - 1).cast("int"))
     return _listing(ads, _leboncoin_fields(f) | {
         "external_id": f("list_id"), "source": F.lit("leboncoin"), "title": f("subject"), "price": F.coalesce(F.get("price", F.lit(0)), F.lit(0)),
         "is_new_property": F.when(sold == "new", True).when(sold == "old", False), "city": F.coalesce(F.nullif(f("location")["city"], F.lit("")), F.lit(fallback_city)),
@@ -176,7 +175,8 @@ def _ads_schema() -> str:
 def leboncoin_detail(pages: DataFrame, html: str = "html") -> tuple[DataFrame, DataFrame]:
     """(pages with portal B's ad columns, pages without an ad and their reason)."""
     item = _ads_schema().removeprefix("ads array<").removesuffix(">")
-    parsed = pages.withColumn("ad", F.from_json(P.next_data(F.col(html)), f"props struct<pageProps:struct<ad:{item}>>")["props"]["pageProps"]["ad"])
+    ad = F.from_json(P.next_data(F.col(html)), f"props struct<pageProps:struct<ad:{item}>>")["props"]["pageProps"]["ad"]
+    parsed = pages.select("*", F.explode_outer(F.array(ad)).alias("ad"))  # outer: see search_cards; a filter would parse each page again
     own = [c for c in pages.columns if c != "url"]  # an ad has its own
     return parsed.filter("ad is not null").select(*own, "ad.*"), parsed.filter("ad is null").drop("ad").withColumn("reason", P.next_data_failure(F.col(html)))
 
@@ -268,9 +268,10 @@ def detail_pages(pages: DataFrame, html: str = "html") -> DataFrame:
     c, d = F.col("card"), F.col("_d")
     text = F.concat_ws("\n", F.nullif(c["description"], F.lit("")), c["tags"], page)
     own = F.col("_bare")
-    at = F.coalesce(_data_point(d), P.page_point(page, own))
     gallery = _urls(_photos(d["gallery"]))
-    image = F.coalesce(gallery["image_url"], P.og_image(page))
+    # what is used more than once is a column of its own
+    read = read.withColumns({"_at": F.coalesce(_data_point(d), P.page_point(page, own)), "_image": F.coalesce(gallery["image_url"], P.og_image(page))})
+    at, image = F.col("_at"), F.col("_image")
     extras = {n: F.when(c.isNotNull(), v) for n, v in P.tag_extras(c["description"], c["tags"]).items()}
     values = P.page_energy(page, own) | extras | {
         "description": P.longest(F.array(c["description"], P.page_description(page, own))), "surface": c["surface"], "land_surface": P.land_surface(text), "latitude": at["lat"], "longitude": at["lng"],
