@@ -9,9 +9,12 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from foyer.functions.scalars import contains_ascii_ci
+from foyer.session import spread
 from foyer.sources.versions import Store, bucket
 
 GRAM = 3
+#: Texts whose postings are one batch of rows.
+TEXTS = 1000
 _FOLD = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
 
 
@@ -30,12 +33,15 @@ def postings(texts: DataFrame) -> DataFrame:
     schema = pa.schema([("gram", pa.string()), ("id", pa.int64())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in (b.slice(at, TEXTS) for b in batches for at in range(0, b.num_rows, TEXTS)):
+            found, ids = [], []
             for id_, text in zip(b.column("id").to_pylist(), b.column("text").to_pylist()):
                 own = sorted(grams(text))
-                yield pa.RecordBatch.from_arrays([pa.array(own, pa.string()), pa.array([id_] * len(own), pa.int64())], schema=schema)
+                found += own
+                ids += [id_] * len(own)
+            yield pa.RecordBatch.from_arrays([pa.array(found, pa.string()), pa.array(ids, pa.int64())], schema=schema)
 
-    return texts.filter("text is not null").select(F.col("id").cast("long"), "text").mapInArrow(run, "gram string, id long").withColumn("code", _coded())
+    return spread(texts.filter("text is not null").select(F.col("id").cast("long"), "text"), "id").mapInArrow(run, "gram string, id long").withColumn("code", _coded())
 
 
 class TextIndex:

@@ -107,8 +107,8 @@ class Store:
             if met:
                 own = df.withColumn("_bucket", bucket(self.keys[name], self.buckets))
                 own = own if len(met) == self.buckets else own.filter(F.col("_bucket").isin(sorted(met)))
-                # the rows of a bucket meet in a file or a few, also where many tasks made them
-                own.repartition("_bucket").write.partitionBy("_bucket").parquet(f"{self.root}/{name}/{version}")
+                # the rows of a bucket meet in a file or a few, also where many tasks made them; a large bucket is written by several tasks
+                own.hint("rebalance", F.col("_bucket")).write.partitionBy("_bucket").parquet(f"{self.root}/{name}/{version}")
                 rows += [(name, k, f"{name}/{version}/_bucket={k}", number) for k in self._filled(f"{name}/{version}") if k in met]
             if not any(r[0] == name for r in rows):  # a table without rows keeps its columns
                 df.limit(0).write.parquet(f"{self.root}/{name}/{version}-empty")
