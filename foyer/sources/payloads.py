@@ -213,11 +213,19 @@ def _card_of_search(c: Column) -> Column:
     return F.struct(*(v.alias(n) for n, v in zip(_CARD_FIELDS, values)))
 
 
-def enriched_card(card: str = "card") -> Column:
-    """A card with what its text tells where it has no value itself: classes, metrics, land."""
+def card_text(card: str = "card") -> Column:
     c = F.col(card)
-    text = F.concat_ws("\n", F.nullif(c["description"], F.lit("")), c["tags"])
-    dpe, ges = P.energy_classes(text)
+    return F.concat_ws("\n", F.nullif(c["description"], F.lit("")), c["tags"])
+
+
+def enriched_card(card: str = "card", text: Column | None = None, both: Column | None = None) -> Column:
+    """A card with what its text tells where it has no value itself: classes, metrics, land.
+
+    text, both: card_text() and its both_classes(), where they are columns already.
+    """
+    c = F.col(card)
+    text = card_text(card) if text is None else text
+    dpe, ges = P.energy_classes(text, both)
     new = {"dpe": F.coalesce(c["dpe"], dpe), "ges": F.coalesce(c["ges"], ges), "land": F.coalesce(c["land"], P.land_surface(text))}
     more = {"consumption": consumption_from_text(text), "emission": emission_from_text(text)}
     return F.struct(*((new.get(n, c[n])).alias(n) for n in _CARD_FIELDS), *(v.alias(n) for n, v in more.items()))
@@ -239,7 +247,10 @@ def search_cards(pages: DataFrame, html: str = "html") -> DataFrame:
     cards = F.filter(F.coalesce(listed, named), lambda c: F.coalesce(c["id"] != "", F.lit(False)))
     total = F.coalesce(F.col("_a")["navigation"]["counts"]["count"], F.col("_f")["totalCount"], F.size("_cards").cast("long"))
     out = parsed.withColumn("_cards", cards).withColumn("total", total)
-    return out.select(*pages.columns, "total", F.posexplode_outer("_cards").alias("at", "card")).filter("card is not null").withColumn("card", enriched_card())
+    each = out.select(*pages.columns, "total", F.posexplode_outer("_cards").alias("at", "card")).filter("card is not null")
+    # a card's text is read in several ways, so it is made once
+    each = each.withColumn("_text", card_text()).withColumn("_both", P.both_classes(F.col("_text")))
+    return each.withColumn("card", enriched_card(text=F.col("_text"), both=F.col("_both"))).drop("_text", "_both")
 
 
 def _absolute(base: Column, path: Column) -> Column:

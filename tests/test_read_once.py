@@ -33,3 +33,23 @@ def test_ads_of_pages_are_parsed_once(spark):
 @pytest.mark.parametrize("name", ["s14_f19_f21_f22_f23_f24_details", "s10_leboncoin_details", "s09_p22_f25_leboncoin_search", "s12_s13_p22_f20_search_cards", "p06_filtered_cards", "p07_cards_of_a_code"])
 def test_rows_are_dealt_before_pages_are_made(spark, name):
     assert "RepartitionByExpression [id#" in plan(spark, name)
+
+
+def test_text_of_a_card_is_made_once(spark):
+    """Classes, land and metrics are sought in one column, not in a text that each search makes again."""
+    from foyer.plans.fixtures import Tables
+    from foyer.sources import payloads
+
+    cards = payloads.search_cards(portals._search_pages(Tables(spark, SF))).select("card.dpe", "card.ges", "card.land", "card.consumption", "card.emission")
+    setting = "spark.sql.debug.maxToStringFields"
+    before = spark.conf.get(setting)
+    spark.conf.set(setting, "1000")
+    try:
+        assert cards._jdf.queryExecution().optimizedPlan().toString().count("concat_ws(") == 1
+    finally:
+        spark.conf.set(setting, before)
+
+
+def test_years_of_texts(spark):
+    rows = spark.createDataFrame([("bâti en 1987",), ("sans",), ("",), (None,)], "t string").select(S.year_from_text(F.col("t")))
+    assert [r[0] for r in rows.collect()] == [1987, None, None, None]
