@@ -12,12 +12,13 @@ from __future__ import annotations
 import json
 import re
 from array import array
+from collections.abc import Callable
 from functools import lru_cache
 
 import regex
 
 #: Segments whose ids a worker keeps; later ones are encoded again when they recur.
-MEMO = 250_000
+MEMO = 500_000
 # The byte-level alphabet of published byte BPE vocabularies, and its splitting pattern.
 _PLAIN_BYTES = [*range(33, 127), *range(161, 173), *range(174, 256)]
 _BYTE_PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
@@ -38,6 +39,17 @@ def tokenizer(path: str):
     return Tokenizer.from_file(path)
 
 
+class Memo(dict):
+    """What make() gives for a key, made when a key is first looked up: one lookup for each segment, no set of new ones before it."""
+
+    def __init__(self, make: Callable[[str], bytes]):
+        self.make = make
+
+    def __missing__(self, key: str) -> bytes:
+        found = self[key] = self.make(key)
+        return found
+
+
 @lru_cache(maxsize=2)
 def encoder(path: str) -> SegmentEncoder:
     """One for each worker process and file, so that its memo lives longer than a task."""
@@ -65,7 +77,7 @@ class SegmentEncoder:
         self.word = re.compile(f"([A-Za-zÀ-ÖØ-öø-ÿŒœ]+)([{_ENDS}]?)")
         self.odd_space = re.compile(f"[{_SPACES}]".replace(" ", "").replace(r"\t-\r", r"\x00-\x09\x0b-\x1f"))
         self.coarse = re.compile(f" ?[^{_SPACES}]+|[{_SPACES}]+(?![^{_SPACES}])|[{_SPACES}]+")
-        self.memo: dict[str, bytes] = {}
+        self.memo = Memo(self._new)
         self.piece_memo: dict[str, bytes] = {}
 
     def _piece(self, piece: str) -> bytes:
@@ -94,6 +106,12 @@ class SegmentEncoder:
         return parts
 
     def _new(self, key: str) -> bytes:
+        # most new segments are ASCII words, for which the pattern isn't needed
+        if key.isascii():
+            if key.isalpha():
+                return self._piece(" " + key if self.spaced else key.lower())
+            if (word := key[:-1]).isalpha() and key[-1] in _ENDS:
+                return self._piece(" " + word if self.spaced else word.lower()) + self._piece(key[-1])
         if found := self.word.fullmatch(key):
             word, mark = found.groups()
             ids = self._piece(" " + word if self.spaced else word.lower())
@@ -106,16 +124,9 @@ class SegmentEncoder:
 
     def encode(self, texts: list[str]) -> list[bytes]:
         whole = {i for i, t in enumerate(texts) if any(s in t for s in self.special)}
-        split = [self._split(t) if t and i not in whole else [] for i, t in enumerate(texts)]
-        keys: set[str] = set()
-        for parts in split:
-            keys.update(parts)
         memo = self.memo
-        keys.difference_update(memo)
-        new = list(keys)
-        memo.update(zip(new, map(self._new, new)))
         get = memo.__getitem__
-        found = [b"".join(map(get, parts)) for parts in split]
+        found = [b"".join(map(get, self._split(t))) if t and i not in whole else b"" for i, t in enumerate(texts)]
         for _ in range(len(memo) - MEMO):  # the latest go first; frequent segments came early
             memo.popitem()
         for i in whole:
